@@ -11,7 +11,7 @@ from textmill.llm.tokens import encoder
 from .fixtures import edge_docs, empty_docs
 
 VOCAB = registry.vocabulary("word_bpe_49k.json")
-ODD = ["", " ", "  a", "a  b", "a \n b\n\n  c ", "a   ", "don't 's it's  ok foo', bar.'s", "É́ á b̀ e´", "a\xa0b  c", "x\x1cy \x1d z", "<|endoftext|> hi", "日本語 テキスト", "a\t\tb \t c", "I'M 'S ΑΣ ΑΣ β", "a\x85 b", "\n a", "\x00 a \x00", "a.b,c !!! ???", "w" * 500, "²½ a² 12 345x"]
+ODD = ["", " ", "  a", "a  b", "a \n b\n\n  c ", "a   ", "don't 's it's  ok foo', bar.'s", "É́ á b̀ e´", "a\xa0b  c", "x\x1cy \x1d z", "<|endoftext|> hi", "日本語 テキスト", "a\t\tb \t c", "I'M 'S ΑΣ ΑΣ β", "a\x85 b", "\n a", "\x00 a \x00", "a.b,c !!! ???", "w" * 500, "²½ a² 12 345x", "x foo.\nBar, z", "x foo'\ns y", "x a\n\nB", "x École,\nÉté! y", "x a\n's y", "x 12\nab", "y it's.\nThe x"]
 
 
 def library_ids(tok, text):

@@ -8,16 +8,43 @@ faster than encoding whole texts and gives the same ids.
 from __future__ import annotations
 
 import re
+from array import array
 
 #: Distinct pieces a worker remembers; the memory is emptied when full.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 400_000
 #: Pieces longer than this are encoded, but not remembered.
 LONG_PIECE = 100
 
 _ODD = re.compile(r" (?!\S)")
 _AT = re.compile(r" (?=\S)")
-_PLAIN = re.compile(r"[^\s\x00]+")
-_TAILED = re.compile(r"([^\W\d_]+)([!-/:-@\[-^`{-~]+)")
+#: Letters below U+0250 (but the one whose lower case is two characters): in normal form C, with simple lower case.
+_LETTERS = re.compile(r"[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ]+")
+_TAILED = re.compile(r"([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ]+)([!-/:-@\[-^`{-~]+)")
+_TWO_LINES = re.compile(r"([^\s']+)\n([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ]+)([!-/:-@\[-^`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies spell each character below U+0250 in their own alphabet of 256 printable letters."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x250)}
+
+
+class _Pieces(dict):
+    """piece -> bytes of its ids; encodes what it does not hold."""
+
+    def __init__(self, owner: PieceEncoder):
+        super().__init__()
+        self.owner = owner
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.owner.learn(piece)
+        if len(piece) <= LONG_PIECE and "\n" not in piece:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class PieceEncoder:
@@ -26,8 +53,8 @@ class PieceEncoder:
     ``kind`` "byte": byte-level vocabularies that keep white space. The pre-tokenizer starts a new pre-token
     at each single blank that a non-space follows, so texts are cut there.
     ``kind`` "word": vocabularies that drop white space and lower the case; cut at blanks, tabs and line ends.
-    Letters and a tail of ASCII symbols are always two pre-tokens, so they are looked up apart.
-    Strings of special tokens in a text are ordinary text.
+    Letters and a tail of ASCII symbols are always two pre-tokens, so they are looked up apart; plain letters go
+    straight to the library's model. Strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str, kind: str):
@@ -35,70 +62,49 @@ class PieceEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        self.model = self.tok.model
         self.width = 2 if self.tok.get_vocab_size() <= 65536 else 4
-        self.dtype = "<u2" if self.width == 2 else "<u4"
+        self.dtype, self.code = ("<u2", "H") if self.width == 2 else ("<u4", "I")
         self.byte = kind == "byte"
-        self.lead, self.gap = (" ", "\n") if self.byte else ("", " \x00 ")
-        self.gap_id = self.tok.encode("x" + self.gap, add_special_tokens=False).ids[-1]
-        self.cache: dict[str, bytes] = {}
+        self.lead, self.model_lead = (" ", "Ġ") if self.byte else ("", "")
+        self.letters = _byte_letters()
+        self.pieces, self.tails = _Pieces(self), {"": b""}
+        self.newline = self._ids("\n") if self.byte else b""
 
     def _ids(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _bulk(self, pieces: list[str]) -> None:
-        """Encode new plain pieces in one call, told apart by a separator that is always a token of its own."""
-        import numpy as np
-
-        text = self.gap.join([self.lead + x for x in pieces])
-        ids = np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype)
-        at = np.flatnonzero(ids == self.gap_id).tolist()
-        if len(at) == len(pieces) - 1:
-            raw, w = ids.tobytes(), self.width
-            for x, a, b in zip(pieces, [-1, *at], [*at, len(ids)], strict=True):
-                self.cache[x] = raw[(a + 1) * w : b * w]
-        else:
-            for x in pieces:
-                self.cache[x] = self._ids(self.lead + x)
-
-    def _learn(self, pieces: list[str]) -> None:
-        cache, plain, tailed = self.cache, [], []
-        for x in pieces:
-            if m := _TAILED.fullmatch(x):
-                tailed.append((x, *m.groups()))
-                plain.append(m[1])
-                if (self.byte, m[2]) not in cache:
-                    cache[self.byte, m[2]] = self._ids(m[2]) if not self.byte else self._ids("a" + m[2])[self.width :]
-            elif _PLAIN.fullmatch(x):
-                plain.append(x)
-            else:
-                cache[x] = self._ids(self.lead + x)
-        if plain := [x for x in dict.fromkeys(plain) if x not in cache]:
-            self._bulk(plain)
-        for x, letters, tail in tailed:
-            cache[x] = cache[letters] + cache[self.byte, tail]
+        return array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def learn(self, piece: str) -> bytes:
+        if not piece:
+            return self._ids(self.lead)
+        if _LETTERS.fullmatch(piece):
+            return self._model(self.model_lead, piece if self.byte else piece.lower())
+        if m := _TAILED.fullmatch(piece):
+            return self.pieces[m[1]] + self._tail(m[2])
+        if self.byte and (m := _TWO_LINES.fullmatch(piece)):
+            before, letters, tail = m.groups()
+            return self.pieces[before] + self.newline + self._model("", letters) + self._tail(tail)
+        return self._ids(self.lead + piece)
+
+    def _model(self, lead: str, letters: str) -> bytes:
+        spelled = lead + (letters if letters.isascii() else letters.translate(self.letters))
+        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def _tail(self, tail: str) -> bytes:
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails = {"": b""}
+            self.tails[tail] = self._ids("a" + tail)[len(self._ids("a")) :]
+        return self.tails[tail]
 
     def encode(self, text: str) -> bytes:
         if not text:
             return self._ids(text)
-        cache = self.cache
         if self.byte:
             parts = text.split(" ") if not _ODD.search(text) else _AT.split(text)
-            head, parts = self._ids(parts[0]), parts[1:]
-        else:
-            head, cache[""] = b"", b""
-            text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-            parts = (text.lower() if text.isascii() else text).split(" ")
-        got = list(map(cache.get, parts))
-        if None in got:
-            if len(cache) > CACHE_PIECES:
-                cache.clear()
-                cache[""] = b""
-            missing = [x for x, g in zip(parts, got, strict=True) if g is None or x not in cache]
-            self._learn([x for x in dict.fromkeys(missing) if len(x) <= LONG_PIECE])
-            got = [cache[x] if x in cache else self._ids(self.lead + x) for x in parts]
-        return head + b"".join(got)
+            return self._ids(parts[0]) + b"".join(map(self.pieces.__getitem__, parts[1:]))
+        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        return b"".join(map(self.pieces.__getitem__, (text.lower() if text.isascii() else text).split(" ")))
 
 
 _encoders: dict[tuple[str, str], PieceEncoder] = {}
