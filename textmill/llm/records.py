@@ -37,7 +37,6 @@ COALESCE_GAP = 1 << 16
 COALESCE_MAX = 8 << 20
 
 INDEX = "file string, shard int, doc_id long, ordinal long, offset long, length long, n_tokens long, start long"
-RECORD = "shard int, doc_id long, ordinal long, n_tokens long, start long, ids binary, width int"
 
 
 def masked_crc(data: bytes) -> int:
@@ -113,45 +112,57 @@ def write_records(docs: DataFrame, root: str, vocabulary: str, kind: str, end_id
     return spark.read.schema(INDEX).parquet(path)
 
 
-def read_records(index: DataFrame, root: str) -> DataFrame:
-    """The records that ``index`` (all or any rows of it) names, by coalesced byte-range reads, checksums verified."""
+def read_records(index: DataFrame, root: str, digests: bool = False) -> DataFrame:
+    """The records that ``index`` (all or any rows of it) names, by coalesced byte-range reads, checksums verified.
+
+    ``digests`` gives ``ids_crc32`` in place of the ids, so that only numbers leave the task.
+    """
     import pyarrow as pa
 
-    names = [x.split()[0] for x in RECORD.split(", ")]
-    types = [pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.int32()]
-    schema = pa.schema(list(zip(names, types, strict=True)))
+    ids_type, id_names = ([pa.int64()], ["ids_crc32"]) if digests else ([pa.binary(), pa.int32()], ["ids", "width"])
+    names = ["shard", "doc_id", "ordinal", "n_tokens", "start", *id_names]
+    schema = pa.schema(list(zip(names, [pa.int32(), *[pa.int64()] * 4, *ids_type], strict=True)))
+
+    def follows(a: dict, b: dict, c: dict) -> bool:
+        """c goes into the read that began at a and now ends with b."""
+        gap = c["offset"] - b["offset"] - b["length"]
+        return c["file"] == a["file"] and 0 <= gap <= COALESCE_GAP and c["offset"] + c["length"] - a["offset"] <= COALESCE_MAX
+
+    def parse(r: dict, buf: bytes, base: int) -> tuple:
+        payload, end = unframe(buf, r["offset"] - base)
+        width, doc_id = struct.unpack_from("<Bq", payload)
+        ids = payload[9:]
+        n = len(ids) // width
+        if end + base != r["offset"] + r["length"] or n != r["n_tokens"]:
+            raise ValueError(f"{r['file']} at {r['offset']}: the index and the record differ")
+        last = (ids_crc32(ids, width),) if digests else (ids, width)
+        return (r["shard"], None if doc_id == NULL_ID else doc_id, r["ordinal"], n, r["start"], *last)
 
     def fetch(batches: Iterator) -> Iterator:
         fs, base = open_fs(root)
         open_name, handle = None, None
         for batch in batches:
-            rows = batch.to_pylist()
-            k = 0
+            rows, k = batch.to_pylist(), 0
             while k < len(rows):
-                a, b = rows[k], rows[k]
                 j = k + 1
-                while j < len(rows) and rows[j]["file"] == a["file"] and 0 <= rows[j]["offset"] - (b["offset"] + b["length"]) <= COALESCE_GAP and rows[j]["offset"] + rows[j]["length"] - a["offset"] <= COALESCE_MAX:
-                    b, j = rows[j], j + 1
-                if a["file"] != open_name:
+                while j < len(rows) and follows(rows[k], rows[j - 1], rows[j]):
+                    j += 1
+                if rows[k]["file"] != open_name:
                     if handle:
                         handle.close()
-                    open_name, handle = a["file"], fs.open_input_file(f"{base}/{a['file']}")
-                handle.seek(a["offset"])
-                buf = handle.read(b["offset"] + b["length"] - a["offset"])
-                out = []
-                for r in rows[k:j]:
-                    payload, end = unframe(buf, r["offset"] - a["offset"])
-                    width, doc_id = struct.unpack_from("<Bq", payload)
-                    ids = payload[9:]
-                    if end + a["offset"] != r["offset"] + r["length"] or len(ids) // width != r["n_tokens"]:
-                        raise ValueError(f"{r['file']} at {r['offset']}: the index and the record differ")
-                    out.append({"shard": r["shard"], "doc_id": None if doc_id == NULL_ID else doc_id, "ordinal": r["ordinal"], "n_tokens": len(ids) // width, "start": r["start"], "ids": ids, "width": width})
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    open_name = rows[k]["file"]
+                    handle = fs.open_input_file(f"{base}/{open_name}")
+                at, last = rows[k]["offset"], rows[j - 1]
+                handle.seek(at)
+                buf = handle.read(last["offset"] + last["length"] - at)
+                cols = zip(*[parse(r, buf, at) for r in rows[k:j]], strict=True)
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
                 k = j
         if handle:
             handle.close()
 
-    return index.mapInArrow(fetch, RECORD)
+    tail = "ids_crc32 long" if digests else "ids binary, width int"
+    return index.mapInArrow(fetch, f"shard int, doc_id long, ordinal long, n_tokens long, start long, {tail}")
 
 
 def with_global_start(records: DataFrame, index: DataFrame) -> DataFrame:
@@ -164,16 +175,7 @@ def with_global_start(records: DataFrame, index: DataFrame) -> DataFrame:
 
 def token_records(spark: SparkSession, docs: DataFrame, vocabulary: str, kind: str = "word", end_id: int = 2) -> DataFrame:
     """Write ``docs`` and read every record back: one row per document, with its place in the whole token stream."""
-    import pyarrow as pa
-
     root = fresh_path(spark, "records")
     index = write_records(docs, root, vocabulary, kind, end_id)
-    out = "doc_id long, shard int, ordinal long, start long, n_tokens long, ids_crc32 long"
-
-    def digest(batches: Iterator) -> Iterator:
-        for b in batches:
-            crc = [ids_crc32(x, w) for x, w in zip(b["ids"].to_pylist(), b["width"].to_pylist(), strict=True)]
-            yield pa.record_batch([b["doc_id"], b["shard"], b["ordinal"], b["start"], b["n_tokens"], pa.array(crc, pa.int64())], names=["doc_id", "shard", "ordinal", "start", "n_tokens", "ids_crc32"])
-
-    back = materialize(read_records(index, root).mapInArrow(digest, out), "records-back")
+    back = materialize(read_records(index, root, digests=True), "records-back")
     return with_global_start(back, index).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "ordinal")
