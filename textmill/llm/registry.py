@@ -40,6 +40,12 @@ def op9_warc_index_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(spark, table(spark, sf_dir, "pages"))
 
 
+def op10_pii_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
