@@ -16,6 +16,19 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import graded, grades_of_labels, train
+
+    docs = table(spark, sf_dir, "documents")
+    return graded(docs, train(docs, grades_of_labels(table(spark, sf_dir, "labels"))), keep=["doc_id"])
+
+
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import languages
+
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .records import token_records
 
