@@ -1,0 +1,38 @@
+"""Connected components of an undirected edge table by alternating large-star and small-star steps.
+
+Each step is one shuffle of the edges with map-side minima; the number of steps grows with the logarithm of the longest
+chain. Every step is written to the shared folder, so nothing depends on the executors that computed it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+
+
+def _both(e: DataFrame) -> DataFrame:
+    return e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+    """(node, label) for each node of ``edges`` (a, b): label is the smallest node reachable. Loops are ignored.
+
+    Hot nodes: minima are taken with partial aggregation, and a node's star is joined to its minimum, one row per edge.
+    """
+    e = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    for _ in range(limit):
+        # large star: neighbours above a node point to the least of its neighbourhood
+        n = _both(e)
+        least = materialize(n.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        up = n.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        up = materialize(up, "large-star")
+        # small star: a node and its lower neighbours point to the least of them
+        low = materialize(up.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "lowest")
+        down = up.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        new = materialize(down.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "small-star")
+        if not low.where("n > 1").limit(1).count() and not new.select(F.col("b").alias("a")).join(new.select("a"), "a", "left_semi").limit(1).count():
+            return new.select(F.col("a").alias("node"), F.col("b").alias("label")).union(new.select(F.col("b"), F.col("b")).distinct())
+        e = new
+    raise RuntimeError("the components did not settle")

@@ -47,6 +47,18 @@ def op5_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op6_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_classes
+
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_warc_index_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archived
 
@@ -64,6 +76,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate, warc
+    from . import decontaminate, embeddings, warc
 
-    return {"op5_positional_decontamination": decontaminate.ORACLE, "op9_warc_index_first": warc.ORACLE}
+    return {"op5_positional_decontamination": decontaminate.ORACLE, "op6_inverted_multi_index": embeddings.ORACLE, "op9_warc_index_first": warc.ORACLE}
