@@ -59,6 +59,12 @@ def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
 
 
+def op8_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import linked
+
+    return linked(table(spark, sf_dir, "conversations"))
+
+
 def op9_warc_index_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archived
 
@@ -76,6 +82,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate, embeddings, warc
+    from . import chat, decontaminate, embeddings, warc
 
-    return {"op5_positional_decontamination": decontaminate.ORACLE, "op6_inverted_multi_index": embeddings.ORACLE, "op9_warc_index_first": warc.ORACLE}
+    return {"op5_positional_decontamination": decontaminate.ORACLE, "op6_inverted_multi_index": embeddings.ORACLE, "op8_tool_call_linking": chat.ORACLE, "op9_warc_index_first": warc.ORACLE}
