@@ -1,0 +1,11 @@
+"""Column sets of the corpus tables, declared once."""
+
+ENTRIES = "path string, rel_path string, name string, kind string, is_hidden boolean, ignored boolean, size long, mtime_ns long"
+FILES = "path string, content binary, text string, size long, mtime_ns long, hash_hex string, is_binary boolean, valid_utf8 boolean"
+LINES = "path string, line_number long, text string"
+SYMBOLS = "path string, idx int, name string, kind string, line long, column long, depth int, name_start long, def_start long, def_end long"
+IMPORTS = "path string, specifier string, kind string, line long, span_start long, span_end long"
+EDGES = "from string, to string, to_kind string, reason string, specifier string, kind string, line long, span_start long, span_end long"
+NODES = "path string, content_hash string, language string, indexed boolean, has_opaque boolean, imports_supported boolean, imports_complete boolean, resolver_live boolean, resolution_complete boolean"
+DIFF_ROWS = "path string, hunk int, op string, old_line long, new_line long, text string"
+CHUNKS = "seq long, channel string, text string"
