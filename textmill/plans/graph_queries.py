@@ -1 +1,214 @@
+"""Symbol and graph operators over the standard tables: parts as symbols, foreign keys and page links as edges."""
 
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from ..operators import graph as gr
+from ..operators import symbols as sy
+from .catalogue import query, table
+
+#: Kinds dealt to parts by size.
+KINDS = ["function", "method", "class", "struct", "interface", "enum", "trait", "type", "module", "constant", "field"]
+
+
+def part_symbols(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("p_size") % 11 + 1)
+    return p.select(F.concat_ws("/", F.lit("part"), "p_brand", F.col("p_partkey").cast("string")).alias("path"), F.lit(0).alias("idx"), F.col("p_name").alias("name"), kind.alias("kind"), F.col("p_size").cast("long").alias("line"), (F.col("p_size") % 3).alias("depth"))
+
+
+PARTS = "s AS (SELECT 'part/' || p_brand || '/' || p_partkey AS path, p_name AS name, [" + ",".join(f"'{k}'" for k in KINDS) + "][p_size % 11 + 1] AS kind, p_size % 11 AS pri, CAST(p_size AS BIGINT) AS line, p_size % 3 AS depth FROM part)"
+
+
+@query("definitions", f"WITH {PARTS} SELECT path, name, kind, line, depth FROM s WHERE lower(name) = 'hot ring' ORDER BY pri, depth, path, line LIMIT 25")
+def definitions(spark, sf_dir):
+    return sy.definitions(part_symbols(spark, sf_dir), "Hot Ring", 25).select("path", "name", "kind", "line", "depth")
+
+
+def score_sql(needle: str) -> str:
+    at, first = "0", "strpos(n, '%s')" % needle[0]
+    ok = []
+    for c in needle:
+        nxt = f"(CASE WHEN strpos(substr(n, {at} + 1), '{c}') > 0 THEN {at} + strpos(substr(n, {at} + 1), '{c}') ELSE 0 END)"
+        ok.append(f"strpos(substr(n, {at} + 1), '{c}') > 0")
+        at = nxt
+    return f"""CASE WHEN n = '{needle}' THEN 10000 - len(n) WHEN starts_with(n, '{needle}') THEN 8000 - len(n)
+WHEN contains(n, '{needle}') THEN CASE WHEN substr(n, strpos(n, '{needle}') - 1, 1) IN ('_', '-', '.', ':') AND strpos(n, '{needle}') > 1 THEN 6000 ELSE 4000 END - (strpos(n, '{needle}') - 1) - len(n)
+WHEN {' AND '.join(ok)} THEN 2000 - least({at} - {first} - {len(needle) - 1}, 1000) - len(n) END"""
+
+
+SEARCH = f"WITH {PARTS}, q AS (SELECT *, lower(name) AS n FROM s), r AS (SELECT *, CAST({{}} AS INTEGER) AS score FROM q) SELECT path, name, line, score FROM r WHERE score IS NOT NULL {{}} ORDER BY score DESC, strlen(name), path, line LIMIT {{}}"
+
+
+@query("search_fuzzy", SEARCH.format(score_sql("rng"), "", 300))
+def search_fuzzy(spark, sf_dir):
+    return sy.search(part_symbols(spark, sf_dir), " RNG ", 300).select("path", "name", "line", "score")
+
+
+@query("search_filtered", SEARCH.format(score_sql("red"), "AND path LIKE 'part/Brand#1%'", 200))
+def search_filtered(spark, sf_dir):
+    s = part_symbols(spark, sf_dir)
+    return sy.search(s, "red", view=s.where(F.startswith("path", F.lit("part/Brand#1"))).select("path")).select("path", "name", "line", "score")
+
+
+def fk_edges(spark, sf_dir, which=("order", "line", "customer", "supplier", "nation")):
+    """Foreign keys as edges (src, dst)."""
+    t = lambda n: table(spark, sf_dir, n)
+    e = lambda df, a, x, b, y: df.select(F.concat(F.lit(a + "/"), F.col(x).cast("string")).alias("src"), F.concat(F.lit(b + "/"), F.col(y).cast("string")).alias("dst"))
+    made = {
+        "order": lambda: [e(t("orders"), "order", "o_orderkey", "customer", "o_custkey")],
+        "line": lambda: [e(t("lineitem"), "order", "l_orderkey", "part", "l_partkey").distinct(), e(t("lineitem"), "order", "l_orderkey", "supplier", "l_suppkey").distinct()],
+        "customer": lambda: [e(t("customer"), "customer", "c_custkey", "nation", "c_nationkey")],
+        "supplier": lambda: [e(t("supplier"), "supplier", "s_suppkey", "nation", "s_nationkey")],
+        "nation": lambda: [e(t("nation"), "nation", "n_nationkey", "region", "n_regionkey")],
+    }
+    return reduce(lambda a, b: a.unionByName(b), [x for w in which for x in made[w]()])
+
+
+FK = """e AS MATERIALIZED (SELECT 'order/' || o_orderkey AS src, 'customer/' || o_custkey AS dst FROM orders UNION SELECT 'order/' || l_orderkey, 'part/' || l_partkey FROM lineitem
+UNION SELECT 'order/' || l_orderkey, 'supplier/' || l_suppkey FROM lineitem UNION SELECT 'customer/' || c_custkey, 'nation/' || c_nationkey FROM customer
+UNION SELECT 'supplier/' || s_suppkey, 'nation/' || s_nationkey FROM supplier UNION SELECT 'nation/' || n_nationkey, 'region/' || n_regionkey FROM nation)"""
+STARTS = ["order/1", "order/2", "order/3"]
+
+
+def deps_sql(depth: int, starts: list[str], back: bool = False) -> str:
+    a, b = ("dst", "src") if back else ("src", "dst")
+    return f"""WITH RECURSIVE {FK}, r(node, distance) AS (SELECT unnest([{','.join(f"'{s}'" for s in starts)}]), 0 UNION SELECT e.{b}, distance + 1 FROM r JOIN e ON e.{a} = r.node WHERE distance < {depth - 1}),
+m AS (SELECT node, min(distance) AS distance FROM r GROUP BY node) SELECT src, dst, CAST(distance AS INTEGER) AS distance FROM e JOIN m ON e.{a} = m.node"""
+
+
+for _d in (1, 2, 3):
+
+    @query(f"deps_depth{_d}", deps_sql(_d, STARTS))
+    def deps(spark, sf_dir, depth=_d):
+        return gr.deps(fk_edges(spark, sf_dir), STARTS, depth).select("src", "dst", "distance")
+
+
+for _d in (1, 2):
+
+    @query(f"rdeps_depth{_d}", deps_sql(_d, ["nation/3"], back=True))
+    def rdeps(spark, sf_dir, depth=_d):
+        return gr.rdeps(fk_edges(spark, sf_dir), ["nation/3"], depth).select("src", "dst", "distance")
+
+
+NEIGHBORHOOD = f"""WITH RECURSIVE {FK}, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), r(node, distance) AS (SELECT 'supplier/1', 0 UNION SELECT u.b, distance + 1 FROM r JOIN u ON u.a = r.node WHERE distance < 1),
+m AS (SELECT DISTINCT node FROM r) SELECT src, dst FROM e WHERE src IN (SELECT node FROM m) AND dst IN (SELECT node FROM m)"""
+
+
+@query("neighborhood", NEIGHBORHOOD)
+def neighborhood(spark, sf_dir):
+    return gr.neighborhood(fk_edges(spark, sf_dir), ["supplier/1"], 1)[1].select("src", "dst")
+
+
+COMPONENTS = """WITH c AS (SELECT 'customer/' || c_custkey AS node, 'nation/' || c_nationkey AS n FROM customer UNION ALL SELECT 'nation/' || n_nationkey, 'nation/' || n_nationkey FROM nation UNION ALL SELECT 'region/' || n_regionkey, 'nation/' || n_nationkey FROM nation),
+k AS (SELECT DISTINCT node, n_regionkey AS r FROM c JOIN nation ON n = 'nation/' || n_nationkey), m AS (SELECT r, min(node) AS label FROM k GROUP BY r) SELECT node, label FROM k JOIN m USING (r)"""
+
+
+@query("components", COMPONENTS)
+def components(spark, sf_dir):
+    e = fk_edges(spark, sf_dir, ("customer", "nation"))
+    return gr.components(e.select(F.col("src").alias("node")), e).select("node", "label")
+
+
+@query("graph_status", """WITH f AS (SELECT CASE WHEN c_acctbal < 0 THEN 'failed' WHEN c_mktsegment = 'BUILDING' THEN 'unsupported' ELSE 'indexed' END AS state, c_nationkey AS n FROM customer)
+SELECT count(*) AS universe, count(*) FILTER (WHERE state = 'indexed') AS indexed, count(*) FILTER (WHERE state = 'unsupported') AS unsupported, CAST(0 AS BIGINT) AS oversize, CAST(0 AS BIGINT) AS pending, CAST(0 AS BIGINT) AS stale,
+count(*) FILTER (WHERE state = 'failed') AS failed, (SELECT count(*) FROM part) AS symbols, (SELECT count(*) FROM f WHERE state = 'indexed') AS edges, (SELECT count(DISTINCT n) FROM f WHERE state = 'indexed') AS components FROM f""")
+def graph_status(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    state = F.when(F.col("c_acctbal") < 0, "failed").when(F.col("c_mktsegment") == "BUILDING", "unsupported").otherwise("indexed")
+    files = c.select(F.concat(F.lit("customer/"), F.col("c_custkey").cast("string")).alias("path"), state.alias("state"), F.concat(F.lit("nation/"), F.col("c_nationkey").cast("string")).alias("dst"))
+    edges = files.where("state = 'indexed'").select(F.col("path").alias("src"), "dst")
+    return gr.status(files, part_symbols(spark, sf_dir), edges)
+
+
+@query("language_status", "SELECT lang AS language, count(*) AS files, CAST(sum(len(regexp_extract_all(text, '[A-Z][a-z]+tion'))) AS BIGINT) AS symbols FROM documents GROUP BY lang")
+def language_status(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("lang").alias("language"), "text")
+    return gr.language_status(d.select("path", "language"), d.select("path", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+tion"), F.lit(0))).alias("name")))
+
+
+def label_nodes(spark, sf_dir):
+    flags = {"has_opaque": F.col("toxic") == 1, "imports_supported": F.col("quality") == 1, "imports_complete": F.lit(True), "resolver_live": F.lit(True), "resolution_complete": F.col("doc_id") % 7 != 0}
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("path"), (F.col("doc_id") % 11 != 0).alias("indexed"), *[v.alias(k) for k, v in flags.items()])
+
+
+EXACT = "(doc_id % 11 <> 0 AND toxic <> 1 AND quality = 1 AND doc_id % 7 <> 0)"
+
+
+@query("guarantee_fold", f"SELECT count(*) FILTER (WHERE {EXACT}) AS exact_nodes, count(*) AS nodes, CASE WHEN bool_and({EXACT}) THEN 'Exact' ELSE 'Approximate' END AS guarantee FROM labels")
+def guarantee_fold(spark, sf_dir):
+    return gr.guarantee(label_nodes(spark, sf_dir))
+
+
+@query("coverage", "SELECT count(*) FILTER (WHERE doc_id % 11 <> 0) AS analyzed, count(*) FILTER (WHERE doc_id % 11 = 0) AS stubs FROM labels")
+def coverage(spark, sf_dir):
+    return gr.coverage(label_nodes(spark, sf_dir))
+
+
+@query("coverage_basis", "SELECT source || '/' || lang || '/' || doc_id AS path, substr(md5(text), 1, 16) AS content_hash FROM documents")
+def coverage_basis(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return gr.basis(d.select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), F.substring(F.md5("text"), 1, 16).alias("content_hash")))
+
+
+INLINE = [("in/a.html", "<h1>One</h1><h2>Two</h2><h3>Three</h3><h2>Four</h2>"), ("in/b.html", "<h2>Only</h2><a href='http://ex.org/x'>x</a><a href=\"/in/a.html\">a</a>")]
+PAGES = "g AS (SELECT 'page/' || page_id AS path, html FROM pages UNION ALL VALUES " + ", ".join("('%s', '%s')" % (p, h.replace("'", "''")) for p, h in INLINE) + ")"
+
+
+def page_files(spark, sf_dir):
+    own = table(spark, sf_dir, "pages").select(F.concat(F.lit("page/"), F.col("page_id").cast("string")).alias("path"), "html")
+    return own.unionByName(spark.createDataFrame(INLINE, "path string, html string"))
+
+
+@query("symbols_headings", f"WITH {PAGES}, h AS (SELECT path, regexp_extract_all(html, '<h[1-6]>[^<]*</h[1-6]>') AS f FROM g), u AS (SELECT path, unnest(range(0, len(f))) AS idx, unnest(f) AS x FROM h) SELECT path, CAST(idx AS INTEGER) AS idx, substr(x, 5, len(x) - 9) AS name, CAST(substr(x, 3, 1) AS INTEGER) AS level FROM u")
+def symbols_headings(spark, sf_dir):
+    found = F.regexp_extract_all("html", F.lit("<h[1-6]>[^<]*</h[1-6]>"), F.lit(0))
+    rows = page_files(spark, sf_dir).select("path", F.posexplode(found).alias("idx", "x"))
+    return rows.select("path", "idx", F.expr("substring(x, 5, char_length(x) - 9)").alias("name"), F.substring("x", 3, 1).cast("int").alias("level"))
+
+
+OUTLINE = f"WITH {PAGES}, h AS (SELECT path, regexp_extract_all(html, '<h[1-6]>') AS f FROM g), u AS (SELECT path, unnest(range(0, len(f))) AS idx, CAST(substr(unnest(f), 3, 1) AS INTEGER) AS level FROM h) SELECT a.path, CAST(a.idx AS INTEGER) AS idx, CAST(count(DISTINCT b.level) AS INTEGER) AS depth FROM u a LEFT JOIN u b ON a.path = b.path AND b.idx < a.idx AND b.level < a.level AND NOT EXISTS (SELECT 1 FROM u c WHERE c.path = a.path AND c.idx > b.idx AND c.idx < a.idx AND c.level <= b.level) GROUP BY ALL"
+
+
+@query("outline_depth", OUTLINE)
+def outline_depth(spark, sf_dir):
+    """Headings open spans that end at the next heading of their level or above; depth counts the open ones."""
+    levels = F.transform(F.regexp_extract_all("html", F.lit("<h[1-6]>"), F.lit(0)), lambda x: F.substring(x, 3, 1).cast("int"))
+    zero = F.struct(F.array().cast("array<int>").alias("open"), F.array().cast("array<int>").alias("out"))
+    below = lambda a, v: F.filter(a["open"], lambda o: o < v)
+    step = lambda a, v: F.struct(F.array_append(below(a, v), v).alias("open"), F.array_append(a["out"], F.size(below(a, v))).alias("out"))
+    return page_files(spark, sf_dir).select("path", F.posexplode(F.aggregate(levels, zero, step, lambda a: a["out"])).alias("idx", "depth"))
+
+
+HREF = "href=[\"\\x27]([^\"\\x27]*)[\"\\x27]"
+HREF_SQL = "href=[\"\\x27]([^\"\\x27]*)[\"\\x27]"
+TARGETS = f"t AS (SELECT DISTINCT path, x AS specifier FROM (SELECT path, unnest(regexp_extract_all(html, '{HREF_SQL}', 1)) AS x FROM {{0}}) q)"
+
+
+def page_imports(spark, sf_dir):
+    return page_files(spark, sf_dir).select("path", F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("specifier")).distinct()
+
+
+@query("imports_pages", f"WITH {PAGES}, {TARGETS.format('g')} SELECT path, specifier FROM t")
+def imports_pages(spark, sf_dir):
+    return page_imports(spark, sf_dir)
+
+
+RESOLVE = f"WITH {PAGES}, {TARGETS.format('g')} SELECT t.path AS src, t.specifier, CASE WHEN t.specifier LIKE 'http%' THEN 'external' WHEN g.path IS NOT NULL THEN 'path' ELSE 'unresolved' END AS to_kind, CASE WHEN t.specifier LIKE 'http%' THEN NULL WHEN g.path IS NULL THEN 'not found' END AS reason FROM t LEFT JOIN g ON '/' || g.path = t.specifier"
+
+
+@query("resolve_pages", RESOLVE)
+def resolve_pages(spark, sf_dir):
+    t, files = page_imports(spark, sf_dir), page_files(spark, sf_dir).select(F.concat(F.lit("/"), "path").alias("specifier"), F.lit(True).alias("found"))
+    outside = F.startswith("specifier", F.lit("http"))
+    rows = t.join(files, "specifier", "left")
+    kind = F.when(outside, "external").when(F.col("found"), "path").otherwise("unresolved")
+    return rows.select(F.col("path").alias("src"), "specifier", kind.alias("to_kind"), F.when(~outside & F.col("found").isNull(), "not found").alias("reason"))
+
+
+@query("dep_external", f"WITH {PAGES}, {TARGETS.format('g')} SELECT path AS src, regexp_extract(specifier, '^https?://([^/]*)', 1) AS package FROM t WHERE specifier LIKE 'http%'")
+def dep_external(spark, sf_dir):
+    return page_imports(spark, sf_dir).where(F.startswith("specifier", F.lit("http"))).select(F.col("path").alias("src"), F.regexp_extract("specifier", "^https?://([^/]*)", 1).alias("package"))
