@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,8 +55,6 @@ def with_text(files: DataFrame) -> DataFrame:
 
 def hash_hex(files: DataFrame, content: str = "content") -> DataFrame:
     """Adds ``hash_hex``: xxh3-64 of the bytes, 16 lower-case hex digits (no native function computes it)."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def xxh3(data: pd.Series) -> pd.Series:
         import xxhash
