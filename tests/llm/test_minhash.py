@@ -91,6 +91,29 @@ def test_samples_estimate_weighted_jaccard():
     assert mh.weighted_jaccard(h[:3], wa[:3], h[5:9], wa[5:9]) == 0
 
 
+def test_blocks_give_the_same(spark, monkeypatch):
+    rows = planted(6)
+    docs = docs_of(spark, rows)
+    key = lambda: sorted((r.doc_id, r.class_id, r.n_class) for r in mh.near_classes(docs).collect())
+    a = key()
+    monkeypatch.setattr(mh, "ROUNDS", 0)
+    monkeypatch.setattr(mh, "BLOCK", 4)
+    assert key() == a
+
+
+def test_similarities_equal_pairs():
+    r = random.Random(8)
+    w = mh.Weights(100, np.arange(mh.DF_BUCKETS) % 50 + 1.0)
+    sets = []
+    for _ in range(12):
+        s, tf = mh.shingles(" ".join(r.choice(["a", "b"]) for _ in range(r.randint(3, 60))), w.memory)
+        sets.append((s, w.weigh(s, tf), tf))
+    m = mh.similarities(sets)
+    for i in range(12):
+        for j in range(12):
+            assert abs(m[i, j] - mh.weighted_jaccard(*sets[i][:2], *sets[j][:2])) < 1e-9
+
+
 def test_frequencies_count_all_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     n, df = mh.document_frequencies(docs)

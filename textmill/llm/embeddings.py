@@ -123,8 +123,9 @@ def _slack_bound(classes: DataFrame, grid: Grid, queries, threshold: float) -> f
         for b in batches:
             y = unit(_matrix(b["v"]))
             for a in range(0, len(y), 4096):
-                q, k = np.nonzero(queries @ y[a : a + 4096].T >= threshold)
-                if len(q):
+                near = np.stack(np.nonzero(queries @ y[a : a + 4096].T >= threshold))
+                for p in range(0, near.shape[1], 8192):
+                    q, k = near[:, p : p + 8192]
                     s = np.clip(grid.slack(queries[q], y[a : a + 4096][k]), 0, top - 1e-9)
                     total += np.bincount((s / top * SLACKS).astype(np.int64), minlength=SLACKS)
         at = np.flatnonzero(total)

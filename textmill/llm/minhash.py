@@ -7,8 +7,9 @@
    chosen by a hash that differs from band to band), which needs no pairs within a group.
 4. Pairs are verified: exact weighted Jaccard similarity of at least THRESHOLD over the whole texts.
 5. Links make components. Where the members of a bucket are still apart, those outside its largest component are
-   paired with other members of that component, for ROUNDS rounds; last, all pairs of members of one bucket that are
-   still apart are verified, so that no candidate link between different components is lost.
+   paired with other members of that component, for ROUNDS rounds; last, the members of one bucket that are still apart are
+   compared in blocks of about BLOCK texts, so that no candidate link between different components is lost. A block gives a
+   spanning forest of its links, never its pairs.
 
 Words are runs of word characters, lowered; a text of one to four words is one shingle. Defined cases: a null text, or one without
 words, is never linked: equal ones share no class and each stays its own; repeated rows are copies of one another;
@@ -29,8 +30,9 @@ from .graphs import components
 
 WORDS = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 10, 3
+BANDS, ROWS = 8, 3
 ROUNDS = 2
+BLOCK = 256
 DF_BUCKETS = 1 << 18
 POOL = 1 << 16
 
@@ -149,10 +151,13 @@ class Weights:
         self.memory = Hashes()
 
     def __call__(self, text: str):
+        h, tf = shingles(text, self.memory)
+        return h, self.weigh(h, tf)
+
+    def weigh(self, h, tf):
         import numpy as np
 
-        h, tf = shingles(text, self.memory)
-        return h, tf * self.idf[(h % np.uint64(DF_BUCKETS)).astype(np.int64)]
+        return tf * self.idf[(h % np.uint64(DF_BUCKETS)).astype(np.int64)]
 
 
 def sketches(docs: DataFrame, idf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,6 +234,75 @@ def _apart(tagged: DataFrame) -> DataFrame:
     return materialize(tagged.join(broadcast_if_small(materialize(split, "split")), ["i", "v"], "left_semi"), "apart")
 
 
+def similarities(sets: list):
+    """Weighted Jaccard of all pairs of (shingles, weights, counts): weight = count * idf, so a pair's minima are the idf of
+    the (shingle, occurrence) features that both have, one product of matrices."""
+    import numpy as np
+
+    n = len(sets)
+    total = np.array([w.sum() for _, w, _ in sets])
+    sizes = [int(tf.sum()) for *_, tf in sets]
+    doc = np.repeat(np.arange(n), sizes)
+    h = np.concatenate([np.repeat(h, tf) for h, _, tf in sets])
+    idf = np.concatenate([np.repeat(w / tf, tf) for _, w, tf in sets])
+    turn = np.concatenate([np.arange(m) - np.repeat(np.cumsum(tf) - tf, tf) for m, (*_, tf) in zip(sizes, sets, strict=True)])
+    key = h ^ (turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    _, column, often = np.unique(key, return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    doc, column, idf = doc[shared], np.unique(column[shared], return_inverse=True)[1], idf[shared]
+    order = np.argsort(column, kind="stable")
+    doc, column, idf = doc[order], column[order], idf[order]
+    low = np.zeros((n, n))
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [c, c + 4096])
+        m = np.zeros((n, 4096))
+        m[doc[a:b], column[a:b] - c] = np.sqrt(idf[a:b])
+        low += m @ m.T
+    np.fill_diagonal(low, total)
+    return low / np.maximum(total[:, None] + total[None, :] - low, 1e-300)
+
+
+def block_links(apart: DataFrame, texts: DataFrame, idf, threshold: float = THRESHOLD) -> DataFrame:
+    """Links (a, b) that connect what the links between differently labelled members of each bucket connect.
+
+    The members outside a bucket's largest component (the rest) meet the members inside it, and one another, in
+    groups of one block with another; members of the largest component never meet.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from .embeddings import forest
+
+    sizes = apart.groupBy("i", "v", "label").agg(F.count("*").alias("n"))
+    plan = sizes.groupBy("i", "v").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    plan = materialize(plan.select("i", "v", F.col("m.label").alias("main"), blocks(F.col("m.n")).alias("bm"), blocks(F.col("n") - F.col("m.n")).alias("br")), "plan")
+    rows = apart.join(broadcast_if_small(plan), ["i", "v"]).withColumn("inside", F.col("label") == F.col("main"))
+    own = F.pmod(F.xxhash64("h", "i"), F.when(F.col("inside"), F.col("bm")).otherwise(F.col("br"))).cast("int")
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    key = lambda kind, p, q: F.struct(F.lit(kind).alias("kind"), p.alias("p"), q.alias("q"))
+    mine = F.col("own")
+    to = F.when(F.col("inside"), F.transform(upto("br"), lambda p: key(0, p, mine))).otherwise(
+        F.concat(F.transform(upto("bm"), lambda q: key(0, mine, q)), F.transform(upto("br"), lambda q: key(1, F.least(mine, q), F.greatest(mine, q))))
+    )
+    dealt = rows.withColumn("own", own).select("i", "v", "h", "label", F.explode(to).alias("g")).select("i", "v", "g.*", "h", "label")
+    dealt = dealt.join(texts, "h")
+
+    def run(batch: pa.Table) -> pa.Table:
+        weights = Weights(*idf.value)
+        h, label = np.array(batch["h"].to_pylist(), object), batch["label"].to_pylist()
+        names, at = np.unique(label, return_inverse=True)
+        sets = []
+        for t in batch["t"].to_pylist():
+            s, tf = shingles(t, weights.memory)
+            sets.append((s, weights.weigh(s, tf), tf))
+        m = (similarities(sets) >= threshold) & (at[:, None] != at[None, :])
+        a, b = forest(m, h, h) if m.any() else ([], [])
+        return pa.table({"a": pa.array(list(a), pa.string()), "b": pa.array(list(b), pa.string())})
+
+    return dealt.groupBy("i", "v", "kind", "p", "q").applyInArrow(run, "a string, b string")
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: doc_id, h (its text), class_id (smallest id of its group), kept (it is that document),
     class_h (the text that stands for the group), n_class (rows of the group). A text without words is alone."""
@@ -249,7 +323,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = materialize(texts.groupBy("h").agg(F.first("t").alias("t")), "texts")
 
     tried = materialize(_distinct_pairs(members.select(F.col("h").alias("a"), F.col("c").alias("b"))), "pairs")
-    links = materialize(verified(tried, texts, idf), "links")
+    links = materialize(verified(tried, texts, idf).select("a", "b"), "links")
     found, tagged = _labels(links, members.select("i", "v", "h"))
     for turn in range(ROUNDS + 1):
         apart = _apart(tagged)
@@ -260,12 +334,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             main = sizes.groupBy("i", "v").agg(F.max(F.struct("n", "label", "pick")).alias("m")).select("i", "v", F.col("m.label").alias("main"), F.col("m.pick.h").alias("b"))
             main = materialize(main, "main")
             new = apart.join(broadcast_if_small(main), ["i", "v"]).where("label <> main").select(F.col("h").alias("a"), "b")
+            new = materialize(_distinct_pairs(new).join(tried, ["a", "b"], "left_anti"), "pairs")
+            more, tried = verified(new, texts, idf).select("a", "b"), tried.unionByName(new)
         else:
-            other = apart.select("i", "v", F.col("h").alias("b"), F.col("label").alias("label_b"))
-            new = apart.withColumnRenamed("h", "a").join(other, ["i", "v"]).where("label < label_b").select("a", "b")
-        new = materialize(_distinct_pairs(new).join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = verified(new, texts, idf)
-        links, tried = materialize(links.unionByName(more), "links"), tried.unionByName(new)
+            more = block_links(apart, texts, idf)
+        links = materialize(links.unionByName(more), "links")
         found, tagged = _labels(links, members.select("i", "v", "h"))
 
     merged = classes.select("h", "first", "n").join(broadcast_if_small(found), F.col("h") == F.col("node"), "left").select("h", "first", "n", F.coalesce("label", "h").alias("label"))
