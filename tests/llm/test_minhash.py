@@ -114,10 +114,22 @@ def test_similarities_equal_pairs():
             assert abs(m[i, j] - mh.weighted_jaccard(*sets[i][:2], *sets[j][:2])) < 1e-9
 
 
+def test_word_hashes():
+    memory = mh.Powers()
+    words = ["a", "b", "ab", "ba", "aa", "été", "ete", "x_1", "日本", "w" * 3000, "1"]
+    apart = [mh.word_hashes(w, memory) for w in words]
+    assert all(len(h) == 1 for h in apart) and len({int(h[0]) for h in apart}) == len(words)
+    text = " ... " + "  ".join(words[:5]) + "!? " + ", ".join(words[5:]) + "\n"
+    assert mh.word_hashes(text, memory).tolist() == [int(h[0]) for h in apart]
+    assert mh.word_hashes(" .,\n", memory).size == mh.word_hashes("", memory).size == 0
+    assert mh.word_hashes("AB ab Ab", memory).tolist() == [int(apart[2][0])] * 3
+    assert len(mh.shingles("a b c d e f", memory)[0]) == 2 and mh.shingles("a b a b a b a b a b a b", memory)[1].sum() == 8
+
+
 def test_frequencies_count_all_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     n, df = mh.document_frequencies(docs)
-    want, memory = np.zeros(mh.DF_BUCKETS), mh.Hashes()
+    want, memory = np.zeros(mh.DF_BUCKETS), mh.Powers()
     for r in docs.collect():
         np.add.at(want, (mh.shingles(r.text, memory)[0] % np.uint64(mh.DF_BUCKETS)).astype(int), 1)
     assert n == docs.count() and np.array_equal(df, want)

@@ -209,14 +209,14 @@ def _use_leaves(tree: str) -> list[str]:
 def rust(text: str):
     masked = mask(re.sub(r"'(?:\\.|[^\\'\n])'", lambda m: "' '" + " " * (len(m[0]) - 3), text), nested=True, quotes='"')
     vis = r"(?:pub(?:\([^)]*\))?\s+)?"
-    syms = _by_patterns(masked, [(k, rf"^\s*(?P<def>{vis}(?:async\s+|unsafe\s+|const\s+)*{w})\s+(?P<name>\w+)") for k, w in (("function", "fn"), ("struct", "struct"), ("enum", "enum"), ("trait", "trait"), ("type", "type"), ("module", "mod"))])
+    syms = _by_patterns(masked, [(k, rf"(?:^|(?<=[{{;}}]))\s*(?P<def>{vis}(?:async\s+|unsafe\s+|const\s+)*{w})\s+(?P<name>\w+)") for k, w in (("function", "fn"), ("struct", "struct"), ("enum", "enum"), ("trait", "trait"), ("type", "type"), ("module", "mod"))])
     syms += [(m["name"], "constant", m.start("name"), m.start("def"), _closing(masked, m.end())) for m in re.finditer(rf"^\s*(?P<def>{vis}(?:const|static)(?:\s+mut)?)\s+(?P<name>[A-Z_][A-Z0-9_]*)\s*:", masked, re.M)]
     bodies = [(m.end(), _closing(masked, m.start())) for m in re.finditer(r"^\s*(?:unsafe\s+)?(?:impl|(?:pub\s+)?trait)\b[^;{]*\{", masked, re.M)]
     syms = [(n, "method" if k == "function" and any(a <= x < b for a, b in bodies) else k, x, y, z) for n, k, x, y, z in syms]
     imps = []
-    for m in re.finditer(rf"^\s*{vis}use\s+([^;]+);", masked, re.M):
+    for m in re.finditer(rf"(?:^|(?<=[{{;}}]))\s*{vis}use\s+([^;]+);", masked, re.M):
         imps += [(leaf, "use", m.start(1), m.end(1)) for leaf in _use_leaves(m[1])]
-    imps += [(m[1], "mod", m.start(1), m.end(1)) for m in re.finditer(rf"^\s*{vis}mod\s+(\w+)\s*;", masked, re.M)]
+    imps += [(m[1], "mod", m.start(1), m.end(1)) for m in re.finditer(rf"(?:^|(?<=[{{;}}]))\s*{vis}mod\s+(\w+)\s*;", masked, re.M)]
     return syms, imps, False
 
 
@@ -263,7 +263,7 @@ def bash(text: str):
 
 def haskell(text: str):
     masked = mask(text, ("--",), ("{-", "-}"), '"', nested=True)
-    syms = [(m[1], "function", m.start(1), m.start(), m.end()) for m in re.finditer(r"^([a-z_][\w']*)(?=[^:\n]*=)(?!\s*::).*$", masked, re.M)]
+    syms = [(m[1], "function", m.start(1), m.start(), m.end()) for m in re.finditer(r"^((?!(?:data|newtype|type|class|instance|import|module|where|infix[lr]?)\b)[a-z_][\w']*)(?=[^:\n]*=)(?!\s*::).*$", masked, re.M)]
     syms += [(m[2], "type", m.start(2), m.start(), m.end()) for m in re.finditer(r"^(data|newtype|type|class)\s+(?:\([^)]*\)\s*=>\s*)?([A-Z]\w*)", masked, re.M)]
     return syms, [(m[1], "import", m.start(1), m.end(1)) for m in re.finditer(r"^import\s+(?:qualified\s+)?([\w.]+)", masked, re.M)], False
 
