@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from textmill.llm import minhash as mh
-from textmill.llm.graphs import components
+from textmill.operators.graph import connected as components
 
 from .fixtures import DOC_SCHEMA, edge_docs, empty_docs
 

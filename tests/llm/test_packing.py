@@ -74,3 +74,14 @@ def test_bounded_best_fit_against_plain_search():
                 plain.append((want_free - n, b))
             assert sorted(plain) == sorted((f, x) for f, xs in enumerate(bins.bins) for x in xs) and len(plain) <= limit
         assert bins.made == made
+
+
+def test_few_sequences_on_long_streams():
+    rng = random.Random(9)
+    for draw in (lambda: rng.randint(1, 2048), lambda: min(2048, int(rng.lognormvariate(6.5, 1))) or 1, lambda: rng.choice([700, 1300, 2048, 30])):
+        lengths, bins = [draw() for _ in range(60_000)], packing.OpenBins()
+        for k in range(0, len(lengths), packing.BLOCK):
+            packing.place_all(lengths[k : k + packing.BLOCK], bins)
+        unbounded = packing.OpenBins(limit=10**9)
+        packing.place_all(lengths, unbounded)
+        assert bins.made <= 1.004 * unbounded.made + 2

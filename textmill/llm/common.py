@@ -1,57 +1,18 @@
 """Shared plumbing of the training-data operators: shared storage, size-checked broadcasts, row keys.
 
-Nothing here keeps files on a machine-local folder of a cluster: everything that outlives one task goes
-to the folder in ``spark.checkpoint.dir`` (or ``spark.textmill.dir`` / a temp folder when that is unset,
-as in local tests).
+Everything that outlives one task goes to the folder in ``spark.checkpoint.dir`` (see `textmill.storage`).
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a frame may be broadcast. Its size is counted first, each time.
-BROADCAST_ROWS = 500_000
+from ..storage import broadcast_if_small, fresh_path, materialize, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: ``spark.checkpoint.dir`` as the cluster set it.
-
-    Only where it is unset (tests, single machine) a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="textmill-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path in the shared folder."""
-    return f"{shared_dir(spark)}/textmill/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends here, and a lost
-    executor costs only a re-read."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if a count shows at most ``rows`` rows; otherwise the join shuffles.
-
-    ``df`` must be cheap to recompute (materialized, or a narrow read of a small table).
-    """
-    if df.limit(rows + 1).count() <= rows:
-        return F.broadcast(df)
-    return df.hint("merge")
+__all__ = ["broadcast_if_small", "doc_key", "fresh_path", "materialize", "open_fs", "shared_dir", "table"]
 
 
 def open_fs(uri: str):

@@ -26,8 +26,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected as components
 from .common import broadcast_if_small, fresh_path, materialize, open_fs
-from .graphs import components
 
 THRESHOLD = 0.9
 TARGET_RECALL = 0.99

@@ -11,22 +11,21 @@
    compared in blocks of about BLOCK texts, so that no candidate link between different components is lost. A block gives a
    spanning forest of its links, never its pairs.
 
-Words are runs of word characters, lowered; a text of one to four words is one shingle. Defined cases: a null text, or one without
+Words are runs of lowered ASCII letters, digits, underscores and non-ASCII characters; a text of one to four words is one shingle. Defined cases: a null text, or one without
 words, is never linked: equal ones share no class and each stays its own; repeated rows are copies of one another;
 null ids sort last; an empty table gives no rows; other columns are ignored (`one_of_each` keeps them).
 """
 
 from __future__ import annotations
 
-import re
 from collections import OrderedDict
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected as components
 from .common import broadcast_if_small, materialize
-from .graphs import components
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -36,39 +35,65 @@ BLOCK = 256
 DF_BUCKETS = 1 << 18
 POOL = 1 << 16
 
-_WORD = re.compile(r"\w+")
 
+#: Bytes of words: ASCII letters (lowered), digits, the underscore, and all of non-ASCII characters.
+_IN_WORD = bytes(c >= 128 or c in b"abcdefghijklmnopqrstuvwxyz0123456789_" for c in range(256))
+_BASE = 0x9E3779B97F4A7C15
 
-class Hashes(dict):
-    """word -> 64-bit hash, the same in every process"""
 
-    def __missing__(self, word: str) -> int:
-        import xxhash
+class Powers:
+    """Powers of _BASE and of its inverse modulo 2 ** 64, as many as the longest text so far needs."""
 
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(word) <= 64:
-            if len(self) > 200_000:
-                self.clear()
-            self[word] = h
-        return h
+    def __init__(self):
+        self.up = self.down = None
+
+    def get(self, n: int):
+        import numpy as np
+
+        if self.up is None or len(self.up) < n:
+            size = max(1 << 16, 1 << (n - 1).bit_length())
+            ones = lambda v: np.concatenate([np.ones(1, np.uint64), np.full(size - 1, v, np.uint64)])
+            self.up = np.cumprod(ones(_BASE), dtype=np.uint64)
+            self.down = np.cumprod(ones(pow(_BASE, -1, 1 << 64)), dtype=np.uint64)
+        return self.up, self.down
+
+
+def _mix(h):
+    import numpy as np
+
+    h = h ^ (h >> np.uint64(32))
+    h = h * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def word_hashes(text: str, memory: Powers):
+    """A 64-bit hash of each word, from prefix sums over the text's bytes: no loop over words."""
+    import numpy as np
+
+    b = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
+    inside = np.frombuffer(_IN_WORD, np.uint8)[b]
+    edge = np.flatnonzero(np.diff(inside, prepend=0, append=0))
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    up, down = memory.get(len(b))
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=total[1:])
+    return _mix((total[end] - total[start]) * down[start])
 
 
-def shingles(text: str, memory: Hashes, size: int = WORDS):
+def shingles(text: str, memory: Powers, size: int = WORDS):
     """(distinct shingle hashes, ascending; how often each occurs)"""
     import numpy as np
 
-    words = _WORD.findall(text.lower())
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.array(list(map(memory.__getitem__, words)), np.uint64)
+    h = word_hashes(text, memory)
+    if not len(h):
+        return h, np.zeros(0, np.int64)
     n = max(1, len(h) - size + 1)
     s = np.zeros(n, np.uint64)
     for k in range(min(size, len(h))):
-        s = (s * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]) ^ (s >> np.uint64(29))
-    s ^= s >> np.uint64(32)
-    s *= np.uint64(0xD6E8FEB86659FD93)
-    s ^= s >> np.uint64(32)
-    return np.unique(s, return_counts=True)
+        s = (s * np.uint64(_BASE) + h[k : k + n]) ^ (s >> np.uint64(29))
+    return np.unique(_mix(s), return_counts=True)
 
 
 class Sampler:
@@ -119,7 +144,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text"):
     import pyarrow as pa
 
     def count(batches: Iterator) -> Iterator:
-        memory, total = Hashes(), np.zeros(DF_BUCKETS, np.int64)
+        memory, total = Powers(), np.zeros(DF_BUCKETS, np.int64)
         for b in batches:
             got = [shingles(t, memory)[0] % np.uint64(DF_BUCKETS) for t in b["t"].to_pylist() if t]
             if got:
@@ -148,7 +173,7 @@ class Weights:
         import numpy as np
 
         self.idf = np.log1p(n / np.maximum(df, 1.0))
-        self.memory = Hashes()
+        self.memory = Powers()
 
     def __call__(self, text: str):
         h, tf = shingles(text, self.memory)

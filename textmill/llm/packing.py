@@ -3,8 +3,9 @@
 Each task packs its pieces online with a bounded number of open bins. Open bins are kept in a bitset keyed by free
 space (bit f is set if an open bin has f free tokens, with the bins of that free space in a list), so the best fit
 for a piece of n tokens is the lowest set bit at or above n: one shift and one bit scan. If nothing fits and the
-bins are all in use, the fullest open bin (the lowest set bit) closes. Pieces come in descending length, so that the
-short ones fill what the long ones leave.
+bins are all in use, the fullest open bin (the lowest set bit) closes. Pieces come in the order of a hash, and each BLOCK of
+them in descending length: a block opens no more bins than there are, so its short pieces fill what its long ones leave.
+(Sorting a whole task by length closes bins before short pieces come: 12 % more sequences.)
 
 Pieces are dealt to tasks by a hash of their length and id, never by document, source or length alone, so that each
 task gets the same mixture and a hot source or a frequent length is split. A task gets at least ``pieces_per_task``
@@ -26,7 +27,8 @@ from .common import materialize
 from .tokens import encoder
 
 CAPACITY = 2048
-OPEN_BINS = 1024
+OPEN_BINS = 16384
+BLOCK = 16384
 PIECES_PER_TASK = 100_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -74,6 +76,14 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return ([(0, first)] if first else []) + [(a, capacity) for a in range(first, n, capacity)]
 
 
+def place_all(lengths: list[int], bins: OpenBins) -> list[tuple[int, int]]:
+    """(bin, offset) of each piece of one block; longer pieces are placed first, equal ones in order."""
+    out: list = [None] * len(lengths)
+    for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
+        out[k] = bins.place(lengths[k])
+    return out
+
+
 def pieces(docs: DataFrame, vocabulary: str, kind: str = "byte", end_id: int = 0, capacity: int = CAPACITY,
            id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Tokenize whole texts and cut only documents longer than ``capacity``. ``with_ids`` adds the ids themselves."""
@@ -107,16 +117,31 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
 
     tasks = max(1, parts.count() // pieces_per_task)
     schema = parts.schema.add("sequence_id", "long").add("offset", "long")
-    dealt = parts.repartition(tasks, "doc_id", "piece", "length", "ids_crc32").sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
+    keys = ["doc_id", "piece", "length", "ids_crc32"]
+    dealt = parts.repartition(tasks, *keys).sortWithinPartitions(F.xxhash64(*keys), *keys)
 
     def run(batches: Iterator) -> Iterator:
         from pyspark import TaskContext
 
         base, bins = TaskContext.get().partitionId() << 40, OpenBins(capacity, open_bins)
+
+        def placed(block: list) -> pa.Table:
+            t = pa.Table.from_batches(block).combine_chunks()
+            at = place_all(t["length"].to_pylist(), bins)
+            t = t.append_column("sequence_id", pa.array([base + x for x, _ in at], pa.int64()))
+            return t.append_column("offset", pa.array([o for _, o in at], pa.int64()))
+
+        held, rows = [], 0
         for b in batches:
-            placed = [bins.place(n) for n in b["length"].to_pylist()]
-            more = [pa.array([base + x for x, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "sequence_id", "offset"])
+            while b.num_rows:
+                part = b.slice(0, BLOCK - rows)
+                held.append(part)
+                rows, b = rows + part.num_rows, b.slice(part.num_rows)
+                if rows == BLOCK:
+                    yield from placed(held).to_batches()
+                    held, rows = [], 0
+        if held:
+            yield from placed(held).to_batches()
 
     return dealt.mapInArrow(run, schema)
 
