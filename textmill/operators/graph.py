@@ -84,20 +84,22 @@ def neighborhood(edges: DataFrame, starts: list[str], depth: int = 1, view: Data
 
 def connected(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
     """(node, label) of the nodes of undirected ``edges`` (a, b): label is the least node reachable. Alternating large-star and
-    small-star steps: one shuffle each, minima with map-side partial sums, rounds in the logarithm of the longest chain."""
-    both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    small-star steps, each one written table; minima with map-side partial aggregation; rounds in the logarithm of the longest
+    chain. It has settled when a round changes nothing, which a count and a sum of hashes of the edges tell."""
     e = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    seen = None
     for _ in range(rounds):
-        n = both(e)
-        least = materialize(n.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
-        up = materialize(n.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large-star")
-        low = materialize(up.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "lowest")
-        down = up.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = materialize(down.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "small-star")
-        settled = not low.where("n > 1").limit(1).count() and not new.select(F.col("b").alias("a")).join(new.select("a"), "a", "left_semi").limit(1).count()
-        if settled:
-            return new.select(F.col("a").alias("node"), F.col("b").alias("label")).union(new.select(F.col("b"), F.col("b")).distinct())
-        e = new
+        n = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = n.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        up = n.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        up = materialize(up, "large-star")
+        both = up.join(up.groupBy("a").agg(F.min("b").alias("m")), "a")
+        down = both.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        e = materialize(down.select("e.*").where("a <> b").distinct(), "small-star")
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
+        if now == seen:
+            return e.select(F.col("a").alias("node"), F.col("b").alias("label")).union(e.select(F.col("b"), F.col("b")).distinct())
+        seen = now
     raise RuntimeError("the components did not settle")
 
 
