@@ -17,7 +17,7 @@ def test_run_equals_brute_force_stage_by_stage(spark, sf):
     every = {r.doc_id: r for r in docs.collect()}
     model = quality.train(docs, quality.grades_of_labels(spark.read.parquet(f"{sf}/labels.parquet")))
     memory = quality.Hashes()
-    left = [i for i, r in every.items() if model.tails([quality.buckets_of(r.text, memory)])[0][-1] >= 0.5]
+    left = [i for i, r in every.items() if model.tails([quality.buckets_of(r.text, memory)])[0][-1] >= quality.LEAST_P]
     step = cp.STAGES[0][1](spark, docs, sf)
     assert step.schema == docs.schema and columns(step) == columns(docs.where(docs.doc_id.isin(left)))
 

@@ -64,7 +64,7 @@ def test_gradient_reaches_the_maximum(spark):
 def test_defined_cases(spark):
     docs = edge_docs(spark)
     none = spark.createDataFrame([], "doc_id long, grade int")
-    assert all(r.selected and r.p_tail == 0.5 for r in q.graded(docs, q.train(docs, none)).collect())
+    assert all(r.selected and r.p_tail == 1 for r in q.graded(docs, q.train(docs, none)).collect())
     odd = spark.createDataFrame([(1, 3), (1, 0), (None, 2), (2, None), (3, 3), (4, 1), (999, 2)], "doc_id long, grade int")
     model = q.train(docs, odd)
     assert model.grades == [0, 1, 3]

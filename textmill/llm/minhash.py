@@ -30,7 +30,7 @@ from .common import broadcast_if_small, materialize
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 8, 3
-ROUNDS = 2
+ROUNDS = 1
 BLOCK = 256
 DF_BUCKETS = 1 << 18
 POOL = 1 << 16

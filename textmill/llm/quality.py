@@ -9,7 +9,7 @@ repeated lines, mean word length, length). All of a text is read. Ratings for fi
 rated documents, chosen by a hash of the id.
 
 Defined cases: a null text is the empty text; a null id or grade rates nothing; of several grades of one document the lowest
-holds; without any rating every document gets the middle of the scale with tail probability 0.5 (all selected); one
+holds; without any rating nothing speaks against a document: grade 0, tail probability 1, all selected; one
 single grade among all ratings is predicted for all; repeated rows each get a row; an empty table gives no rows; other columns
 are ignored or kept as they are.
 """
@@ -28,8 +28,12 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 18
 MAX_TRAIN = 20_000
 MIN_DOCS = 4
+#: Features of more than this share of the sample are left out: they tell little and slow the fit down.
+MOST_SHARE = 0.25
 ROUNDS = 500
 PENALTY = 0.1
+#: Least chance of the highest grade with which a document is selected.
+LEAST_P = 0.7
 
 _TAIL = re.compile(r"[^\w\s]+$")
 _HEAD = re.compile(r"^[^\w\s]+")
@@ -112,7 +116,7 @@ def fit(rows: list, grade: list[int], rounds: int = ROUNDS) -> Ordinal:
         return Ordinal(grades, weights, np.zeros(0))
     y = np.searchsorted(grades, grade)
     df = np.bincount(np.concatenate(rows), minlength=BUCKETS)
-    used = np.flatnonzero((df >= MIN_DOCS) & (df < n))
+    used = np.flatnonzero((df >= MIN_DOCS) & (df < n) & (df <= max(MOST_SHARE * n, MIN_DOCS)))
     place = np.full(BUCKETS, -1)
     place[used] = np.arange(len(used))
     rows = [place[r][place[r] >= 0] for r in rows]
@@ -196,7 +200,7 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
 RESULT = "grade integer, expected_grade double, p_tail double, selected boolean"
 
 
-def graded(docs: DataFrame, model: Ordinal, least_grade: int | None = None, least_p: float = 0.5, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def graded(docs: DataFrame, model: Ordinal, least_grade: int | None = None, least_p: float = LEAST_P, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default: all), most likely grade, expected grade, p_tail = P(grade >= least_grade) (default:
     the highest grade), selected = p_tail >= least_p."""
     import numpy as np
@@ -219,7 +223,7 @@ def graded(docs: DataFrame, model: Ordinal, least_grade: int | None = None, leas
             n = b.num_rows
             full = np.concatenate([np.ones((n, 1)), tails, np.zeros((n, 1))], axis=1)
             prob = full[:, :-1] - full[:, 1:]
-            p_tail = full[:, cut] if model.grades else np.full(n, 0.5)
+            p_tail = full[:, cut] if model.grades else np.ones(n)
             new = [pa.array(values[prob.argmax(1)].astype(np.int32)), pa.array(prob @ values), pa.array(p_tail), pa.array(p_tail >= least_p)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names=[*keep, "grade", "expected_grade", "p_tail", "selected"])
 
@@ -231,7 +235,7 @@ def grades_of_labels(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", (2 * F.col("quality") + 1 - F.col("toxic")).cast("int").alias("grade"))
 
 
-def selected_documents(docs: DataFrame, ratings: DataFrame, least_p: float = 0.5) -> DataFrame:
+def selected_documents(docs: DataFrame, ratings: DataFrame, least_p: float = LEAST_P) -> DataFrame:
     """The rows of ``docs`` whose chance of the highest grade is at least ``least_p``, with their own columns."""
     model = train(docs, ratings)
     tagged = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"))
