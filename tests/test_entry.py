@@ -11,7 +11,7 @@ def test_entry_and_names(spark):
 
     assert e.entry(spark).count() > 0
     q, sql = e.queries(), e.oracle_sql()
-    assert set(sql) <= set(q) and len(q) > 60
+    assert set(sql) <= set(q) and len(q) > 50
     assert all(callable(f) for f in q.values())
 
 
