@@ -84,16 +84,16 @@ def neighborhood(edges: DataFrame, starts: list[str], depth: int = 1, view: Data
 
 def connected(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
     """(node, label) of the nodes of undirected ``edges`` (a, b): label is the least node reachable. Alternating large-star and
-    small-star steps, each one written table; minima with map-side partial aggregation; rounds in the logarithm of the longest
-    chain. It has settled when a round changes nothing, which a count and a sum of hashes of the edges tell."""
+    small-star steps on written tables; minima with map-side partial aggregation, joined back from a table, so that a hot
+    node's edges can be split; rounds in the logarithm of the longest chain. It has settled when a round changes nothing, which a count and a sum of hashes of the edges tell."""
     e = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     seen = None
     for _ in range(rounds):
         n = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = n.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = materialize(n.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         up = n.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         up = materialize(up, "large-star")
-        both = up.join(up.groupBy("a").agg(F.min("b").alias("m")), "a")
+        both = up.join(materialize(up.groupBy("a").agg(F.min("b").alias("m")), "lowest"), "a")
         down = both.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         e = materialize(down.select("e.*").where("a <> b").distinct(), "small-star")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
