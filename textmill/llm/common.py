@@ -12,7 +12,34 @@ from pyspark.sql import functions as F
 
 from ..storage import broadcast_if_small, fresh_path, materialize, shared_dir
 
-__all__ = ["broadcast_if_small", "doc_key", "fresh_path", "materialize", "open_fs", "shared_dir", "table"]
+__all__ = ["bounded_batches", "broadcast_if_small", "doc_key", "fresh_path", "materialize", "open_fs", "release", "shared_dir", "table"]
+
+
+#: Bytes and rows of an Arrow batch that goes to a Python worker.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 4000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep what a Python worker holds at a time small, unless the session asks for still less."""
+    size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower()
+    if not size.rstrip("b").isdigit() or not 0 < int(size.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def release() -> None:
+    """At a task's end: give memory that the worker no longer uses back to the system, as workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def open_fs(uri: str):

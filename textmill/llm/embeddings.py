@@ -314,8 +314,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     labels = components(found.where("n_links < 0").select(F.col("cid").alias("a"), F.col("other").alias("b")))
     per_class = classes.join(found.where("n_links >= 0").select("cid", "n_links"), "cid").join(broadcast_if_small(labels), F.col("cid") == F.col("node"), "left")
     per_class = materialize(per_class.select("cid", "v", "first", "n_links", F.coalesce("label", "cid").alias("label")), "labelled")
-    least = per_class.groupBy("label").agg(F.min("first").alias("component_id"))
-    result = materialize(per_class.join(least, "label").select("v", "n_links", "component_id"), "vector-result")
+    least = materialize(per_class.groupBy("label").agg(F.min("first").alias("component_id")), "least")
+    result = materialize(per_class.join(broadcast_if_small(least), "label").select("v", "n_links", "component_id"), "vector-result")
     joined = rows.join(result, "v").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
     return joined.unionByName(alone)
 

@@ -24,12 +24,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, release
+
 BUCKETS = 1 << 16
 DOCS_PER_LANGUAGE = 1500
 SMOOTHING = 0.3
 ROUNDS = 8
 PENALTY = 2.0
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 UND = "und"
 #: Documents that go through one vectorised run of the rounds.
 BLOCK = 400
@@ -57,6 +59,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_
     import numpy as np
     import pyarrow as pa
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
@@ -179,6 +182,7 @@ def predicted(docs: DataFrame, langs: list[str], logp, text_col: str = "text", k
     import pyarrow as pa
 
     spark = docs.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast((langs, logp))
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
     schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes if n != "_text") + ", " + RESULT
@@ -197,6 +201,8 @@ def predicted(docs: DataFrame, langs: list[str], logp, text_col: str = "text", k
                 cols = list(zip(*out, strict=True))
                 new = [pa.array(c, x) for c, x in zip(cols, (pa.string(), pa.float64(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], *new], names=[*keep, "lang_pred", "score", "langs"])
+        del model
+        release()
 
     return rows.mapInArrow(run, schema)
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected as components
-from .common import broadcast_if_small, materialize
+from .common import bounded_batches, broadcast_if_small, materialize, release
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -153,6 +153,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text"):
         for a in range(0, len(at), 65536):
             k = at[a : a + 65536]
             yield pa.record_batch([pa.array(k.astype(np.int32)), pa.array(total[k])], names=["bucket", "n"])
+        release()
 
     n = docs.count()
     sums = docs.select(F.col(text_col).alias("t")).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
@@ -206,6 +207,7 @@ def sketches(docs: DataFrame, idf, id_col: str = "doc_id", text_col: str = "text
                 v = v[:, 0] ^ (v[:, 1] >> np.uint64(7)) ^ (v[:, 2] << np.uint64(9)) if ROWS == 3 else np.bitwise_xor.reduce(v, axis=1)
                 out.append(v.astype(np.int64))
             yield pa.record_batch([b["doc_id"], b["h"], pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "h", "bands"])
+        release()
 
     return rows.mapInArrow(run, "doc_id long, h string, bands array<long>")
 
@@ -234,6 +236,8 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float = THRESHO
             rows = [(a, b, weighted_jaccard(*of(a, ta), *of(b, tb))) for a, b, ta, tb in zip(*cols, strict=True)]
             rows = [r for r in rows if r[2] >= threshold]
             yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["a", "b", "similarity"])
+        recent.clear()
+        release()
 
     return both.mapInArrow(run, "a string, b string, similarity double")
 
@@ -332,6 +336,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document row: doc_id, h (its text), class_id (smallest id of its group), kept (it is that document),
     class_h (the text that stands for the group), n_class (rows of the group). A text without words is alone."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     idf = spark.sparkContext.broadcast(document_frequencies(docs, text_col))
     rows = materialize(sketches(docs, idf, id_col, text_col), "sketches")
     null_last = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"))
@@ -369,7 +374,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     merged = classes.select("h", "first", "n").join(broadcast_if_small(found), F.col("h") == F.col("node"), "left").select("h", "first", "n", F.coalesce("label", "h").alias("label"))
     merged = materialize(merged, "merged")
     groups = merged.groupBy("label").agg(F.min(F.struct(F.col("first.n").alias("n"), F.col("first.id").alias("id"), "h")).alias("rep"), F.sum("n").alias("n_class"))
-    reps = merged.select("h", "label").join(groups, "label").select("h", F.col("rep.id").alias("class_id"), F.col("rep.h").alias("class_h"), "n_class")
+    groups = materialize(groups, "groups")
+    reps = merged.select("h", "label").join(broadcast_if_small(groups), "label").select("h", F.col("rep.id").alias("class_id"), F.col("rep.h").alias("class_h"), "n_class")
     reps = materialize(reps, "classes-of-texts")
     some = worded.select("doc_id", "h").join(reps, "h").select("doc_id", "h", "class_id", "class_h", "n_class", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("h") == F.col("class_h"))).alias("kept"))
     alone = rows.where("bands is null").select("doc_id", "h", F.col("doc_id").alias("class_id"), F.col("h").alias("class_h"), F.lit(1).cast("long").alias("n_class"), F.lit(True).alias("kept"))

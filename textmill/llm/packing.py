@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_batches, materialize, release
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -106,7 +106,9 @@ def pieces(docs: DataFrame, vocabulary: str, kind: str = "byte", end_id: int = 0
                     for col, v in zip(cols, (doc_id, k, start, n, zlib.crc32(part.tobytes()), part), strict=False):
                         col.append(v)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+        release()
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, PIECE + ", ids array<int>" * with_ids)
 

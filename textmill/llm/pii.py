@@ -23,6 +23,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, release
+
 #: Kinds in the order of reports; the first four have base patterns.
 KINDS = ["email", "ip", "card", "phone", "secret", "account", "national_id"]
 EXAMPLES = 6000
@@ -258,7 +260,9 @@ def report(docs: DataFrame, scorer: Scorer | None = None, id_col: str = "doc_id"
                 rows.append((doc_id, *(n[k] for k in KINDS[:4]), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(every) - len(base)))
             cols = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+        release()
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, REPORT)
 
@@ -288,7 +292,9 @@ def redacted(docs: DataFrame, scorer: Scorer | None = None, text_col: str = "tex
             new = [None if t is None else mask(t, every) if every else t for t, (_, every) in zip(texts, spans, strict=True)]
             k = names.index(text_col)
             yield pa.RecordBatch.from_arrays([pa.array(new, b.schema.field(k).type) if j == k else c for j, c in enumerate(b.columns)], schema=b.schema)
+        release()
 
+    bounded_batches(docs.sparkSession)
     out = docs.mapInArrow(run, docs.schema)
     if length_col:
         out = out.withColumn(length_col, F.when(F.col(text_col).isNotNull(), F.char_length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))

@@ -25,8 +25,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, release
+
 BUCKETS = 1 << 18
-MAX_TRAIN = 20_000
+MAX_TRAIN = 16_000
 MIN_DOCS = 4
 #: Features of more than this share of the sample are left out: they tell little and slow the fit down.
 MOST_SHARE = 0.25
@@ -54,7 +56,7 @@ class Hashes(dict):
         odd = tail.strip(".,;:") if tail else ""
         got = (word, _hash("t " + tail[:8]) if tail else -1, len(core) > 1 and core.isupper(), bool(odd))
         if len(token) <= 60:
-            if len(self) > 200_000:
+            if len(self) > 80_000:
                 self.clear()
             self[token] = got
         return got
@@ -119,9 +121,12 @@ def fit(rows: list, grade: list[int], rounds: int = ROUNDS) -> Ordinal:
     used = np.flatnonzero((df >= MIN_DOCS) & (df < n) & (df <= max(MOST_SHARE * n, MIN_DOCS)))
     place = np.full(BUCKETS, -1)
     place[used] = np.arange(len(used))
-    rows = [place[r][place[r] >= 0] for r in rows]
-    idx = np.concatenate(rows).astype(np.int32)
-    doc = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+    rows = [place[r][place[r] >= 0].astype(np.int32) for r in rows]
+    parts = []  # (first document, its documents' numbers from there, features) in pieces, to bound what a step needs
+    for a in range(0, n, 2000):
+        part = rows[a : a + 2000]
+        parts.append((a, len(part), np.repeat(np.arange(len(part), dtype=np.int32), [len(r) for r in part]), np.concatenate(part)))
+    del rows
     nw, mean = len(used), df[used] / n
     scale = 1 / np.sqrt(mean * (1 - mean))
     share = np.array([(y > j).mean() for j in range(k - 1)])
@@ -129,10 +134,13 @@ def fit(rows: list, grade: list[int], rounds: int = ROUNDS) -> Ordinal:
 
     def forward(v):
         w = v * scale
-        return np.bincount(doc, w[idx], n) - w @ mean
+        return np.concatenate([np.bincount(doc, w[idx], k) for _, k, doc, idx in parts]) - w @ mean
 
     def back(gz):
-        return scale * (np.bincount(idx, gz[doc], nw) - mean * gz.sum())
+        total = np.zeros(nw)
+        for a, k, doc, idx in parts:
+            total += np.bincount(idx, gz[a : a + k][doc], nw)
+        return scale * (total - mean * gz.sum())
 
     def gradient(v, t):
         z = forward(v)
@@ -174,6 +182,7 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     import numpy as np
     import pyarrow as pa
 
+    bounded_batches(docs.sparkSession)
     rated = ratings.select(F.col(id_col).cast("long").alias("_id"), F.col(grade_col).cast("int").alias("_grade")).dropna()
     rated = rated.groupBy("_id").agg(F.min("_grade").alias("_grade"))
     picked = rated.orderBy(F.xxhash64("_id"), "_id").limit(max_train).collect()
@@ -189,6 +198,7 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             data = [buckets_of(t, memory).tobytes() for t in b["_text"].to_pylist()]
             yield pa.record_batch([b["_id"], b["_h"], b["_grade"], pa.array(data, pa.binary())], names=["_id", "_h", "_grade", "_x"])
+        release()
 
     rows = texts.select("_id", "_h", "_grade", "_text").mapInArrow(run, "_id long, _h long, _grade int, _x binary")
     rows = rows.orderBy(F.xxhash64("_id"), "_id", "_h").limit(max_train).collect()
@@ -207,6 +217,7 @@ def graded(docs: DataFrame, model: Ordinal, least_grade: int | None = None, leas
     import pyarrow as pa
 
     spark = docs.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     keep = docs.columns if keep is None else keep
     rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text_for_grade"))
@@ -226,6 +237,7 @@ def graded(docs: DataFrame, model: Ordinal, least_grade: int | None = None, leas
             p_tail = full[:, cut] if model.grades else np.ones(n)
             new = [pa.array(values[prob.argmax(1)].astype(np.int32)), pa.array(prob @ values), pa.array(p_tail), pa.array(p_tail >= least_p)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names=[*keep, "grade", "expected_grade", "p_tail", "selected"])
+        release()
 
     return rows.mapInArrow(run, schema)
 

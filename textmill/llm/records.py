@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, fresh_path, materialize, open_fs
+from .common import bounded_batches, broadcast_if_small, fresh_path, materialize, open_fs, release
 from .tokens import encoder
 
 MASK_DELTA = 0xA282EAD8
@@ -74,6 +74,7 @@ def write_records(docs: DataFrame, root: str, vocabulary: str, kind: str, end_id
     import pyarrow as pa
 
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     shards = max(1, -(-docs.count() // docs_per_shard))
     rows = rows.withColumn("_h", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "_h").sortWithinPartitions("doc_id", "_h")
@@ -106,6 +107,7 @@ def write_records(docs: DataFrame, root: str, vocabulary: str, kind: str, end_id
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
         if out is not None:
             out.close()
+        release()
 
     path = f"{root}/index"
     rows.drop("_h").mapInArrow(write, INDEX).write.parquet(path)

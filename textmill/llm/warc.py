@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, fresh_path, materialize, open_fs
+from .common import bounded_batches, broadcast_if_small, fresh_path, materialize, open_fs, release
 
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string"
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
@@ -81,6 +81,7 @@ def write_archive(pages: DataFrame, root: str, id_col: str = "page_id", url_col:
     import pyarrow as pa
 
     spark = pages.sparkSession
+    bounded_batches(spark)
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     sums = rows.where(F.length("html") >= min_bytes).select("page_id", F.sha1("html").alias("sum"))
@@ -112,6 +113,7 @@ def write_archive(pages: DataFrame, root: str, id_col: str = "page_id", url_col:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*index, strict=True), schema.types, strict=True)], schema=schema)
         if out is not None:
             out.close()
+        release()
 
     path = f"{root}/index"
     rows.mapInArrow(write, INDEX).write.parquet(path)
