@@ -59,11 +59,11 @@ def build_index(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", tex
 def ranked_terms(windows: DataFrame, index: DataFrame) -> DataFrame:
     """(wid, n, off, term, rank): a window's terms, rarest in the corpus first; windows with an absent term are left out."""
     terms = windows.select("wid", "n", F.posexplode(F.transform("words", lambda x: F.xxhash64(x))).alias("off", "term"))
-    counts = index.groupBy("term").agg(F.count("*").alias("cf"))
+    counts = broadcast_if_small(materialize(index.groupBy("term").agg(F.count("*").alias("cf")), "term-counts"))
     order = Window.partitionBy("wid").orderBy("cf", "term", "off")
     ranked = terms.join(counts, "term").withColumn("rank", F.row_number().over(order) - 1)
-    whole = ranked.groupBy("wid").agg(F.count("*").alias("_found"))
-    return materialize(ranked.join(whole, "wid").where("_found = n").select("wid", "n", "off", "term", "rank"), "ranked")
+    whole = F.count("*").over(Window.partitionBy("wid"))
+    return materialize(ranked.withColumn("_found", whole).where("_found = n").select("wid", "n", "off", "term", "rank"), "ranked")
 
 
 def _candidates(ranked: DataFrame, index: DataFrame) -> DataFrame:
