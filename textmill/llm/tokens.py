@@ -11,7 +11,7 @@ import re
 from array import array
 
 #: Distinct pieces a worker remembers; the memory is emptied when full.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 350_000
 #: Pieces longer than this are encoded, but not remembered.
 LONG_PIECE = 100
 
