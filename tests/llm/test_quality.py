@@ -61,6 +61,18 @@ def test_gradient_reaches_the_maximum(spark):
     assert loss(q.fit(x, y, 300)) < 0.3 * loss(q.fit(x, y, 1))
 
 
+def test_marks_of_a_frequent_junk_source_count():
+    r = random.Random(5)
+    rows = []
+    for k in range(900):  # a third is junk that differs by nothing but its bars
+        t = words(r, 80).split()
+        rows.append((" | ".join(t) + " |" if k % 3 == 0 else " ".join(t + words(r, 80).split()), 0 if k % 3 == 0 else 3))
+    x, y = [q.buckets_of(t, q.Hashes()) for t, _ in rows], [g for _, g in rows]
+    model = q.fit(x[:600], y[:600])
+    assert model.weights[q._hash("t |")] < 0 and model.weights[q._hash("s bars 9")] < 0
+    assert np.mean((model.tails(x[600:])[:, -1] >= q.LEAST_P) == (np.array(y[600:]) == 3)) > 0.99
+
+
 def test_defined_cases(spark):
     docs = edge_docs(spark)
     none = spark.createDataFrame([], "doc_id long, grade int")
