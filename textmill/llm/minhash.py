@@ -29,7 +29,7 @@ from .common import bounded_batches, broadcast_if_small, materialize, release
 
 WORDS = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 10, 3
 ROUNDS = 1
 BLOCK = 256
 DF_BUCKETS = 1 << 18
