@@ -67,6 +67,22 @@ def test_redaction(spark):
     assert pii.mask("abcdef", [("card", 1, 4), ("phone", 2, 5)]) == "a<CARD>f" and pii.mask("x", []) == "x"
 
 
+def test_long_secrets_are_masked_whole():
+    r = random.Random(3)
+    some = lambda n, more="": "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + more) for _ in range(n))
+    jwt = f"eyJ{some(33)}.{some(80, '-_')}.{some(43, '-_')}"
+    secrets = [f"token={jwt}", *[f(n) for n in (81, 200, 2000) for f in (lambda n: f'token = "{some(n)}"', lambda n: f"api_key: {some(n)}", lambda n: f"sk-proj-{some(n, '_-')}z", lambda n: f"ghp_{some(n)}")]]
+    for s in secrets:
+        text = f"see here {s}. more words"
+        assert ("secret", 9, 9 + len(s)) in pii.candidates(text), s
+        assert pii.mask(text, pii.found_spans([text], SCORER)[0][1]) == "see here <SECRET>. more words", s
+
+
+def test_secret_patterns_are_linear():
+    for t in ("token=" * 50_000, "token=." * 50_000, 'token="' * 40_000, "sk-" * 100_000, "sk-" + "a." * 100_000, "password=" + "." * 200_000, "AKIA" + "a" * 300_000 + "é"):
+        pii.found_spans([t], SCORER)
+
+
 def test_held_out_quality():
     assert SCORER.held_out["precision"] > 0.97 and SCORER.held_out["recall"] > 0.75
 

@@ -45,8 +45,8 @@ GENERATORS: list[tuple[str, tuple[str, ...], re.Pattern]] = [
     ("phone", ("00",), re.compile(r"(?<![\d])00[1-9][0-9]{0,2}[ .-]?(?:[0-9][ .-]?){7,11}[0-9](?![\d])")),
     ("card", (".", "_", "/"), re.compile(r"(?<![\d])[0-9]{4}[._/][0-9]{4}[._/][0-9]{4}[._/][0-9]{1,7}(?![\d])")),
     ("ip", ("::", ":"), re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4})+(?![\w:])")),
-    ("secret", ("AKIA", "ASIA", "ghp_", "xoxb-", "sk-"), re.compile(r"(?<![\w-])(?:AKIA|ASIA|ghp_|xoxb-|sk-)[A-Za-z0-9-]{14,60}(?![\w-])")),
-    ("secret", ("=", ":"), re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|token|secret|api[_ -]?key|access[_ -]?key)[\"']? ?[=:] ?[\"']?[^\s\"'.,;]{6,80}[\"']?")),
+    ("secret", ("AKIA", "ASIA", "ghp_", "xoxb-", "sk-"), re.compile(r"(?<![\w-])(?:AKIA|ASIA|ghp_|xoxb-|sk-)[A-Za-z0-9_-]{14,}(?:\.+[A-Za-z0-9_-]+)*")),
+    ("secret", ("=", ":"), re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|token|secret|api[_ -]?key|access[_ -]?key)[\"']? ?[=:] ?[\"']?(?=[^\s\"',;]{5,}?[^\s\"'.,;])[^\s\"'.,;]*(?:\.+[^\s\"'.,;]+)*[\"']?")),
     ("account", ("0", "1", "2", "3", "4", "5", "6", "7", "8", "9"), re.compile(r"(?<![\w])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w])")),
     ("national_id", ("-",), re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
 ]
