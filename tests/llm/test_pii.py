@@ -83,6 +83,17 @@ def test_secret_patterns_are_linear():
         pii.found_spans([t], SCORER)
 
 
+def test_all_candidates_reach_the_trees():
+    class Every:
+        threshold = np.zeros(len(pii.KINDS))
+
+        def score(self, rows):
+            return np.ones(len(rows))
+
+    for t in ("write to jane{at}mail.com soon", "password: qwertyuiop", "ghp_abcdefghijklmnopqrst"):
+        assert len(pii.candidates(t)) == 1 and pii.found_spans([t], Every())[0][1] == pii.candidates(t), t
+
+
 def test_held_out_quality():
     assert SCORER.held_out["precision"] > 0.97 and SCORER.held_out["recall"] > 0.75
 

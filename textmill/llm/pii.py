@@ -216,7 +216,7 @@ class Scorer:
 def found_spans(texts: list[str], scorer: Scorer) -> list[tuple[list, list]]:
     """For each text: (base spans, all spans), each by start and kind. One call of the trees for the whole batch."""
     base = [base_spans(t) for t in texts]
-    cand = [[c for c in candidates(t) if c not in b] if b or _might(t) else [] for t, b in zip(texts, base, strict=True)]
+    cand = [[c for c in candidates(t) if c not in b] for t, b in zip(texts, base, strict=True)]
     flat = [features(t, *c) for t, cs in zip(texts, cand, strict=True) for c in cs]
     prob = iter(scorer.score(flat) if flat else ())
     place = lambda x: (x[1], KINDS.index(x[0]), x[2])
@@ -233,10 +233,6 @@ def found_spans(texts: list[str], scorer: Scorer) -> list[tuple[list, list]]:
     return out
 
 
-def _might(text: str) -> bool:
-    return _DIGIT.search(text) is not None or "=" in text or " at " in text or "at)" in text or "at]" in text or "@" in text
-
-
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
