@@ -97,3 +97,36 @@ def test_canonical():
     assert chat.canonical(json.loads(chat.canonical({"z": {"y": 1}}))) == '{"z":{"y":1}}'
     with pytest.raises(ValueError):
         chat.canonical(float("nan"))
+
+
+def test_keywords_of_schemas():
+    v = chat.validate
+    text, whole = {"type": "string"}, {"type": "integer"}
+    good_bad = [
+        ({"anyOf": [text, {"type": "null"}]}, None, 1, "$: fits nothing of anyOf"),
+        ({"oneOf": [whole, {"type": "number", "minimum": 5}]}, 3, 7, "$: fits more than one of oneOf"),
+        ({"allOf": [whole, {"minimum": 2}]}, 2, 1, "$: below minimum"),
+        ({"not": text}, 1, "a", "$: fits what it must not"),
+        ({"if": whole, "then": {"minimum": 2}, "else": text}, "a", 1, "$: below minimum"),
+        ({"$ref": "#/$defs/n~1m", "$defs": {"n/m": whole}}, 1, "a", '$: not of type "integer"'),
+        ({"type": "object", "properties": {"next": {"$ref": "#"}}, "required": ["x"]}, {"x": 1, "next": {"x": 2}}, {"x": 1, "next": {}}, "$.next.x: missing"),
+        ({"pattern": "^[a-c]+$"}, "abc", "abc\n", "$: not of the pattern"),
+        ({"exclusiveMinimum": 1}, 2, 1, "$: below minimum"),
+        ({"exclusiveMaximum": 1}, 0, 1, "$: above maximum"),
+        ({"multipleOf": 0.1}, 0.3, 0.35, "$: not a multiple"),
+        ({"uniqueItems": True}, [1, True, "1"], [{"a": 1}, {"a": 1.0}], "$: not unique"),
+        ({"patternProperties": {"^n": whole}, "additionalProperties": False}, {"n1": 1}, {"m": 1}, "$.m: unknown"),
+        ({"minProperties": 1}, {"a": 1}, {}, "$: too few properties"),
+        ({"maxProperties": 1}, {"a": 1}, {"a": 1, "b": 2}, "$: too many properties"),
+        ({"propertyNames": {"maxLength": 1}}, {"a": 1}, {"ab": 1}, "$.ab (name): too long"),
+        ({"prefixItems": [text], "items": whole}, ["a", 1], ["a", "b"], '$[1]: not of type "integer"'),
+        ({"contains": whole}, ["a", 1], ["a"], "$: contains too few or too many"),
+        ({"properties": {"a": False}}, {}, {"a": 1}, "$.a: not allowed"),
+    ]
+    for schema, good, bad, error in good_bad:
+        assert chat.validate(good, schema) == [] and chat.validate(bad, schema) == [error], schema
+    assert v("a", {"format": "date"}) == ["$: format not checked"] and v("a", {"pattern": "("}) == ["$: pattern not checked"]
+    assert v(1, {"$ref": "http://x/y"}) == v(1, {"$ref": "#/none"}) == v(1, {"$ref": "#"}) == ["$: $ref not checked"]
+    assert v("a", {"anyOf": [{"format": "date"}, text]}) == [] and v("a", {"anyOf": [{"format": "date"}, whole]}) == ["$: format not checked"]
+    assert v({"$result": "c"}, {"not": {}}) == [] and v({"a": {"$result": "c"}}, {"oneOf": [{"properties": {"a": whole}}, {"properties": {"a": text}}]}) == []
+    assert v(1, {"minimum": "2"}) == ["$: malformed schema, not checked"]

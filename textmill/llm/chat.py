@@ -21,7 +21,11 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
+from fractions import Fraction
+from functools import lru_cache
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,40 +78,172 @@ def _references(value) -> list[str]:
     return sorted(out)
 
 
+#: Keywords that say nothing about which values are valid, or only hold or steer other keywords.
+_SILENT = frozenset("$schema $id id $comment $defs definitions title description default examples example deprecated readOnly writeOnly then else contentEncoding contentMediaType contentSchema minContains maxContains".split())
+_CHECKED = frozenset(
+    "$ref type enum const properties required additionalProperties patternProperties propertyNames minProperties maxProperties dependentRequired dependentSchemas items prefixItems additionalItems contains "
+    "minItems maxItems uniqueItems minimum maximum exclusiveMinimum exclusiveMaximum multipleOf minLength maxLength pattern allOf anyOf oneOf not if".split()
+)
+
+
+@lru_cache(1024)
+def _regex(pattern: str):
+    """A schema's (ECMAScript) pattern; None if Python has no such pattern."""
+    try:
+        plain = re.sub(r"\\[\s\S]|\[(?:\\[\s\S]|[^\]\\])*\]|\$", lambda m: r"\Z" if m[0] == "$" else m[0].replace(r"\d", "0-9") if m[0][0] == "[" else {r"\d": "[0-9]", r"\D": "[^0-9]", r"\w": "[A-Za-z0-9_]", r"\W": "[^A-Za-z0-9_]"}.get(m[0], m[0]), pattern)
+        return re.compile(plain)
+    except (re.error, OverflowError, RecursionError):
+        return None
+
+
+def _pointed(root, ref):
+    """(found, the subschema that a local reference names)"""
+    if not isinstance(ref, str) or ref != "#" and not ref.startswith("#/"):
+        return False, None
+    at = root
+    for part in unquote(ref[2:]).split("/") if ref != "#" else []:
+        part = part.replace("~1", "/").replace("~0", "~")
+        if isinstance(at, dict) and part in at:
+            at = at[part]
+        elif isinstance(at, list) and part.isdecimal() and int(part) < len(at):
+            at = at[int(part)]
+        else:
+            return False, None
+    return True, at
+
+
 def validate(value, schema, at: str = "$") -> list[str]:
-    """Errors of a value under the common part of JSON Schema (type, enum, const, required, properties,
-    additionalProperties, items, bounds of numbers, strings and arrays). A reference to a result fits any schema."""
-    if isinstance(value, dict) and isinstance(value.get("$result"), str) or not isinstance(schema, dict):
+    """Errors of a value under a JSON Schema. References are local ones; a reference to a result fits any schema. A keyword
+    that is not checked (format, unevaluated..., other references, patterns unknown to Python) is reported as `not checked`."""
+    try:
+        return [*dict.fromkeys(text for _, text in _check(value, schema, at, schema, ()))]
+    except RecursionError:
+        return [f"{at}: too deep, not checked"]
+    except (AttributeError, OverflowError, TypeError, ValueError):  # such as a text for a bound
+        return [f"{at}: malformed schema, not checked"]
+
+
+def _check(value, schema, at: str, root, active: tuple) -> list[tuple[bool, str]]:
+    """(is an error, text) of each error, and of each keyword that is not checked. ``active``: references being followed for this value."""
+    if isinstance(value, dict) and isinstance(value.get("$result"), str):
+        return []
+    if schema is False:
+        return [(True, f"{at}: not allowed")]
+    if not isinstance(schema, dict):
         return []
     out = []
+    bad = lambda text, where=at: out.append((True, f"{where}: {text}"))
+    skip = lambda k: out.append((False, f"{at}: {k} not checked"))
+    same = lambda s: _check(value, s, at, root, active)
+    child = lambda v, s, where: out.extend(_check(v, s, where, root, ()))
+    failed = lambda found: any(e for e, _ in found)
     kinds = schema.get("type")
+    number = isinstance(value, int | float) and not isinstance(value, bool)
     if kinds is not None:
-        number = isinstance(value, int | float) and not isinstance(value, bool)
         fits = lambda k: value is None if k == "null" else number if k == "number" else number and float(value).is_integer() if k == "integer" else isinstance(value, TYPES.get(k, object))
         if not any(fits(k) for k in (kinds if isinstance(kinds, list) else [kinds])):
-            return [f"{at}: not of type {canonical(kinds)}"]
+            return [(True, f"{at}: not of type {canonical(kinds)}")]
+    for k in sorted(schema):
+        if k not in _CHECKED and k not in _SILENT and not k.startswith("x-"):
+            skip(k)
+    if "$ref" in schema:
+        ref = schema["$ref"]
+        found, target = _pointed(root, ref)
+        if not found or ref in active:
+            skip("$ref")
+        else:
+            out += _check(value, target, at, root, (*active, ref))
     if "enum" in schema and value not in schema["enum"]:
-        out.append(f"{at}: not in enum")
+        bad("not in enum")
     if "const" in schema and value != schema["const"]:
-        out.append(f"{at}: not the constant")
+        bad("not the constant")
+    for s in schema.get("allOf") or []:
+        out += same(s)
+    for key in ("anyOf", "oneOf"):
+        if isinstance(schema.get(key), list):
+            open_ = [f for f in map(same, schema[key]) if not failed(f)]
+            sure = sum(not f for f in open_)
+            if not open_:
+                bad(f"fits nothing of {key}")
+            elif key == "oneOf" and sure > 1 and not _references(value):
+                bad("fits more than one of oneOf")
+            elif not sure or key == "oneOf" and len(open_) > sure:
+                out += [x for f in open_ for x in f]
+    if "not" in schema and not _references(value):
+        found = same(schema["not"])
+        if not found:
+            bad("fits what it must not")
+        elif not failed(found):
+            out += found
+    if "if" in schema:
+        found = same(schema["if"])
+        if found and not failed(found):
+            out += found
+        elif (branch := "else" if found else "then") in schema:
+            out += same(schema[branch])
     if isinstance(value, dict):
-        known = schema.get("properties") or {}
-        out += [f"{at}.{k}: missing" for k in schema.get("required") or [] if k not in value]
+        known, patterns, rest = schema.get("properties") or {}, [], schema.get("additionalProperties")
+        for p, s in (schema.get("patternProperties") or {}).items():
+            if _regex(p) is None:
+                skip("patternProperties")
+                rest = None
+            else:
+                patterns.append((_regex(p), s))
+        out += [(True, f"{at}.{k}: missing") for k in schema.get("required") or [] if k not in value]
         for k in sorted(value):
-            if k in known:
-                out += validate(value[k], known[k], f"{at}.{k}")
-            elif schema.get("additionalProperties") is False:
-                out.append(f"{at}.{k}: unknown")
-            elif isinstance(schema.get("additionalProperties"), dict):
-                out += validate(value[k], schema["additionalProperties"], f"{at}.{k}")
-    if isinstance(value, list) and "items" in schema:
+            own = [s for p, s in patterns if p.search(k)] + ([known[k]] if k in known else [])
+            for s in own:
+                child(value[k], s, f"{at}.{k}")
+            if not own and rest is False:
+                bad("unknown", f"{at}.{k}")
+            elif not own and isinstance(rest, dict):
+                child(value[k], rest, f"{at}.{k}")
+            if "propertyNames" in schema:
+                child(k, schema["propertyNames"], f"{at}.{k} (name)")
+            out += [(True, f"{at}.{x}: missing beside {k}") for x in (schema.get("dependentRequired") or {}).get(k, []) if x not in value]
+            if k in (schema.get("dependentSchemas") or {}):
+                out += same(schema["dependentSchemas"][k])
+        if len(value) < schema.get("minProperties", 0):
+            bad("too few properties")
+        if len(value) > schema.get("maxProperties", len(value)):
+            bad("too many properties")
+    if isinstance(value, list):
+        first, rest = schema.get("prefixItems") or [], schema.get("items")
+        if isinstance(rest, list):
+            first, rest = rest, schema.get("additionalItems")
         for k, v in enumerate(value):
-            out += validate(v, schema["items"], f"{at}[{k}]")
-    if isinstance(value, int | float) and not isinstance(value, bool):
-        out += [f"{at}: below minimum"] * (value < schema.get("minimum", value)) + [f"{at}: above maximum"] * (value > schema.get("maximum", value))
+            child(v, first[k] if k < len(first) else rest, f"{at}[{k}]")
+        if schema.get("uniqueItems") is True and len({canonical(v) for v in value}) < len(value):
+            bad("not unique")
+        if "contains" in schema:
+            found = [_check(v, schema["contains"], at, root, ()) for v in value]
+            sure, some = sum(not f for f in found), sum(not failed(f) for f in found)
+            low, high = schema.get("minContains", 1), schema.get("maxContains", len(value))
+            if some < low or sure > high:
+                bad("contains too few or too many")
+            elif sure < low or some > high:
+                skip("contains")
+    if number:
+        low, high = schema.get("exclusiveMinimum"), schema.get("exclusiveMaximum")
+        low, high = schema.get("minimum") if low is True else low, schema.get("maximum") if high is True else high  # draft 4 has booleans
+        if value < schema.get("minimum", value) or low not in (None, False) and value <= low:
+            bad("below minimum")
+        if value > schema.get("maximum", value) or high not in (None, False) and value >= high:
+            bad("above maximum")
+        if schema.get("multipleOf") and (Fraction(str(value)) / Fraction(str(schema["multipleOf"]))).denominator != 1:
+            bad("not a multiple")
+    if isinstance(value, str) and "pattern" in schema:
+        p = _regex(schema["pattern"])
+        if p is None:
+            skip("pattern")
+        elif not p.search(value):
+            bad("not of the pattern")
     if isinstance(value, str | list):
         low, high = ("minLength", "maxLength") if isinstance(value, str) else ("minItems", "maxItems")
-        out += [f"{at}: too short"] * (len(value) < schema.get(low, 0)) + [f"{at}: too long"] * (len(value) > schema.get(high, len(value)))
+        if len(value) < schema.get(low, 0):
+            bad("too short")
+        if len(value) > schema.get(high, len(value)):
+            bad("too long")
     return out
 
 
