@@ -68,3 +68,12 @@ def test_held_out_accuracy(spark, sf):
     held = got.join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
     assert held.where("lang = lang_pred").count() / held.count() > 0.97
     assert sum(r.held_out for r in got.collect()) == docs.where("crc32(cast(doc_id as string)) % 4 = 2").count()
+
+
+def test_small_share_of_a_long_document_is_selected():
+    """1.5 % of 10,000 words in a third language, without a neighbour that holds more of one."""
+    p = np.full((10_000, 4), 1e-6)
+    p[np.arange(10_000), np.repeat([0, 1, 2], [7000, 2850, 150])] = 1e-3
+    model = langid.Inference(["a", "b", "c", "d"], np.zeros((langid.BUCKETS, 4)))
+    theta = model._select(p, np.ones(10_000), np.zeros(10_000, int), np.array([0]), np.array([10_000.0]))
+    assert (theta[0] > 0).tolist() == [True, True, True, False] and abs(theta[0, 2] - 0.015) < 0.003

@@ -169,8 +169,6 @@ class Inference:
             score = like - PENALTY * (size - 1) * np.log(total + 1)
             take = score > best + 1e-9
             best[take], out[take] = score[take], theta[take]
-            if size >= 2 and not (full[np.arange(len(full)), order[:, min(size, k - 1)]] > 0.02).any():
-                break
         return out
 
 
