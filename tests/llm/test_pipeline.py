@@ -1,8 +1,8 @@
 import corpus_pipeline as cp
 import numpy as np
+from tokenizers import Tokenizer
 
 from textmill.llm import decontaminate, minhash, packing, pii, quality
-from textmill.llm.tokens import encoder
 
 from . import test_decontaminate, test_minhash
 from .fixtures import edge_docs, empty_docs
@@ -41,8 +41,8 @@ def test_run_equals_brute_force_stage_by_stage(spark, sf):
     assert step.schema == docs.schema and {r.doc_id: r.text for r in step.collect()} == want
     assert all(r.n_chars == len(r.text) for r in step.collect())
 
-    e = encoder(cp.registry.vocabulary("byte_bpe_50k.json"), "byte")
-    sizes = {i: len(e.tok.encode(t, add_special_tokens=False).ids) + 1 for i, t in want.items()}
+    tok = Tokenizer.from_file(cp.registry.vocabulary("byte_bpe_50k.json"))
+    sizes = {i: len(tok.encode(t, add_special_tokens=False).ids) + 1 for i, t in want.items()}
     got = cp.run(spark, sf).collect()
     assert sorted((r.doc_id, r.piece, r.start, r.length) for r in got) == sorted((i, k, s, n) for i, m in sizes.items() for k, (s, n) in enumerate(packing.cut(m, 2048)))
     fill = np.bincount(np.unique([r.sequence_id for r in got], return_inverse=True)[1], [r.length for r in got])

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -6,12 +7,18 @@ from pyspark.sql import functions as F
 
 from textmill.llm import records, registry
 from textmill.llm.common import fresh_path
-from textmill.llm.tokens import encoder
+from textmill.llm.tokens import PieceEncoder, encoder
 
 from .fixtures import edge_docs, empty_docs
 
 VOCAB = registry.vocabulary("word_bpe_49k.json")
-ODD = ["", " ", "  a", "a  b", "a \n b\n\n  c ", "a   ", "don't 's it's  ok foo', bar.'s", "É́ á b̀ e´", "a\xa0b  c", "x\x1cy \x1d z", "<|endoftext|> hi", "日本語 テキスト", "a\t\tb \t c", "I'M 'S ΑΣ ΑΣ β", "a\x85 b", "\n a", "\x00 a \x00", "a.b,c !!! ???", "w" * 500, "²½ a² 12 345x", "x foo.\nBar, z", "x foo'\ns y", "x a\n\nB", "x École,\nÉté! y", "x a\n's y", "x 12\nab", "y it's.\nThe x"]
+ODD = ["", " ", "  a", "a  b", "a \n b\n\n  c ", "a   ", "don't 's it's  ok foo', bar.'s", "É́ á b̀ e´", "a\xa0b  c", "x\x1cy \x1d z", "<|endoftext|> hi", "a <|endoftext|><|startoftext|>b <|ENDOFTEXT|> <|endoftext|>", "<|endoftext|>", "don'<|endoftext|>t  \n<|endoftext|>  x", "<|endof<|endoftext|>text|>", "日本語 テキスト", "a\t\tb \t c", "I'M 'S ΑΣ ΑΣ β", "a\x85 b", "\n a", "\x00 a \x00", "a.b,c !!! ???", "w" * 500, "²½ a² 12 345x", "x foo.\nBar, z", "x foo'\ns y", "x a\n\nB", "x École,\nÉté! y", "x a\n's y", "x 12\nab", "y it's.\nThe x"]
+
+
+def fresh(name):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(registry.vocabulary(name))
 
 
 def library_ids(tok, text):
@@ -20,18 +27,24 @@ def library_ids(tok, text):
 
 @pytest.mark.parametrize(("name", "kind"), [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
 def test_piecewise_ids_equal_library(name, kind, spark, sf):
-    e = encoder(registry.vocabulary(name), kind)
-    texts = ODD + [r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    e, tok = encoder(registry.vocabulary(name), kind), fresh(name)
+    rng = random.Random(5)
+    parts = ["<|endoftext|>", "<|startoftext|>", " ", "\n", "'s", "a", "The ", "É", "\u0301", "<|", "12", ".", "<|END", "oftext|>"]
+    texts = ODD + ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(3000)] + [r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     for t in texts + texts[:30]:
-        assert list(np.frombuffer(e.encode(t), e.dtype)) == library_ids(e.tok, t), t[:80]
+        assert list(np.frombuffer(e.encode(t), e.dtype)) == library_ids(tok, t), t[:80]
+    own = PieceEncoder(registry.vocabulary(name), kind, special_as_text=True)
+    tok.encode_special_tokens = True
+    for t in texts[:2000]:
+        assert list(np.frombuffer(own.encode(t), e.dtype)) == library_ids(tok, t), t[:80]
 
 
 def brute(rows):
     """Per document in (id, hash) order: start, n, crc."""
-    e = encoder(VOCAB, "word")
+    tok = fresh("word_bpe_49k.json")
     at, out = 0, []
     for doc_id, text in rows:
-        ids = np.array([*library_ids(e.tok, text or ""), 2], "<u4")
+        ids = np.array([*library_ids(tok, text or ""), 2], "<u4")
         out.append((doc_id, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     return out

@@ -2,7 +2,8 @@
 
 Ids are the tokenizers library's. A text is cut at places where no token and no pre-token can span (see
 `PieceEncoder`); each distinct piece goes through the library once per worker and is then looked up, which is
-faster than encoding whole texts and gives the same ids.
+faster than encoding whole texts and gives the same ids. Strings of special tokens in a text are what the library makes of
+them: one special id each, unless ``special_as_text`` is set, which makes them ordinary text.
 """
 
 from __future__ import annotations
@@ -54,17 +55,21 @@ class PieceEncoder:
     at each single blank that a non-space follows, so texts are cut there.
     ``kind`` "word": vocabularies that drop white space and lower the case; cut at blanks, tabs and line ends.
     Letters and a tail of ASCII symbols are always two pre-tokens, so they are looked up apart; plain letters go
-    straight to the library's model. Strings of special tokens in a text are ordinary text.
+    straight to the library's model. The library takes special tokens out of a text before anything else, so a text is first
+    split at their strings; what lies between holds none, also once it is in lower case.
     """
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items() if t.special}
+        self.special = None if special_as_text or not special else re.compile("(" + "|".join(sorted(map(re.escape, special), key=len, reverse=True)) + ")")
         self.model = self.tok.model
         self.width = 2 if self.tok.get_vocab_size() <= 65536 else 4
         self.dtype, self.code = ("<u2", "H") if self.width == 2 else ("<u4", "I")
+        self.special_ids = {s: i.to_bytes(self.width, "little") for s, i in special.items()}
         self.byte = kind == "byte"
         self.lead, self.model_lead = (" ", "Ġ") if self.byte else ("", "")
         self.letters = _byte_letters()
@@ -98,8 +103,14 @@ class PieceEncoder:
         return self.tails[tail]
 
     def encode(self, text: str) -> bytes:
+        if self.special and self.special.search(text):
+            parts = self.special.split(text)
+            return b"".join(self.special_ids[x] if k % 2 else self._plain(x) for k, x in enumerate(parts))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if not text:
-            return self._ids(text)
+            return b""
         if self.byte:
             parts = text.split(" ") if not _ODD.search(text) else _AT.split(text)
             return self._ids(parts[0]) + b"".join(map(self.pieces.__getitem__, parts[1:]))
