@@ -1,24 +1,28 @@
 """Shared storage of a job: written tables cut the lineage of iterative operators, so a lost executor costs a re-read.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests, one machine)
-a temporary folder takes its place.
+The folder is the one the cluster names in ``spark.checkpoint.dir``; only on one machine (master ``local[...]``) a temporary
+folder takes its place where that is unset.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
-#: Rows up to which a frame may be broadcast. Its size is counted first, each time.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes up to which a frame may be broadcast. Both are measured first, each time.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="textmill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -36,6 +40,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if a count shows at most ``rows`` rows; else the join shuffles. ``df`` must be cheap to count."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
+def _width(df: DataFrame):
+    """Bytes of a row: fixed types by their size, text and nested columns by their content."""
+    wide = [f.name for f in df.schema if isinstance(f.dataType, StringType | BinaryType)]
+    nested = [f.name for f in df.schema if isinstance(f.dataType, ArrayType | MapType | StructType)]
+    total = F.lit(8 * len(df.columns) + 16).cast("long")
+    for c in wide:
+        total = total + F.coalesce(F.octet_length(c), F.lit(0))
+    if nested:
+        total = total + F.octet_length(F.to_json(F.struct(*nested)))
+    return total
+
+
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a frame has at most ``rows`` rows of ``size`` bytes in all; reads at most one row more. It must be cheap to read."""
+    n, b = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(_width(df)), F.lit(0))).head()
+    return n <= rows and b <= size
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only if a measurement shows at most ``rows`` rows and ``size`` bytes; else the join shuffles."""
+    return F.broadcast(df) if fits_broadcast(df, rows, size) else df.hint("merge")
