@@ -30,7 +30,10 @@ def key(x):
     return tuple((v is not None, v) for v in x)
 
 
-def test_edge_cases(spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_edge_cases(spark, small, monkeypatch):
+    if not small:
+        monkeypatch.setattr(warc, "fits_broadcast", lambda df: False)
     pages = spark.createDataFrame([(*r, "x", "y", 1) for r in EDGE], SCHEMA)
     got = sorted((tuple(r) for r in warc.archived(spark, pages).collect()), key=key)
     fix = [(a, b, c, d, e, u and u.replace("\r\n", "%0D%0A")) for a, b, c, d, e, u in brute(EDGE)]
@@ -38,7 +41,10 @@ def test_edge_cases(spark):
     assert warc.archived(spark, spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_hot_payload_and_selection(spark, sf):
+@pytest.mark.parametrize("small", [True, False])
+def test_hot_payload_and_selection(spark, sf, small, monkeypatch):
+    if not small:
+        monkeypatch.setattr(warc, "fits_broadcast", lambda df: False)
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     pages = pages.union(pages.selectExpr("page_id + 1000", "url", "'same' as html"))
     root = fresh_path(spark, "warc")

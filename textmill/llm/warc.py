@@ -2,7 +2,9 @@
 record, and reads that go from the index to coalesced byte ranges of the selected records.
 
 Records with equal payloads: the row with the smallest page_id is the `response`, the others are `revisit` records
-that hold the headers only and refer to it. What is shuffled for that are digests and ids, never the pages.
+that hold the headers only and refer to it. What is shuffled for that are digests and ids. The revisits are then looked up by the
+pages from a broadcast; where they are too many for one, pages move once, dealt by (id, digest, url), never by a shared digest
+alone, so that a page that a third of all rows repeat is no hot key.
 
 Defined cases: a null page is the empty payload; a null url leaves out the target header; a null id never is the
 smallest and leaves out the id header (a group of null ids only: all are responses); equal rows with
@@ -22,7 +24,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, broadcast_if_small, fresh_path, materialize, open_fs, release
+from ..storage import fits_broadcast
+from .common import bounded_batches, fresh_path, materialize, open_fs, release
 
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string"
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
@@ -76,6 +79,15 @@ def _arrow(schema: str):
     return pa.schema([(a, kinds[b]) for a, b in (x.split() for x in schema.split(", "))])
 
 
+def _with_first(rows: DataFrame, same: DataFrame) -> DataFrame:
+    """``rows`` with the ``first`` id of their payload's group, without a broadcast: each revisit's (id, digest, url) carries it."""
+    ident = lambda: F.xxhash64(F.col("page_id"), F.col("page_id").isNull(), F.col("sum"), F.col("url"))
+    tags = rows.where("sum is not null").select("page_id", "sum", ident().alias("ident")).distinct().join(same.hint("merge"), "sum").where(~F.col("page_id").eqNullSafe(F.col("first")))
+    tags = materialize(tags.select("ident", F.col("page_id").alias("_id"), F.col("sum").alias("_sum"), "first").distinct(), "revisits")
+    tagged = rows.withColumn("ident", ident())
+    return tagged.join(tags.hint("merge"), (tagged["ident"] == tags["ident"]) & tagged["page_id"].eqNullSafe(tags["_id"]) & (tagged["sum"] == tags["_sum"]), "left").drop("ident", "_id", "_sum")
+
+
 def write_archive(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write a record per row below ``root``; returns the committed index."""
     import pyarrow as pa
@@ -84,9 +96,13 @@ def write_archive(pages: DataFrame, root: str, id_col: str = "page_id", url_col:
     bounded_batches(spark)
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
-    sums = rows.where(F.length("html") >= min_bytes).select("page_id", F.sha1("html").alias("sum"))
+    rows = rows.withColumn("sum", F.when(F.length("html") >= min_bytes, F.sha1("html")))
+    sums = rows.where("sum is not null").select("page_id", "sum")
     same = materialize(sums.groupBy("sum").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sum", "first"), "same-payload")
-    rows = rows.withColumn("sum", F.when(F.length("html") >= min_bytes, F.sha1("html"))).join(broadcast_if_small(same), "sum", "left")
+    if fits_broadcast(same):
+        rows = rows.join(F.broadcast(same), "sum", "left")
+    else:
+        rows = _with_first(rows, same)
     rows = rows.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
     schema = _arrow(INDEX)
 
