@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from textmill.llm import embeddings as em
 
@@ -19,16 +20,17 @@ def planted(seed=3, dim=12, groups=30):
         out += [base] * (60 if g == 1 else 1)
     out += list(r.normal(size=(150, dim)))
     rows = [(k, [float(np.float32(a)) for a in x], k % 3) for k, x in enumerate(out)]
-    odd = [(9001, None), (9002, []), (9003, [0.0] * dim), (9004, [float("nan")] + [1.0] * (dim - 1)), (9005, [float("inf")] * dim), (9006, [None] + [1.0] * (dim - 1)), (9007, [1.0] * (dim + 1)), (None, rows[0][1]), (5, rows[5][1])]
+    odd = [(9001, None), (9002, []), (9003, [0.0] * dim), (9004, [float("nan")] + [1.0] * (dim - 1)), (9005, [float("inf")] * dim), (9006, [None] + [1.0] * (dim - 1)), (9007, [1.0] * (dim + 1)), (9008, [2.0] * (dim + 1)), (9009, [1.0, 0.0]), (9010, [1.0, 0.1]), (9011, [0.0, 1.0]), (None, rows[0][1]), (5, rows[5][1])]
     return rows + [(i, x, None) for i, x in odd]
 
 
-def brute(rows, dim=12):
-    ok = [x is not None and len(x) == dim and all(v is not None and np.isfinite(v) for v in x) and any(x) for _, x, _ in rows]
-    at = [k for k, o in enumerate(ok) if o]
-    x = em.unit(np.array([rows[k][1] for k in at], np.float64))
-    m = x @ x.T >= 0.9
-    links = [(at[i], at[j]) for i, j in zip(*np.nonzero(m), strict=True) if i < j]
+def brute(rows):
+    ok = [bool(x) and all(v is not None and np.isfinite(v) for v in x) and any(x) for _, x, _ in rows]
+    links = []
+    for dim in {len(rows[k][1]) for k, o in enumerate(ok) if o}:
+        at = [k for k, o in enumerate(ok) if o and len(rows[k][1]) == dim]
+        x = em.unit(np.array([rows[k][1] for k in at], np.float64))
+        links += [(at[i], at[j]) for i, j in zip(*np.nonzero(x @ x.T >= 0.9), strict=True) if i < j]
     comp = union(range(len(rows)), links)
     n = [0] * len(rows)
     for a, b in links:
@@ -49,7 +51,9 @@ def key(r):
     return (r[0] is None, r[0] or 0, r[1:])
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("one_cell", [em.ONE_CELL, 2])
+def test_against_brute_force(spark, one_cell, monkeypatch):
+    monkeypatch.setattr(em, "ONE_CELL", one_cell)
     rows = planted()
     got, want = sorted(run(spark, rows), key=key), sorted(brute(rows), key=key)
     assert [g[0] for g in got] == [w[0] for w in want]
@@ -60,6 +64,7 @@ def test_against_brute_force(spark):
 
 def test_small_blocks_give_the_same(spark, monkeypatch):
     rows = planted(8)
+    monkeypatch.setattr(em, "ONE_CELL", 2)
     a = sorted(run(spark, rows), key=key)
     monkeypatch.setattr(em, "BLOCK", 16)
     assert sorted(run(spark, rows), key=key) == a
@@ -91,3 +96,15 @@ def test_forest_connects_what_links_connect():
         nodes = {x for e in links for x in e}
         edges = [(int(x), int(y)) for x, y in zip(*em.forest(m, qa, qb), strict=True)] if links else []
         assert union(nodes, edges) == union(nodes, links) and len(edges) < max(1, len(nodes))
+
+
+def test_recall_against_brute_force(spark, sf, monkeypatch):
+    """All links of a whole table, with a grid of small cells in use."""
+    monkeypatch.setattr(em, "ONE_CELL", 50)
+    monkeypatch.setattr(em, "PER_CELL", 8)
+    vectors = spark.read.parquet(sf.replace("sf0.001", "sf0.1") + "/embeddings.parquet")
+    got = {r.vec_id: r.n_links for r in em.near_vectors(vectors).collect()}
+    rows = vectors.collect()
+    x = em.unit(np.array([r.embedding for r in rows], np.float64))
+    want = {r.vec_id: int(n) - 1 for r, n in zip(rows, (x @ x.T >= 0.9).sum(1), strict=True)}
+    assert all(got[i] <= n for i, n in want.items()) and sum(got.values()) >= 0.97 * sum(want.values()) > 0

@@ -10,8 +10,12 @@ any member visits are compared whole, in both directions, by exact cosine in dou
 Equal vectors are one class with a count, so copies cost nothing. A large cell is compared in blocks; a block gives
 counts and a spanning forest of its links, never its pairs.
 
-Codebooks are fitted on at most TRAIN vectors; every vector is indexed. Defined cases: a null or empty vector, one with null or
-non-finite components, a zero vector, and one whose dimension is not the commonest, links with nothing: n_links 0, its own
+Vectors are compared with those of their own dimension only; each dimension has its own grid, one of a single cell for dimensions
+with at most ONE_CELL distinct vectors. Grids have as many codes as give PER_CELL vectors a cell, up to MAX_CODES; they are fitted on
+at most TRAIN vectors, or CODE_TRAIN for each code; every vector is indexed. The directory of the lists is a table that the work is
+joined with; what the driver holds are the codebooks.
+
+Defined cases: a null or empty vector, one with null or non-finite components and a zero vector link with nothing: n_links 0, its own
 id as component, kept. Repeated rows are linked to one another. A null id never is a component's smallest id unless
 all are null. Empty table: no rows. Labels and other columns are ignored.
 """
@@ -33,10 +37,13 @@ THRESHOLD = 0.9
 TARGET_RECALL = 0.99
 #: Share of made neighbours, with cosines spread from the threshold to 1, whose cell must be visited.
 TARGET_MADE = 0.97
-TRAIN = 20_000
+TRAIN, CODE_TRAIN = 20_000, 20
 QUERIES = 256
 PER_CELL = 64
-MAX_CODES = 256
+MAX_CODES = 4096
+ONE_CELL = 2048
+#: Cells of one dimension are numbered below this; the dimension is in the digits above.
+CELLS = 1 << 32
 BLOCK = 1024
 CACHE_BYTES = 48 << 20
 SLACKS = 4000
@@ -146,17 +153,31 @@ def _slack_bound(classes: DataFrame, grid: Grid, queries, threshold: float) -> f
     return max(made, true) + 1e-9
 
 
-def _write_lists(classes: DataFrame, grid: Grid, root: str, lists: int) -> DataFrame:
-    """Inverted lists below ``root`` in cell order; returns the committed directory (cell, file, at, n)."""
+def _by_dimension(column) -> Iterator[tuple[int, object, object]]:
+    """(dimension, places in the batch, unit vectors) of a batch of lists."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    for d in np.unique(sizes):
+        at = np.flatnonzero(sizes == d)
+        yield int(d), at, unit(_matrix(column.take(at) if len(at) < len(sizes) else column))
+
+
+def _write_lists(classes: DataFrame, grids, root: str, lists: int) -> DataFrame:
+    """Inverted lists below ``root`` in cell order; returns the committed directory (cell, file, at, n), at in bytes."""
     import numpy as np
     import pyarrow as pa
 
     def assign(batches: Iterator) -> Iterator:
+        known = grids.value
         for b in batches:
-            if b.num_rows:
-                yield pa.record_batch([pa.array(grid.cells(unit(_matrix(b["v"]))).astype(np.int32)), b["cid"], b["n"], b["v"]], names=["cell", "cid", "n", "v"])
+            cell = np.zeros(b.num_rows, np.int64)
+            for d, at, x in _by_dimension(b["v"]):
+                cell[at] = d * CELLS + (known[d][0].cells(x) if d in known else 0)
+            yield pa.record_batch([pa.array(cell), b["cid"], b["n"], b["v"]], names=["cell", "cid", "n", "v"])
 
-    dealt = classes.mapInArrow(assign, "cell int, cid long, n long, v array<double>").repartitionByRange(lists, "cell", "cid").sortWithinPartitions("cell", "cid")
+    dealt = classes.mapInArrow(assign, "cell long, cid long, n long, v array<double>").repartitionByRange(lists, "cell", "cid").sortWithinPartitions("cell", "cid")
 
     def write(batches: Iterator) -> Iterator:
         out, name, at, rows = None, "", 0, []
@@ -168,42 +189,46 @@ def _write_lists(classes: DataFrame, grid: Grid, root: str, lists: int) -> DataF
                 fs.create_dir(base, recursive=True)
                 name = f"{uuid.uuid4().hex}.list"
                 out = fs.open_output_stream(f"{base}/{name}")
-            cell, v = b["cell"].to_numpy(), _matrix(b["v"])
-            rec = np.concatenate([b["cid"].to_numpy().view(np.float64)[:, None], b["n"].to_numpy().view(np.float64)[:, None], v], axis=1)
-            out.write(np.ascontiguousarray(rec).tobytes())
-            for c, begin, count in zip(*np.unique(cell, return_index=True, return_counts=True), strict=True):
-                rows.append((int(c), name, at + int(begin), int(count)))
-            at += len(cell)
+            cells = b["cell"].to_numpy()
+            edges = np.flatnonzero(np.diff(cells, prepend=-1, append=-1))
+            for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                part = b.slice(begin, end - begin)
+                rec = np.concatenate([part[c].to_numpy().view(np.float64)[:, None] for c in ("cid", "n")] + [_matrix(part["v"])], axis=1)
+                data = np.ascontiguousarray(rec).tobytes()
+                out.write(data)
+                rows.append((int(cells[begin]), name, at, end - begin))
+                at += len(data)
         if out is not None:
             out.close()
-            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["cell", "file", "at", "n"])
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["cell", "file", "at", "n"])
 
-    return materialize(dealt.mapInArrow(write, "cell int, file string, at long, n long"), "directory")
+    return materialize(dealt.mapInArrow(write, "cell long, file string, at long, n long"), "directory")
 
 
 class Lists:
     """Reads inverted lists by byte range; keeps the last CACHE_BYTES of unit vectors."""
 
-    def __init__(self, root: str, directory: dict, width: int):
+    def __init__(self, root: str):
         self.fs, self.base = open_fs(root)
-        self.directory, self.width, self.cache, self.held = directory, width, OrderedDict(), 0
+        self.cache, self.held = OrderedDict(), 0
 
-    def part(self, cell: int, low: int, high: int):
-        """(cid, n, unit vectors) of the members low..high of a cell."""
+    def part(self, cell: int, parts: list, low: int, high: int):
+        """(cid, n, unit vectors) of the members low..high of a cell; ``parts``: its directory rows (file, at, n)."""
         import numpy as np
 
         key = (cell, low, high)
         if key in self.cache:
             self.cache.move_to_end(key)
             return self.cache[key]
-        chunks, seen, size = [], 0, 8 * (self.width + 2)
-        for file, at, n in self.directory.get(cell, ()):
-            a, b = max(low, seen), min(high, seen + n)
+        width = cell // CELLS + 2
+        chunks, seen, size = [], 0, 8 * width
+        for p in parts:
+            a, b = max(low, seen), min(high, seen + p["n"])
             if a < b:
-                with self.fs.open_input_file(f"{self.base}/{file}") as f:
-                    f.seek((at + a - seen) * size)
-                    chunks.append(np.frombuffer(f.read((b - a) * size), np.float64).reshape(-1, self.width + 2))
-            seen += n
+                with self.fs.open_input_file(f"{self.base}/{p['file']}") as f:
+                    f.seek(p["at"] + (a - seen) * size)
+                    chunks.append(np.frombuffer(f.read((b - a) * size), np.float64).reshape(-1, width))
+            seen += p["n"]
         rec = np.concatenate(chunks)
         got = (np.ascontiguousarray(rec[:, 0]).view(np.int64), np.ascontiguousarray(rec[:, 1]).view(np.int64), unit(rec[:, 2:]))
         self.cache[key], self.held = got, self.held + got[2].nbytes
@@ -231,6 +256,15 @@ def forest(links, qa, qb):
             return nodes[keep], nodes[label[keep]]
 
 
+def _fitted(classes: DataFrame, count: int, threshold: float) -> tuple[Grid, float]:
+    """Grid and slack bound of the vectors of one dimension."""
+    codes = max(1, min(MAX_CODES, round((count / PER_CELL) ** 0.5)))
+    sample = classes.select("v", F.xxhash64("v").alias("o")).orderBy("o", "v").limit(max(TRAIN, CODE_TRAIN * codes)).select("v").toArrow()
+    sample = unit(_matrix(sample["v"].combine_chunks()))
+    grid = Grid(sample, codes)
+    return grid, _slack_bound(classes, grid, sample[:QUERIES], threshold)
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     import numpy as np
@@ -239,65 +273,58 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
-    dims = rows.where(fine).groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    dim = dims[0].d if dims else 0
-    good = fine & (F.size("v") == dim) if dims else F.lit(False)
-    alone = rows.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not dims:
-        return alone
-    rows = rows.where(good)
+    alone = rows.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    rows = rows.where(fine)
     classes = rows.groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("cid"), "v", "first", "n"), "vector-classes")
-    count = classes.count()
-
-    sample = classes.select("v", F.xxhash64("v").alias("o")).orderBy("o", "v").limit(TRAIN).select("v").toArrow()
-    sample = unit(_matrix(sample["v"].combine_chunks()))
-    grid = Grid(sample, max(1, min(MAX_CODES, round((count / PER_CELL) ** 0.5))))
-    bound = _slack_bound(classes, grid, sample[:QUERIES], threshold)
+    sizes = {r.d: r.n for r in classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}  # a row a dimension
+    if not sizes:
+        return alone
+    count = sum(sizes.values())
+    grids = spark.sparkContext.broadcast({d: _fitted(classes.where(F.size("v") == d), n, threshold) for d, n in sizes.items() if n > ONE_CELL})
 
     root = fresh_path(spark, "lists")
-    directory_rows = _write_lists(classes.select("cid", "n", "v"), grid, root, max(1, min(512, count // 4096))).orderBy("cell", "file").collect()
-    directory: dict[int, list] = {}
-    for r in directory_rows:  # at most MAX_CODES ** 2 cells, and one more row for each file
-        directory.setdefault(r.cell, []).append((r.file, r["at"], r.n))
-    shared = spark.sparkContext.broadcast(directory)
+    directory = _write_lists(classes.select("cid", "n", "v"), grids, root, max(1, min(512, count // 4096)))
+    directory = directory.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("file", "at", "n"))).alias("parts"), F.sum("n").alias("size"))
+    directory = materialize(directory, "cells")
 
     def visits(batches: Iterator) -> Iterator:
-        known = shared.value
+        known = grids.value
         pairs = set()
         for b in batches:
-            x = unit(_matrix(b["v"]))
-            for a in range(0, len(x), 2048):
-                d1, d2 = grid.distances(x[a : a + 2048])
-                for p, q in zip(d1, d2, strict=True):
-                    low = p.min() + q.min()
-                    own = int(p.argmin()) * len(grid.c2) + int(q.argmin())
-                    for i, j in multi_sequence(p, q, low + bound):
-                        other = i * len(grid.c2) + j
-                        if other in known:
+            for dim, _, x in _by_dimension(b["v"]):
+                if dim not in known:
+                    pairs.add((dim * CELLS, dim * CELLS))
+                    continue
+                (grid, bound), first = known[dim], dim * CELLS
+                width = len(grid.c2)
+                for a in range(0, len(x), 2048):
+                    d1, d2 = grid.distances(x[a : a + 2048])
+                    for p, q in zip(d1, d2, strict=True):
+                        own = first + int(p.argmin()) * width + int(q.argmin())
+                        for i, j in multi_sequence(p, q, p.min() + q.min() + bound):
+                            other = first + i * width + j
                             pairs.add((own, other) if own <= other else (other, own))
-        got = np.array(sorted(pairs), np.int32).reshape(-1, 2)
+        got = np.array(sorted(pairs), np.int64).reshape(-1, 2)
         yield pa.record_batch([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
-    pairs = materialize(classes.select("v").mapInArrow(visits, "a int, b int").distinct(), "cell-pairs")
+    pairs = materialize(classes.select("v").mapInArrow(visits, "a long, b long").distinct(), "cell-pairs")
     both = pairs.union(pairs.select("b", "a").where("a <> b"))
-    sizes = {c: sum(n for *_, n in parts) for c, parts in directory.items()}
-    blocks = spark.createDataFrame([(c, k) for c, n in sizes.items() for k in range(-(-n // BLOCK))], "a int, block int")
-    work = both.groupBy("a").agg(F.collect_set("b").alias("visit")).join(blocks, "a")
-    work = work.repartition(max(spark.sparkContext.defaultParallelism, min(4096, sum(sizes.values()) // 512)), "a", "block")
+    lists_of = lambda c: directory.select(F.col("cell").alias(c), F.col("parts").alias(f"{c}_parts"), F.col("size").alias(f"{c}_size"))
+    work = both.join(lists_of("b"), "b").groupBy("a").agg(F.collect_list(F.struct("b", "b_parts", "b_size")).alias("visit")).join(lists_of("a"), "a")
+    work = work.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("a_size") / BLOCK) - 1)))
+    work = work.repartition(max(spark.sparkContext.defaultParallelism, min(4096, count // 512)), "a", "block")
 
     def compare(batches: Iterator) -> Iterator:
-        known = shared.value
-        lists = Lists(root, known, dim)
+        lists = Lists(root)
         for b in batches:
-            for a, k, visit in zip(b["a"].to_pylist(), b["block"].to_pylist(), b["visit"].to_pylist(), strict=True):
-                size = sum(n for *_, n in known[a])
-                qa, na, x = lists.part(a, k * BLOCK, min(size, (k + 1) * BLOCK))
+            for r in b.to_pylist():
+                k = r["block"]
+                qa, na, x = lists.part(r["a"], r["a_parts"], k * BLOCK, min(r["a_size"], (k + 1) * BLOCK))
                 linked, ea, eb = na - 1, [], []
-                for c in sorted(visit):
-                    whole = sum(n for *_, n in known[c])
-                    for at in range(0, whole, BLOCK):
-                        qb, nb, y = lists.part(c, at, min(whole, at + BLOCK))
+                for c in sorted(r["visit"], key=lambda c: c["b"]):
+                    for at in range(0, c["b_size"], BLOCK):
+                        qb, nb, y = lists.part(c["b"], c["b_parts"], at, min(c["b_size"], at + BLOCK))
                         m = x @ y.T >= threshold
                         m[qa[:, None] == qb[None, :]] = False
                         if m.any():
@@ -310,7 +337,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
                 to = np.concatenate([qa, *eb])
                 yield pa.record_batch([pa.array(cid), pa.array(link), pa.array(to)], names=["cid", "n_links", "other"])
 
-    found = materialize(work.select("a", "block", "visit").mapInArrow(compare, "cid long, n_links long, other long"), "vector-links")
+    found = materialize(work.mapInArrow(compare, "cid long, n_links long, other long"), "vector-links")
     labels = components(found.where("n_links < 0").select(F.col("cid").alias("a"), F.col("other").alias("b")))
     per_class = classes.join(found.where("n_links >= 0").select("cid", "n_links"), "cid").join(broadcast_if_small(labels), F.col("cid") == F.col("node"), "left")
     per_class = materialize(per_class.select("cid", "v", "first", "n_links", F.coalesce("label", "cid").alias("label")), "labelled")
