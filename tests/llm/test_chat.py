@@ -130,3 +130,40 @@ def test_keywords_of_schemas():
     assert v("a", {"anyOf": [{"format": "date"}, text]}) == [] and v("a", {"anyOf": [{"format": "date"}, whole]}) == ["$: format not checked"]
     assert v({"$result": "c"}, {"not": {}}) == [] and v({"a": {"$result": "c"}}, {"oneOf": [{"properties": {"a": whole}}, {"properties": {"a": text}}]}) == []
     assert v(1, {"minimum": "2"}) == ["$: malformed schema, not checked"]
+
+
+@pytest.mark.parametrize(("value", "schema"), [("ab", {"minLength": "3"}), (1, {"minimum": "x"}), ([], {"minItems": None}), (1, {"enum": 5}), ({}, {"required": 3}), ({"a": 1}, {"properties": [["a"]], "additionalProperties": {"minimum": "x"}}), (1, {"type": [{}]}), ([1], {"prefixItems": {"a": 1}}), (1, {"multipleOf": "0"}), ({"a": 1}, {"patternProperties": [1]}), ("a", {"pattern": ["x"]}), (1, {"allOf": 3}), ({"a": 1}, {"dependentRequired": 7})])
+def test_malformed_schemas(value, schema):
+    assert chat.validate(value, schema) == ["$: malformed schema, not checked"]
+    assert chat.validate({"x": value}, {"properties": {"x": schema}}) == ["$: malformed schema, not checked"]
+
+
+def test_malformed_messages(spark):
+    deep = "[" * 5000 + "]" * 5000
+    schemas = [{"type": "object", "minProperties": "3"}, {"required": 3}, {"properties": [1]}, {"type": [{}]}, 7, None, {"properties": {"a": {"maximum": 1e308}}}]
+    rows = [(k, 0, "system", json.dumps({"tools": [{"name": "f", "parameters": s}]})) for k, s in enumerate(schemas)]
+    rows += [(k, 1, "assistant", '{"tool_calls":[{"id":"\\ud83d","name":"f","arguments":{"a":%s,"s":"\\udc00x\\ud83d\\ude00"}}]}' % ("9" * 400)) for k in range(len(schemas))]
+    rows += [(k, 2, "tool", '{"tool_call_id":"\\ud83d","content":"\\udfff"}') for k in range(len(schemas))]
+    rows += [(99, 0, "assistant", '{"tool_calls":%s}' % deep), (99, 1, "assistant", '{"tool_calls":[{"id":"a","arguments":%s}]}' % json.dumps(deep)), (99, 2, "assistant", '{"content":"\\ud83d","x":1e999}'), (99, 3, "assistant", '{"content":%s}' % ("9" * 5000))]
+    out = run(spark, rows)
+    calls = [r for r in out if r.kind == "call" and r.conv_id < 99]
+    assert len(calls) == len(schemas) and all(r.status == "answered" and r.call_id == "\ufffd" and "\ufffdx\U0001f600" in r.json for r in calls)
+    assert [r.errors for r in sorted(calls, key=lambda r: r.conv_id)][:2] == [["$: malformed schema, not checked"]] * 2
+    assert chat.validate(10**400, {"type": "integer"}) == [] and chat.validate(10**400, {"maximum": 5.0}) == ["$: above maximum"]
+
+
+def test_derived_calls_against_sql(spark, sf):
+    import duckdb
+
+    from textmill.llm import registry
+
+    table = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    gaps = table.where("conv_id % 3 = 0 and turn <> 3 or conv_id % 3 = 1 and turn <> 0 or conv_id % 3 = 2 and turn <> 4")
+    for t in (table, gaps):
+        t.write.mode("overwrite").parquet(spark.conf.get("spark.checkpoint.dir") + "/derived/conversations.parquet")
+        got = [tuple(r) for r in registry.op8_tool_call_linking(spark, spark.conf.get("spark.checkpoint.dir") + "/derived").collect()]
+        db = duckdb.connect()
+        conversations = t.toPandas()  # noqa: F841
+        want = db.execute(chat.ORACLE).fetchall()
+        key = lambda x: tuple((v is not None, v) for v in x)
+        assert sorted(got, key=key) == sorted(want, key=key) and {"answered", "unanswered", "linked"} <= {x[7] for x in got}

@@ -99,12 +99,15 @@ def test_forest_connects_what_links_connect():
 
 
 def test_recall_against_brute_force(spark, sf, monkeypatch):
-    """All links of a whole table, with a grid of small cells in use."""
+    """All links of a whole table, each vector beside a copy with noise, with a grid of small cells in use."""
     monkeypatch.setattr(em, "ONE_CELL", 50)
     monkeypatch.setattr(em, "PER_CELL", 8)
-    vectors = spark.read.parquet(sf.replace("sf0.001", "sf0.1") + "/embeddings.parquet")
-    got = {r.vec_id: r.n_links for r in em.near_vectors(vectors).collect()}
-    rows = vectors.collect()
-    x = em.unit(np.array([r.embedding for r in rows], np.float64))
-    want = {r.vec_id: int(n) - 1 for r, n in zip(rows, (x @ x.T >= 0.9).sum(1), strict=True)}
-    assert all(got[i] <= n for i, n in want.items()) and sum(got.values()) >= 0.97 * sum(want.values()) > 0
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(sf.replace("sf0.001", "sf0.1") + "/embeddings.parquet").collect()]
+    r = np.random.default_rng(6)
+    x = em.unit(np.array([v for _, v in rows], np.float64))
+    noise = em.unit(r.normal(size=x.shape)) * r.uniform(0, 0.5, len(x))[:, None]
+    rows += [(i + 1_000_000, [float(np.float32(a)) for a in v]) for (i, _), v in zip(rows, x + noise, strict=True)]
+    got = {k.vec_id: k.n_links for k in em.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    x = em.unit(np.array([v for _, v in rows], np.float64))
+    want = {i: int(n) - 1 for (i, _), n in zip(rows, (x @ x.T >= 0.9).sum(1), strict=True)}
+    assert all(got[i] <= n for i, n in want.items()) and sum(got.values()) >= 0.95 * sum(want.values()) > 1000

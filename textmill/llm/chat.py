@@ -15,6 +15,8 @@ Of calls (results) with one id the first by (turn, part) counts. A call without
 Defined cases: a null text is an empty message; a null role is an empty role; a null conversation or turn is kept and
 links nothing; text that is no such JSON object is plain; a null or missing id links nothing (unanswered, orphan);
 repeated rows make repeated events; empty table: no rows; other columns are ignored. Events on a cycle keep their own turn.
+Escapes of lone surrogates in a message become U+FFFD. A schema that is malformed where a value meets it (a text for a bound, a number
+for `required`, ...) gives the one error `malformed schema, not checked`; one nested too deeply `too deep, not checked`.
 """
 
 from __future__ import annotations
@@ -53,11 +55,22 @@ def canonical(value) -> str:
     return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def _whole(value):
+    """A value without lone surrogates, which no UTF-8 text can hold."""
+    if isinstance(value, str):
+        return re.sub("[\ud800-\udfff]", "\ufffd", value)
+    if isinstance(value, list):
+        return [_whole(v) for v in value]
+    return {_whole(k): _whole(v) for k, v in value.items()} if isinstance(value, dict) else value
+
+
 def _object(text: str):
     if not text.lstrip().startswith("{"):
         return None
     try:
         got = json.loads(text)
+        if "\\u" in text:
+            got = _whole(got)
         canonical(got)
     except (ValueError, RecursionError):
         return None
@@ -119,7 +132,7 @@ def validate(value, schema, at: str = "$") -> list[str]:
         return [*dict.fromkeys(text for _, text in _check(value, schema, at, schema, ()))]
     except RecursionError:
         return [f"{at}: too deep, not checked"]
-    except (AttributeError, OverflowError, TypeError, ValueError):  # such as a text for a bound
+    except (ArithmeticError, AttributeError, LookupError, TypeError, ValueError):  # such as a text for a bound
         return [f"{at}: malformed schema, not checked"]
 
 
@@ -140,7 +153,7 @@ def _check(value, schema, at: str, root, active: tuple) -> list[tuple[bool, str]
     kinds = schema.get("type")
     number = isinstance(value, int | float) and not isinstance(value, bool)
     if kinds is not None:
-        fits = lambda k: value is None if k == "null" else number if k == "number" else number and float(value).is_integer() if k == "integer" else isinstance(value, TYPES.get(k, object))
+        fits = lambda k: value is None if k == "null" else number if k == "number" else number and (isinstance(value, int) or value.is_integer()) if k == "integer" else isinstance(value, TYPES.get(k, object))
         if not any(fits(k) for k in (kinds if isinstance(kinds, list) else [kinds])):
             return [(True, f"{at}: not of type {canonical(kinds)}")]
     for k in sorted(schema):
@@ -337,11 +350,6 @@ def linked(conversations: DataFrame, schemas: dict[str, dict] | None = None) ->
     first = lambda kind, name: known(kind).groupBy("conv_id", "call_id").agg(F.min(place).alias("p")).select("conv_id", "call_id", F.col("p.uid").alias(name))
     pairs = materialize(first("call", "call_uid").join(first("result", "result_uid"), ["conv_id", "call_id"], "full"), "pairs")
     calls = ev.where("kind = 'call'")
-    if pairs.limit(1).count() == 0 and calls.limit(1).count() == 0:
-        none = lambda c, t: F.lit(None).cast(t).alias(c)
-        status = F.when(F.col("kind") == "result", "orphan_result").otherwise("message").alias("status")
-        return ev.select("conv_id", "turn", "part", "role", "kind", "call_id", "name", status, none("has_schema", "boolean"), none("errors", "array<string>"), F.col("turn").alias("order_turn"), F.lit(0).alias("depth"), "json")
-
     own = ev.where("tools is not null and conv_id is not null").select("conv_id", "turn", F.posexplode("tools").alias("k", "t"))
     own = own.groupBy("conv_id", F.col("t.name").alias("name")).agg(F.max(F.struct("turn", "k", F.col("t.schema").alias("schema"))).alias("s")).select("conv_id", "name", F.col("s.schema").alias("own"))
     shared = spark.createDataFrame([(k, canonical(v)) for k, v in (schemas or {}).items()], "name string, shared string")
@@ -368,10 +376,42 @@ def linked(conversations: DataFrame, schemas: dict[str, dict] | None = None) ->
     return out.select("conv_id", "turn", "part", "role", "kind", "call_id", "name", status.alias("status"), has, "errors", F.coalesce("order_turn", "turn").alias("order_turn"), F.coalesce("depth", F.lit(0)).alias("depth"), "json")
 
 
-#: Of tables whose messages are all plain text.
+REPLY = {"type": "object", "required": ["text", "turn"], "properties": {"after": {}, "text": {"type": "string", "minLength": 30}, "turn": {"type": "integer", "maximum": 4}}, "additionalProperties": False}
+
+
+def as_calls(conversations: DataFrame) -> DataFrame:
+    """Plain turns told as tool calls, every row kept: turn 0 brings the schema of the tool `reply`; an odd turn calls it with its
+    text (from turn 3 on after the result of the call two turns before) and in every other odd turn also the unknown tool `note`;
+    an even turn from 2 on is the result of the call before it. Rows that are JSON objects already stay as they are."""
+    text, turn = F.coalesce("text", F.lit("")), F.col("turn").cast("long")
+    call_id = lambda k: F.concat(F.lit("turn-"), (turn - k).cast("string"))
+    message = F.to_json(F.struct(text.alias("content")))
+    system = F.concat(F.left(message, F.length(message) - 1), F.lit(',"tools":[' + json.dumps({"name": "reply", "parameters": REPLY}) + "]}"))
+    after = F.when(turn >= 3, F.struct(call_id(2).alias("$result")))
+    reply = F.to_json(F.struct(call_id(0).alias("id"), F.lit("reply").alias("name"), F.struct(text.alias("text"), turn.alias("turn"), after.alias("after")).alias("arguments")))
+    note = F.to_json(F.struct(F.concat(F.lit("note-"), turn.cast("string")).alias("id"), F.lit("note").alias("name"), F.struct(F.char_length(text).alias("chars")).alias("arguments")))
+    calls = F.concat(F.left(message, F.length(message) - 1), F.lit(',"tool_calls":['), reply, F.when(turn % 4 == 1, F.concat(F.lit(","), note)).otherwise(""), F.lit("]}"))
+    result = F.to_json(F.struct(call_id(1).alias("tool_call_id"), text.alias("content")))
+    plain = turn.isNotNull() & (turn >= 0) & ~F.startswith(F.ltrim(text), F.lit("{"))
+    kind = F.when(turn == 0, "system").when(turn % 2 == 1, "assistant").otherwise("tool")
+    told = F.when(turn == 0, system).when(turn % 2 == 1, calls).otherwise(result)
+    return conversations.select("conv_id", "turn", F.when(plain, kind).otherwise(F.col("role")).alias("role"), F.when(plain, told).otherwise(F.col("text")).alias("text"))
+
+
+#: `linked(as_calls(conversations))`, its errors joined, for tables of plain turns.
 ORACLE = """
-SELECT conv_id, turn, CAST(0 AS INTEGER) AS part, coalesce(role, '') AS role, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS VARCHAR) AS name, 'message' AS status,
-  CAST(NULL AS BOOLEAN) AS has_schema, CAST(NULL AS VARCHAR[]) AS errors, turn AS order_turn, CAST(0 AS INTEGER) AS depth,
-  '{"content":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',"role":' || CAST(to_json(coalesce(role, '')) AS VARCHAR) || '}' AS json
-FROM conversations
+WITH d AS (SELECT conv_id, turn, coalesce(text, '') AS text, CAST(to_json(coalesce(text, '')) AS VARCHAR) AS j FROM conversations),
+g AS (SELECT conv_id, turn, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM (SELECT DISTINCT conv_id, turn FROM conversations)),
+s AS (SELECT conv_id, turn, min(turn) OVER (PARTITION BY conv_id, island) AS begins, max(turn) OVER (PARTITION BY conv_id, island) AS ends, min(turn) OVER (PARTITION BY conv_id) = 0 AS tools FROM g),
+e AS (SELECT d.*, begins, ends, tools, begins + (begins + 1) % 2 AS first_call FROM d JOIN s USING (conv_id, turn)),
+m AS (SELECT conv_id, turn, CAST(0 AS INTEGER) AS part, CASE WHEN turn = 0 THEN 'system' ELSE 'assistant' END AS role, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, CAST(NULL AS VARCHAR) AS name, 'message' AS status,
+  CAST(NULL AS BOOLEAN) AS has_schema, CAST(NULL AS VARCHAR) AS errors, CAST(0 AS INTEGER) AS depth, '{"content":' || j || ',"role":"' || CASE WHEN turn = 0 THEN 'system' ELSE 'assistant' END || '"}' AS json FROM e WHERE turn = 0 OR turn % 2 = 1),
+c AS (SELECT conv_id, turn, 1, 'assistant', 'call', 'turn-' || turn, 'reply', CASE WHEN turn < ends THEN 'answered' ELSE 'unanswered' END, tools,
+  CASE WHEN tools THEN array_to_string(list_filter([CASE WHEN len(text) < 30 THEN '$.text: too short' END, CASE WHEN turn > 4 THEN '$.turn: above maximum' END], lambda x: x IS NOT NULL), '; ') END, CAST(turn - first_call AS INTEGER),
+  '{"role":"assistant","tool_call":{"arguments":{' || CASE WHEN turn >= 3 THEN '"after":{"$result":"turn-' || (turn - 2) || '"},' ELSE '' END || '"text":' || j || ',"turn":' || turn || '},"id":"turn-' || turn || '","name":"reply"}}' FROM e WHERE turn % 2 = 1),
+n AS (SELECT conv_id, turn, 2, 'assistant', 'call', 'note-' || turn, 'note', 'unanswered', false, NULL, 0, '{"role":"assistant","tool_call":{"arguments":{"chars":' || len(text) || '},"id":"note-' || turn || '","name":"note"}}' FROM e WHERE turn % 4 = 1),
+r AS (SELECT conv_id, turn, 0, 'tool', 'result', 'turn-' || (turn - 1), NULL, CASE WHEN turn > begins THEN 'linked' ELSE 'orphan_result' END, NULL, NULL, CASE WHEN turn > begins THEN CAST(turn - first_call AS INTEGER) ELSE 0 END,
+  '{"content":' || j || ',"role":"tool","tool_call_id":"turn-' || (turn - 1) || '"}' FROM e WHERE turn > 0 AND turn % 2 = 0)
+SELECT conv_id, turn, part, role, kind, call_id, name, status, has_schema, errors, turn AS order_turn, depth, json
+FROM (SELECT * FROM m UNION ALL SELECT * FROM c UNION ALL SELECT * FROM n UNION ALL SELECT * FROM r)
 """

@@ -60,9 +60,11 @@ def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat import linked
+    from pyspark.sql import functions as F
 
-    return linked(table(spark, sf_dir, "conversations"))
+    from .chat import as_calls, linked
+
+    return linked(as_calls(table(spark, sf_dir, "conversations"))).withColumn("errors", F.array_join("errors", "; "))
 
 
 def op9_warc_index_first(spark: SparkSession, sf_dir: str) -> DataFrame:
