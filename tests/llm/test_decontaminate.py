@@ -59,12 +59,40 @@ def test_edge_cases(spark):
     assert dc.contamination(empty_docs(spark), none).count() == 0
 
 
+def brute_near(text, win, slop):
+    """Starts at which the window's every word stands within ``slop`` of its place, by any of its words that stands exactly."""
+    w = words(text)
+    fits = lambda s, k: any(w[p] == win[k] for p in range(max(0, s + k - slop), min(len(w), s + k + slop + 1)))
+    return {(s, k) for s in range(-slop, len(w)) for k in range(len(win)) if 0 <= s + k < len(w) and w[s + k] == win[k] and all(fits(s, j) for j in range(len(win)))}
+
+
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha so beta gamma delta"), (3, "alpha beta so very much gamma delta"), (4, "delta gamma beta alpha")], "doc_id long, text string")
-    win = dc.windows_of(spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string"))
-    index = dc.build_index(docs, win)
-    hit = lambda slop: sorted(r.k1 for r in dc.proximity_matches(win, index, slop).select("k1").distinct().collect())
-    assert hit(0) == [1] and hit(1) == [1, 2] and hit(3) == [1, 2, 3]
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "the", "of"]) for _ in range(n))
+    rows = [(1, "alpha beta gamma delta"), (2, "alpha so beta gamma delta"), (3, "alpha beta so very much gamma delta"), (4, "delta gamma beta alpha"), (4, "delta gamma beta alpha"), (5, None)]
+    rows += [(10 + k, text(rng.randint(0, 30))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = [(1, "alpha beta gamma delta"), (2, text(7)), (3, "alpha"), (4, "beta absentword gamma")]
+    win, owners = dc.windows_of(spark.createDataFrame(items, "item_id long, text string"))
+    vocab = dc.vocabulary_of(win)
+    index = dc.build_index(docs, vocab)
+    by_window = {r.wid: r.words for r in win.collect()}
+    rare = {r.wid: r.off for r in dc.ranked_terms(win, vocab, index).where("rank = 0").collect()}
+    for slop in (0, 1, 3):
+        got = sorted((r.k1, r.wid, r.s) for r in dc.proximity_matches(win, vocab, index, slop).collect())
+        want = sorted({(i, w, s) for i, t in rows for w, off in rare.items() for s, k in brute_near(t, by_window[w], slop) if k == off})
+        assert got == want and want
+    near = dc.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), slop=2).collect()
+    want = {i: len({w for w, off in rare.items() if any(k == off for _, k in brute_near(t, by_window[w], 2))}) for i, t in rows}
+    assert all(r.n_near == want[r.doc_id] for r in near) and len(near) == len(rows)
+
+
+def test_vocabulary_beyond_a_broadcast(spark, sf, monkeypatch):
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = sorted(tuple(r) for r in dc.digest(dc.contamination(docs, items)).collect())
+    monkeypatch.setattr(dc, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr(dc, "broadcast_if_small", lambda df: df.hint("merge"))
+    assert sorted(tuple(r) for r in dc.digest(dc.contamination(docs, items)).collect()) == want
 
 
 def test_main_path_is_native(spark, sf):
