@@ -57,6 +57,15 @@ def test_cycles_and_long_chains(spark):
     assert out == [x for j in range(4) for x in (("call", f"k{j}"), ("result", f"k{j}"))]
 
 
+def test_very_long_chain(spark):
+    n = 150
+    rows = [(1, 2 * k, "assistant", call((f"k{k}", "f", {"$result": f"k{k - 1}"} if k else {}))) for k in range(n)] + [(1, 2 * k + 1, "tool", result(f"k{k}")) for k in range(n)]
+    rows += [(1, 5000, "assistant", call(("join", "f", [{"$result": "k3"}, {"$result": f"k{n - 1}"}]))), (1, 4000, "tool", result("join"))]
+    out = {(r.kind, r.call_id): (r.order_turn, r.depth) for r in run(spark, rows) if r.kind != "message"}
+    assert all(out["call", f"k{k}"] == (2 * k, 2 * k) and out["result", f"k{k}"] == (2 * k + 1, 2 * k + 1) for k in range(n))
+    assert out["call", "join"] == (5000, 2 * n) and out["result", "join"] == (5000, 2 * n + 1)
+
+
 def test_random_orders_are_topological(spark):
     r = random.Random(4)
     rows, edges = [], []

@@ -32,7 +32,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import broadcast_if_small, materialize
 
 EVENT = "conv_id long, turn long, part int, role string, kind string, call_id string, name string, arguments string, needs array<string>, tools array<struct<name:string,schema:string>>, json string"
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool}
@@ -316,26 +316,51 @@ def _validated(calls: DataFrame) -> DataFrame:
     return calls.select("uid", "arguments", "schema").mapInArrow(run, "uid long, errors array<string>")
 
 
+def _chains(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(heads, chained): nodes with no or several predecessors, (uid, turn, n); and for each other node the head above it, the steps
+    from there and the latest turn on the way, (uid, head, steps, t). By pointer doubling: rounds in the logarithm of the
+    longest chain. A chain that comes back to itself has no head and is in neither."""
+    waits = edges.groupBy("b").agg(F.count("*").alias("n"), F.min("a").alias("a"))
+    known = materialize(nodes.join(waits, F.col("uid") == F.col("b"), "left").select("uid", "turn", F.coalesce("n", F.lit(0)).alias("n"), "a"), "waits")
+    heads = known.where("n <> 1").select("uid", "turn", "n")
+    above = known.select(F.col("uid").alias("p"), (F.col("n") != 1).alias("p_head"))
+    open_ = known.where("n = 1").join(above, F.col("a") == F.col("p")).select("uid", F.col("a").alias("head"), F.lit(1).alias("steps"), F.col("turn").alias("t"), F.col("p_head").alias("done"))
+    chained = materialize(open_, "chains")
+    for _ in range(known.count().bit_length() + 1):
+        if not chained.where("not done").limit(1).count():
+            break
+        up = chained.select(F.col("uid").alias("u"), F.col("head").alias("h"), F.col("steps").alias("s"), F.col("t").alias("t2"), F.col("done").alias("d"))
+        far = chained.where("not done").join(up, F.col("head") == F.col("u")).select("uid", F.col("h").alias("head"), (F.col("steps") + F.col("s")).alias("steps"), F.greatest("t", "t2").alias("t"), F.col("d").alias("done"))
+        chained = materialize(chained.where("done").unionByName(far), "chains")
+    return heads, chained.where("done").select("uid", "head", "steps", "t")
+
+
 def _layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(uid, order_turn, depth, cycle) of ``nodes`` (uid, turn): an event comes after all its predecessors in ``edges`` (a
-    before b). Layer by layer: an event is placed once all that it waits for are placed."""
-    waits = materialize(edges.groupBy("b").agg(F.count("*").alias("n")), "waits")
-    done = materialize(nodes.join(waits, F.col("uid") == F.col("b"), "left_anti").select("uid", F.col("turn").alias("order_turn"), F.lit(0).alias("depth")), "layer")
-    front, placed = done, [done]
-    arrived = None
-    while True:
-        came = edges.join(front, F.col("a") == F.col("uid")).groupBy("b").agg(F.count("*").alias("m"), F.max("order_turn").alias("t"), F.max("depth").alias("d"))
+    before b). Chains of single predecessors are taken in one stride (`_chains`); the heads that wait for several events are
+    placed layer by layer, each once all that it waits for are placed."""
+    heads, chained = _chains(nodes, edges)
+    heads = materialize(heads, "heads")
+    reach = heads.select("uid", F.col("uid").alias("head"), F.lit(0).alias("steps"), F.lit(None).cast("long").alias("t")).unionByName(chained)
+    several = heads.where("n > 1")
+    weighted = edges.join(several.select(F.col("uid").alias("b")), "b").join(reach, F.col("a") == F.col("uid")).select("b", "head", "steps", "t")
+    weighted = materialize(weighted, "head-edges")
+    front = materialize(heads.where("n = 0").select("uid", F.col("turn").alias("order_turn"), F.lit(0).alias("depth")), "layer")
+    placed, arrived = front, None
+    waiting = several.limit(1).count() > 0
+    while waiting:
+        came = weighted.join(front, F.col("head") == F.col("uid")).groupBy("b").agg(F.count("*").alias("m"), F.max(F.greatest("order_turn", "t")).alias("t"), F.max(F.col("depth") + F.col("steps")).alias("d"))
         arrived = came if arrived is None else arrived.unionByName(came).groupBy("b").agg(F.sum("m").alias("m"), F.max("t").alias("t"), F.max("d").alias("d"))
         arrived = materialize(arrived, "arrived")
-        ready = arrived.join(waits, "b").where("m = n").join(nodes, F.col("b") == F.col("uid"))
+        ready = arrived.join(several, F.col("b") == F.col("uid")).where("m = n")
         front = materialize(ready.select("uid", F.greatest("t", "turn").alias("order_turn"), (F.col("d") + 1).cast("int").alias("depth")), "layer")
-        if not front.limit(1).count():
-            break
-        placed.append(front)
-        arrived = arrived.join(front, F.col("b") == F.col("uid"), "left_anti")
-    out = placed[0]
-    for p in placed[1:]:
-        out = out.unionByName(p)
+        waiting = front.limit(1).count() > 0
+        if waiting:
+            placed = materialize(placed.unionByName(front), "placed")
+            arrived = materialize(arrived.join(front, F.col("b") == F.col("uid"), "left_anti"), "arrived")
+    top = placed.select(F.col("uid").alias("head"), "order_turn", "depth")
+    out = reach.join(top, "head").select("uid", F.greatest("order_turn", "t").alias("order_turn"), (F.col("depth") + F.col("steps")).cast("int").alias("depth"))
+    out = materialize(out, "placed")
     stuck = nodes.join(out, "uid", "left_anti").select("uid", F.col("turn").alias("order_turn"), F.lit(0).alias("depth"), F.lit(True).alias("cycle"))
     return out.withColumn("cycle", F.lit(False)).unionByName(stuck)
 
@@ -352,8 +377,9 @@ def linked(conversations: DataFrame, schemas: dict[str, dict] | None = None) ->
     calls = ev.where("kind = 'call'")
     own = ev.where("tools is not null and conv_id is not null").select("conv_id", "turn", F.posexplode("tools").alias("k", "t"))
     own = own.groupBy("conv_id", F.col("t.name").alias("name")).agg(F.max(F.struct("turn", "k", F.col("t.schema").alias("schema"))).alias("s")).select("conv_id", "name", F.col("s.schema").alias("own"))
+    own = materialize(own, "schemas")
     shared = spark.createDataFrame([(k, canonical(v)) for k, v in (schemas or {}).items()], "name string, shared string")
-    with_schema = calls.join(own, ["conv_id", "name"], "left").join(shared, "name", "left").withColumn("schema", F.coalesce("own", "shared"))
+    with_schema = calls.join(broadcast_if_small(own), ["conv_id", "name"], "left").join(F.broadcast(shared), "name", "left").withColumn("schema", F.coalesce("own", "shared"))
     checked = materialize(_validated(with_schema), "validated")
 
     answer = pairs.where("call_uid is not null and result_uid is not null")
