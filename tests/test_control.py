@@ -21,6 +21,7 @@ def test_incremental_equals_rebuild(spark):
     second = index.get(("r",), scan(spark, two))
     assert state(second) == state(Index(spark).get(("x",), scan(spark, two))) and second.revision > first.revision
     assert ("d.ts", "e.ts") in state(second)[1] and ("a.py", "g") in state(second)[0]
+    assert index.since(first.revision) == ["a.py", "b.py", "d.ts", "e.ts"]
     assert index.invalidate("nothing")["snapshots"] == 0 and index.since(index.revision - 1) == ["nothing"] and index.since(0) is None
     assert index.invalidate("e.ts")["snapshots"] == 1 and index.clear()["snapshots"] == 0
     assert index.profile().where("name = 'sweep'").head()["count"] == 2

@@ -1,8 +1,10 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from textmill.corpus import explicit
 from textmill.dialect import find_regex, glob_regex, ignore_rules, ignored, java_regex
 from textmill.errors import CorpusError
 from textmill.operators import find as fd
@@ -191,3 +193,39 @@ def test_plans_do_not_shuffle(spark, sf):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "n_chars" not in plan
     assert Search(c, "the").counts().agg(F.sum("match_count")).head()[0] > 0
+
+
+def test_limits_count_files_or_matches(spark):
+    c = corpus(spark, {f"f{k}": "x\nx\ny\n" for k in range(5)})
+    assert sorted(r.path for r in Search(c, "x", max_total_count=3).files().collect()) == ["f0", "f1", "f2"]
+    assert sorted(tuple(r) for r in Search(c, "x", max_total_count=3).counts().collect()) == [("f0", 2), ("f1", 1)]
+    for mode, n, total in (("count", 2, 3), ("files", 3, 3)):
+        r = Search(c, "x", max_total_count=3).rollup(mode).head()
+        assert (r.files_searched, r.files_with_matches, r.total_matches, r.limit_reached) == (5, n, total, True)
+    assert Search(c, "x", max_total_count=10).rollup().head().limit_reached and not Search(c, "x", max_total_count=11).rollup().head().limit_reached
+    assert Search(c, "x", max_total_count=0).counts().count() == Search(c, "x", max_total_count=0).rollup().head().files_with_matches == 0
+
+
+def test_limit_across_many_ranges(spark):
+    r = random.Random(3)
+    files = {f"d{r.randint(0, 9)}/f{k}": "x\n" * r.randint(0, 4) for k in range(300)}
+    counts = sorted((p, t.count("x")) for p, t in files.items() if t)
+    for limit in (1, 7, 100, sum(n for _, n in counts) - 1):
+        want, left = [], limit
+        for p, n in counts:
+            if left > 0:
+                want.append((p, min(n, left)))
+                left -= n
+        assert sorted(tuple(x) for x in Search(corpus(spark, files), "x", max_total_count=limit).counts().collect()) == want
+
+
+def test_roots_and_bounds(spark):
+    c = corpus(spark, {"a/b.txt": "x", "a/c/d.txt": "x", "ab.txt": "x"})
+    found = lambda root: sorted(r.path for r in Search(c, "x", root=root).files().collect())
+    assert found("") == found("./") == found("a/..") == ["a/b.txt", "a/c/d.txt", "ab.txt"] and found("a") == ["a/b.txt", "a/c/d.txt"] and found("a//c/../b.txt") == ["a/b.txt"]
+    r = Search(c, "x", root="ab.txt").rollup().head()
+    assert (r.files_searched, r.root, r.root_is_dir) == (1, "ab.txt", False)
+    for bad in (lambda: Search(c, "x", root="nowhere"), lambda: Search(c, "x", root="../a"), lambda: Search(c, "x", before=10_001), lambda: Search(c, "x" * (1 << 20) + "x"), lambda: Search(c, "x", globs=("*",) * 257), lambda: Search(c, "x", max_count=1_000_001), lambda: Search(c, "x", max_output_bytes=5).content()):
+        with pytest.raises(CorpusError):
+            bad()
+    assert [r.path for r in explicit(spark, ["b", "./a/../b", "a//c"]).collect()] == ["a/c", "b"]

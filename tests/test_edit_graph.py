@@ -205,3 +205,33 @@ def test_prefetch_outcomes(spark):
     files = spark.createDataFrame([("a", 5), ("b", 500), ("c", 7)], "path string, size long")
     got = {(r.seed, r.target): r.outcome for r in sweep.prefetch(seeds, imports, files, max_seeds=2, per_seed=3, file_bytes=100, total_bytes=6).collect()}
     assert got == {("s1", "a"): "fetched", ("s1", "b"): "too large", ("s1", "c"): "byte limit", ("s2", "a"): "duplicate", ("s2", "gone"): "missing", ("s3", "d"): "seed limit"}
+
+
+def test_components_in_one_task_and_by_stars(spark):
+    r = random.Random(6)
+    for shape in range(3):
+        edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(40)] if shape else [(k, k + 1) for k in range(50)] + [(99, k) for k in range(200, 260)]
+        df = spark.createDataFrame(edges, "a long, b long")
+        want: dict = {}
+        for a, b in edges:
+            if a != b:
+                want[a], want[b] = want.get(a, {a}), want.get(b, {b})
+                both = want[a] | want[b]
+                for x in both:
+                    want[x] = both
+        want = {x: min(c) for x, c in want.items()}
+        for one_task in (10**6, 0):
+            assert {x.node: x.label for x in gr.connected(df, one_task=one_task).collect()} == want
+
+
+def test_bounds_of_traversals(spark):
+    edges = spark.createDataFrame([("r", f"n{k}") for k in range(30)], "src string, dst string")
+    assert kind(gr.deps, edges, ["r"], 1, None, 29)[0] == "invalidInput"
+    assert gr.deps(edges, ["r"], 1, max_result=30).count() == gr.deps(edges, ["r"], 1, max_result=None).count() == 30
+
+
+def test_requires_and_verified_importers(spark):
+    js = 'const a = require("./a"), b = require("./b"); import c = require("./c"); x.require("./no"); // require("./no")\n'
+    assert sorted(i[:2] for i in ex.analyze("m.ts", js)[2]) == [("./a", "require"), ("./b", "require"), ("./c", "ts-require")]
+    files = spark.createDataFrame([("a.ts", 'import "./t";'), ("b.ts", "// ./t"), ("t.ts", ""), ("c.ts", 'import "./x/t";')], "path string, text string")
+    assert [r.src for r in rs.verified_importers(files, "t.ts", spark.createDataFrame([], "src string, dst string")).collect()] == ["a.ts"]

@@ -76,7 +76,12 @@ class Index:
             todo = scanned.join(change.where("change in ('added', 'modified')").select("path"), "path", "left_semi")
             parsed = materialize(sweep.apply(old.tables["analyses"], change, extract.analyses(todo)), "analyses")
         edges = materialize(resolve.resolve(extract.imports(parsed), files.select("path"), aliases), "edges")
-        self._record(None)
+        if old is None:
+            self._record(None)
+        else:
+            changed = [r.path for r in change.where("change in ('added', 'modified', 'removed')").select("path").limit(RING + 1).collect()]
+            for path in sorted(changed) if len(changed) <= RING else [None]:
+                self._record(path)
         return Snapshot(self.revision, time.monotonic(), {"files": files, "analyses": parsed, "symbols": extract.symbols(parsed), "imports": extract.imports(parsed), "edges": edges})
 
     def since(self, revision: int) -> list[str] | None:

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .dialect import lexical
+
 #: Text and binary limits of the line search: a NUL this early makes a file binary, a larger file is skipped.
 BINARY_PROBE = 8192
 SEARCH_BYTES = 16 << 20
@@ -53,6 +55,11 @@ def with_text(files: DataFrame) -> DataFrame:
     return files.withColumns({"text": lossy_text(), "is_binary": is_binary(), "valid_utf8": F.is_valid_utf8(F.col("content").cast("string"))})
 
 
+def explicit(spark, paths: list[str]) -> DataFrame:
+    """A view (path) of a caller's list: lexical paths inside the root, sorted, each once."""
+    return spark.createDataFrame([(p,) for p in sorted({lexical(p) for p in paths})], "path string")
+
+
 def hash_hex(files: DataFrame, content: str = "content") -> DataFrame:
     """Adds ``hash_hex``: xxh3-64 of the bytes, 16 lower-case hex digits (no native function computes it)."""
     @F.pandas_udf("string")

@@ -1,16 +1,25 @@
 """Pattern dialects, compiled on the driver to Java regular expressions for `rlike`.
 
-Regexes: linear-time syntax only (look-around and back-references are invalid input); classes are Unicode-aware, only
-a line feed ends a line. Globs: two dialects, path search (``*`` stops at a slash) and line search (``*`` crosses slashes).
+Regexes: look-around, back-references and possessive quantifiers are invalid input; classes are Unicode-aware, only
+a line feed ends a line. They run on Java's backtracking engine, so a nested quantifier can take long on one line. Globs: two dialects, path search (``*`` stops at a slash) and line search (``*`` crosses slashes).
 """
 
 from __future__ import annotations
 
+import posixpath
 import re
 
 from .errors import invalid
 
 
+def lexical(path: str) -> str:
+    """A relative path without `.`, `..`, doubled and trailing slashes, by its text alone; the empty path is the root."""
+    clean = posixpath.normpath(path.strip("/")) if path.strip("/") else ""
+    if clean == ".." or clean.startswith("../"):
+        raise invalid("outside the root", path=path)
+    return "" if clean == "." else clean
+
+
 def has_upper(pattern: str) -> bool:
     """Whether a pattern has an uppercase letter that is not part of an escape such as \\W or \\pL."""
     return any(c.isupper() for c in re.sub(r"\\[pP]\{[^}]*\}|\\[pP].|\\.", "", pattern))
@@ -24,7 +33,7 @@ def java_regex(pattern: str, case_insensitive: bool = False, smart_case: bool =
         if re.search(r"(?<!\\)(?:\\\\)*[*+?}]\+", pattern):
             raise invalid(f"possessive quantifiers are not supported: {pattern!r}")
         try:
-            re.compile(re.sub(r"\\[pP](\{\^?\w+\}|\w)|\\z|\\x\{[0-9A-Fa-f]+\}", "x", pattern.replace("(?P<", "(?P<")))
+            re.compile(re.sub(r"\\[pP](\{\^?\w+\}|\w)|\\z|\\x\{[0-9A-Fa-f]+\}", "x", pattern))
         except re.error as e:
             if "unknown extension" not in str(e) and "bad escape" not in str(e):
                 raise invalid(f"bad pattern {pattern!r}: {e}") from None

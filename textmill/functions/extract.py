@@ -21,7 +21,7 @@ Extractor = Callable[[str], tuple[list[Symbol], list[Import], bool]]
 
 LANGUAGES: dict[str, str] = {}
 EXTRACTORS: dict[str, Extractor] = {}
-#: Of two symbols on one name the more specific kind stays.
+#: Of two symbols on one name the kind of the lower number stays.
 SPECIFIC = {"method": 0, "function": 1, "constructor": 1, "class": 2, "struct": 2, "interface": 2, "enum": 2, "trait": 2, "type": 3, "module": 4, "constant": 5, "field": 6}
 PER_FILE = 10_000
 
@@ -159,7 +159,7 @@ def javascript(text: str, patterns=None):
         ("reexport", r"\bexport\s+(?:type\s+)?(?:\*(?:\s+as\s+[\w$]+)?|\{[^}]*\})\s*from\s*(?P<q>[\"'])(?P<s>[^\"'\\\n]*)(?P=q)"),
         ("ts-require", r"\bimport\s+[\w$]+\s*=\s*require\s*\(\s*(?P<q>[\"'])(?P<s>[^\"'\\\n]*)(?P=q)\s*\)"),
         ("dynamic", r"\bimport\s*\(\s*(?P<q>[\"'])(?P<s>[^\"'\\\n]*)(?P=q)\s*[,)]"),
-        ("require", r"(?<!=\s)(?<![\w$.])require\s*\(\s*(?P<q>[\"'])(?P<s>[^\"'\\\n]*)(?P=q)\s*\)"),
+        ("require", r"(?<![\w$.])require\s*\(\s*(?P<q>[\"'])(?P<s>[^\"'\\\n]*)(?P=q)\s*\)"),
     ]
     taken = set()
     for kind, p in forms:

@@ -1,7 +1,8 @@
 """Traversals and rollups of a module graph held as tables: edges (src, dst, ...), nodes (path, ...).
 
-A traversal joins its frontier to the edges once per level; each frontier is written to the shared folder, and broadcast only after
-a count. Depth is bounded by MAX_DEPTH, a result by MAX_RESULT rows (more is an error, not a cut).
+A traversal joins its frontier to the edges once per level; each frontier is written to the shared folder as one more part of what
+has been seen, measured once, and broadcast only if it is small. Depth is bounded by MAX_DEPTH, a result by ``max_result`` rows (more is
+an error, not a cut; None: no bound). Hand in edges that are a table: they are scanned once a level.
 """
 
 from __future__ import annotations
@@ -10,35 +11,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import invalid
-from ..storage import broadcast_if_small, materialize
+from ..storage import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small, materialize, measured
 
 MAX_DEPTH, MAX_RESULT = 64, 100_000
 MAX_ROUNDS = 60
+#: Edges up to which components are found in one task.
+ONE_TASK = 200_000
 
 
 def _levels(step: DataFrame, starts: DataFrame, depth: int, view: DataFrame | None) -> DataFrame:
     """(node, distance) of nodes within ``depth`` steps of the starts; step: (a, b). Nodes outside ``view`` are not entered."""
     if not 0 <= depth <= MAX_DEPTH:
         raise invalid(f"depth must lie between 0 and {MAX_DEPTH}")
-    front = starts.select(F.col("node")).distinct()
-    if view is not None:
-        front = front.join(view.select(F.col("path").alias("node")), "node", "left_semi")
-    front = materialize(front.select("node", F.lit(0).alias("distance")), "frontier")
-    seen = front
+    inside = lambda df: df if view is None else df.join(view.select(F.col("path").alias("node")), "node", "left_semi")
+    hinted = lambda df, rows, size: F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df.hint("merge")
+    front = seen = materialize(inside(starts.select("node").distinct()).select("node", F.lit(0).alias("distance")), "frontier")
+    rows, size = measured(front)
+    all_rows, all_size = rows, size
     for d in range(1, depth + 1):
-        new = step.join(broadcast_if_small(front.select(F.col("node").alias("a"))), "a").select(F.col("b").alias("node")).distinct()
-        if view is not None:
-            new = new.join(view.select(F.col("path").alias("node")), "node", "left_semi")
-        front = materialize(new.join(seen, "node", "left_anti").select("node", F.lit(d).alias("distance")), "frontier")
-        if not front.limit(1).count():
+        if not rows:
             break
-        seen = materialize(seen.unionByName(front), "seen")
+        new = step.join(hinted(front.select(F.col("node").alias("a")), rows, size), "a").select(F.col("b").alias("node")).distinct()
+        new = inside(new).join(hinted(seen.select("node"), all_rows, all_size), "node", "left_anti")
+        front = materialize(new.select("node", F.lit(d).alias("distance")), "frontier")
+        rows, size = measured(front)
+        seen, all_rows, all_size = seen.unionByName(front), all_rows + rows, all_size + size
     return seen
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    if df.limit(MAX_RESULT + 1).count() > MAX_RESULT:
-        raise invalid(f"a traversal of more than {MAX_RESULT} rows; narrow it")
+def _bounded(df: DataFrame, max_result: int | None) -> DataFrame:
+    if max_result is not None and df.limit(max_result + 1).count() > max_result:
+        raise invalid(f"a traversal of more than {max_result} rows; narrow it or raise max_result")
     return df
 
 
@@ -46,7 +49,7 @@ def _starts(edges: DataFrame, starts: list[str]) -> DataFrame:
     return edges.sparkSession.createDataFrame([(s,) for s in starts], "node string")
 
 
-def deps(edges: DataFrame, starts: list[str], depth: int = 1, view: DataFrame | None = None) -> DataFrame:
+def deps(edges: DataFrame, starts: list[str], depth: int = 1, view: DataFrame | None = None, max_result: int | None = MAX_RESULT) -> DataFrame:
     """Out-edges of all nodes at distance up to ``depth`` - 1, with that distance; depth 0 has none. Edges to nodes outside
     ``view`` are left out, edges that lead out of the graph (to_kind other than path) stay."""
     if depth == 0:
@@ -57,10 +60,10 @@ def deps(edges: DataFrame, starts: list[str], depth: int = 1, view: DataFrame |
     if view is not None:
         inside = found.join(view.select(F.col("path").alias("dst")), "dst", "left_semi")
         found = inside.unionByName(found.where("to_kind <> 'path'")) if "to_kind" in edges.columns else inside
-    return _bounded(materialize(found, "deps"))
+    return found if max_result is None else _bounded(materialize(found, "deps"), max_result)
 
 
-def rdeps(edges: DataFrame, starts: list[str], depth: int = 1, view: DataFrame | None = None) -> DataFrame:
+def rdeps(edges: DataFrame, starts: list[str], depth: int = 1, view: DataFrame | None = None, max_result: int | None = MAX_RESULT) -> DataFrame:
     """In-edges of all nodes at distance up to ``depth`` - 1 against the edges' direction."""
     if depth == 0:
         return edges.where(F.lit(False)).withColumn("distance", F.lit(0))
@@ -68,13 +71,13 @@ def rdeps(edges: DataFrame, starts: list[str], depth: int = 1, view: DataFrame |
     found = edges.join(broadcast_if_small(near.withColumnRenamed("node", "dst")), "dst")
     if view is not None:
         found = found.join(view.select(F.col("path").alias("src")), "src", "left_semi")
-    return _bounded(materialize(found, "rdeps"))
+    return found if max_result is None else _bounded(materialize(found, "rdeps"), max_result)
 
 
-def neighborhood(edges: DataFrame, starts: list[str], depth: int = 1, view: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def neighborhood(edges: DataFrame, starts: list[str], depth: int = 1, view: DataFrame | None = None, max_result: int | None = MAX_RESULT) -> tuple[DataFrame, DataFrame]:
     """(nodes within ``depth`` undirected steps, the edges among them)."""
     one = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    nodes = _bounded(_levels(one.union(one.select("b", "a")), _starts(edges, starts), depth, view))
+    nodes = _bounded(_levels(one.union(one.select("b", "a")), _starts(edges, starts), depth, view), max_result)
     if depth == 0:
         return nodes, edges.where(F.lit(False))
     near = nodes.select("node")
@@ -82,12 +85,39 @@ def neighborhood(edges: DataFrame, starts: list[str], depth: int = 1, view: Data
     return nodes, inside.join(broadcast_if_small(near.withColumnRenamed("node", "dst")), "dst", "left_semi")
 
 
-def connected(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(node, label) of the nodes of undirected ``edges`` (a, b): label is the least node reachable. Alternating large-star and
-    small-star steps on written tables; minima with map-side partial aggregation, joined back from a table, so that a hot
-    node's edges can be split; rounds in the logarithm of the longest chain. It has settled when a round changes nothing, which a count and a sum of hashes of the edges tell."""
+def _in_one_task(batches):
+    """Union-find over the edges of one partition: (node, label), label the least node of the component."""
+    import pyarrow as pa
+
+    parent: dict = {}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for a, b in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+            parent.setdefault(a, a)
+            parent.setdefault(b, b)
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    if nodes:
+        yield pa.record_batch([pa.array(nodes, kind), pa.array([root(x) for x in nodes], kind)], names=["node", "label"])
+
+
+def connected(edges: DataFrame, rounds: int = MAX_ROUNDS, one_task: int = ONE_TASK) -> DataFrame:
+    """(node, label) of the nodes of undirected ``edges`` (a, b): label is the least node reachable. Up to ``one_task`` edges, which
+    are counted first, by union-find in one task; beyond that by alternating large-star and small-star steps on written tables: minima
+    with map-side partial aggregation, joined back from a table, so that a hot node's edges can be split; rounds in the logarithm
+    of the longest chain. It has settled when every child has one parent, which has none."""
     e = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    seen = None
+    if e.limit(one_task + 1).count() <= one_task:
+        kind = e.schema["a"].dataType.simpleString()
+        return materialize(e.coalesce(1).mapInArrow(_in_one_task, f"node {kind}, label {kind}"), "components")
     for _ in range(rounds):
         n = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialize(n.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
@@ -96,10 +126,10 @@ def connected(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
         both = up.join(materialize(up.groupBy("a").agg(F.min("b").alias("m")), "lowest"), "a")
         down = both.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         e = materialize(down.select("e.*").where("a <> b").distinct(), "small-star")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
-        if now == seen:
+        roles = e.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("b", F.lit(0), F.lit(1)).distinct())
+        open_ = roles.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0")
+        if not open_.limit(1).count():
             return e.select(F.col("a").alias("node"), F.col("b").alias("label")).union(e.select(F.col("b"), F.col("b")).distinct())
-        seen = now
     raise RuntimeError("the components did not settle")
 
 

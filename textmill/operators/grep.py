@@ -1,6 +1,6 @@
 """Line search over a corpus (path, text). Everything about one file happens inside its row, on the array of its lines: no
-shuffle for counts, context or per-file limits. Only the global limit looks across files, and it does so over at most
-``max_total_count`` (path, count) rows."""
+shuffle for counts, context or per-file limits. Only the global limit looks across files: a sum tells whether it binds, and then
+(path, count) rows of matching files are sorted by range."""
 
 from __future__ import annotations
 
@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..corpus import search_lines
-from ..dialect import glob_regex, java_regex
-from ..errors import invalid
+from ..dialect import glob_regex, java_regex, lexical
+from ..errors import CorpusError, invalid
+from ..storage import materialize
 
 DEFAULT_TOTAL = 100_000
-MOST_TOTAL = 1_000_000
+#: Bounds of a request.
+MOST_TOTAL, MOST_CONTEXT, MOST_PATTERN, MOST_GLOBS, MOST_GLOB = 1_000_000, 10_000, 1 << 20, 256, 16 << 10
 
 
 def glob_filter(corpus: DataFrame, globs: tuple[str, ...] = ()) -> DataFrame:
@@ -34,9 +36,22 @@ def searchable(files: DataFrame) -> DataFrame:
     return files.where(~F.col("is_binary") & (F.col("size") <= SEARCH_BYTES))
 
 
+def under_root(corpus: DataFrame, root: str) -> tuple[DataFrame, bool]:
+    """(files searched, whether the root is a folder): the one file of that path, or all files below it; else notFound."""
+    if root in ("", "."):
+        return corpus, True
+    below = F.startswith("path", F.lit(root + "/"))
+    kinds = corpus.where((F.col("path") == root) | below).select((F.col("path") == root).alias("file")).distinct().collect()
+    if not kinds:
+        raise CorpusError("notFound", "no such file or folder", path=root)
+    is_file = any(r.file for r in kinds)
+    return corpus.where(F.col("path") == root if is_file else below), not is_file
+
+
 @dataclass
 class Search:
-    """A compiled search. `files`, `counts`, `content`, `blocks` and `rollup` are its result tables."""
+    """A compiled search. `files`, `counts`, `content`, `blocks` and `rollup` are its result tables. ``root``: a file or a folder of
+    the corpus. ``max_output_bytes``: an error if the content holds more bytes of lines and paths."""
 
     corpus: DataFrame
     pattern: str
@@ -49,11 +64,21 @@ class Search:
     after: int = 0
     max_count: int | None = None
     max_total_count: int = DEFAULT_TOTAL
+    root: str = ""
+    max_output_bytes: int | None = None
 
     def __post_init__(self):
-        if min(self.before, self.after, self.max_total_count, self.max_count or 0) < 0 or self.max_total_count > MOST_TOTAL:
+        if min(self.before, self.after, self.max_total_count, self.max_count or 0) < 0 or max(self.max_total_count, self.max_count or 0) > MOST_TOTAL:
             raise invalid("limits must lie between 0 and 1,000,000")
+        if max(self.before, self.after) > MOST_CONTEXT:
+            raise invalid(f"context is bounded by {MOST_CONTEXT} lines")
+        if len(self.pattern.encode()) > MOST_PATTERN:
+            raise invalid("a pattern is bounded by 1 MiB")
+        if len(self.globs) > MOST_GLOBS or any(len(g.encode()) > MOST_GLOB for g in self.globs):
+            raise invalid("globs are bounded by 256 of 16 KiB each")
         self.regex = java_regex(self.pattern, self.case_insensitive, self.smart_case, self.fixed_strings, self.multiline)
+        self.root = lexical(self.root)
+        self.corpus, self.root_is_dir = under_root(self.corpus, self.root)
         self.source = glob_filter(searchable(self.corpus), self.globs)
 
     def _hit(self, line: Column) -> Column:
@@ -66,23 +91,31 @@ class Search:
         all_ = F.filter(F.transform(search_lines(), lambda x, i: F.when(self._hit(x), i + 1)), lambda i: i.isNotNull())
         return all_ if self.max_count is None else F.slice(all_, 1, max(1, self.max_count))
 
-    def files(self) -> DataFrame:
-        """(path) of files with a matching line; a file's scan stops at its first match."""
-        return self.source.where(F.exists(search_lines(), self._hit)).select("path")
+    def files(self, limited: bool = True) -> DataFrame:
+        """(path) of files with a matching line; a file's scan stops at its first match. The limit counts files here."""
+        found = self.source.where(F.exists(search_lines(), self._hit)).select("path")
+        cut = _cut(found.withColumn("n", F.lit(1).cast("long")), self.max_total_count) if limited else None
+        return found if cut is None else found.where(F.col("path") <= cut[0])
 
-    def counts(self) -> DataFrame:
-        """(path, match_count) of files with at least one matching line."""
+    def counts(self, limited: bool = True) -> DataFrame:
+        """(path, match_count) of files with at least one matching line, up to the global limit in path order."""
         n = F.size(F.filter(search_lines(), self._hit)) if self.max_count is None else F.size(self._numbers())
-        return self.source.select("path", n.cast("long").alias("match_count")).where("match_count > 0")
-
-    def _cut(self) -> tuple[str, int] | None:
-        """(path, matches that it may still give) where the global limit is reached in path order."""
-        first = self.counts().orderBy("path").limit(max(1, self.max_total_count))
-        total = F.sum("match_count").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, 0))
-        row = first.withColumn("total", total).where(F.col("total") >= self.max_total_count).orderBy("path").limit(1).collect()
-        return (row[0].path, row[0].match_count - (row[0].total - self.max_total_count)) if row else None
+        found = self.source.select("path", n.cast("long").alias("match_count")).where("match_count > 0")
+        cut = _cut(found.select("path", F.col("match_count").alias("n")), self.max_total_count) if limited else None
+        if cut is None:
+            return found
+        return found.where(F.col("path") <= cut[0]).select("path", F.when(F.col("path") == cut[0], F.lit(cut[1]).cast("long")).otherwise(F.col("match_count")).alias("match_count")).where("match_count > 0")
 
     def content(self, limited: bool = True) -> DataFrame:
+        """`rows`, measured against ``max_output_bytes``."""
+        out = self.rows(limited)
+        if self.max_output_bytes is not None:
+            size = out.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("path")), F.lit(0))).head()[0]
+            if size > self.max_output_bytes:
+                raise invalid(f"the result has {size} bytes, more than {self.max_output_bytes}")
+        return out
+
+    def rows(self, limited: bool = True) -> DataFrame:
         """(path, line_number, text, is_match): matches and their context, each line once.
 
         At a limit, rows stay up to the last kept match and its following context, but not from the first dropped match on.
@@ -90,7 +123,7 @@ class Search:
         if self.max_total_count == 0 and limited:
             return self.source.where(F.lit(False)).select("path", F.lit(0).cast("long").alias("line_number"), "text", F.lit(True).alias("is_match"))
         source, share = self.source, None
-        if limited and (cut := self._cut()):
+        if limited and (cut := _cut(self.counts(limited=False).select("path", F.col("match_count").alias("n")), self.max_total_count)):
             source = source.where(F.col("path") <= cut[0])
             share = F.when(F.col("path") == cut[0], cut[1])
         if share is None and self.max_count is None and not self.before and not self.after:
@@ -117,23 +150,49 @@ class Search:
         out = F.transform("found", lambda m, i: F.struct((line(i) + 1).cast("long").alias("line_number"), (F.get("inside", i) + 1).cast("long").alias("n_lines"), m.alias("text")))
         return rows.select("path", F.inline(out))
 
-    def rollup(self) -> DataFrame:
-        """One row: files_searched, files_with_matches, total_matches (after limits), limit_reached, incomplete."""
-        per = self.source.select(F.size(self._numbers()).cast("long").alias("n"))
+    def rollup(self, mode: str = "count") -> DataFrame:
+        """One row: files_searched, files_with_matches, total_matches (both after limits), limit_reached, incomplete, root, root_is_dir.
+        In ``mode`` files a file counts as one match."""
+        n = F.exists(search_lines(), self._hit).cast("long") if mode == "files" else F.size(self._numbers()).cast("long")
+        per = self.source.select("path", n.alias("n"))
+        cut = _cut(per.where("n > 0"), self.max_total_count)
+        shown = (F.col("n") > 0) if cut is None else (F.col("n") > 0) & ((F.col("path") < cut[0]) | (F.col("path") == cut[0]) & F.lit(cut[1] > 0))
         total = F.coalesce(F.sum("n"), F.lit(0))
-        agg = per.agg(F.count("*").alias("files_searched"), F.count_if(F.col("n") > 0).alias("files_with_matches"), F.least(total, F.lit(self.max_total_count)).cast("long").alias("total_matches"), (total >= self.max_total_count).alias("limit_reached"))
+        agg = per.agg(F.count("*").alias("files_searched"), F.count_if(shown).alias("files_with_matches"), F.least(total, F.lit(self.max_total_count)).cast("long").alias("total_matches"), (total >= self.max_total_count).alias("limit_reached"))
+        last = [F.lit(self.root).alias("root"), F.lit(self.root_is_dir).alias("root_is_dir")]
         if "is_binary" not in self.corpus.columns:
-            return agg.withColumn("incomplete", F.lit(False))
+            return agg.select("*", F.lit(False).alias("incomplete"), *last)
         from ..corpus import SEARCH_BYTES
 
         skipped = self.corpus.agg(F.coalesce(F.bool_or(F.col("is_binary") | (F.col("size") > SEARCH_BYTES)), F.lit(False)).alias("incomplete"))
-        return agg.join(skipped)
+        return agg.join(skipped).select("*", *last)
+
+
+def _cut(counts: DataFrame, limit: int) -> tuple[str, int] | None:
+    """(path, matches that it may still give) where ``limit`` matches are reached in path order; None if they never are.
+    counts: (path, n > 0). Sorted by range, a sum for each range, and then the one range that holds the cut."""
+    total, first = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.min("path")).head()
+    if total < limit or first is None:
+        return None
+    if limit == 0:
+        return first, 0
+    ranges = materialize(counts.select("path", "n").repartitionByRange("path").withColumn("part", F.spark_partition_id()), "counts-by-path")
+    before = 0
+    for r in ranges.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # a row a partition
+        if before + r.n >= limit:
+            break
+        before += r.n
+    inside = ranges.where(F.col("part") == r.part).orderBy("path").limit(limit)  # one range, at most ``limit`` rows
+    running = F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, 0)) + before
+    row = inside.withColumn("total", running).where(F.col("total") >= limit).orderBy("path").limit(1).head()
+    return row.path, row.n - (row.total - limit)
 
 
 def grep(corpus: DataFrame, pattern: str, mode: str = "files", **options) -> DataFrame:
-    """mode: files | count | content | blocks | rollup."""
+    """mode: files | count | content | blocks | rollup; files, count and content come in path and line order."""
     s = Search(corpus, pattern, **options)
     views = {"files": s.files, "count": s.counts, "content": s.content, "blocks": s.blocks, "rollup": s.rollup}
     if mode not in views:
         raise invalid(f"unknown mode {mode!r}")
-    return views[mode]()
+    out = views[mode]()
+    return out.orderBy("path", "line_number") if mode == "content" else out.orderBy("path") if mode in ("files", "count") else out

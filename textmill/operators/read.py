@@ -26,7 +26,8 @@ def read(corpus: DataFrame, offset: int | None = None, limit: int | None = None,
     past_end; ``strict`` makes that an error. A slice window keeps its last line's newline, a splitLines window never
     ends with one."""
     start, n = max(1, offset or 1), limit or 0
-    rows = corpus.select("path", "text", _model(line_mode).alias("ls")).withColumn("total", F.size("ls"))
+    flag = [F.col("is_binary")] if "is_binary" in corpus.columns else []
+    rows = corpus.select("path", "text", _model(line_mode).alias("ls"), *flag).withColumn("total", F.size("ls"))
     count = F.greatest(F.least(F.lit(n) if n else F.col("total"), F.col("total") - (start - 1)), F.lit(0))
     rows = rows.withColumn("k", count).withColumn("w", F.slice("ls", F.lit(start), F.col("k"))).withColumn("end", F.lit(start - 1) + F.col("k"))
     closes = (F.col("end") < F.col("total")) | F.endswith("text", F.lit("\n")) if line_mode == "slice" else F.lit(False)
@@ -35,11 +36,8 @@ def read(corpus: DataFrame, offset: int | None = None, limit: int | None = None,
     past = F.col("total") < start
     if strict:
         past = F.when(past, F.raise_error(F.concat(F.lit("offset past the end of "), "path")).cast("boolean")).otherwise(False)
-    out = rows.select("path", F.when(F.col("total") >= start, content).alias("content"), F.col("total").cast("long").alias("total_lines"), F.col("k").cast("long").alias("returned_lines"), F.octet_length("text").cast("long").alias("byte_len"), ((F.lit(start) > 1) | (F.col("end") < F.col("total"))).alias("truncated"), past.alias("past_end"))
-    if "is_binary" not in corpus.columns:
-        return out
-    flags = corpus.select("path", "is_binary")
-    return out.join(flags, "path").withColumn("content", F.when(F.col("is_binary"), "").otherwise(F.col("content")))
+    out = rows.select("path", F.when(F.col("total") >= start, content).alias("content"), F.col("total").cast("long").alias("total_lines"), F.col("k").cast("long").alias("returned_lines"), F.octet_length("text").cast("long").alias("byte_len"), ((F.lit(start) > 1) | (F.col("end") < F.col("total"))).alias("truncated"), past.alias("past_end"), *flag)
+    return out.withColumn("content", F.when(F.col("is_binary"), "").otherwise(F.col("content"))) if flag else out
 
 
 def numbered_lines(corpus: DataFrame) -> DataFrame:

@@ -151,3 +151,13 @@ def importers_to_verify(files: DataFrame, target: str, known: DataFrame) -> Data
     if stem in ("index", "mod", "__init__"):
         stem = posixpath.basename(posixpath.dirname(target)) or stem
     return files.where(F.contains("text", F.lit(stem)) & (F.col("path") != target)).join(known.select(F.col("src").alias("path")), "path", "left_anti")
+
+
+def verified_importers(files: DataFrame, target: str, known: DataFrame, aliases: list[tuple[str, list[str]]] = ()) -> DataFrame:
+    """(src) of all importers of a target: those of ``known`` edges (src, dst) and, parsed and resolved anew, those among the files that name it."""
+    from ..functions import extract
+
+    own = known.where(F.col("dst") == target).select("src")
+    todo = importers_to_verify(files, target, own)
+    edges = resolve(extract.imports(extract.analyses(todo)), files.select("path"), aliases)
+    return own.unionByName(edges.where((F.col("dst") == target) & (F.col("to_kind") == "path")).select("src")).distinct()

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..corpus import from_documents
 from ..operators import find as fd
 from ..operators import read as rd
-from ..operators.grep import Search
+from ..operators.grep import Search, grep
+from ..storage import materialize
 from .catalogue import query, table
 
 #: Lines of the search model with their numbers, in SQL.
@@ -49,12 +50,12 @@ def grep_smart_case(spark, sf_dir):
 
 @query("grep_count", f"WITH {LINES} SELECT path, count(*) AS match_count FROM l WHERE regexp_matches(text, 'the') GROUP BY path")
 def grep_count(spark, sf_dir):
-    return Search(corpus(spark, sf_dir), "the").counts()
+    return Search(corpus(spark, sf_dir), "the").counts(limited=False)
 
 
 @query("grep_files", f"WITH {LINES} SELECT DISTINCT path FROM l WHERE regexp_matches(text, 'th[a-z]*the')")
 def grep_files(spark, sf_dir):
-    return Search(corpus(spark, sf_dir), "th[a-z]*the").files()
+    return Search(corpus(spark, sf_dir), "th[a-z]*the").files(limited=False)
 
 
 CONTEXT = f"""WITH {LINES}, m AS (SELECT *, regexp_matches(text, 'disgusting|[0-9]@') AS h FROM l),
@@ -98,14 +99,46 @@ def grep_multiline(spark, sf_dir):
 
 @query("grep_glob", f"WITH {LINES} SELECT path, count(*) AS match_count FROM l WHERE regexp_matches(text, 'the') AND regexp_matches(path, '^src1.*/en/.*$') GROUP BY path")
 def grep_glob(spark, sf_dir):
-    return Search(corpus(spark, sf_dir), "the", globs=("src1*/en/*",)).counts()
+    return Search(corpus(spark, sf_dir), "the", globs=("src1*/en/*",)).counts(limited=False)
 
 
-@query("grep_rollup", f"WITH {LINES}, n AS (SELECT path, count(*) FILTER (WHERE regexp_matches(text, 'the')) AS n FROM l GROUP BY path) SELECT (SELECT count(*) FROM documents) AS files_searched, count(*) FILTER (WHERE n > 0) AS files_with_matches, CAST(least(sum(n), 500) AS BIGINT) AS total_matches, sum(n) >= 500 AS limit_reached, false AS incomplete FROM n")
+PER_FILE = "n AS (SELECT path, count(*) AS n FROM l WHERE regexp_matches(text, '{0}') GROUP BY path), t AS (SELECT path, n, coalesce(sum(n) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n)"
+
+
+@query("grep_rollup", f"WITH {LINES}, {PER_FILE.format('the')} SELECT (SELECT count(*) FROM documents) AS files_searched, count(*) FILTER (WHERE before < 500) AS files_with_matches, CAST(least(sum(n), 500) AS BIGINT) AS total_matches, sum(n) >= 500 AS limit_reached, false AS incomplete, '' AS root, true AS root_is_dir FROM t")
 def grep_rollup(spark, sf_dir):
     return Search(corpus(spark, sf_dir), "the", max_total_count=500).rollup()
 
 
+@query("grep_count_limit", f"WITH {LINES}, {PER_FILE.format('the')} SELECT path, CAST(least(n, 500 - before) AS BIGINT) AS match_count FROM t WHERE before < 500")
+def grep_count_limit(spark, sf_dir):
+    return Search(corpus(spark, sf_dir), "the", max_total_count=500).counts()
+
+
+@query("grep_files_limit", f"WITH {LINES} SELECT path FROM (SELECT DISTINCT path FROM l WHERE regexp_matches(text, 'the')) q ORDER BY path LIMIT 70")
+def grep_files_limit(spark, sf_dir):
+    return Search(corpus(spark, sf_dir), "the", max_total_count=70).files()
+
+
+@query("grep_root_folder", f"WITH {LINES}, m AS (SELECT path, count(*) AS n FROM l WHERE path LIKE 'src1/%' AND regexp_matches(text, 'the') GROUP BY path) SELECT (SELECT count(*) FROM documents WHERE source = 'src1') AS files_searched, count(*) AS files_with_matches, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_matches, false AS limit_reached, false AS incomplete, 'src1' AS root, true AS root_is_dir FROM m")
+def grep_root_folder(spark, sf_dir):
+    return Search(corpus(spark, sf_dir), "the", root="./src1/").rollup()
+
+
+@query("grep_root_file", f"WITH {LINES}, f AS (SELECT min(path) AS p FROM p) SELECT path, line_number, text, true AS is_match FROM l, f WHERE path = f.p AND text <> ''")
+def grep_root_file(spark, sf_dir):
+    """One file as the root: the first of all paths."""
+    c = corpus(spark, sf_dir)
+    return Search(c, ".", root=c.agg(F.min("path")).head()[0], max_output_bytes=64 << 20).content()
+
+
+@query("grep_ordered", f"WITH {LINES} SELECT row_number() OVER (ORDER BY path, line_number) AS position, path, line_number FROM l WHERE regexp_matches(text, 'th[a-z]*the')")
+def grep_ordered(spark, sf_dir):
+    """Rows come by path and line: numbered as they stand in a single file that keeps their order."""
+    found = materialize(grep(corpus(spark, sf_dir), "th[a-z]*the", "content").coalesce(1).select("path", "line_number"), "ordered")
+    return found.coalesce(1).select((F.monotonically_increasing_id() + 1).alias("position"), "path", "line_number")
+
+
 READ = """WITH c AS (SELECT source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) AS path, text, string_split(text, chr(10)) AS s FROM documents),
 p AS (SELECT path, text, CASE WHEN len(s) > 1 AND s[len(s)] = '' THEN list_slice(s, 1, len(s) - 1) ELSE s END AS ls FROM c)"""
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as gr
 from ..operators import symbols as sy
+from ..storage import materialize
 from .catalogue import query, table
 
 #: Kinds dealt to parts by size.
@@ -55,7 +56,7 @@ def search_filtered(spark, sf_dir):
 
 
 def fk_edges(spark, sf_dir, which=("order", "line", "customer", "supplier", "nation")):
-    """Foreign keys as edges (src, dst)."""
+    """Foreign keys as edges (src, dst), written once."""
     t = lambda n: table(spark, sf_dir, n)
     e = lambda df, a, x, b, y: df.select(F.concat(F.lit(a + "/"), F.col(x).cast("string")).alias("src"), F.concat(F.lit(b + "/"), F.col(y).cast("string")).alias("dst"))
     made = {
@@ -65,7 +66,7 @@ def fk_edges(spark, sf_dir, which=("order", "line", "customer", "supplier", "nat
         "supplier": lambda: [e(t("supplier"), "supplier", "s_suppkey", "nation", "s_nationkey")],
         "nation": lambda: [e(t("nation"), "nation", "n_nationkey", "region", "n_regionkey")],
     }
-    return reduce(lambda a, b: a.unionByName(b), [x for w in which for x in made[w]()])
+    return materialize(reduce(lambda a, b: a.unionByName(b), [x for w in which for x in made[w]()]), "foreign-keys")
 
 
 FK = """e AS MATERIALIZED (SELECT 'order/' || o_orderkey AS src, 'customer/' || o_custkey AS dst FROM orders UNION SELECT 'order/' || l_orderkey, 'part/' || l_partkey FROM lineitem
@@ -152,63 +153,3 @@ def coverage(spark, sf_dir):
 def coverage_basis(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return gr.basis(d.select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), F.substring(F.md5("text"), 1, 16).alias("content_hash")))
-
-
-INLINE = [("in/a.html", "<h1>One</h1><h2>Two</h2><h3>Three</h3><h2>Four</h2>"), ("in/b.html", "<h2>Only</h2><a href='http://ex.org/x'>x</a><a href=\"/in/a.html\">a</a>")]
-PAGES = "g AS (SELECT 'page/' || page_id AS path, html FROM pages UNION ALL VALUES " + ", ".join("('%s', '%s')" % (p, h.replace("'", "''")) for p, h in INLINE) + ")"
-
-
-def page_files(spark, sf_dir):
-    own = table(spark, sf_dir, "pages").select(F.concat(F.lit("page/"), F.col("page_id").cast("string")).alias("path"), "html")
-    return own.unionByName(spark.createDataFrame(INLINE, "path string, html string"))
-
-
-@query("symbols_headings", f"WITH {PAGES}, h AS (SELECT path, regexp_extract_all(html, '<h[1-6]>[^<]*</h[1-6]>') AS f FROM g), u AS (SELECT path, unnest(range(0, len(f))) AS idx, unnest(f) AS x FROM h) SELECT path, CAST(idx AS INTEGER) AS idx, substr(x, 5, len(x) - 9) AS name, CAST(substr(x, 3, 1) AS INTEGER) AS level FROM u")
-def symbols_headings(spark, sf_dir):
-    found = F.regexp_extract_all("html", F.lit("<h[1-6]>[^<]*</h[1-6]>"), F.lit(0))
-    rows = page_files(spark, sf_dir).select("path", F.posexplode(found).alias("idx", "x"))
-    return rows.select("path", "idx", F.expr("substring(x, 5, char_length(x) - 9)").alias("name"), F.substring("x", 3, 1).cast("int").alias("level"))
-
-
-OUTLINE = f"WITH {PAGES}, h AS (SELECT path, regexp_extract_all(html, '<h[1-6]>') AS f FROM g), u AS (SELECT path, unnest(range(0, len(f))) AS idx, CAST(substr(unnest(f), 3, 1) AS INTEGER) AS level FROM h) SELECT a.path, CAST(a.idx AS INTEGER) AS idx, CAST(count(DISTINCT b.level) AS INTEGER) AS depth FROM u a LEFT JOIN u b ON a.path = b.path AND b.idx < a.idx AND b.level < a.level AND NOT EXISTS (SELECT 1 FROM u c WHERE c.path = a.path AND c.idx > b.idx AND c.idx < a.idx AND c.level <= b.level) GROUP BY ALL"
-
-
-@query("outline_depth", OUTLINE)
-def outline_depth(spark, sf_dir):
-    """Headings open spans that end at the next heading of their level or above; depth counts the open ones."""
-    levels = F.transform(F.regexp_extract_all("html", F.lit("<h[1-6]>"), F.lit(0)), lambda x: F.substring(x, 3, 1).cast("int"))
-    zero = F.struct(F.array().cast("array<int>").alias("open"), F.array().cast("array<int>").alias("out"))
-    below = lambda a, v: F.filter(a["open"], lambda o: o < v)
-    step = lambda a, v: F.struct(F.array_append(below(a, v), v).alias("open"), F.array_append(a["out"], F.size(below(a, v))).alias("out"))
-    return page_files(spark, sf_dir).select("path", F.posexplode(F.aggregate(levels, zero, step, lambda a: a["out"])).alias("idx", "depth"))
-
-
-HREF = "href=[\"\\x27]([^\"\\x27]*)[\"\\x27]"
-HREF_SQL = "href=[\"\\x27]([^\"\\x27]*)[\"\\x27]"
-TARGETS = f"t AS (SELECT DISTINCT path, x AS specifier FROM (SELECT path, unnest(regexp_extract_all(html, '{HREF_SQL}', 1)) AS x FROM {{0}}) q)"
-
-
-def page_imports(spark, sf_dir):
-    return page_files(spark, sf_dir).select("path", F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("specifier")).distinct()
-
-
-@query("imports_pages", f"WITH {PAGES}, {TARGETS.format('g')} SELECT path, specifier FROM t")
-def imports_pages(spark, sf_dir):
-    return page_imports(spark, sf_dir)
-
-
-RESOLVE = f"WITH {PAGES}, {TARGETS.format('g')} SELECT t.path AS src, t.specifier, CASE WHEN t.specifier LIKE 'http%' THEN 'external' WHEN g.path IS NOT NULL THEN 'path' ELSE 'unresolved' END AS to_kind, CASE WHEN t.specifier LIKE 'http%' THEN NULL WHEN g.path IS NULL THEN 'not found' END AS reason FROM t LEFT JOIN g ON '/' || g.path = t.specifier"
-
-
-@query("resolve_pages", RESOLVE)
-def resolve_pages(spark, sf_dir):
-    t, files = page_imports(spark, sf_dir), page_files(spark, sf_dir).select(F.concat(F.lit("/"), "path").alias("specifier"), F.lit(True).alias("found"))
-    outside = F.startswith("specifier", F.lit("http"))
-    rows = t.join(files, "specifier", "left")
-    kind = F.when(outside, "external").when(F.col("found"), "path").otherwise("unresolved")
-    return rows.select(F.col("path").alias("src"), "specifier", kind.alias("to_kind"), F.when(~outside & F.col("found").isNull(), "not found").alias("reason"))
-
-
-@query("dep_external", f"WITH {PAGES}, {TARGETS.format('g')} SELECT path AS src, regexp_extract(specifier, '^https?://([^/]*)', 1) AS package FROM t WHERE specifier LIKE 'http%'")
-def dep_external(spark, sf_dir):
-    return page_imports(spark, sf_dir).where(F.startswith("specifier", F.lit("http"))).select(F.col("path").alias("src"), F.regexp_extract("specifier", "^https?://([^/]*)", 1).alias("package"))

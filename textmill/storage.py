@@ -52,9 +52,14 @@ def _width(df: DataFrame):
     return total
 
 
+def measured(df: DataFrame, most: int = BROADCAST_ROWS) -> tuple[int, int]:
+    """(rows, bytes) of a frame that is cheap to read, counted up to ``most`` + 1 rows."""
+    n, b = df.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(_width(df)), F.lit(0))).head()
+    return n, b
+
+
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Whether a frame has at most ``rows`` rows of ``size`` bytes in all; reads at most one row more. It must be cheap to read."""
-    n, b = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(_width(df)), F.lit(0))).head()
+    n, b = measured(df, rows)
     return n <= rows and b <= size
 
 
