@@ -95,7 +95,42 @@ def test_all_candidates_reach_the_trees():
 
 
 def test_held_out_quality():
-    assert SCORER.held_out["precision"] > 0.97 and SCORER.held_out["recall"] > 0.75
+    """On templates that nothing was fitted on: harder than new draws from the fitted ones. Phones of unseen groupings are the weak kind."""
+    found = SCORER.held_out()
+    assert found["all"]["precision"] > 0.94 and found["all"]["recall"] > 0.9 and found["all"]["n"] > 2000
+    assert all(f["precision"] > (0.7 if k == "phone" else 0.97) and f["recall"] > 0.75 and f["n"] > 100 for k, f in found.items() if k != "all")
+    rows = list(pii._examples(3000, 123))
+    said = SCORER.score([pii.features(t, k, s, e) for t, k, s, e, _ in rows]) >= SCORER.threshold[[pii.KINDS.index(k) for _, k, *_ in rows]]
+    true = np.array([x[4] for x in rows])
+    assert true[said].mean() > 0.97 and said[true].mean() > 0.75
+
+
+def test_choice_of_spans_against_all_pairs(spark, sf):
+    """All spans of whole texts, chosen by comparing every candidate with every span taken before."""
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    r = random.Random(7)
+    bits = ["call 314-555-6532", "0049 314 5556532", "a@b.cc", "jo (at) mail dot com", "10.0.0.1", "4111.1111.1111.1111", "password=abc123xyz", "+1 (314) 555-6532", "DE44 1234 5678 9012 3456 78", "123-45-6789", "fe80::1234:abcd:12ab:cd34"]
+    texts += [" ".join(r.choices(bits, k=r.randint(1, 12))) for _ in range(300)]
+    for t, (base, every) in zip(texts, pii.found_spans(texts, SCORER), strict=True):
+        want, taken = list(plain_base(t)), [(s, e) for _, s, e in plain_base(t)]
+        cand = [c for c in pii.candidates(t) if c not in base]
+        p = SCORER.score([pii.features(t, *c) for c in cand]) if cand else []
+        for q, c in sorted(zip(p, cand, strict=True), key=lambda x: (-x[0], x[1][1], pii.KINDS.index(x[1][0]), x[1][2])):
+            if q >= SCORER.threshold[pii.KINDS.index(c[0])] and not any(c[1] < e and s < c[2] for s, e in taken):
+                want.append(c)
+                taken.append((c[1], c[2]))
+        assert sorted(every) == sorted(want)
+
+
+def test_many_spans_are_near_linear():
+    import time
+
+    took = []
+    for n in (4000, 16_000):
+        began = time.perf_counter()
+        assert len(pii.found_spans(["314-555-6532 and a@b.cc; " * n], SCORER)[0][1]) == 2 * n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
