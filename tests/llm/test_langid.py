@@ -77,3 +77,56 @@ def test_small_share_of_a_long_document_is_selected():
     model = langid.Inference(["a", "b", "c", "d"], np.zeros((langid.BUCKETS, 4)))
     theta = model._select(p, np.ones(10_000), np.zeros(10_000, int), np.array([0]), np.array([10_000.0]))
     assert (theta[0] > 0).tolist() == [True, True, True, False] and abs(theta[0, 2] - 0.015) < 0.003
+
+
+def plain_choice(p, n):
+    """The language set of one document, by the textbook: sets in the order of the proportions, penalised likelihood."""
+    k, words = len(p[0]), sum(n)
+    full = plain_em(p, n, langid.ROUNDS)
+    order = sorted(range(k), key=lambda j: -full[j])
+    best, out = -np.inf, None
+    for size in range(1, k + 1):
+        own = order[:size]
+        start = [max(full[j], 1e-6) for j in own]
+        theta = [x / sum(start) for x in start]
+        for _ in range(1 if size == 1 else 4):
+            s = [max(sum(row[j] * t for j, t in zip(own, theta, strict=True)), 1e-300) for row in p]
+            theta = [sum(c * row[j] * t / x for row, c, x in zip(p, n, s, strict=True)) / words for j, t in zip(own, theta, strict=True)]
+        score = sum(c * np.log(x) for c, x in zip(n, s, strict=True)) - langid.PENALTY * (size - 1) * np.log(words + 1)
+        if score > best + 1e-9:
+            best, out = score, {j: t for j, t in zip(own, theta, strict=True)}
+    return [out.get(j, 0.0) for j in range(k)]
+
+
+def test_whole_query_against_plain_python(spark, sf):
+    """Every document's prediction, score and set: bags of words, trigram likelihoods, rounds and penalty one document at a time."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    langs, logp = langid.learn(docs.where(~langid.held_out()))
+    got = {r.doc_id: r for r in langid.languages(docs).collect()}
+    memo: dict = {}
+
+    def relative(w):
+        if w not in memo:
+            grams = [f"\x02{w}\x03"[k : k + 3] for k in range(len(w))]
+            ll = sum(logp[langid.zlib.crc32(g.encode()) % langid.BUCKETS].astype(float) for g in grams)
+            memo[w] = np.exp(np.maximum(ll - ll.max(), -60)).tolist()
+        return memo[w]
+
+    for r in docs.collect()[:120]:
+        bag = langid.Counter(w for w in langid._WORD.findall((r.text or "").lower()) if any(map(str.isalpha, w)))
+        if not bag:
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        theta = plain_choice([relative(w) for w in bag], list(bag.values()))
+        best = max(range(len(langs)), key=lambda j: (theta[j], -j))
+        assert got[r.doc_id].lang_pred == langs[best] and abs(got[r.doc_id].score - theta[best]) < 1e-6
+        assert {x.partition(":")[0] for x in got[r.doc_id].langs.split(",")} == {langs[j] for j, t in enumerate(theta) if t > 0}
+
+
+def test_sample_is_of_different_texts(spark):
+    rows = [(k, EN + " again", "en") for k in range(3000)] + [(10_000 + k, f"{DE} {k}", "de") for k in range(50)] + [(20_000 + k, f"{EN} {k}", "en") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, logp = langid.learn(docs, docs_per_language=20)
+    assert langs == ["de", "en"] and {r.lang_pred for r in langid.predicted(docs.where("lang = 'en'"), langs, logp).collect()} == {"en"}
+    whole = langid.learn(docs, docs_per_language=1000)[1]
+    assert np.array_equal(whole, langid.learn(docs.distinct().dropDuplicates(["text"]), docs_per_language=1000)[1])

@@ -3,11 +3,12 @@
 Each language has a character-trigram model (hashed to BUCKETS, additive smoothing), learned from labelled texts. A
 document is a bag of words drawn from a mixture of languages; expectation-maximisation finds its proportions from
 the words' likelihoods. The set of languages is chosen by penalised likelihood: languages enter in the order of their
-proportions, and a set of k pays PENALTY * (k - 1) * ln(words). The prediction is the set's largest language, its
+proportions, and a set of k pays PENALTY * (k - 1) * ln(words + 1). The prediction is the set's largest language, its
 score that language's proportion.
 
-The models may be learned from a bounded sample: about ``docs_per_language`` whole texts of each language, chosen by a
-hash of text. Prediction reads the text only.
+The models may be learned from a bounded sample: about ``docs_per_language`` different whole texts of each language, chosen by a
+hash of text (copies of a text count once, so a hot copy neither fills the sample nor empties it). Each language costs the driver
+a row of BUCKETS numbers. Prediction reads the text only.
 
 Defined cases: a null text, or one without any letter (Unicode L), is `und` with score 0 and no proportions; ties go to
 the language that sorts first; rows with a null language teach nothing; repeated rows each get a row; without any labelled
@@ -61,13 +62,15 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
         return [], np.zeros((BUCKETS, 0), np.float32)
-    share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, docs_per_language / counts[k]))])
-    unit = (F.xxhash64("text") % (1 << 31) / float(1 << 31) + 1) / 2
-    sample = rows.where(unit < share[F.col("lang")]).repartition(max(1, min(8, sum(min(n, docs_per_language) for n in counts.values()) // 500)))
+    share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, docs_per_language / max(1, counts[k])))])
+    unit = (F.col("h") % (1 << 31) / float(1 << 31) + 1) / 2
+    sample = rows.where(unit < share[F.col("lang")]).groupBy("lang", "h").agg(F.first("text").alias("text")).select("text", "lang")
+    sample = sample.repartition(max(1, min(8, sum(min(n, docs_per_language) for n in counts.values()) // 500)))
 
     def count(batches: Iterator) -> Iterator:
         got: dict[str, object] = {}
