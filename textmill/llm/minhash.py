@@ -8,8 +8,9 @@
 4. Pairs are verified: exact weighted Jaccard similarity of at least THRESHOLD over the whole texts.
 5. Links make components. Where the members of a bucket are still apart, those outside its largest component are
    paired with other members of that component, for ROUNDS rounds; last, the members of one bucket that are still apart are
-   compared in blocks of about BLOCK texts, so that no candidate link between different components is lost. A block gives a
-   spanning forest of its links, never its pairs.
+   compared in blocks of about BLOCK texts or BLOCK_BYTES, whichever is less, so that no candidate link between different components
+   is lost. Blocks are dealt as ids; a text joins each pair of blocks that needs it (it is smaller than its shingles with their
+   counts). A block gives a spanning forest of its links, never its pairs.
 
 Words are runs of lowered ASCII letters, digits, underscores and non-ASCII characters; a text of one to four words is one shingle. Defined cases: a null text, or one without
 words, is never linked: equal ones share no class and each stays its own; repeated rows are copies of one another;
@@ -31,7 +32,7 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
 ROUNDS = 1
-BLOCK = 256
+BLOCK, BLOCK_BYTES = 256, 8 << 20
 DF_BUCKETS = 1 << 18
 POOL = 1 << 16
 
@@ -302,10 +303,12 @@ def block_links(apart: DataFrame, texts: DataFrame, idf, threshold: float = THRE
 
     from .embeddings import forest
 
-    sizes = apart.groupBy("i", "v", "label").agg(F.count("*").alias("n"))
-    plan = sizes.groupBy("i", "v").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"))
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    plan = materialize(plan.select("i", "v", F.col("m.label").alias("main"), blocks(F.col("m.n")).alias("bm"), blocks(F.col("n") - F.col("m.n")).alias("br")), "plan")
+    wide = texts.join(broadcast_if_small(materialize(apart.select("h").distinct(), "apart-texts")), "h", "left_semi").select("h", F.octet_length("t").cast("long").alias("w"))
+    sizes = apart.join(broadcast_if_small(materialize(wide, "widths")), "h").groupBy("i", "v", "label").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+    plan = sizes.groupBy("i", "v").agg(F.max(F.struct("n", "label", "w")).alias("m"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    blocks = lambda n, w: F.greatest(F.ceil(n / F.lit(BLOCK)), F.least(n, F.ceil(w / F.lit(BLOCK_BYTES)))).cast("int")
+    plan = plan.select("i", "v", F.col("m.label").alias("main"), blocks(F.col("m.n"), F.col("m.w")).alias("bm"), blocks(F.col("n") - F.col("m.n"), F.col("w") - F.col("m.w")).alias("br"))
+    plan = materialize(plan, "plan")
     rows = apart.join(broadcast_if_small(plan), ["i", "v"]).withColumn("inside", F.col("label") == F.col("main"))
     own = F.pmod(F.xxhash64("h", "i"), F.when(F.col("inside"), F.col("bm")).otherwise(F.col("br"))).cast("int")
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
