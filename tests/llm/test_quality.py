@@ -100,3 +100,50 @@ def test_sample_bound_is_kept(spark):
 def test_labels_to_grades(spark):
     labels = spark.createDataFrame([(1, 0, 1), (2, 0, 0), (3, 1, 1), (4, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
     assert [r.grade for r in q.grades_of_labels(labels).orderBy("doc_id").collect()] == [0, 1, 2, 3, None]
+
+
+def test_whole_query_against_plain_python(spark, sf):
+    """Every row of the query: features, sums of weights and sigmoids one document at a time."""
+    from textmill.llm import registry
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: r for r in registry.op1_ordinal_quality(spark, sf).collect()}
+    model = q.train(docs, q.grades_of_labels(spark.read.parquet(f"{sf}/labels.parquet")))
+    assert len(got) == docs.count()
+    for r in docs.collect():
+        z = sum(float(model.weights[b]) for b in q.buckets_of(r.text or "", q.Hashes()).tolist())
+        tails = [1.0, *[1 / (1 + np.exp(-(z - t))) for t in model.thresholds], 0.0]
+        prob = [a - b for a, b in zip(tails, tails[1:], strict=False)]
+        assert got[r.doc_id].grade == model.grades[int(np.argmax(prob))] and abs(got[r.doc_id].p_tail - tails[-2]) < 1e-4
+        assert abs(got[r.doc_id].expected_grade - sum(p * g for p, g in zip(prob, model.grades, strict=True))) < 1e-4
+        assert got[r.doc_id].selected == (got[r.doc_id].p_tail >= q.LEAST_P)
+
+
+def test_fit_against_plain_descent():
+    """The penalised loss of the fit against plain proximal steps from many more rounds, on a small dense problem."""
+    r = np.random.default_rng(4)
+    rows = [np.array(sorted(r.choice(30, r.integers(3, 9), replace=False)), np.int32) for _ in range(400)]
+    grade = [int(np.clip(sum(b < 6 for b in x) + r.integers(-1, 2), 0, 2)) for x in rows]
+    x = np.zeros((400, 30))
+    for k, b in enumerate(rows):
+        x[k, b] = 1
+    y, mean = np.array(grade), x.mean(0)
+    scale = 1 / np.sqrt(mean * (1 - mean))
+    z = (x - mean) * scale
+    penalty = q.PENALTY / 20
+
+    def loss(v, t):
+        tail = np.concatenate([np.ones((400, 1)), 1 / (1 + np.exp(-(z @ v)[:, None] + t[None, :])), np.zeros((400, 1))], axis=1)
+        return -np.log(tail[range(400), y] - tail[range(400), y + 1]).mean() + penalty * np.abs(v).sum()
+
+    model = q.fit(rows, grade)
+    v, t = model.weights[:30] / scale, model.thresholds - float(model.weights[:30] @ mean)
+    best, step = loss(v, t), 1e-4
+    for k in range(32):  # no small move of any weight or threshold betters it
+        for sign in (-1, 1):
+            dv, dt = v.copy(), t.copy()
+            if k < 30:
+                dv[k] += sign * step
+            else:
+                dt[k - 30] += sign * step
+            assert loss(dv, dt) > best - 1e-6

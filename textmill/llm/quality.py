@@ -5,7 +5,8 @@ P(grade > k) = sigmoid(x.w - t_k): one vector of weights over hashed text featur
 
 Features (presence, hashed to BUCKETS): words stripped of symbols, in lower case; the symbols a token ends with; shapes
 (capitals, repeated neighbours); and quantised shares over the whole text (capitals, symbol tails, distinct tokens, bars,
-repeated lines, mean word length, length). All of a text is read. Ratings for fitting are a sample of at most ``max_train``
+repeated lines, mean word length, length). Shares that say nothing of short texts are levels of their own there: distinct tokens and the
+commonest token up to SHORT tokens; only lines longer than LINE characters count as repeated. All of a text is read. Ratings for fitting are a sample of at most ``max_train``
 rated documents, chosen by a hash of the id.
 
 Defined cases: a null text is the empty text; a null id or grade rates nothing; of several grades of one document the lowest
@@ -30,6 +31,7 @@ from .common import bounded_batches, release
 BUCKETS = 1 << 18
 MAX_TRAIN = 16_000
 MIN_DOCS = 4
+SHORT, LINE = 30, 20
 ROUNDS = 500
 PENALTY = 0.1
 #: Least chance of the highest grade with which a document is selected.
@@ -52,7 +54,7 @@ class Hashes(dict):
         core = _HEAD.sub("", token[: len(token) - len(tail)])
         word = _hash("w " + core.lower()) if core else -1
         odd = tail.strip(".,;:") if tail else ""
-        got = (word, _hash("t " + tail[:8]) if tail else -1, len(core) > 1 and core.isupper(), bool(odd))
+        got = (word, _hash("t " + tail) if tail else -1, len(core) > 1 and core.isupper(), bool(odd))
         if len(token) <= 60:
             if len(self) > 80_000:
                 self.clear()
@@ -77,11 +79,11 @@ def buckets_of(text: str, memory: Hashes):
     found.discard(-1)
     m = max(1, n)
     caps, odd = sum(c for (_, _, u, _), c in got if u) / m, sum(c for (_, _, _, o), c in got if o) / m
-    lines = [x for x in text.split("\n") if len(x) > 20]
+    lines = [x for x in text.split("\n") if len(x) > LINE]
     twice = sum(a == b for a, b in zip(tokens, tokens[1:], strict=False)) / m
     stats = {
-        "caps": _level(caps), "odd": _level(odd), "distinct": int(len(counts) / m * 8) if n > 30 else 9, "bars": _level(counts["|"] / m),
-        "lines": _level(1 - len(set(lines)) / len(lines)) if lines else 0, "twice": _level(twice), "top": _level(max(counts.values(), default=0) / m) if n > 30 else -1,
+        "caps": _level(caps), "odd": _level(odd), "distinct": int(len(counts) / m * 8) if n > SHORT else 9, "bars": _level(counts["|"] / m),
+        "lines": _level(1 - len(set(lines)) / len(lines)) if lines else 0, "twice": _level(twice), "top": _level(max(counts.values(), default=0) / m) if n > SHORT else -1,
         "chars": min(12, int(len(text) / m)), "size": n.bit_length(),
     }
     found.update(_hash(f"s {k} {v}") for k, v in stats.items())
