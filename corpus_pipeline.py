@@ -14,7 +14,7 @@ from textmill.llm.common import materialize, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose chance of the highest grade is at least one half stay; junk and toxic ones go."""
+    """Documents whose chance of the highest grade is at least `quality.LEAST_P` stay; junk and toxic ones go."""
     return quality.selected_documents(docs, quality.grades_of_labels(table(spark, sf_dir, "labels")))
 
 
