@@ -14,15 +14,17 @@ def put(folder, name, rows):
     (folder / name).write_text("\n".join(json.dumps(dict(zip(("revision", "path", "event", "text"), r, strict=True))) for r in rows))
 
 
-def test_feed_keeps_an_index_in_step(spark, tmp_path):
+@pytest.mark.parametrize("compact_every", [1, 2, 20])
+def test_feed_keeps_an_index_in_step(spark, tmp_path, compact_every):
     src, base, cp = tmp_path / "in", str(tmp_path / "index"), str(tmp_path / "cp")
     parse = lambda df: df.select("path", F.size(F.split("text", " ")).alias("words"))
-    steps = [[(1, "a", "create", "x y"), (2, "b", "create", "x"), (3, "a", "modify", "x y z")], [(4, "b", "remove", None), (5, "c", "create", "q")]]
-    want = [{"a": 3, "b": 1}, {"a": 3, "c": 1}]
+    steps = [[(1, "a", "create", "x y"), (2, "b", "create", "x"), (3, "a", "modify", "x y z")], [(4, "b", "remove", None), (5, "c", "create", "q")], [(6, "a", "remove", None), (7, "b", "create", "x y")], [(8, "a", "create", "z")]]
+    want = [{"a": 3, "b": 1}, {"a": 3, "c": 1}, {"b": 2, "c": 1}, {"a": 1, "b": 2, "c": 1}]
     for k, rows in enumerate(steps):
         put(src, f"{k}.json", rows)
-        feed.follow(feed.changes(spark, str(src)), base, cp, parse).awaitTermination()
+        feed.follow(feed.changes(spark, str(src)), base, cp, parse, compact_every).awaitTermination()
         assert {r.path: r.words for r in feed.current(spark, base).collect()} == want[k]
+    assert {r.path: r.words for r in feed.current(spark, base, 1).collect()} == want[1]
 
 
 def test_windowed_counts_stream(spark, tmp_path):

@@ -8,16 +8,18 @@ from ..operators import sweep as sw
 from ..streaming import chunks as ch
 from .catalogue import query, table
 
-VERSIONS = """a AS (SELECT CAST(doc_id AS VARCHAR) AS path, n_chars AS size, CAST(0 AS BIGINT) AS mtime, md5(text) AS h FROM documents WHERE doc_id % 10 <> 1),
-b AS (SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS size, CAST(doc_id % 5 AS BIGINT) AS mtime, md5(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 10 <> 2)"""
+VERSIONS = """a AS (SELECT CAST(doc_id AS VARCHAR) AS path, n_chars AS size, CAST(0 AS BIGINT) AS mtime, md5(text) AS h FROM documents),
+b AS (SELECT CASE WHEN doc_id % 10 = 1 THEN 'moved/' ELSE '' END || doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS size, CAST(doc_id % 5 AS BIGINT) AS mtime, md5(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h FROM documents)"""
 
 
 def versions(spark, sf_dir):
+    """Two versions of all documents: of ten one moves (removed and added), of seven one changes, most are touched."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"), F.col("doc_id").cast("string").alias("path"), "text", F.col("n_chars").alias("size"))
-    old = d.where("i % 10 <> 1").select("path", "size", F.lit(0).cast("long").alias("mtime_ns"), F.md5("text").alias("hash"), "text")
+    old = d.select("path", "size", F.lit(0).cast("long").alias("mtime_ns"), F.md5("text").alias("hash"), "text")
     text = F.when(F.col("i") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
     size = F.when(F.col("i") % 7 == 0, F.col("size") + 1).otherwise(F.col("size"))
-    new = d.where("i % 10 <> 2").select("path", size.alias("size"), (F.col("i") % 5).alias("mtime_ns"), F.md5(text).alias("hash"), text.alias("text"))
+    path = F.when(F.col("i") % 10 == 1, F.concat(F.lit("moved/"), "path")).otherwise(F.col("path"))
+    new = d.select(path.alias("path"), size.alias("size"), (F.col("i") % 5).alias("mtime_ns"), F.md5(text).alias("hash"), text.alias("text"))
     return old, new
 
 

@@ -1,8 +1,9 @@
 """A directory tree as a Spark data source, hidden and underscore names included (the built-in readers drop those).
 
 ``spark.read.format("tree").option("path", root).load()``: rel_path, name, kind (file, dir, symlink), is_hidden, ignored, size,
-mtime_ns, content (files up to ``maxBytes``). Options: hidden, respectIgnore, followSymlinks, content, maxBytes. One
-partition per top-level entry; the root must be visible to the driver and the executors (a shared mount).
+mtime_ns, content (files up to ``maxBytes``). Options: hidden, respectIgnore, followSymlinks, content, maxBytes. The driver lists
+folders from the root down until there are FOLDERS of them; each of those is a partition, files above them are dealt FILES to
+one. The root must be visible to the driver and the executors (a shared mount).
 """
 
 from __future__ import annotations
@@ -37,9 +38,15 @@ def load_rules(root: str) -> list[tuple[str, bool, bool]]:
     return rules
 
 
-class TopEntry(InputPartition):
-    def __init__(self, name: str):
-        self.value = name
+#: Folders to split a tree into, and entries that share a partition.
+FOLDERS, FILES = 64, 500
+
+
+class Entries(InputPartition):
+    """Relative paths, each with whether what lies below it belongs to this partition too."""
+
+    def __init__(self, entries: list[tuple[str, bool]]):
+        self.value = entries
 
 
 class TreeReader(DataSourceReader):
@@ -56,7 +63,26 @@ class TreeReader(DataSourceReader):
         self.most = int(options.get("maxBytes", MOST_CONTENT))
 
     def partitions(self) -> list[InputPartition]:
-        return [TopEntry(n) for n in sorted(os.listdir(self.root))]
+        rules = load_rules(self.root) if self.respect else []
+        names, single, folders = sorted(os.listdir(self.root)), [], []
+        while True:
+            below = []
+            for rel in names:
+                path = os.path.join(self.root, rel)
+                folder = os.path.isdir(path) and not os.path.islink(path)
+                (below if folder else single).append(rel)
+            folders += below
+            if not folders or len(folders) >= FOLDERS:
+                break
+            names = []
+            for rel in folders:
+                single.append(rel)
+                hidden = any(p.startswith(".") for p in rel.split("/"))
+                if not (hidden and not self.hidden or ignored(rules, rel, True)):
+                    names += [f"{rel}/{n}" for n in sorted(os.listdir(os.path.join(self.root, rel)))]
+            folders = []
+        shallow = [Entries([(r, os.path.islink(os.path.join(self.root, r))) for r in single[k : k + FILES]]) for k in range(0, len(single), FILES)]
+        return shallow + [Entries([(f, True)]) for f in folders]
 
     def _entry(self, rel: str, rules) -> tuple | None:
         path = os.path.join(self.root, rel)
@@ -78,10 +104,10 @@ class TreeReader(DataSourceReader):
         return (path, rel, os.path.basename(rel), kind, is_hidden, dropped, st.st_size if kind == "file" else 0, st.st_mtime_ns, data)
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        rules, stack, count, size = load_rules(self.root) if self.respect else [], [partition.value], 0, 0
+        rules, stack, count, size = load_rules(self.root) if self.respect else [], partition.value[::-1], 0, 0
         seen = set()
         while stack:
-            rel = stack.pop()
+            rel, deep = stack.pop()
             row = self._entry(rel, rules)
             if row is None or row[5] or (row[4] and not self.hidden):
                 continue
@@ -89,11 +115,11 @@ class TreeReader(DataSourceReader):
             if count > MOST_ENTRIES or size > MOST_PATH_BYTES:
                 raise invalid("the tree is too large")
             yield (row[0], *[v.encode("utf-8", "surrogateescape").decode("utf-8", "replace") if isinstance(v, str) else v for v in row[1:]])
-            if row[3] == "dir":
+            if row[3] == "dir" and deep:
                 real = os.path.realpath(os.path.join(self.root, rel))
                 if real not in seen:
                     seen.add(real)
-                    stack += [f"{rel}/{n}" for n in sorted(os.listdir(os.path.join(self.root, rel)), reverse=True)]
+                    stack += [(f"{rel}/{n}", True) for n in sorted(os.listdir(os.path.join(self.root, rel)), reverse=True)]
 
 
 class TreeSource(DataSource):

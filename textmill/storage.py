@@ -21,7 +21,7 @@ BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="textmill-")
         spark.conf.set("spark.checkpoint.dir", base)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,33 +16,54 @@ def changes(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(CHANGES).json(folder)
 
 
-def follow(stream: DataFrame, base: str, checkpoint: str, parse: Callable[[DataFrame], DataFrame]):
+def follow(stream: DataFrame, base: str, checkpoint: str, parse: Callable[[DataFrame], DataFrame], compact_every: int = 20):
     """Keep a Parquet index below ``base`` in step with a change stream; returns the started query.
 
-    Each batch writes a new version folder: rows of changed paths go, ``parse`` of the last text of each comes. A batch that
-    is run again overwrites its own version, so delivery is exactly once for readers of `current`.
+    A batch writes only what it changes: ``parse`` of the last text of each changed path, and the list of those paths, whose older
+    rows no longer count. Every ``compact_every`` batches the index as it then is becomes one new folder, from which readers start.
+    A batch that is run again overwrites its own folders, so delivery is exactly once for readers of `current`.
     """
     spark = stream.sparkSession
 
     def step(batch: DataFrame, batch_id: int) -> None:
         newest = batch.groupBy("path").agg(F.max(F.struct("revision", "event", "text")).alias("c")).select("path", "c.*")
         new = parse(newest.where("event <> 'remove'").select("path", "text"))
-        old = current(spark, base, batch_id - 1)
-        rows = new if old is None else old.join(newest.select("path"), "path", "left_anti").unionByName(new)
-        rows.write.mode("overwrite").parquet(f"{base}/version={batch_id}")
+        newest.select("path").write.mode("overwrite").parquet(f"{base}/changed={batch_id}")
+        new.write.mode("overwrite").parquet(f"{base}/rows={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            current(spark, base, batch_id).write.mode("overwrite").parquet(f"{base}/whole={batch_id}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, base: str, upto: int | None = None) -> DataFrame | None:
-    """The newest version of the index, or the newest up to a batch."""
+def _finished(spark: SparkSession, base: str) -> dict[str, list[int]]:
+    """Numbers of the batches whose folders are complete, by kind of folder."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(base)
     fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
+    found: dict[str, list[int]] = {"changed": [], "rows": [], "whole": []}
+    for status in fs.listStatus(fs_path) if fs.exists(fs_path) else []:
+        kind, _, n = str(status.getPath().getName()).partition("=")
+        if kind in found and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            found[kind].append(int(n))
+    return found
+
+
+def current(spark: SparkSession, base: str, upto: int | None = None) -> DataFrame | None:
+    """The index after its newest batch, or after batch ``upto``: the last whole folder and the batches after it, of each path the rows
+    of the last batch that changed it."""
+    found = {k: [n for n in v if upto is None or n <= upto] for k, v in _finished(spark, base).items()}
+    start = max(found["whole"], default=-1)
+    batches = sorted(n for n in set(found["changed"]) & set(found["rows"]) if n > start)
+    if start < 0 and not batches:
         return None
-    done = [int(str(s.getPath().getName()).partition("=")[2]) for s in fs.listStatus(fs_path) if str(s.getPath().getName()).startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    done = [v for v in done if upto is None or v <= upto]
-    return spark.read.parquet(f"{base}/version={max(done)}") if done else None
+    parts = [spark.read.parquet(f"{base}/whole={start}").withColumn("_batch", F.lit(start))] if start >= 0 else []
+    parts += [spark.read.parquet(f"{base}/rows={n}").withColumn("_batch", F.lit(n)) for n in batches]
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
+    if not batches:
+        return rows.drop("_batch")
+    changed = reduce(lambda a, b: a.unionByName(b), [spark.read.parquet(f"{base}/changed={n}").select("path", F.lit(n).alias("_last")) for n in batches])
+    last = changed.groupBy("path").agg(F.max("_last").alias("_last"))
+    return rows.join(last, "path", "left").where("_last is null or _last = _batch").select(*[c for c in rows.columns if c != "_batch"])
 
 
 def windowed_counts(stream: DataFrame, ts: str, key: str, width: str, late: str) -> DataFrame:
