@@ -141,7 +141,8 @@ def _filled(text: str, key: str):
 def sources(spark, sf_dir):
     """(path, text) of the written corpus."""
     made = [table(spark, sf_dir, t).select(_filled(path, key).alias("path"), _filled(text, key).alias("text")) for t, key, path, text in FILES.values()]
-    return reduce(lambda a, b: a.unionByName(b), [*made, spark.createDataFrame(SINGLE, "path string, text string")])
+    rows = reduce(lambda a, b: a.unionByName(b), [*made, spark.createDataFrame(SINGLE, "path string, text string")])
+    return rows.repartition(spark.sparkContext.defaultParallelism, "path")  # small tables come in one split, their parsing does not
 
 
 def analysed(spark, sf_dir):
