@@ -235,3 +235,70 @@ def test_requires_and_verified_importers(spark):
     assert sorted(i[:2] for i in ex.analyze("m.ts", js)[2]) == [("./a", "require"), ("./b", "require"), ("./c", "ts-require")]
     files = spark.createDataFrame([("a.ts", 'import "./t";'), ("b.ts", "// ./t"), ("t.ts", ""), ("c.ts", 'import "./x/t";')], "path string, text string")
     assert [r.src for r in rs.verified_importers(files, "t.ts", spark.createDataFrame([], "src string, dst string")).collect()] == ["a.ts"]
+
+
+def test_bounds_and_outputs_of_edits(spark, monkeypatch):
+    monkeypatch.setattr(rw, "MOST_INPUT", 8)
+    assert kind(rw.apply_edits, "abc", [("a", "x" * 8)]) == ("invalidInput", None)
+    assert kind(rw.apply_edits, "ä" * 5, [("ä", "x")]) == ("invalidInput", None)
+    assert rw.apply_edits("a" + "b" * 9, [("a", "x")]).content == "x" + "b" * 9
+    monkeypatch.setattr(rw, "MOST_WORK", 5)
+    assert kind(rw.apply_edits, "abc", [("a", "x"), ("b", "y")]) == ("invalidInput", None)
+    monkeypatch.setattr(rw, "MOST_LINES", 2)
+    assert kind(rw.check_result, "a\nb\nc", "a", 0, 0, True)[0] == "invalidInput"
+    rw.check_result("a\nb\nc", "a", 0, 0, False)
+    rw.check_result("aaaa", "bbbb", 0, 0, False, 8)
+    assert kind(rw.check_result, "aaaa", "bbbb", 1, 0, False, 8)[0] == "invalidInput"
+    c = spark.createDataFrame([("f", "one two"), ("g", "one " * 1)], "path string, text string")
+    e = spark.createDataFrame([(p, 0, "one", "1") for p in "fg"], "path string, edit_index int, old_text string, new_text string")
+    got = {r.path: r for r in ed.edit_batch(c, e, content=False, original=True, most_bytes=12).collect()}
+    assert got["f"].error_kind == "invalidInput" and got["f"].original is None
+    assert got["g"].content is None and got["g"].original == "one " and got["g"].hunks
+
+
+def test_project_files_that_extend_others():
+    files = {
+        "app/tsconfig.json": '{"extends": ["../a", "../b.json", "@pkg/base", "../gone"], "compilerOptions": {"baseUrl": "src"}}',
+        "a.json": '{"compilerOptions": {"paths": {"x/*": ["a/*"]}}}',
+        "b.json": '{"extends": "./app/tsconfig.json", "compilerOptions": {"paths": {"y": ["b"], "long/*": ["c/*"]}}}',
+    }
+    paths, notes = rs.inherited_paths(files, "app/tsconfig.json")
+    assert paths == [("long/*", ["app/src/c/*"]), ("y", ["app/src/b"])]
+    assert notes == ["b.json extends ./app/tsconfig.json, which extends it", "app/tsconfig.json extends the package @pkg/base", "app/tsconfig.json extends ../gone, which is missing"]
+    assert rs.inherited_paths({"d/t.json": '{"extends": "./base"}', "d/base.json": '{"compilerOptions": {"paths": {"q": ["r"]}}}'}, "d/t.json")[0] == [("q", ["d/r"])]
+
+
+def test_exports_of_packages():
+    known = rs.packages({"p/package.json": '{"name": "p", "exports": {"import": "./m.mjs", "default": ["./d.js", "./e.js"]}}', "q/package.json": '{"name": "q", "exports": {"./a/*": {"custom": "./c/*.js", "default": "./a/*.js"}, "./a/b/*": "./deep/*", "./a/none/*": null}}', "node_modules/z/package.json": '{"name": "z"}', "p/in/package.json": '{"name": "p2"}'})
+    assert [k[0] for k in known] == ["p2", "p", "q"]
+    js = lambda s, kind="static", c=(): rs._js("x.ts", s, [], kind, known, c)
+    assert js("p")[0][0] == "p/m.mjs" and js("p", "require")[0][0] == "p/d.js" and "p/e.js" in js("p", "require")[0]
+    assert js("p/other") == ([], None) and js("z") == ([], "z") and js("@s/k/l") == ([], "@s/k")
+    assert js("q/a/n")[0][0] == "q/a/n.js" and js("q/a/n", c=("custom",))[0][0] == "q/c/n.js"
+    assert js("q/a/b/n.js")[0][0] == "q/deep/n.js" and js("q/a/none/n") == ([], None) and js("#a") == ([], None)
+    assert "p/in/x.ts" in js("p2/x")[0] and "p/in/index.js" in js("p2")[0]
+
+
+def test_guarantees(spark):
+    edges = spark.createDataFrame([("a", "b", "path"), ("b", "c", "path"), ("a", "x", "external")], "src string, dst string, to_kind string")
+    nodes = spark.createDataFrame([(p, True, False, True, True, True, True, g) for p, g in (("a", 2), ("b", 2), ("c", 1))], "path string, indexed boolean, has_opaque boolean, imports_supported boolean, imports_complete boolean, resolver_live boolean, resolution_complete boolean, resolved_at int")
+    view = spark.createDataFrame([("a",), ("b",)], "path string")
+    one = lambda df: tuple(df.collect()[0])
+    assert one(gr.deps_guarantee(edges, nodes, ["a"], 2)) == ("Exact", 2, 0)
+    assert one(gr.deps_guarantee(edges, nodes, ["a"], 2, view)) == ("Approximate", 2, 1)
+    assert one(gr.deps_guarantee(edges, nodes, ["a"], 1, view)) == ("Exact", 1, 0)
+    assert one(gr.deps_guarantee(edges, gr.current(nodes, 2), ["a"], 3)) == ("Approximate", 3, 0)
+    assert one(gr.deps_guarantee(edges, nodes.where("path <> 'b'"), ["a"], 2)) == ("Approximate", 2, 0)
+    assert one(gr.deps_guarantee(edges, nodes, ["a"], 0)) == ("Exact", 0, 0)
+    assert one(gr.reverse_guarantee(nodes)) == ("Exact", 0) and one(gr.reverse_guarantee(nodes, False)) == ("Approximate", 0)
+    assert one(gr.reverse_guarantee(gr.current(nodes, 2))) == ("Approximate", 1)
+
+
+def test_all_reasons_of_prefetch(spark):
+    seeds = spark.createDataFrame([("s",), ("s",), ("s",)], "path string")
+    names = ["ok", "ext", "un", "../up", "ig", "ln", "bin", "utf", "io", "gone"]
+    kinds = {"ext": "external", "un": "unresolved"}
+    imports = spark.createDataFrame([("s", k, n, kinds.get(n, "path")) for k, n in enumerate(names)], "path string, pos int, target string, to_kind string")
+    files = spark.createDataFrame([(n, 1, n == "ig", n == "ln", n != "bin", n != "utf", n == "io") for n in names[:-1]], "path string, size long, ignored boolean, symlink boolean, supported boolean, valid_utf8 boolean, io_error boolean")
+    got = sorted((r.target or "", r.outcome) for r in sweep.prefetch(seeds, imports, files).collect())
+    assert got == sorted([("", "duplicate seed")] * 2 + [("ok", "fetched"), ("ext", "external"), ("un", "unresolved"), ("../up", "outside the root"), ("ig", "ignored"), ("ln", "symlink"), ("bin", "unsupported"), ("utf", "not text"), ("io", "unreadable"), ("gone", "missing")])

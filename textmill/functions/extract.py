@@ -268,6 +268,22 @@ def haskell(text: str):
     return syms, [(m[1], "import", m.start(1), m.end(1)) for m in re.finditer(r"^import\s+(?:qualified\s+)?([\w.]+)", masked, re.M)], False
 
 
+def lua(text: str):
+    """Functions by their last name, methods (a:b) among them; bodies run to the line that closes them at the same indent."""
+    code = re.sub(r"--\[(=*)\[.*?\]\1\]", lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
+    masked, loose = mask(code, ("--",), None, "\"'"), mask(code, ("--",), None, "\"'", keep_strings=True)
+    syms = []
+    for m in re.finditer(r"^(?P<indent>[ \t]*)(?P<def>(?:local[ \t]+)?function[ \t]+)(?:[\w.]*(?P<sep>[.:]))?(?P<name>[A-Za-z_]\w*)[ \t]*\(|^(?P<indent2>[ \t]*)(?P<def2>(?:local[ \t]+)?)(?:[\w.]*\.)?(?P<name2>[A-Za-z_]\w*)[ \t]*=[ \t]*function\b", masked, re.M):
+        which = "" if m["name"] else "2"
+        feed = masked.find("\n", m.end())
+        one = masked[m.end() : len(masked) if feed < 0 else feed]
+        close = None if re.search(r"\bend\b", one) else re.compile(rf"^{m['indent' + which]}end\b", re.M).search(masked, m.end())
+        end = close.end() if close else m.end() + len(one)
+        syms.append((m["name" + which], "method" if m["sep"] == ":" else "function", m.start("name" + which), m.start("def" + which), end))
+    imps = [(m["s"], "require", m.start("s"), m.end("s")) for m in re.finditer(r"(?<![\w.:])require\s*\(?\s*(?P<q>[\"'])(?P<s>[^\"'\\\n]*)(?P=q)", loose) if masked[m.start()] == loose[m.start()]]
+    return syms, imps, bool(re.search(r"(?<![\w.:])require\s*\(\s*[^\s\"')]", masked))
+
+
 _ZIG = [("function", r"(?P<def>\b(?:pub\s+)?(?:export\s+)?fn)\s+(?P<name>\w+)"), ("struct", r"(?P<def>\b(?:pub\s+)?const)\s+(?P<name>\w+)\s*=\s*(?:extern\s+|packed\s+)?struct\b"), ("enum", r"(?P<def>\b(?:pub\s+)?const)\s+(?P<name>\w+)\s*=\s*enum\b")]
 _RUBY = [(k, rf"^\s*(?P<def>{w})\s+(?:self\.)?(?P<name>[A-Za-z_]\w*[?!]?)") for k, w in (("method", "def"), ("class", "class"), ("module", "module"))]
 _PHP = [("class", r"(?P<def>\bclass)\s+(?P<name>\w+)"), ("interface", r"(?P<def>\binterface)\s+(?P<name>\w+)"), ("trait", r"(?P<def>\btrait)\s+(?P<name>\w+)"), ("function", r"(?P<def>\bfunction)\s+&?(?P<name>\w+)")]
@@ -288,8 +304,9 @@ register("swift", ("swift",), _braced([("function", r"(?P<def>\bfunc)\s+(?P<name
 register("php", ("php",), _braced(_PHP, r"^\s*use\s+([\w\\]+)\s*;"))
 register("ruby", ("rb",), _braced(_RUBY, r"^\s*require(?:_relative)?\s+[\"']([^\"']+)[\"']", ("#",), None, "\"'"))
 register("zig", ("zig",), _braced(_ZIG, r'@import\("([^"\n]+)"\)', ("//",), None, "\""))
-register("haskell", ("hs",), haskell)
-register("bash", ("sh", "bash"), bash)
+register("haskell", ("hs", "lhs"), haskell)
+register("lua", ("lua",), lua)
+register("bash", ("sh", "bash", "zsh"), bash)
 register("markdown", ("md", "markdown"), markdown)
 register("html", ("html", "htm"), html)
 

@@ -13,7 +13,10 @@ from dataclasses import dataclass
 
 from ..errors import CorpusError, invalid
 
+#: Edits of a file, bytes of all targets and replacements (and of a text that is not ASCII, in normal form), bytes
+#: searched in all, lines of a difference, bytes of a result.
 MOST_EDITS = 10_000
+MOST_INPUT, MOST_WORK, MOST_LINES, MOST_RESULT = 8 << 20, 512 << 20, 1_000_000, 64 << 20
 #: White space that line ends lose in the normalized form.
 TRIM = "\t\n\x0b\x0c\r \xa0                　﻿"
 #: Characters folded to their plain forms.
@@ -70,6 +73,13 @@ def apply_edits(text: str, edits: list[tuple[str, str]], whitespace_exact: bool
     """Raises CorpusError (noMatch, multipleMatches, overlap, empty, noChange, with edit_index)."""
     if not edits or len(edits) > MOST_EDITS:
         raise invalid(f"between 1 and {MOST_EDITS} edits")
+    if sum(len(s.encode()) for e in edits for s in e) > MOST_INPUT:
+        raise invalid(f"targets and replacements of more than {MOST_INPUT} bytes")
+    size = len(text) if text.isascii() else len(text.encode())
+    if not text.isascii() and size > MOST_INPUT:
+        raise invalid(f"a text with other than ASCII characters of more than {MOST_INPUT} bytes")
+    if len(edits) * size > MOST_WORK:
+        raise invalid(f"edits that search more than {MOST_WORK} bytes")
     mark = "﻿" if text.startswith("﻿") else ""
     body = text[len(mark) :]
     first = body.find("\n")
@@ -136,6 +146,15 @@ def hunks(old: str, new: str, context: int = 4) -> list[list[tuple[str, int | No
     return out
 
 
+def check_result(old: str, new: str, copies_old: int, copies_new: int, lines: bool, most: int = MOST_RESULT) -> None:
+    """Raises CorpusError where an answer would be too large: a difference's both texts and the copies asked for, or its lines."""
+    a, b = len(old.encode()), len(new.encode())
+    if a * (1 + copies_old) + b * (1 + copies_new) > most:
+        raise invalid(f"a result of more than {most} bytes")
+    if lines and max(old.count("\n"), new.count("\n")) >= MOST_LINES:
+        raise invalid(f"a difference of more than {MOST_LINES} lines; skip it")
+
+
 def first_changed_line(old: str, new: str) -> int | None:
     for k, (x, y) in enumerate(zip(old.split("\n"), new.split("\n"), strict=False)):
         if x != y:

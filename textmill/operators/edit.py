@@ -27,16 +27,19 @@ def edit(corpus: DataFrame, old: str, new: str, replace_all: bool = False) -> Da
 BATCH = "path string, content string, error_kind string, error_message string, edit_index int, replacements int, normalized boolean, first_changed_line int, old_lines int, new_lines int, hunks array<array<struct<op:string,old_line:int,new_line:int,text:string>>>"
 
 
-def edit_batch(corpus: DataFrame, edits: DataFrame, diff_context: int = 4, skip_diff: bool = False, whitespace_exact: bool = False) -> DataFrame:
+def edit_batch(corpus: DataFrame, edits: DataFrame, diff_context: int = 4, skip_diff: bool = False, whitespace_exact: bool = False, content: bool = True, original: bool = False, most_bytes: int | None = None) -> DataFrame:
     """One row per file that has edits (path, edit_index, old_text, new_text): the new content, or the error of the first edit
-    that fails, in which case nothing of the file changes. A file's edits meet in its row; files never meet."""
+    that fails, in which case nothing of the file changes. A file's edits meet in its row; files never meet. Contents are left out
+    without ``content``, the old ones come as ``original`` if asked for; both count towards the ``most_bytes`` of a file's result
+    (`rewrite.MOST_RESULT`). A file beyond a bound of `rewrite` is an invalidInput row."""
     import pyarrow as pa
 
     lists = edits.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("edit_index", "old_text", "new_text"))).alias("edits"))
     rows = corpus.select("path", "text").join(lists, "path")
     row = pa.struct([("op", pa.string()), ("old_line", pa.int32()), ("new_line", pa.int32()), ("text", pa.string())])
-    types = [*[pa.string()] * 4, pa.int32(), pa.int32(), pa.bool_(), *[pa.int32()] * 3, pa.list_(pa.list_(row))]
-    names = [x.split()[0] for x in BATCH.split(", ")]
+    schema = BATCH + (", original string" if original else "")
+    types = [*[pa.string()] * 4, pa.int32(), pa.int32(), pa.bool_(), *[pa.int32()] * 3, pa.list_(pa.list_(row)), *[pa.string()] * original]
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def one(path: str, text: str, todo: list[dict]) -> tuple:
         from ..errors import CorpusError
@@ -44,10 +47,11 @@ def edit_batch(corpus: DataFrame, edits: DataFrame, diff_context: int = 4, skip_
 
         try:
             got = rewrite.apply_edits(text, [(e["old_text"], e["new_text"]) for e in todo], whitespace_exact)
+            rewrite.check_result(text, got.content, original, content, not skip_diff, most_bytes or rewrite.MOST_RESULT)
         except CorpusError as e:
-            return (path, None, e.kind, str(e), e.edit_index, 0, None, None, text.count("\n") + 1, None, None)
+            return (path, None, e.kind, str(e), e.edit_index, 0, None, None, text.count("\n") + 1, None, None, *[None] * original)
         groups = None if skip_diff else [[{"op": o, "old_line": a, "new_line": b, "text": t} for o, a, b, t in h] for h in rewrite.hunks(text, got.content, diff_context)]
-        return (path, got.content, None, None, None, got.replacements, got.normalized, rewrite.first_changed_line(text, got.content), text.count("\n") + 1, got.content.count("\n") + 1, groups)
+        return (path, got.content if content else None, None, None, None, got.replacements, got.normalized, rewrite.first_changed_line(text, got.content), text.count("\n") + 1, got.content.count("\n") + 1, groups, *[text] * original)
 
     def run(batches: Iterator) -> Iterator:
         for b in batches:
@@ -55,7 +59,7 @@ def edit_batch(corpus: DataFrame, edits: DataFrame, diff_context: int = 4, skip_
             cols = zip(*out, strict=True) if out else [()] * len(names)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
-    return rows.mapInArrow(run, BATCH)
+    return rows.mapInArrow(run, schema)
 
 
 def diff(old: DataFrame, new: DataFrame, context: int = 4) -> DataFrame:

@@ -145,6 +145,32 @@ def forward_exact() -> Column:
     return F.col("indexed") & ~F.col("has_opaque") & F.col("imports_supported") & F.col("imports_complete") & F.col("resolver_live") & F.col("resolution_complete")
 
 
+def current(nodes: DataFrame, generation: int) -> DataFrame:
+    """Nodes whose imports were resolved (``resolved_at``) under another configuration than that of ``generation`` lose their resolution."""
+    return nodes.withColumn("resolution_complete", F.col("resolution_complete") & F.col("resolved_at").eqNullSafe(F.lit(generation)))
+
+
+def reverse_guarantee(nodes: DataFrame, universe_complete: bool = True) -> DataFrame:
+    """One row (guarantee, inexact_nodes): an answer about importers is Exact only over a whole universe in which every node is exact."""
+    inexact = F.count_if(~F.coalesce(forward_exact(), F.lit(False)))
+    return nodes.agg(F.when((inexact == 0) & universe_complete, "Exact").otherwise("Approximate").alias("guarantee"), inexact.alias("inexact_nodes"))
+
+
+def deps_guarantee(edges: DataFrame, nodes: DataFrame, starts: list[str], depth: int = 1, view: DataFrame | None = None) -> DataFrame:
+    """One row (guarantee, visited, escaped) of `deps` with the same arguments: Approximate where a node whose edges are read is not
+    exact or not among ``nodes``, or where an edge leads to a file outside ``view`` (so many do: escaped)."""
+    inner = edges.where("to_kind = 'path'") if "to_kind" in edges.columns else edges
+    near = _levels(inner.select(F.col("src").alias("a"), F.col("dst").alias("b")), _starts(edges, starts), max(0, depth - 1), view).select("node")
+    if depth == 0:
+        near = near.where(F.lit(False))
+    state = near.join(nodes.select(F.col("path").alias("node"), forward_exact().alias("exact")), "node", "left")
+    told = state.agg(F.coalesce(F.bool_and(F.coalesce("exact", F.lit(False))), F.lit(True)).alias("exact"), F.count("*").alias("visited"))
+    out = inner.join(near.select(F.col("node").alias("src")), "src", "left_semi")
+    out = out.where(F.lit(False)) if view is None else out.join(view.select(F.col("path").alias("dst")), "dst", "left_anti")
+    told = told.join(out.agg(F.count("*").alias("escaped")))  # one row each
+    return told.select(F.when(F.col("exact") & (F.col("escaped") == 0), "Exact").otherwise("Approximate").alias("guarantee"), "visited", "escaped")
+
+
 def guarantee(nodes: DataFrame, universe_complete: bool = True) -> DataFrame:
     """One row: exact nodes, all nodes, and the weakest label over all (Exact or Approximate)."""
     return nodes.agg(F.count_if(forward_exact()).alias("exact_nodes"), F.count("*").alias("nodes"), F.when(F.coalesce(F.bool_and(forward_exact()), F.lit(True)) & universe_complete, "Exact").otherwise("Approximate").alias("guarantee"))

@@ -1,7 +1,7 @@
 """Import resolution as joins: candidates of each import, in order of preference, against the table of files.
 
-JavaScript and TypeScript: relative specifiers by extension and index probing, aliases of a project file (``paths``), packages
-are external. Rust: crate, self, super, bare and mod paths, the deepest module file that exists; an unknown first segment is an
+JavaScript and TypeScript: relative specifiers by extension and index probing, aliases of a project file (``paths``) and of those it
+extends, exports and private names of the tree's own packages; other packages are external. Rust: crate, self, super, bare and mod paths, the deepest module file that exists; an unknown first segment is an
 external crate. Other languages: relative paths and dotted modules.
 """
 
@@ -40,15 +40,117 @@ def strip_jsonc(text: str) -> str:
     return re.sub(r",(\s*[}\]])", r"\1", "".join(out))
 
 
-def project_paths(config: str, folder: str = "") -> list[tuple[str, list[str]]]:
-    """(pattern, targets) of a project file's compilerOptions.paths, relative to its baseUrl."""
-    options = json.loads(strip_jsonc(config)).get("compilerOptions", {})
+def _patterns(options: dict, folder: str) -> list[tuple[str, list[str]]]:
     base = posixpath.normpath(posixpath.join(folder, options.get("baseUrl", ".")))
     clean = lambda p: posixpath.normpath(posixpath.join(base, p)).removeprefix("./")
     return sorted(((k, [clean(t) for t in v]) for k, v in options.get("paths", {}).items()), key=lambda x: -len(x[0]))
 
 
-def _js(path: str, specifier: str, aliases: list[tuple[str, list[str]]]) -> tuple[list[str], str | None]:
+def project_paths(config: str, folder: str = "") -> list[tuple[str, list[str]]]:
+    """(pattern, targets) of a project file's compilerOptions.paths, relative to its baseUrl."""
+    return _patterns(json.loads(strip_jsonc(config)).get("compilerOptions", {}), folder)
+
+
+def inherited_paths(configs: dict[str, str], path: str) -> tuple[list[tuple[str, list[str]]], list[str]]:
+    """(patterns as `project_paths` gives them, notes) of the project file ``path`` among ``configs`` (path to text), with all that it
+    ``extends``: one file or a list, of which a later one wins; what the file says itself wins over both. ``paths`` and ``baseUrl`` are
+    relative to the file that states them. Bases that are packages, missing or their own bases are noted and left out."""
+    notes: list[str] = []
+
+    def merged(at: str, above: tuple[str, ...]) -> dict:
+        found = json.loads(strip_jsonc(configs[at]))
+        bases, folder, out = found.get("extends", []), posixpath.dirname(at), {}
+        for base in [bases] if isinstance(bases, str) else bases:
+            if not base.startswith((".", "/")):
+                notes.append(f"{at} extends the package {base}")
+                continue
+            to = posixpath.normpath(posixpath.join(folder, base)).removeprefix("/")
+            to = next((t for t in (to, to + ".json", to + "/tsconfig.json") if t in configs), to)
+            if to not in configs or to in (*above, at):
+                notes.append(f"{at} extends {base}, which " + ("extends it" if to in configs else "is missing"))
+            else:
+                out |= merged(to, (*above, at))
+        own = found.get("compilerOptions", {})
+        if "baseUrl" in own:
+            out["baseUrl"] = posixpath.normpath(posixpath.join(folder, own["baseUrl"]))
+        if "paths" in own:
+            out |= {"paths": own["paths"], "folder": folder}
+        return out
+
+    options = merged(path, ())
+    base = options.get("baseUrl", options.get("folder", ""))
+    return _patterns({"paths": options.get("paths", {})}, base), notes
+
+
+#: Name, folder, ``exports`` and ``imports`` of a package of the tree.
+Package = tuple[str, str, object, object]
+
+
+def packages(manifests: dict[str, str]) -> list[Package]:
+    """The packages of a tree from its manifests (path to text), the deepest folder first. Without ``exports`` every file may be
+    imported, and the package itself is its ``module`` or ``main``."""
+    out = []
+    for path, text in manifests.items():
+        m = json.loads(text)
+        inside = "node_modules" in path.split("/")
+        if m.get("name") and not inside or m.get("imports") and not inside:
+            exports = m.get("exports")
+            if exports is None:
+                exports = {".": "./" + posixpath.normpath(m.get("module") or m.get("main") or "index"), "./*": "./*"}
+            elif not isinstance(exports, dict) or not any(k.startswith(".") for k in exports):
+                exports = {".": exports}
+            out.append((m.get("name") or "", posixpath.dirname(path), exports, m.get("imports") or {}))
+    return sorted(out, key=lambda p: (-len(p[1]), p[0]))
+
+
+def _under(target: object, conditions: tuple[str, ...], inner: str) -> list[str]:
+    """Paths that a target gives under some conditions: of an object the first key that holds, of a list all that give one."""
+    if isinstance(target, str):
+        return [target.replace("*", inner)]
+    if isinstance(target, list):
+        return [p for t in target for p in _under(t, conditions, inner)]
+    for key, t in target.items() if isinstance(target, dict) else ():
+        if key == "default" or key in conditions:
+            found = _under(t, conditions, inner)
+            if found or t is None:
+                return found
+    return []
+
+
+def _mapped(table: dict, key: str, conditions: tuple[str, ...]) -> list[str]:
+    """What a table of subpaths has for a key: the key itself, else the pattern with the longest head."""
+    if key in table and "*" not in key:
+        return _under(table[key], conditions, "")
+    best = None
+    for pattern in table:
+        head, star, tail = pattern.partition("*")
+        if star and key.startswith(head) and key.endswith(tail) and len(key) >= len(head) + len(tail) and (best is None or len(head) > len(best.partition("*")[0])):
+            best = pattern
+    if best is None:
+        return []
+    head, _, tail = best.partition("*")
+    return _under(table[best], conditions, key[len(head) : len(key) - len(tail)])
+
+
+def _packaged(path: str, specifier: str, kind: str, known: list[Package], conditions: tuple[str, ...]) -> tuple[list[str], str | None] | None:
+    """(roots, external package) of an import of a package of the tree or of a private name (#...); None if it is neither."""
+    held = ("require" if kind in ("require", "ts-require") else "import", *conditions)
+    if specifier.startswith("#"):
+        own = next((p for p in known if not p[1] or path.startswith(p[1] + "/")), None)
+        found = _mapped(own[3], specifier, held) if own else []
+        outside = next((f for f in found if not f.startswith(".")), None)
+        return [posixpath.normpath(posixpath.join(own[1], f)) for f in found if f.startswith(".")], outside and _package_name(outside)
+    for name, folder, exports, _ in known:
+        if name and (specifier == name or specifier.startswith(name + "/")):
+            return [posixpath.normpath(posixpath.join(folder, f)) for f in _mapped(exports, "." + specifier[len(name) :], held)], None
+    return None
+
+
+def _package_name(specifier: str) -> str:
+    return "/".join(specifier.split("/")[: 2 if specifier.startswith("@") else 1])
+
+
+def _js(path: str, specifier: str, aliases: list[tuple[str, list[str]]], kind: str = "static", known: list[Package] = (), conditions: tuple[str, ...] = ()) -> tuple[list[str], str | None]:
     """(candidates, external package) of one import."""
     roots = []
     if specifier.startswith("."):
@@ -63,8 +165,12 @@ def _js(path: str, specifier: str, aliases: list[tuple[str, list[str]]]) -> tupl
                 roots = [t.replace("*", inner) for t in targets]
                 break
         else:
-            parts = specifier.split("/")
-            return [], "/".join(parts[:2]) if specifier.startswith("@") else parts[0]
+            got = _packaged(path, specifier, kind, known, conditions)
+            if got is None:
+                return [], _package_name(specifier)
+            if not got[0]:
+                return got
+            roots = got[0]
     out = []
     for r in roots:
         out.append(r)
@@ -117,21 +223,22 @@ def _other(path: str, specifier: str) -> tuple[list[str], str | None]:
     return [posixpath.normpath(posixpath.join(posixpath.dirname(path), specifier))], None
 
 
-def resolve(imports: DataFrame, files: DataFrame, aliases: list[tuple[str, list[str]]] = ()) -> DataFrame:
+def resolve(imports: DataFrame, files: DataFrame, aliases: list[tuple[str, list[str]]] = (), known: list[Package] = (), conditions: tuple[str, ...] = ()) -> DataFrame:
     """Edges (src, dst, to_kind, reason, specifier, kind, line, span_start, span_end): dst is a path, an external package, or the
-    specifier itself if unresolved. ``files``: (path)."""
+    specifier itself if unresolved. ``files``: (path). ``known``: the tree's own `packages`, whose exports are read under the condition
+    import or require, as the import is told, and under ``conditions``; what a package does not export is unresolved."""
     import pyarrow as pa
 
     names = imports.columns
     schema = ", ".join(f"`{n}` {t}" for n, t in imports.dtypes) + ", candidates array<string>, external string"
-    aliases = list(aliases)
+    aliases, known, conditions = list(aliases), list(known), tuple(conditions)
 
     def run(batches: Iterator) -> Iterator:
         for b in batches:
             got = []
             for path, spec, kind in zip(b["path"].to_pylist(), b["specifier"].to_pylist(), b["kind"].to_pylist(), strict=True):
                 ext = path.rpartition(".")[2]
-                got.append(_rust(path, spec, kind) if ext == "rs" else _js(path, spec, aliases) if ext in ("js", "jsx", "mjs", "cjs", "ts", "tsx", "mts", "cts", "vue") else _other(path, spec))
+                got.append(_rust(path, spec, kind) if ext == "rs" else _js(path, spec, aliases, kind, known, conditions) if ext in ("js", "jsx", "mjs", "cjs", "ts", "tsx", "mts", "cts", "vue") else _other(path, spec))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.list_(pa.string())), pa.array([g[1] for g in got], pa.string())], names=[*names, "candidates", "external"])
 
     rows = imports.mapInArrow(run, schema)

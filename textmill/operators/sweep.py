@@ -35,19 +35,28 @@ SEEDS, PER_SEED, TARGETS, FILE_BYTES, TOTAL_BYTES = 32, 64, 256, 2 << 20, 16 <<
 
 
 def prefetch(seeds: DataFrame, imports: DataFrame, files: DataFrame, max_seeds: int = SEEDS, per_seed: int = PER_SEED, targets: int = TARGETS, file_bytes: int = FILE_BYTES, total_bytes: int = TOTAL_BYTES) -> DataFrame:
-    """(seed, target, outcome) of a bounded depth-1 warming: fetched, or why not: seed limit, import limit, duplicate,
-    missing, too large, target limit, byte limit. seeds (path), imports (path, pos, target), files (path, size)."""
+    """(seed, target, outcome) of a bounded depth-1 warming: fetched, or why not: seed limit, duplicate seed (no target), import limit,
+    external, unresolved, outside the root, duplicate, missing, ignored, symlink, unsupported, not text, unreadable, too large, target
+    limit, byte limit. seeds (path), imports (path, pos, target and, if known, to_kind), files (path, size and, where the scan knows
+    it, booleans ignored, symlink, supported, valid_utf8, io_error)."""
     first = seeds.select(F.col("path").alias("seed")).distinct().orderBy("seed").limit(max_seeds)
     first = first.withColumn("sn", F.row_number().over(Window.orderBy("seed")))  # over max_seeds rows at most
-    rows = imports.select(F.col("path").alias("seed"), "pos", "target").join(seeds.select(F.col("path").alias("seed")).distinct(), "seed")
+    kind = F.col("to_kind") if "to_kind" in imports.columns else F.lit("path")
+    rows = imports.select(F.col("path").alias("seed"), "pos", "target", kind.alias("to_kind")).join(seeds.select(F.col("path").alias("seed")).distinct(), "seed")
     rows = rows.join(F.broadcast(first), "seed", "left")
     late = rows.where("sn is null").select("seed", "target", F.lit("seed limit").alias("outcome"))
     rows = rows.where("sn is not null").withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy("pos")))
     late = late.unionByName(rows.where(F.col("n") > per_seed).select("seed", "target", F.lit("import limit").alias("outcome")))
     rows = rows.where(F.col("n") <= per_seed)  # at most max_seeds * per_seed rows from here on
+    out_of = F.col("target").rlike(r"^\.\.(/|$)")
+    rows = rows.withColumn("outcome", F.when(F.col("to_kind") != "path", F.col("to_kind")).when(out_of, "outside the root"))
+    late = late.unionByName(rows.where("outcome is not null").select("seed", "target", "outcome")).unionByName(seeds.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select(F.col("path").alias("seed"), F.lit(None).cast("string").alias("target"), F.lit("duplicate seed").alias("outcome"), F.explode(F.sequence(F.lit(2), F.col("n")))).drop("col"))
+    rows = rows.where("outcome is null").drop("outcome")
     again = F.row_number().over(Window.partitionBy("target").orderBy("sn", "n")) > 1
-    rows = rows.withColumn("again", again).join(files.select(F.col("path").alias("target"), "size"), "target", "left")
-    rows = rows.withColumn("outcome", F.when(F.col("again"), "duplicate").when(F.col("size").isNull(), "missing").when(F.col("size") > file_bytes, "too large"))
+    told = lambda c, default: F.col(c) if c in files.columns else F.lit(default)
+    skip = F.when(told("ignored", False), "ignored").when(told("symlink", False), "symlink").when(~told("supported", True), "unsupported").when(~told("valid_utf8", True), "not text").when(told("io_error", False), "unreadable")
+    rows = rows.withColumn("again", again).join(files.select(F.col("path").alias("target"), "size", skip.alias("skip")), "target", "left")
+    rows = rows.withColumn("outcome", F.when(F.col("again"), "duplicate").when(F.col("skip").isNotNull(), F.col("skip")).when(F.col("size").isNull(), "missing").when(F.col("size") > file_bytes, "too large"))
     left = rows.where("outcome is null").select("seed", "target", "sn", "n", "size")
     order = Window.orderBy("sn", "n")
     left = left.withColumn("k", F.row_number().over(order)).withColumn("sum", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))

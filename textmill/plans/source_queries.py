@@ -91,6 +91,20 @@ text
 ## Two
 # End
 """
+LUA = """\
+local util = require("pkg.util%")
+-- function no() end
+--[[ function no2()
+end ]]
+local function near%(a)
+  local inner% = function(x) return x end
+  return inner%(a)
+end
+function Box.open%(k)
+  if k then return "function no3()" end
+end
+function Box:close%() end
+"""
 #: Of each template: table, key, path and the rest of the path, text.
 FILES = {
     "ts": ("customer", "c_custkey", "src/app/c%.ts", TS),
@@ -99,6 +113,7 @@ FILES = {
     "vue": ("nation", "n_nationkey", "src/app/v%.vue", VUE),
     "haskell": ("nation", "n_nationkey", "hs/M%.hs", HASKELL),
     "markdown": ("region", "r_regionkey", "docs/b%.md", MARKDOWN),
+    "lua": ("nation", "n_nationkey", "lua/l%.lua", LUA),
     "none": ("region", "r_regionkey", "data/r%.xyz", "import x\n"),
 }
 #: Files that the imports above lead to, with their own text.
@@ -120,6 +135,7 @@ SYMBOLS = {
     "python": [("LIMIT", "constant", 4, 0, 0), ("Node%", "class", 5, 6, 0), ("walk%", "method", 6, 8, 1), ("inner%", "function", 7, 12, 2), ("main%", "function", 10, 10, 0)],
     "vue": [("setup%", "function", 4, 16, 0)],
     "haskell": [("area%", "function", 3, 0, 0), ("other%", "function", 5, 0, 0), ("area%", "function", 6, 0, 0), ("Tree%", "type", 7, 5, 0)],
+    "lua": [("near%", "function", 5, 15, 0), ("inner%", "function", 6, 8, 1), ("open%", "function", 9, 13, 0), ("close%", "method", 12, 13, 0)],
     "markdown": [("Book %", "module", 1, 2, 0), ("One %", "module", 3, 3, 1), ("Deep", "module", 7, 4, 2), ("Two", "module", 8, 3, 1), ("End", "module", 9, 2, 0)],
 }
 #: (specifier, kind, line, target, kind of the target)
@@ -129,6 +145,7 @@ IMPORTS = {
     "python": [("os", "import", 1, "os", "external"), ("json", "import", 1, "json", "external"), (".base", "from", 2, "pkg/mod/base.py", "path"), ("..up", "from", 3, "pkg/up.py", "path"), ("late%", "import", 11, "late%", "external")],
     "vue": [("./part%.vue", "static", 3, "./part%.vue", "unresolved")],
     "haskell": [("Data.Map", "import", 2, "Data.Map", "unresolved")],
+    "lua": [("pkg.util%", "require", 1, "pkg.util%", "unresolved")],
 }
 SINGLE_IMPORTS = [("src/app/shared.ts", "../../lib/util", "require", 1, "lib/util.ts", "path"), ("lib/util.ts", "./types", "static", 1, "lib/types.ts", "path"), ("crate/src/lib.rs", "shared", "mod", 1, "crate/src/shared.rs", "path"), ("pkg/up.py", ".mod", "from", 1, "pkg/mod/__init__.py", "path")]
 SINGLE_SYMBOLS = [("lib/types.ts", 0, "T", "type", 1, 12, 0), ("crate/src/lib.rs", 0, "shared", "module", 1, 8, 0), ("crate/src/shared.rs", 0, "helper", "function", 1, 7, 0)]
@@ -249,6 +266,51 @@ def source_upsert(spark, sf_dir):
     return gr.replace_edges(resolved(spark, sf_dir), fresh.select("path").unionByName(gone), new).select("src", "dst", "to_kind")
 
 
+MANIFESTS = {
+    "libs/core/package.json": '{"name": "@own/core", "exports": {".": {"import": "./esm/main.ts", "require": "./cjs/main.cjs"}, "./parts/*": "./esm/parts/*.ts", "./secret": null}, "imports": {"#env": {"browser": "./esm/web.ts", "default": "./esm/node.ts"}, "#dep": "left-pad/x"}}',
+    "libs/plain/package.json": '{"name": "plain", "main": "lib/start.js"}',
+}
+CONFIGS = {"tsconfig.json": '{"extends": ["./conf/base"], /* no paths of its own */ "compilerOptions": {}}', "conf/base.json": '{"compilerOptions": {"baseUrl": "..", "paths": {"~/*": ["apps/*"]}}}'}
+PACKAGE_FILES = ["apps/b.ts", "libs/core/esm/main.ts", "libs/core/cjs/main.cjs", "libs/core/esm/parts/one.ts", "libs/core/esm/web.ts", "libs/core/esm/node.ts", "libs/plain/lib/start.js", "libs/plain/extra.js"]
+USER = 'import "@own/core";\nconst c = require("@own/core");\nimport "@own/core/parts/one";\nimport "@own/core/secret";\nimport "@own/core/none%";\nimport "plain";\nimport "plain/extra.js";\nimport "~/b";\nimport "other/x";\n'
+MEMBER = 'import "#env";\nimport "#dep";\nimport "#gone";\n'
+#: Of the two texts: line, target, kind of the target.
+PACKAGE_EDGES = [
+    ("apps/a%.ts", 1, "libs/core/esm/main.ts", "path"),
+    ("apps/a%.ts", 2, "libs/core/cjs/main.cjs", "path"),
+    ("apps/a%.ts", 3, "libs/core/esm/parts/one.ts", "path"),
+    ("apps/a%.ts", 4, "@own/core/secret", "unresolved"),
+    ("apps/a%.ts", 5, "@own/core/none%", "unresolved"),
+    ("apps/a%.ts", 6, "libs/plain/lib/start.js", "path"),
+    ("apps/a%.ts", 7, "libs/plain/extra.js", "path"),
+    ("apps/a%.ts", 8, "apps/b.ts", "path"),
+    ("apps/a%.ts", 9, "other", "external"),
+    ("libs/core/esm/use%.ts", 1, "libs/core/esm/node.ts", "path"),
+    ("libs/core/esm/use%.ts", 2, "left-pad", "external"),
+    ("libs/core/esm/use%.ts", 3, "#gone", "unresolved"),
+]
+
+
+@query("source_packages", "SELECT replace(p, '%', CAST(s_suppkey AS VARCHAR)) AS src, CAST(line AS BIGINT) AS line, replace(d, '%', CAST(s_suppkey AS VARCHAR)) AS dst, to_kind FROM supplier, (VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in PACKAGE_EDGES) + ") AS v(p, line, d, to_kind)")
+def source_packages(spark, sf_dir):
+    """Imports of the tree's own packages, by their exports and conditions, and through a project file that extends another."""
+    keys = table(spark, sf_dir, "supplier")
+    texts = [keys.select(_filled(p, "s_suppkey").alias("path"), _filled(t, "s_suppkey").alias("text")) for p, t in (("apps/a%.ts", USER), ("libs/core/esm/use%.ts", MEMBER))]
+    found = texts[0].unionByName(texts[1])
+    names = found.select("path").unionByName(spark.createDataFrame([(p,) for p in PACKAGE_FILES], "path string"))
+    aliases, _ = rs.inherited_paths(CONFIGS, "tsconfig.json")
+    return rs.resolve(ex.imports(ex.analyses(found)), names, aliases, rs.packages(MANIFESTS)).select("src", "line", "dst", "to_kind")
+
+
+@query("source_guarantee", f"WITH e AS ({EDGES}), v AS (SELECT src, dst FROM e WHERE src = 'src/app/c1.ts' AND to_kind = 'path'), o AS (SELECT count(*) AS escaped FROM e WHERE to_kind = 'path' AND src IN (SELECT 'src/app/c1.ts' UNION SELECT dst FROM v WHERE dst <> 'lib/types.ts') AND dst = 'lib/types.ts') SELECT CASE WHEN escaped = 0 THEN 'Exact' ELSE 'Approximate' END AS guarantee, CAST(3 AS BIGINT) AS visited, escaped FROM o")
+def source_guarantee(spark, sf_dir):
+    """What an answer about dependencies is worth where some lead out of the view."""
+    edges = resolved(spark, sf_dir)
+    view = explicit(spark, ["src/app/c1.ts", "src/app/shared.ts", "lib/util.ts"])
+    flags = {c: F.lit(c != "has_opaque") for c in ("indexed", "has_opaque", "imports_supported", "imports_complete", "resolver_live", "resolution_complete")}
+    return gr.deps_guarantee(edges, sources(spark, sf_dir).select("path").withColumns(flags), ["src/app/c1.ts"], 2, view)
+
+
 @query("source_view", f"WITH e AS ({EDGES}) SELECT src, dst, CAST(0 AS INTEGER) AS distance FROM e WHERE src = 'src/app/shared.ts' OR src = 'src/app/c1.ts' AND (dst IN ('src/app/shared.ts', 'lib/util.ts') OR to_kind <> 'path')")
 def source_view(spark, sf_dir):
     """Dependencies seen through an explicit list of files."""
