@@ -79,6 +79,12 @@ def op10_pii_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .runs import run_report
 
@@ -90,6 +96,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, decontaminate, embeddings, warc
+    from . import chat, decontaminate, divergence, embeddings, warc
 
-    return {"op5_positional_decontamination": decontaminate.ORACLE, "op6_inverted_multi_index": embeddings.ORACLE, "op8_tool_call_linking": chat.ORACLE, "op9_warc_index_first": warc.ORACLE}
+    return {"op12_source_divergence": divergence.ORACLE, "op5_positional_decontamination": decontaminate.ORACLE, "op6_inverted_multi_index": embeddings.ORACLE, "op8_tool_call_linking": chat.ORACLE, "op9_warc_index_first": warc.ORACLE}
