@@ -79,6 +79,12 @@ def op10_pii_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def op11_token_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefixes import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2048)
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .divergence import divergence
 

@@ -25,11 +25,11 @@ _TWO_LINES = re.compile(r"([^\s']+)\n([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-
 
 
 def _byte_letters() -> dict[int, str]:
-    """How byte-level vocabularies spell each character below U+0250 in their own alphabet of 256 printable letters."""
+    """How byte-level vocabularies spell the letters below U+0250, and their lower cases, in their own alphabet of 256 printable letters."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in set(shown)]
     letter = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x250)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x2C70)}
 
 
 class _Pieces(dict):
