@@ -49,7 +49,7 @@ def test_every_prefix_of_long_words_and_documents(spark, sf):
 
 
 def test_memories_may_be_emptied_at_any_time(monkeypatch):
-    monkeypatch.setattr(px, "CACHE_PREFIXES", 5)
+    monkeypatch.setattr(px, "CACHE_WORDS", 2)
     monkeypatch.setattr(px, "CACHE_PAIRS", 3)
     monkeypatch.setattr(px, "CACHE_PIECES", 2)
     own = px.WordPrefixes(VOCAB)

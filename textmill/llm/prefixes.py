@@ -26,6 +26,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,13 +35,10 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, fresh_path, release
 from .tokens import CACHE_PIECES, LONG_PIECE, _byte_letters
 
-#: Prefixes of words that a worker remembers, and compatible pairs; each memory is emptied when full.
-CACHE_PREFIXES, CACHE_PAIRS = 400_000, 600_000
-#: Words up to so many bytes share the memory of prefixes.
-SHORT_WORD = 40
+#: Words that a worker remembers, and compatible pairs; each memory is emptied when full.
+CACHE_WORDS, CACHE_PAIRS = 700_000, 1_000_000
 
-_LETTERS = re.compile(r"[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ]+")
-_TAILED = re.compile(r"([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ]+)([!-/:-@\[-^`{-~]+)")
+_PLAIN = re.compile(r"([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ]+)([!-/:-@\[-^`{-~]*)")
 #: What the vocabulary's pre-tokenizer takes as contractions, after an apostrophe.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -59,16 +57,20 @@ class WordPrefixes:
         self.mark = model["end_of_word_suffix"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.ended_model, self.open_model = self.tok.model, BPE(vocab=model["vocab"], merges=merges)
-        self.ends = {t.removesuffix(self.mark) for t in model["vocab"] if t.endswith(self.mark)}
-        self.mids = {t for t in model["vocab"] if not t.endswith(self.mark)}
+        # Only what encodes to itself is ever a token of an encoding.
+        names = [t for t in model["vocab"] if [x.value for x in (self.ended_model if t.endswith(self.mark) else self.open_model).tokenize(t.removesuffix(self.mark))] == [t]]
+        self.names = {k: t for k, t in enumerate(names)}
+        self.mids = {t: k for k, t in self.names.items() if not t.endswith(self.mark)}
+        self.ends = {t.removesuffix(self.mark): k for k, t in self.names.items() if t.endswith(self.mark)}
         self.most = max(map(len, self.ends | self.mids))
+        self.finder = _finder(self.mids, self.ends)
         self.letters = _byte_letters()
         self.bytes_ = [self._byte(b) for b in range(256)]
         special = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.special]
         self.special = re.compile("(" + "|".join(sorted(map(re.escape, special), key=len, reverse=True)) + ")") if special else None
-        self.pairs: tuple[dict, dict] = ({}, {})
-        self.known: dict[str, tuple[int, int, int]] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes | list[int]] = {}
         self.kinds: dict[str, str] = {}
 
     @staticmethod
@@ -77,85 +79,59 @@ class WordPrefixes:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         return chr(b) if b in shown else chr(256 + [x for x in range(256) if x not in shown].index(b))
 
-    def _fit(self, a: str, t: str, end: bool) -> bool:
-        """Whether token t may follow token a ("" at the start of a word)."""
-        model = self.ended_model if end else self.open_model
-        want = [t + self.mark if end else t]
-        return [x.value for x in model.tokenize(a + t)] == ([a] + want if a else want)
-
-    def _last(self, s: str, i: int, lo: int, starts: list[int], end: bool) -> int:
-        """Where the last token of the encoding of s[:i] starts; starts[j] tells that of s[:j] without an end of word. s begins at
-        offset ``lo`` of the word, and only places from there on are asked."""
-        vocabulary, pairs = (self.ends, self.pairs[1]) if end else (self.mids, self.pairs[0])
-        for n in range(min(i, self.most), 0, -1):
-            t = s[i - n : i]
-            if t in vocabulary:
-                j = i - n
-                a = s[starts[j] : j] if j else ""
-                fits = pairs.get((a, t))
-                if fits is None:
-                    if len(pairs) > CACHE_PAIRS:
-                        pairs.clear()
-                    fits = pairs[a, t] = self._fit(a, t, end)
-                if fits and (j or not lo):
-                    return j
-        raise ValueError(f"no token ends at {i} of {s!r}")
+    def _fits(self, a: int, t: int) -> bool:
+        """Whether token t may follow token a within a word."""
+        fits = self.pairs.get(a << 20 | t)
+        if fits is None:
+            first, second = self.names[a], self.names[t]
+            model = self.ended_model if second.endswith(self.mark) else self.open_model
+            if len(self.pairs) > CACHE_PAIRS:
+                self.pairs.clear()
+            fits = [x.value for x in model.tokenize(first + second.removesuffix(self.mark))] == [first, second]
+            self.pairs[a << 20 | t] = fits
+        return fits
 
     def word(self, s: str) -> list[int]:
-        """Token counts of s[:1], s[:2], ... as words, s in the letters of bytes."""
-        if len(s) > SHORT_WORD:
-            return self._long(s)
-        known, m = self.known, len(s)
-        at = m
-        while at and s[:at] not in known:
-            at -= 1
-        starts, counts, ended = [0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
-        for i in range(1, at + 1):
-            got = known.get(s[:i])
-            if got is None:  # emptied meanwhile
-                at = i - 1
-                break
-            starts[i], counts[i], ended[i] = got
-        for i in range(at + 1, m + 1):
-            j = self._last(s, i, 0, starts, False)
-            starts[i], counts[i] = j, counts[j] + 1
-            ended[i] = counts[self._last(s, i, 0, starts, True)] + 1
-            if len(known) > CACHE_PREFIXES:
-                known.clear()
-            known[s[:i]] = (j, counts[i], ended[i])
-        return ended[1:]
-
-    def _long(self, s: str) -> list[int]:
-        """The same without a memory, in time linear in the length."""
-        starts, counts, ended = [0], [0], []
-        for i in range(1, len(s) + 1):
-            starts.append(self._last(s, i, 0, starts, False))
-            counts.append(counts[starts[i]] + 1)
-            ended.append(counts[self._last(s, i, 0, starts, True)] + 1)
+        """Token counts of s[:0], s[:1], s[:2], ... as words, s in the letters of bytes."""
+        m, pairs, done, told = len(s), self.pairs, 0, 0
+        last, counts, ended = [0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+        for end, (mid, fin, n) in self.finder.iter(s):
+            j = end + 1 - n
+            if end == done and mid >= 0:  # else its token is found
+                if not j or (fits if (fits := pairs.get(last[j] << 20 | mid)) is not None else self._fits(last[j], mid)):
+                    done = end + 1
+                    last[done], counts[done] = mid, counts[j] + 1
+            if end == told and fin >= 0:
+                if not j or (fits if (fits := pairs.get(last[j] << 20 | fin)) is not None else self._fits(last[j], fin)):
+                    told = end + 1
+                    ended[told] = counts[j] + 1
+        if done != m or told != m:
+            raise ValueError(f"no token ends at {min(done, told) + 1} of {s!r}")
         return ended
 
-    def _simple(self, letters: str) -> list[int]:
-        """Counts by code point of letters below U+0250 or of ASCII signs: one pre-token."""
-        low = letters.lower()
-        if low.isascii():
-            return self.word(low)
-        counts, at, out = self.word(low.translate(self.letters)), 0, []
-        for c in low:
-            at += len(c.encode())
-            out.append(counts[at - 1])
-        return out
+    def _word_steps(self, low: str) -> bytes:
+        """Differences by code point of one pre-token in lower case."""
+        got = self.words.get(low)
+        if got is None:
+            if low.isascii():
+                counts = self.word(low)
+            else:
+                counts = self.word(low.translate(self.letters))
+                counts = [counts[at] for at in (0, *accumulate(len(c.encode()) for c in low))]
+            if len(self.words) >= CACHE_WORDS:
+                self.words.clear()
+            got = bytes([b - a & 255 for a, b in pairwise(counts)])  # two's complement: none is larger than the longest token
+            if len(low) <= LONG_PIECE:
+                self.words[low] = got
+        return got
 
     def piece(self, piece: str) -> bytes | list[int]:
         """Differences for text without blanks, tabs and line ends: bytes of int8, or a list where one does not fit."""
-        if _LETTERS.fullmatch(piece):
-            counts = self._simple(piece)
-        elif m := _TAILED.fullmatch(piece):
-            counts = self._simple(m[1])
-            counts += [counts[-1] + c for c in self._simple(m[2])]
-        elif piece:
-            counts = _Exact(self).every(piece)
-        else:
-            counts = []
+        if not piece:
+            return b""
+        if m := _PLAIN.fullmatch(piece):
+            return self._word_steps(m[1].lower()) + (self._word_steps(m[2]) if m[2] else b"")
+        counts = _Exact(self).every(piece)
         steps = [b - a for a, b in zip([0, *counts], counts, strict=False)]
         return np.array(steps, np.int8).tobytes() if all(-128 <= x < 128 for x in steps) else steps
 
@@ -202,6 +178,18 @@ class WordPrefixes:
         return self.tok.normalizer.normalize_str(s)
 
 
+def _finder(mids: dict[str, int], ends: dict[str, int]):
+    """An automaton that gives (end, (id within a word, id at its end, length)) of every token in a string, the longest of an end first;
+    -1 where there is no such token."""
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for t in mids | ends:
+        out.add_word(t, (mids.get(t, -1), ends.get(t, -1), len(t)))
+    out.make_automaton()
+    return out
+
+
 _seconds: set[str] = set()
 
 
@@ -222,25 +210,32 @@ class _Exact:
         self.o = owner
         self.closed = 0  # tokens of the pre-tokens that are finished
         self.kind = ""  # of the open pre-token: L, S or none
-        self.text: list[str] = []  # its bytes' letters, and for each of its ends the last token's start and the counts
-        self.starts, self.mid, self.ended = [0], [0], [0]
+        self.text: list[str] = []  # its bytes' letters, and for each of its ends the last token and the counts
+        self.last, self.mid, self.ended = [0], [0], [0]
         self.before = None  # (closed tokens before, letters) of a contraction that is not complete
 
     def _open(self, kind: str) -> None:
         self.closed += self.ended[-1]
-        self.kind, self.text, self.starts, self.mid, self.ended = kind, [], [0], [0], [0]
+        self.kind, self.text, self.last, self.mid, self.ended = kind, [], [0], [0], [0]
 
     def _letter(self, x: str) -> None:
         """One more byte of the open pre-token. Only as many bytes as the longest token has are looked at."""
         o = self.o
-        lo = max(0, len(self.text) - 2 * o.most)
         self.text.append(x)
-        s, i = "".join(self.text[lo:]), len(self.text) - lo
-        starts = [max(0, b - lo) for b in self.starts[lo:]]
-        j = o._last(s, i, lo, starts, False) + lo
-        self.starts.append(j)
+        i, s = len(self.text), "".join(self.text[-o.most :])
+        t, j = self._ending(s, i, o.mids)
+        _, k = self._ending(s, i, o.ends)
+        self.last.append(t)
         self.mid.append(self.mid[j] + 1)
-        self.ended.append(self.mid[o._last(s, i, lo, [*starts, j - lo], True) + lo] + 1)
+        self.ended.append(self.mid[k] + 1)
+
+    def _ending(self, s: str, i: int, tokens: dict[str, int]) -> tuple[int, int]:
+        """(last token, its start) of the encoding that ends at i, s being the text up to there as far as it matters."""
+        for n in range(len(s), 0, -1):
+            t = tokens.get(s[len(s) - n :])
+            if t is not None and (n == i or self.o._fits(self.last[i - n], t)):
+                return t, i - n
+        raise ValueError(f"no token ends at {i} of ...{s!r}")
 
     def char(self, c: str) -> None:
         """Take in one normalised character."""
@@ -268,11 +263,11 @@ class _Exact:
         return self.closed + self.ended[-1]
 
     def _mark(self) -> tuple:
-        return self.closed, self.kind, len(self.text), self.text, self.starts, self.mid, self.ended, self.before
+        return self.closed, self.kind, len(self.text), self.text, self.last, self.mid, self.ended, self.before
 
     def _back(self, mark: tuple) -> None:
-        self.closed, self.kind, n, self.text, self.starts, self.mid, self.ended, self.before = mark
-        del self.text[n:], self.starts[n + 1 :], self.mid[n + 1 :], self.ended[n + 1 :]
+        self.closed, self.kind, n, self.text, self.last, self.mid, self.ended, self.before = mark
+        del self.text[n:], self.last[n + 1 :], self.mid[n + 1 :], self.ended[n + 1 :]
 
     def _take(self, s: str) -> None:
         for c in self.o.normal(s):
