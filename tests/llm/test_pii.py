@@ -94,6 +94,31 @@ def test_all_candidates_reach_the_trees():
         assert len(pii.candidates(t)) == 1 and pii.found_spans([t], Every())[0][1] == pii.candidates(t), t
 
 
+def bare(text):
+    """What the generators' patterns find, run over every text."""
+    return sorted({(kind, m.start(), m.end()) for kind, _, pattern in pii.GENERATORS for m in pattern.finditer(text)})
+
+
+def test_candidates_are_those_of_the_bare_patterns(spark, sf):
+    made = ["please call 212-346-7891 now", "call 111 222 3334", "host dead:beef:cafe:abba:dead:beef:cafe:face up", "fe::ab:cd:ef", "DE99 1111 2222 3333 4444", "4111.1111.1111.1111 x", "ssn 123-44-6789", "joe at mail.co.uk", "a" * 45 + " at mail.org", "api key: abcdefgh"]
+    for kind, n in (("phone", 2), ("ip", 2), ("email", 2)):
+        assert sum(any(c[0] == kind for c in pii.candidates(t)) for t in made) >= n, kind
+    docs = [r.text or "" for r in spark.read.parquet(sf.replace("sf0.001", "sf0.1") + "/documents.parquet").select("text").collect()]
+    for t in made + docs:
+        assert pii.candidates(t) == bare(t), t[:100]
+
+
+@pytest.mark.parametrize(("text", "datum"), [
+    ("mail joe at mail.co.uk. Then", "joe at mail.co.uk"), ("write " + "x" * 60 + " at mail.org now", "x" * 60 + " at mail.org"), ("write to joe @ mail.example.co.uk please", None),
+    ("joe at mail dot example dot com, bye", "joe at mail dot example dot com"), ("reach jo[at]mail(dot)s3-eu(dot)org now", "jo[at]mail(dot)s3-eu(dot)org"), ("at photo.photography joe at ab.photography", "joe at ab.photography"),
+])
+def test_addresses_are_proposed_whole(text, datum):
+    spans = {text[s:e] for k, s, e in pii.candidates(text) if k == "email"}
+    assert datum is None or datum in spans, spans
+    for s in spans:
+        assert not re.match(r"\.?[A-Za-z0-9]", text[text.index(s) + len(s) :]), s
+
+
 def test_held_out_quality():
     """On templates that nothing was fitted on: harder than new draws from the fitted ones. Phones of unseen groupings are the weak kind."""
     found = SCORER.held_out()

@@ -39,19 +39,30 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
-#: High-recall generators: (kind, pattern). Each is tried only in texts that hold one of its cues.
+_DIGITS = tuple("0123456789")
+_DOT, _AT = r"(?:\(dot\)|\[dot\]|\{dot\}| dot |\.)", r"(?:\(at\)|\[at\]|\{at\}| at )"
+_TIGHT, _LABEL = r"(?: ?(?:\(dot\)|\[dot\]|\{dot\}) ?| dot |\.)", r"[A-Za-z0-9][A-Za-z0-9-]*+"
+#: Not before the rest of a longer domain.
+_DONE = r"(?![\w-]|\.\w)"
+
+#: High-recall generators: (kind, cues, pattern). A match holds one of its cues, and of kinds other than DIGITLESS an ASCII digit, so only
+#: texts that do are searched: `candidates` gives what the bare patterns give. Addresses come with one loose dot (blanks around it) or
+#: with all the tight ones that there are.
 GENERATORS: list[tuple[str, tuple[str, ...], re.Pattern]] = [
-    ("email", ("(at)", "[at]", " at ", "{at}"), re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]{1,40} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{2,40} ?(?:\(dot\)|\[dot\]| dot |\.) ?[a-z]{2,6}\b")),
-    ("email", ("@",), re.compile(r"(?<![\w.+-])[\w.+-]{1,40} ?@ ?\w[\w-]{1,40} ?\. ?[a-z]{2,6}\b")),
-    ("phone", ("0", "5"), re.compile(r"(?<![\d+.])\(?[0-9]{2,4}\)?[ ./-][0-9]{3,4}[ ./-][0-9]{3,4}(?![\d])")),
+    ("email", ("(at)", "[at]", " at ", "{at}"), re.compile(rf"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*+ ?{_AT} ?{_LABEL} ?{_DOT} ?[a-z]{{2,24}}{_DONE}")),
+    ("email", ("(at)", "[at]", " at ", "{at}"), re.compile(rf"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*+ ?{_AT} ?{_LABEL}(?:{_TIGHT}{_LABEL})*{_TIGHT}[A-Za-z]{{2,24}}{_DONE}")),
+    ("email", ("@",), re.compile(rf"(?<![\w.+-])[\w.+-]++ ?@ ?\w[\w-]*+ ?\. ?[a-z]{{2,24}}{_DONE}")),
+    ("email", ("@",), re.compile(rf"(?<![\w.+-])[\w.+-]++ ?@ ?\w[\w-]*+(?:\.\w[\w-]*+)*\.[A-Za-z]{{2,24}}{_DONE}")),
+    ("phone", _DIGITS, re.compile(r"(?<![\d+.])\(?[0-9]{2,4}\)?[ ./-][0-9]{3,4}[ ./-][0-9]{3,4}(?![\d])")),
     ("phone", ("00",), re.compile(r"(?<![\d])00[1-9][0-9]{0,2}[ .-]?(?:[0-9][ .-]?){7,11}[0-9](?![\d])")),
     ("card", (".", "_", "/"), re.compile(r"(?<![\d])[0-9]{4}[._/][0-9]{4}[._/][0-9]{4}[._/][0-9]{1,7}(?![\d])")),
-    ("ip", ("::", ":"), re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4})+(?![\w:])")),
+    ("ip", ("::", ":"), re.compile(r"(?<![\w:])[0-9A-Fa-f]{1,4}(?:::?[0-9A-Fa-f]{1,4}){2,7}(?![\w:])")),
     ("secret", ("AKIA", "ASIA", "ghp_", "xoxb-", "sk-"), re.compile(r"(?<![\w-])(?:AKIA|ASIA|ghp_|xoxb-|sk-)[A-Za-z0-9_-]{14,}(?:\.+[A-Za-z0-9_-]+)*")),
     ("secret", ("=", ":"), re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|token|secret|api[_ -]?key|access[_ -]?key)[\"']? ?[=:] ?[\"']?(?=[^\s\"',;]{5,}?[^\s\"'.,;])[^\s\"'.,;]*(?:\.+[^\s\"'.,;]+)*[\"']?")),
-    ("account", ("0", "1", "2", "3", "4", "5", "6", "7", "8", "9"), re.compile(r"(?<![\w])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w])")),
+    ("account", _DIGITS, re.compile(r"(?<![\w])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w])")),
     ("national_id", ("-",), re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
 ]
+DIGITLESS = ("email", "ip", "secret")
 CUES: dict[str, tuple[str, ...]] = {
     "email": ("mail", "contact", "write", "reach"),
     "ip": ("ip", "host", "server", "address", "ping", "from"),
@@ -108,7 +119,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     digits = _DIGIT.search(text) is not None
     out = set()
     for kind, cues, pattern in GENERATORS:
-        if (digits or kind in ("email", "secret")) and any(c in text for c in cues):
+        if (digits or kind in DIGITLESS) and any(c in text for c in cues):
             out.update((kind, m.start(), m.end()) for m in pattern.finditer(text))
     return sorted(out)
 
