@@ -51,9 +51,9 @@ def key(r):
     return (r[0] is None, r[0] or 0, r[1:])
 
 
-@pytest.mark.parametrize("one_cell", [em.ONE_CELL, 2])
-def test_against_brute_force(spark, one_cell, monkeypatch):
-    monkeypatch.setattr(em, "ONE_CELL", one_cell)
+@pytest.mark.parametrize("per_cell", [em.PER_CELL, 2])
+def test_against_brute_force(spark, per_cell, monkeypatch):
+    monkeypatch.setattr(em, "PER_CELL", per_cell)
     rows = planted()
     got, want = sorted(run(spark, rows), key=key), sorted(brute(rows), key=key)
     assert [g[0] for g in got] == [w[0] for w in want]
@@ -64,7 +64,6 @@ def test_against_brute_force(spark, one_cell, monkeypatch):
 
 def test_small_blocks_give_the_same(spark, monkeypatch):
     rows = planted(8)
-    monkeypatch.setattr(em, "ONE_CELL", 2)
     a = sorted(run(spark, rows), key=key)
     monkeypatch.setattr(em, "BLOCK", 16)
     assert sorted(run(spark, rows), key=key) == a
@@ -98,16 +97,32 @@ def test_forest_connects_what_links_connect():
         assert union(nodes, edges) == union(nodes, links) and len(edges) < max(1, len(nodes))
 
 
-def test_recall_against_brute_force(spark, sf, monkeypatch):
-    """All links of a whole table, each vector beside a copy with noise, with a grid of small cells in use."""
-    monkeypatch.setattr(em, "ONE_CELL", 50)
-    monkeypatch.setattr(em, "PER_CELL", 8)
+@pytest.mark.parametrize(("per_cell", "least"), [(em.PER_CELL, 0.97), (8, 0.95)])
+def test_recall_against_brute_force(spark, sf, monkeypatch, per_cell, least):
+    """All links of a whole table, each vector beside a copy with noise; the index is in use and skips cells, as shipped too."""
+    monkeypatch.setattr(em, "PER_CELL", per_cell)
+    fitted = []
+    original = em._fitted
+    monkeypatch.setattr(em, "_fitted", lambda *a: fitted.append(original(*a)) or fitted[-1])
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(sf.replace("sf0.001", "sf0.1") + "/embeddings.parquet").collect()]
     r = np.random.default_rng(6)
     x = em.unit(np.array([v for _, v in rows], np.float64))
     noise = em.unit(r.normal(size=x.shape)) * r.uniform(0, 0.5, len(x))[:, None]
     rows += [(i + 1_000_000, [float(np.float32(a)) for a in v]) for (i, _), v in zip(rows, x + noise, strict=True)]
-    got = {k.vec_id: k.n_links for k in em.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = em.near_vectors(table).cache()
+    got = {k.vec_id: k.n_links for k in found.collect()}
     x = em.unit(np.array([v for _, v in rows], np.float64))
     want = {i: int(n) - 1 for (i, _), n in zip(rows, (x @ x.T >= 0.9).sum(1), strict=True)}
-    assert all(got[i] <= n for i, n in want.items()) and sum(got.values()) >= 0.95 * sum(want.values()) > 1000
+    assert all(got[i] <= n for i, n in want.items()) and sum(got.values()) >= least * sum(want.values()) > 1000
+    [(grid, bound)] = fitted
+    d1, d2 = grid.distances(x)
+    seen = sum(sum(1 for _ in em.multi_sequence(p, q, p.min() + q.min() + bound)) for p, q in zip(d1, d2, strict=True))
+    assert seen < 0.5 * len(x) * len(grid.c1) * len(grid.c2)
+    asked = {i for i in want if i % 100 == 0}
+    assert tuple(em.recall(table, found).first()) == (len(asked), sum(want[i] for i in asked), sum(got[i] for i in asked))
+
+
+def test_the_index_is_fitted_on_the_standard_tables(spark, sf):
+    for name, n in (("sf0.01", 500), ("sf0.1", 2000)):
+        assert spark.read.parquet(sf.replace("sf0.001", name) + "/embeddings.parquet").count() == n and em._codes(n) > 1

@@ -10,9 +10,10 @@ any member visits are compared whole, in both directions, by exact cosine in dou
 Equal vectors are one class with a count, so copies cost nothing. A large cell is compared in blocks; a block gives
 counts and a spanning forest of its links, never its pairs.
 
-Vectors are compared with those of their own dimension only; each dimension has its own grid, one of a single cell for dimensions
-with at most ONE_CELL distinct vectors. Grids have as many codes as give PER_CELL vectors a cell, up to MAX_CODES; they are fitted on
-at most TRAIN vectors, or CODE_TRAIN for each code; every vector is indexed. The directory of the lists is a table that the work is
+Vectors are compared with those of their own dimension only; each dimension has its own grid, with as many codes as give PER_CELL
+vectors a cell, up to MAX_CODES (so a dimension of about two cells' vectors is one cell). Grids are fitted on at most TRAIN vectors, or
+CODE_TRAIN for each code, and the bound on QUERIES of them against all; every vector is indexed. `recall` measures the links of every
+vector whose id is divisible by 100 against brute force. The directory of the lists is a table that the work is
 joined with; what the driver holds are the codebooks.
 
 Defined cases: a null or empty vector, one with null or non-finite components and a zero vector link with nothing: n_links 0, its own
@@ -27,7 +28,7 @@ import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected as components
@@ -41,7 +42,6 @@ TRAIN, CODE_TRAIN = 20_000, 20
 QUERIES = 256
 PER_CELL = 64
 MAX_CODES = 4096
-ONE_CELL = 2048
 #: Cells of one dimension are numbered below this; the dimension is in the digits above.
 CELLS = 1 << 32
 BLOCK = 1024
@@ -256,9 +256,14 @@ def forest(links, qa, qb):
             return nodes[keep], nodes[label[keep]]
 
 
+def _codes(count: int) -> int:
+    """Codes of each half for so many distinct vectors."""
+    return max(1, min(MAX_CODES, round((count / PER_CELL) ** 0.5)))
+
+
 def _fitted(classes: DataFrame, count: int, threshold: float) -> tuple[Grid, float]:
     """Grid and slack bound of the vectors of one dimension."""
-    codes = max(1, min(MAX_CODES, round((count / PER_CELL) ** 0.5)))
+    codes = _codes(count)
     sample = classes.select("v", F.xxhash64("v").alias("o")).orderBy("o", "v").limit(max(TRAIN, CODE_TRAIN * codes)).select("v").toArrow()
     sample = unit(_matrix(sample["v"].combine_chunks()))
     grid = Grid(sample, codes)
@@ -281,7 +286,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     if not sizes:
         return alone
     count = sum(sizes.values())
-    grids = spark.sparkContext.broadcast({d: _fitted(classes.where(F.size("v") == d), n, threshold) for d, n in sizes.items() if n > ONE_CELL})
+    grids = spark.sparkContext.broadcast({d: _fitted(classes.where(F.size("v") == d), n, threshold) for d, n in sizes.items() if _codes(n) > 1})
 
     root = fresh_path(spark, "lists")
     directory = _write_lists(classes.select("cid", "n", "v"), grids, root, max(1, min(512, count // 4096)))
@@ -347,6 +352,38 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     return joined.unionByName(alone)
 
 
+def recall(vectors: DataFrame, found: DataFrame, threshold: float = THRESHOLD, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """One row (queries, true_links, found_links): links of the vectors whose id is divisible by ``every``, by brute force against all
+    vectors and in ``found`` (rows of `near_vectors`). Queries go to all vectors in blocks; a task holds one block and one batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    fine = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
+    rows = rows.where(fine)
+    asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v", F.size("v").alias("d"))
+    block = F.floor(F.row_number().over(Window.partitionBy("d", F.pmod(F.xxhash64("vec_id", "v"), F.lit(64))).orderBy("vec_id")) / BLOCK)
+    asked = asked.withColumn("b", F.concat_ws("/", "d", F.pmod(F.xxhash64("vec_id", "v"), F.lit(64)), block))
+    blocks = asked.groupBy("b", "d").agg(F.collect_list(F.struct("vec_id", "v")).alias("asked"))  # at most BLOCK each
+    parts = rows.select("v", F.size("v").alias("d"), F.spark_partition_id().alias("p"), F.floor(F.monotonically_increasing_id() % (1 << 33) / BLOCK).alias("k"))
+    parts = parts.groupBy("d", "p", "k").agg(F.collect_list("v").alias("all"))
+
+    def run(batches: Iterator) -> Iterator:
+        for b in batches:
+            ids, n = [], []
+            for q, y in zip(b["asked"], b["all"], strict=True):
+                q = q.as_py()
+                x = unit(np.array([r["v"] for r in q], np.float64))
+                hits = (x @ unit(np.array(y.as_py(), np.float64)).T >= threshold).sum(1)
+                ids += [r["vec_id"] for r in q]
+                n += hits.tolist()
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["vec_id", "n"])
+
+    true = parts.join(broadcast_if_small(blocks), "d").mapInArrow(run, "vec_id long, n long").groupBy("vec_id").agg((F.sum("n") - 1).alias("true_links"))
+    both = true.join(found.select("vec_id", "n_links").groupBy("vec_id").agg(F.max("n_links").alias("found")), "vec_id")
+    return both.agg(F.count("*").alias("queries"), F.coalesce(F.sum("true_links"), F.lit(0)).alias("true_links"), F.coalesce(F.sum("found"), F.lit(0)).alias("found_links"))
+
+
 ORACLE = """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
