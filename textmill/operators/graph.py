@@ -2,16 +2,19 @@
 
 A traversal joins its frontier to the edges once per level; each frontier is written to the shared folder as one more part of what
 has been seen, measured once, and broadcast only if it is small. Depth is bounded by MAX_DEPTH, a result by ``max_result`` rows (more is
-an error, not a cut; None: no bound). Hand in edges that are a table: they are scanned once a level.
+an error, not a cut; None: no bound). Edges are a table, scanned once a level, or an `Adjacency`, of which a level reads what its frontier has.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import invalid
 from ..storage import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small, materialize, measured
+from .lookup import KEYS, Lookup, few
 
 MAX_DEPTH, MAX_RESULT = 64, 100_000
 MAX_ROUNDS = 60
@@ -19,16 +22,20 @@ MAX_ROUNDS = 60
 ONE_TASK = 200_000
 
 
-def _levels(step: DataFrame, starts: DataFrame, depth: int, view: DataFrame | None) -> DataFrame:
-    """(node, distance) of nodes within ``depth`` steps of the starts; step: (a, b). Nodes outside ``view`` are not entered."""
+def _levels(step: DataFrame, starts: DataFrame, depth: int, view: DataFrame | None, done: int = 0) -> DataFrame:
+    """(node, distance) of nodes within ``depth`` steps of the starts; step: (a, b). Nodes outside ``view`` are not entered. ``done``: starts
+    are (node, distance) of all nodes up to that distance."""
     if not 0 <= depth <= MAX_DEPTH:
         raise invalid(f"depth must lie between 0 and {MAX_DEPTH}")
     inside = lambda df: df if view is None else df.join(view.select(F.col("path").alias("node")), "node", "left_semi")
     hinted = lambda df, rows, size: F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df.hint("merge")
-    front = seen = materialize(inside(starts.select("node").distinct()).select("node", F.lit(0).alias("distance")), "frontier")
+    if "distance" not in starts.columns:
+        starts = starts.select("node", F.lit(0).alias("distance"))
+    seen = materialize(inside(starts.select("node", "distance").distinct()), "frontier")
+    front = seen.where(F.col("distance") == done)
     rows, size = measured(front)
-    all_rows, all_size = rows, size
-    for d in range(1, depth + 1):
+    all_rows, all_size = measured(seen)
+    for d in range(done + 1, depth + 1):
         if not rows:
             break
         new = step.join(hinted(front.select(F.col("node").alias("a")), rows, size), "a").select(F.col("b").alias("node")).distinct()
@@ -45,43 +52,119 @@ def _bounded(df: DataFrame, max_result: int | None) -> DataFrame:
     return df
 
 
+class Adjacency:
+    """Edges (src, dst, ...) stored twice, by source and by target: a level of a traversal reads what its frontier has, not the table.
+
+    ``out`` and ``back`` are `lookup.Lookup` tables. A frontier of at most `lookup.KEYS` nodes is a pushed filter and stays with the
+    driver; a larger one is a table in the shared folder and is joined."""
+
+    def __init__(self, out: Lookup, back: Lookup):
+        self.out, self.back = out, back
+        self.sparkSession, self.columns = out.spark, out.columns
+
+    @classmethod
+    def build(cls, edges: DataFrame) -> Adjacency:
+        rows = materialize(edges, "edges")
+        n = rows.count()
+        return cls(Lookup.write(rows, "src", "edges-by-src", n), Lookup.write(rows, "dst", "edges-by-dst", n))
+
+    def all(self) -> DataFrame:
+        return self.out.all()
+
+    def walk(self, sides: list[Lookup], starts: list[str], depth: int, view: DataFrame | None, along=lambda rows: rows) -> tuple[dict[str, int] | None, DataFrame | None]:
+        """Distances of the nodes within ``depth`` steps: a dictionary while they are few, else a table (node, distance). ``along``
+        picks the edges that are gone along."""
+        if not 0 <= depth <= MAX_DEPTH:
+            raise invalid(f"depth must lie between 0 and {MAX_DEPTH}")
+        inside = lambda df: df if view is None else df.join(view.select(F.col("path").alias("node")), "node", "left_semi")
+        first = list(dict.fromkeys(starts))
+        if view is not None:
+            first = few(view.select("path").where(F.col("path").isin(first)), len(first))
+        near = dict.fromkeys(first, 0)
+        front = first
+        for d in range(1, depth + 1):
+            if not front:
+                break
+            new = reduce(DataFrame.union, [along(side.of(front)).select(F.col("dst" if side.key == "src" else "src").alias("node")) for side in sides])
+            got = few(inside(new), KEYS - len(near) if len(near) < KEYS else 0)
+            if got is None:
+                known = self.sparkSession.createDataFrame(list(near.items()), "node string, distance int")
+                return None, _levels(self._steps(sides, along), known, depth, view, d - 1)
+            front = [x for x in got if x not in near]
+            near.update(dict.fromkeys(front, d))
+            if len(near) > KEYS:  # too many for one look-up
+                known = self.sparkSession.createDataFrame(list(near.items()), "node string, distance int")
+                return None, _levels(self._steps(sides, along), known, depth, view, d)
+        return near, None
+
+    def _steps(self, sides: list[Lookup], along) -> DataFrame:
+        rows = along(self.all())
+        one = {"src": rows.select(F.col("src").alias("a"), F.col("dst").alias("b")), "dst": rows.select(F.col("dst").alias("a"), F.col("src").alias("b"))}
+        return reduce(DataFrame.union, [one[side.key] for side in sides])
+
+    def rows_of(self, side: Lookup, near: dict[str, int] | None, table: DataFrame | None) -> DataFrame:
+        """Edges of the nodes at hand, with their distance."""
+        if near is None:
+            return side.all().join(broadcast_if_small(table.withColumnRenamed("node", side.key)), side.key)
+        if not near:
+            return side.all().where(F.lit(False)).withColumn("distance", F.lit(0))
+        at = self.sparkSession.createDataFrame(list(near.items()), f"{side.key} string, distance int")
+        return side.of(list(near)).join(F.broadcast(at), side.key)  # at most KEYS rows
+
+
+def _paths(edges: DataFrame) -> DataFrame:
+    return edges.where("to_kind = 'path'") if "to_kind" in edges.columns else edges
+
+
 def _starts(edges: DataFrame, starts: list[str]) -> DataFrame:
     return edges.sparkSession.createDataFrame([(s,) for s in starts], "node string")
 
 
-def deps(edges: DataFrame, starts: list[str], depth: int = 1, view: DataFrame | None = None, max_result: int | None = MAX_RESULT) -> DataFrame:
+def deps(edges: DataFrame | Adjacency, starts: list[str], depth: int = 1, view: DataFrame | None = None, max_result: int | None = MAX_RESULT) -> DataFrame:
     """Out-edges of all nodes at distance up to ``depth`` - 1, with that distance; depth 0 has none. Edges to nodes outside
     ``view`` are left out, edges that lead out of the graph (to_kind other than path) stay."""
     if depth == 0:
-        return edges.where(F.lit(False)).withColumn("distance", F.lit(0))
-    inner = edges.where("to_kind = 'path'") if "to_kind" in edges.columns else edges
-    near = _levels(inner.select(F.col("src").alias("a"), F.col("dst").alias("b")), _starts(edges, starts), depth - 1, view)
-    found = edges.join(broadcast_if_small(near.withColumnRenamed("node", "src")), "src")
+        return (edges.all() if isinstance(edges, Adjacency) else edges).where(F.lit(False)).withColumn("distance", F.lit(0))
+    if isinstance(edges, Adjacency):
+        found = edges.rows_of(edges.out, *edges.walk([edges.out], starts, depth - 1, view, _paths))
+    else:
+        near = _levels(_paths(edges).select(F.col("src").alias("a"), F.col("dst").alias("b")), _starts(edges, starts), depth - 1, view)
+        found = edges.join(broadcast_if_small(near.withColumnRenamed("node", "src")), "src")
     if view is not None:
         inside = found.join(view.select(F.col("path").alias("dst")), "dst", "left_semi")
         found = inside.unionByName(found.where("to_kind <> 'path'")) if "to_kind" in edges.columns else inside
     return found if max_result is None else _bounded(materialize(found, "deps"), max_result)
 
 
-def rdeps(edges: DataFrame, starts: list[str], depth: int = 1, view: DataFrame | None = None, max_result: int | None = MAX_RESULT) -> DataFrame:
+def rdeps(edges: DataFrame | Adjacency, starts: list[str], depth: int = 1, view: DataFrame | None = None, max_result: int | None = MAX_RESULT) -> DataFrame:
     """In-edges of all nodes at distance up to ``depth`` - 1 against the edges' direction."""
     if depth == 0:
-        return edges.where(F.lit(False)).withColumn("distance", F.lit(0))
-    near = _levels(edges.select(F.col("dst").alias("a"), F.col("src").alias("b")), _starts(edges, starts), depth - 1, view)
-    found = edges.join(broadcast_if_small(near.withColumnRenamed("node", "dst")), "dst")
+        return (edges.all() if isinstance(edges, Adjacency) else edges).where(F.lit(False)).withColumn("distance", F.lit(0))
+    if isinstance(edges, Adjacency):
+        found = edges.rows_of(edges.back, *edges.walk([edges.back], starts, depth - 1, view))
+    else:
+        near = _levels(edges.select(F.col("dst").alias("a"), F.col("src").alias("b")), _starts(edges, starts), depth - 1, view)
+        found = edges.join(broadcast_if_small(near.withColumnRenamed("node", "dst")), "dst")
     if view is not None:
         found = found.join(view.select(F.col("path").alias("src")), "src", "left_semi")
     return found if max_result is None else _bounded(materialize(found, "rdeps"), max_result)
 
 
-def neighborhood(edges: DataFrame, starts: list[str], depth: int = 1, view: DataFrame | None = None, max_result: int | None = MAX_RESULT) -> tuple[DataFrame, DataFrame]:
+def neighborhood(edges: DataFrame | Adjacency, starts: list[str], depth: int = 1, view: DataFrame | None = None, max_result: int | None = MAX_RESULT) -> tuple[DataFrame, DataFrame]:
     """(nodes within ``depth`` undirected steps, the edges among them)."""
-    one = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    nodes = _bounded(_levels(one.union(one.select("b", "a")), _starts(edges, starts), depth, view), max_result)
+    if isinstance(edges, Adjacency):
+        near, nodes = edges.walk([edges.out, edges.back], starts, depth, view)
+        if nodes is None:
+            nodes = edges.sparkSession.createDataFrame(list(near.items()), "node string, distance int")
+        rows = edges.all() if near is None else edges.out.of(list(near))
+    else:
+        one = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+        nodes, rows = _levels(one.union(one.select("b", "a")), _starts(edges, starts), depth, view), edges
+    nodes = _bounded(nodes, max_result)
     if depth == 0:
-        return nodes, edges.where(F.lit(False))
+        return nodes, rows.where(F.lit(False))
     near = nodes.select("node")
-    inside = edges.join(broadcast_if_small(near.withColumnRenamed("node", "src")), "src", "left_semi")
+    inside = rows.join(broadcast_if_small(near.withColumnRenamed("node", "src")), "src", "left_semi")
     return nodes, inside.join(broadcast_if_small(near.withColumnRenamed("node", "dst")), "dst", "left_semi")
 
 

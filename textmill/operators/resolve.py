@@ -223,10 +223,14 @@ def _other(path: str, specifier: str) -> tuple[list[str], str | None]:
     return [posixpath.normpath(posixpath.join(posixpath.dirname(path), specifier))], None
 
 
-def resolve(imports: DataFrame, files: DataFrame, aliases: list[tuple[str, list[str]]] = (), known: list[Package] = (), conditions: tuple[str, ...] = ()) -> DataFrame:
-    """Edges (src, dst, to_kind, reason, specifier, kind, line, span_start, span_end): dst is a path, an external package, or the
-    specifier itself if unresolved. ``files``: (path). ``known``: the tree's own `packages`, whose exports are read under the condition
-    import or require, as the import is told, and under ``conditions``; what a package does not export is unresolved."""
+IMPORT = ["path", "specifier", "kind", "line", "span_start", "span_end"]
+#: Copies of a result that many imports may share, so that no task gets all of these.
+SALT = 16
+
+
+def candidates(imports: DataFrame, aliases: list[tuple[str, list[str]]] = (), known: list[Package] = (), conditions: tuple[str, ...] = ()) -> DataFrame:
+    """``imports`` with the paths that each may mean, in order of preference (``candidates``), and the package that it is else (``external``).
+    They depend on the import alone, not on the files that there are. Row by row, without a shuffle."""
     import pyarrow as pa
 
     names = imports.columns
@@ -241,16 +245,30 @@ def resolve(imports: DataFrame, files: DataFrame, aliases: list[tuple[str, list[
                 got.append(_rust(path, spec, kind) if ext == "rs" else _js(path, spec, aliases, kind, known, conditions) if ext in ("js", "jsx", "mjs", "cjs", "ts", "tsx", "mts", "cts", "vue") else _other(path, spec))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.list_(pa.string())), pa.array([g[1] for g in got], pa.string())], names=[*names, "candidates", "external"])
 
-    rows = imports.mapInArrow(run, schema)
-    key = ["path", "specifier", "kind", "line", "span_start", "span_end"]
-    tried = rows.select(*key, F.posexplode("candidates").alias("rank", "dst"))
-    found = tried.join(files.select(F.col("path").alias("dst")), "dst")
-    best = found.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("rank"))).where("n = 1").select(*key, "dst")
-    out = rows.join(best, key, "left")
+    return imports.mapInArrow(run, schema)
+
+
+def settled(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Edges of imports with `candidates`: the first candidate among ``files`` (path), else the external package, else unresolved.
+
+    Imports that mean the same module have the same list, wherever they stand, so lists are resolved once each; the result is joined back
+    by list and a salt, so that a module that all files import is no hot key."""
+    lists = rows.where(F.size("candidates") > 0).select("candidates").distinct()
+    tried = lists.select("candidates", F.posexplode("candidates").alias("rank", "dst"))
+    best = tried.join(files.select(F.col("path").alias("dst")).distinct(), "dst").groupBy("candidates").agg(F.min(F.struct("rank", "dst")).alias("best"))
+    best = best.select("candidates", F.col("best.dst").alias("dst"), F.explode(F.array(*map(F.lit, range(SALT)))).alias("_salt"))
+    out = rows.withColumn("_salt", F.pmod(F.xxhash64(*IMPORT), F.lit(SALT)).cast("int")).join(best, ["candidates", "_salt"], "left")
     kind = F.when(F.col("dst").isNotNull(), "path").when(F.col("external").isNotNull(), "external").otherwise("unresolved")
     return out.select(F.col("path").alias("src"), F.coalesce("dst", "external", "specifier").alias("dst"), kind.alias("to_kind"), F.when(kind == "unresolved", "not found").alias("reason"), "specifier", "kind", "line", "span_start", "span_end")
 
 
+def resolve(imports: DataFrame, files: DataFrame, aliases: list[tuple[str, list[str]]] = (), known: list[Package] = (), conditions: tuple[str, ...] = ()) -> DataFrame:
+    """Edges (src, dst, to_kind, reason, specifier, kind, line, span_start, span_end): dst is a path, an external package, or the
+    specifier itself if unresolved. ``files``: (path). ``known``: the tree's own `packages`, whose exports are read under the condition
+    import or require, as the import is told, and under ``conditions``; what a package does not export is unresolved."""
+    return settled(candidates(imports, aliases, known, conditions), files)
+
+
 def importers_to_verify(files: DataFrame, target: str, known: DataFrame) -> DataFrame:
     """Files whose text names a target (its stem, or its folder for an index file) but that no known edge (src) covers: to be
     analysed again before an answer about importers is called exact."""

@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import corpus_queries, edit_queries, graph_queries, source_queries, stream_queries  # noqa: F401
+    from . import corpus_queries, edit_queries, graph_queries, module_queries, source_queries, stream_queries  # noqa: F401
 
     return dict(QUERIES)
 
