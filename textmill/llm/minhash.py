@@ -352,7 +352,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = members.select("h").distinct().join(classes.select("h", "first.id"), "h")
     wanted = materialize(wanted, "candidates")
     texts = docs.select(content(text_col).alias("h"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    texts = texts.join(broadcast_if_small(wanted.withColumnRenamed("id", "first")), "h").where(F.col("id").eqNullSafe(F.col("first")))
+    wanted = broadcast_if_small(wanted.select(F.col("h").alias("_h"), F.col("id").alias("first")))
+    texts = texts.join(wanted, (F.col("h") == F.col("_h")) & F.col("id").eqNullSafe(F.col("first")))  # by both: copies of a text lie apart
     texts = materialize(texts.groupBy("h").agg(F.first("t").alias("t")), "texts")
 
     tried = materialize(_distinct_pairs(members.select(F.col("h").alias("a"), F.col("c").alias("b"))), "pairs")
