@@ -99,3 +99,12 @@ def test_main_path_is_native(spark, sf):
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     plan = dc.contamination(docs, items)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_own_columns_of_any_name_stay(spark):
+    words = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, words + " more", 1, 2, 3), (2, "clean text", 4, 5, 6), (2, None, 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _k1 int, _k2 int, _row int")
+    items = spark.createDataFrame([("i", words)], "item_id string, text string")
+    kept = dc.clean_documents(docs, items)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted(rows[1:], key=str)

@@ -182,7 +182,8 @@ def clean_documents(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Da
     bad = contamination(docs, items, size).where("contaminated").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
     bad = materialize(bad, "contaminated")
     k1, k2 = doc_key()
-    return docs.join(broadcast_if_small(bad), (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), k1.alias("_own1"), k2.alias("_own2"))
+    return rows.join(broadcast_if_small(bad), (F.col("_own1") == F.col("_k1")) & (F.col("_own2") == F.col("_k2")), "left_anti").select("_row.*")
 
 
 def digest(found: DataFrame) -> DataFrame:
