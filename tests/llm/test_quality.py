@@ -147,3 +147,11 @@ def test_fit_against_plain_descent():
             else:
                 dt[k - 30] += sign * step
             assert loss(dv, dt) > best - 1e-6
+
+
+def test_columns_named_like_the_result_give_way(spark):
+    docs = spark.createDataFrame([(1, "good text", "a", 5.0)], "doc_id long, text string, grade string, p_tail double")
+    model = q.Ordinal([], np.zeros(q.BUCKETS, np.float32), np.zeros(0))
+    for keep in (None, ["doc_id", "grade"]):
+        out = q.graded(docs, model, keep=keep)
+        assert len(set(out.columns)) == len(out.columns) and out.select("grade", "p_tail").first().grade == 0

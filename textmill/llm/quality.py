@@ -212,14 +212,14 @@ RESULT = "grade integer, expected_grade double, p_tail double, selected boolean"
 
 def graded(docs: DataFrame, model: Ordinal, least_grade: int | None = None, least_p: float = LEAST_P, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default: all), most likely grade, expected grade, p_tail = P(grade >= least_grade) (default:
-    the highest grade), selected = p_tail >= least_p."""
+    the highest grade), selected = p_tail >= least_p. A kept column named like one of these gives way to it."""
     import numpy as np
     import pyarrow as pa
 
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in [x.split()[0] for x in RESULT.split(", ")]]
     rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text_for_grade"))
     schema = docs.select(*keep).schema
     for x in RESULT.split(", "):
