@@ -72,6 +72,10 @@ def parse_record(raw: bytes) -> dict:
     return {"fields": fields, "payload": payload, "full": full}
 
 
+#: Tasks that the ids of pages with one payload are dealt to.
+SALT = 32
+
+
 def _arrow(schema: str):
     import pyarrow as pa
 
@@ -82,7 +86,9 @@ def _arrow(schema: str):
 def _with_first(rows: DataFrame, same: DataFrame) -> DataFrame:
     """``rows`` with the ``first`` id of their payload's group, without a broadcast: each revisit's (id, digest, url) carries it."""
     ident = lambda: F.xxhash64(F.col("page_id"), F.col("page_id").isNull(), F.col("sum"), F.col("url"))
-    tags = rows.where("sum is not null").select("page_id", "sum", ident().alias("ident")).distinct().join(same.hint("merge"), "sum").where(~F.col("page_id").eqNullSafe(F.col("first")))
+    salted = same.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALT)))))  # equal payloads are dealt by a salt too
+    tags = rows.where("sum is not null").select("page_id", "sum", ident().alias("ident")).distinct().withColumn("salt", F.pmod("ident", F.lit(SALT)).cast("int"))
+    tags = tags.join(salted.hint("merge"), ["sum", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("first")))
     tags = materialize(tags.select("ident", F.col("page_id").alias("_id"), F.col("sum").alias("_sum"), "first").distinct(), "revisits")
     tagged = rows.withColumn("ident", ident())
     return tagged.join(tags.hint("merge"), (tagged["ident"] == tags["ident"]) & tagged["page_id"].eqNullSafe(tags["_id"]) & (tagged["sum"] == tags["_sum"]), "left").drop("ident", "_id", "_sum")
