@@ -147,6 +147,17 @@ def test_malformed_schemas(value, schema):
     assert chat.validate({"x": value}, {"properties": {"x": schema}}) == ["$: malformed schema, not checked"]
 
 
+def test_patterns_that_may_never_end_are_not_checked():
+    import time
+
+    began = time.time()
+    for p in ("^(a+)+$", "(a|a)*$", "([a-z]+)*x", "^(?:(a*)b?)+$", "((x{1,9}){2,})+y"):
+        assert chat.validate("a" * 60 + "!", {"pattern": p}) == ["$: pattern not checked"], p
+    assert time.time() - began < 2
+    for p, good, bad in (("^(foo|bar)+$", "foobar", "fob"), (r"^(\d{3}-)+\d$", "123-456-7", "12-3"), ("^((ab)?c)*$", "abcc", "b")):
+        assert chat.validate(good, {"pattern": p}) == [] and chat.validate(bad, {"pattern": p}) == ["$: not of the pattern"]
+
+
 def test_malformed_messages(spark):
     deep = "[" * 5000 + "]" * 5000
     schemas = [{"type": "object", "minProperties": "3"}, {"required": 3}, {"properties": [1]}, {"type": [{}]}, 7, None, {"properties": {"a": {"maximum": 1e308}}}]

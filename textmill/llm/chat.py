@@ -99,12 +99,29 @@ _CHECKED = frozenset(
 )
 
 
+def _backtracks(pattern, inside: bool = False) -> bool:
+    """Whether a parsed pattern repeats, without bound, something that itself repeats or starts in the same way twice."""
+    for op, args in pattern:
+        name = str(op)
+        if name in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, body = args
+            if inside and high > max(1, low) or _backtracks(body, inside or high > 64):
+                return True
+        elif name == "BRANCH":
+            heads = [str(branch[0]) if len(branch) else "" for branch in args[1]]
+            if inside and (len(set(heads)) < len(heads) or not all(h.startswith("(LITERAL") for h in heads)) or any(_backtracks(b, inside) for b in args[1]):
+                return True
+        elif name in ("SUBPATTERN", "ASSERT", "ASSERT_NOT", "ATOMIC_GROUP") and _backtracks(args[-1] if isinstance(args, tuple) else args, inside):
+            return True
+    return False
+
+
 @lru_cache(1024)
 def _regex(pattern: str):
-    """A schema's (ECMAScript) pattern; None if Python has no such pattern."""
+    """A schema's (ECMAScript) pattern; None if Python has no such pattern, or one that may take exponential time."""
     try:
         plain = re.sub(r"\\[\s\S]|\[(?:\\[\s\S]|[^\]\\])*\]|\$", lambda m: r"\Z" if m[0] == "$" else m[0].replace(r"\d", "0-9") if m[0][0] == "[" else {r"\d": "[0-9]", r"\D": "[^0-9]", r"\w": "[A-Za-z0-9_]", r"\W": "[^A-Za-z0-9_]"}.get(m[0], m[0]), pattern)
-        return re.compile(plain)
+        return None if _backtracks(re._parser.parse(plain)) else re.compile(plain)
     except (re.error, OverflowError, RecursionError):
         return None
 
