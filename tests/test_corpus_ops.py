@@ -229,3 +229,36 @@ def test_roots_and_bounds(spark):
         with pytest.raises(CorpusError):
             bad()
     assert [r.path for r in explicit(spark, ["b", "./a/../b", "a//c"]).collect()] == ["a/c", "b"]
+
+
+def test_a_file_s_output_ends_at_its_cap(spark):
+    """The line that would exceed the cap and all after it go, with their matches; context counts too; the roll-up is incomplete."""
+    c = spark.createDataFrame([("a", "hit one\nmid\nhit two\nhit three\n"), ("b", "hit\n"), ("c", "none\n")], "path string, text string")
+    cap = 3 * 24 + len("hit onemidhit two")
+    rows = lambda **k: sorted((r.path, r.line_number, r.is_match) for r in Search(c, "hit", **k).content().collect())
+    assert rows(after=1, max_file_bytes=cap) == [("a", 1, True), ("a", 2, False), ("a", 3, True), ("b", 1, True)]
+    assert rows(after=1, max_file_bytes=cap - 1) == [("a", 1, True), ("a", 2, False), ("b", 1, True)]
+    assert rows(max_file_bytes=10) == [] and len(rows(max_file_bytes=10_000)) == 4
+    # The limit counts what the cap lets through.
+    assert rows(max_file_bytes=24 + 7, max_total_count=2) == [("a", 1, True), ("b", 1, True)]
+    r = Search(c, "hit", max_file_bytes=24 + 7).rollup("content").head()
+    assert (r.files_searched, r.files_with_matches, r.total_matches, r.incomplete) == (3, 2, 2, True)
+    assert not Search(c, "hit", max_file_bytes=10_000).rollup("content").head().incomplete
+
+
+def test_a_limited_view_scans_the_corpus_once(spark, tmp_path):
+    spark.createDataFrame([(f"f{k:03}", "x\ny") for k in range(50)], "path string, text string").write.parquet(str(tmp_path / "c"))
+    seen = spark.sparkContext.accumulator(0)
+    from pyspark.sql.functions import udf
+
+    @udf("string")
+    def read(t):
+        seen.add(1)
+        return t
+
+    c = spark.read.parquet(str(tmp_path / "c")).withColumn("text", read.asNondeterministic()("text"))
+    for view, n in (("files", 50), ("counts", 50)):
+        for limit in (10, 100):
+            before = seen.value
+            rows = getattr(Search(c, "x", max_total_count=limit), view)().collect()
+            assert len(rows) == min(n, limit) and seen.value - before == 50

@@ -1,6 +1,6 @@
 """Line search over a corpus (path, text). Everything about one file happens inside its row, on the array of its lines: no
-shuffle for counts, context or per-file limits. Only the global limit looks across files: a sum tells whether it binds, and then
-(path, count) rows of matching files are sorted by range."""
+shuffle for counts, context or per-file limits. Only the global limit looks across files: one scan writes (path, count) rows, a
+sum of them tells whether it binds, and then they are sorted by range."""
 
 from __future__ import annotations
 
@@ -15,6 +15,8 @@ from ..errors import CorpusError, invalid
 from ..storage import materialize
 
 DEFAULT_TOTAL = 100_000
+#: What a line counts besides its text.
+LINE_BYTES = 24
 #: Bounds of a request.
 MOST_TOTAL, MOST_CONTEXT, MOST_PATTERN, MOST_GLOBS, MOST_GLOB = 1_000_000, 10_000, 1 << 20, 256, 16 << 10
 
@@ -51,7 +53,9 @@ def under_root(corpus: DataFrame, root: str) -> tuple[DataFrame, bool]:
 @dataclass
 class Search:
     """A compiled search. `files`, `counts`, `content`, `blocks` and `rollup` are its result tables. ``root``: a file or a folder of
-    the corpus. ``max_output_bytes``: an error if the content holds more bytes of lines and paths."""
+    the corpus. ``max_output_bytes``: an error if the content holds more bytes of lines and paths. ``max_file_bytes``: a file's content ends
+    before the line with which its lines, LINE_BYTES each and their text, would exceed it; its later matches do not count, and the roll-up of
+    mode content is incomplete."""
 
     corpus: DataFrame
     pattern: str
@@ -66,6 +70,7 @@ class Search:
     max_total_count: int = DEFAULT_TOTAL
     root: str = ""
     max_output_bytes: int | None = None
+    max_file_bytes: int | None = None
 
     def __post_init__(self):
         if min(self.before, self.after, self.max_total_count, self.max_count or 0) < 0 or max(self.max_total_count, self.max_count or 0) > MOST_TOTAL:
@@ -91,17 +96,30 @@ class Search:
         all_ = F.filter(F.transform(search_lines(), lambda x, i: F.when(self._hit(x), i + 1)), lambda i: i.isNotNull())
         return all_ if self.max_count is None else F.slice(all_, 1, max(1, self.max_count))
 
+    def _counted(self, n: Column) -> DataFrame:
+        """(path, n) of files with n > 0, written by the one scan of a limited view: whether the limit binds, where it cuts and the
+        answer itself are read from that table."""
+        return materialize(self.source.select("path", n.cast("long").alias("n")).where("n > 0"), "matches")
+
     def files(self, limited: bool = True) -> DataFrame:
         """(path) of files with a matching line; a file's scan stops at its first match. The limit counts files here."""
-        found = self.source.where(F.exists(search_lines(), self._hit)).select("path")
-        cut = _cut(found.withColumn("n", F.lit(1).cast("long")), self.max_total_count) if limited else None
-        return found if cut is None else found.where(F.col("path") <= cut[0])
+        hit = F.exists(search_lines(), self._hit)
+        if not limited:
+            return self.source.where(hit).select("path")
+        found = self._counted(hit.cast("long"))
+        cut = _cut(found, self.max_total_count)
+        return (found if cut is None else found.where(F.col("path") <= cut[0]) if cut[1] else found.where(F.lit(False))).select("path")
+
+    def _matches(self) -> Column:
+        return F.size(F.filter(search_lines(), self._hit)) if self.max_count is None else F.size(self._numbers())
 
     def counts(self, limited: bool = True) -> DataFrame:
         """(path, match_count) of files with at least one matching line, up to the global limit in path order."""
-        n = F.size(F.filter(search_lines(), self._hit)) if self.max_count is None else F.size(self._numbers())
-        found = self.source.select("path", n.cast("long").alias("match_count")).where("match_count > 0")
-        cut = _cut(found.select("path", F.col("match_count").alias("n")), self.max_total_count) if limited else None
+        if not limited:
+            return self.source.select("path", self._matches().cast("long").alias("match_count")).where("match_count > 0")
+        found = self._counted(self._matches())
+        cut = _cut(found, self.max_total_count)
+        found = found.withColumnRenamed("n", "match_count")
         if cut is None:
             return found
         return found.where(F.col("path") <= cut[0]).select("path", F.when(F.col("path") == cut[0], F.lit(cut[1]).cast("long")).otherwise(F.col("match_count")).alias("match_count")).where("match_count > 0")
@@ -123,22 +141,39 @@ class Search:
         if self.max_total_count == 0 and limited:
             return self.source.where(F.lit(False)).select("path", F.lit(0).cast("long").alias("line_number"), "text", F.lit(True).alias("is_match"))
         source, share = self.source, None
-        if limited and (cut := _cut(self.counts(limited=False).select("path", F.col("match_count").alias("n")), self.max_total_count)):
-            source = source.where(F.col("path") <= cut[0])
-            share = F.when(F.col("path") == cut[0], cut[1])
-        if share is None and self.max_count is None and not self.before and not self.after:
+        if limited:
+            if self.max_file_bytes is None:
+                counted = self._counted(self._matches())
+            else:
+                counted = materialize(self._lines(source, None).select("path", F.size(F.filter("out", lambda s: s["m"])).cast("long").alias("n")).where("n > 0"), "matches")
+            if cut := _cut(counted, self.max_total_count):
+                source = source.where(F.col("path") <= cut[0])
+                share = F.when(F.col("path") == cut[0], cut[1])
+        if share is None and self.max_count is None and self.max_file_bytes is None and not self.before and not self.after:
             rows = source.select("path", F.posexplode(search_lines()).alias("i", "t")).where(self._hit(F.col("t")))
             return rows.select("path", (F.col("i") + 1).cast("long").alias("line_number"), F.regexp_replace("t", "\r$", "").alias("text"), F.lit(True).alias("is_match"))
+        rows = self._lines(source, share)
+        return rows.select("path", F.explode_outer("out").alias("s")).where("s is not null").select("path", F.col("s.n").cast("long").alias("line_number"), F.regexp_replace("s.t", "\r$", "").alias("text"), F.col("s.m").alias("is_match"))
+
+    def _lines(self, source: DataFrame, share: Column | None) -> DataFrame:
+        """(path, out, full): the lines (n, t, m) of each file with a match, of at most ``share`` matches, as one array; full where the file
+        has more lines than ``max_file_bytes`` let through."""
         all_ = F.filter(F.transform(search_lines(), lambda x, i: F.when(self._hit(x), i + 1)), lambda i: i.isNotNull())
         rows = source.select("path", search_lines().alias("ls"), all_.alias("ms")).where(F.size("ms") > 0)
         kept = F.size("ms") if self.max_count is None else F.least(F.size("ms"), F.lit(max(1, self.max_count)))
         rows = rows.withColumn("r", kept if share is None else F.least(kept, F.coalesce(share, kept))).where("r > 0")
-        rows = rows.withColumn("last", F.element_at("ms", F.col("r"))).withColumn("next", F.coalesce(F.try_element_at("ms", F.col("r") + 1), F.size("ls") + 1))
+        rows = rows.withColumn("last", F.try_element_at("ms", F.greatest(F.col("r"), F.lit(1)))).withColumn("next", F.coalesce(F.try_element_at("ms", F.col("r") + 1), F.size("ls") + 1))
         rows = rows.withColumn("flags", F.transform("ls", self._hit))
         near = lambda i: F.exists(F.slice("flags", F.greatest(i - F.lit(self.after), F.lit(1)), F.least(i, F.lit(self.after + 1)) + F.lit(self.before)), lambda f: f)
         out = F.transform("ls", lambda x, i: F.struct((i + 1).alias("n"), x.alias("t"), (F.get("flags", i) & (i + 1 <= F.col("last"))).alias("m")))
         out = F.filter(out, lambda s: (s["n"] < F.col("next")) & (s["n"] <= F.col("last") + self.after) & near(s["n"]))
-        return rows.select("path", F.explode(out).alias("s")).select("path", F.col("s.n").cast("long").alias("line_number"), F.regexp_replace("s.t", "\r$", "").alias("text"), F.col("s.m").alias("is_match"))
+        rows = rows.select("path", out.alias("out"))
+        if self.max_file_bytes is None:
+            return rows.withColumn("full", F.lit(False))
+        size = lambda s: F.octet_length(F.regexp_replace(s["t"], "\r$", "")) + LINE_BYTES
+        step = lambda a, s: F.struct((a["b"] + size(s)).alias("b"), (a["k"] + (a["b"] + size(s) <= self.max_file_bytes).cast("int")).alias("k"))
+        fits = F.aggregate("out", F.struct(F.lit(0).cast("long").alias("b"), F.lit(0).alias("k")), step, lambda a: a["k"])
+        return rows.withColumn("k", fits).select("path", F.slice("out", F.lit(1), F.col("k")).alias("out"), (F.col("k") < F.size("out")).alias("full"))
 
     def blocks(self) -> DataFrame:
         """Multiline matches: (path, line_number of the first line, n_lines, text of the match)."""
@@ -152,19 +187,26 @@ class Search:
 
     def rollup(self, mode: str = "count") -> DataFrame:
         """One row: files_searched, files_with_matches, total_matches (both after limits), limit_reached, incomplete, root, root_is_dir.
-        In ``mode`` files a file counts as one match."""
-        n = F.exists(search_lines(), self._hit).cast("long") if mode == "files" else F.size(self._numbers()).cast("long")
-        per = self.source.select("path", n.alias("n"))
-        cut = _cut(per.where("n > 0"), self.max_total_count)
+        In ``mode`` files a file counts as one match, in mode content those count that ``max_file_bytes`` lets through."""
+        n = F.exists(search_lines(), self._hit).cast("long") if mode == "files" else self._matches().cast("long")
+        capped = mode == "content" and self.max_file_bytes is not None
+        if capped:
+            per = self._lines(self.source, None).select("path", F.size(F.filter("out", lambda s: s["m"])).cast("long").alias("n"), "full")
+            rest = self.source.select("path", (~F.exists(search_lines(), self._hit)).alias("none")).where("none")
+            per = materialize(per.unionByName(rest.select("path", F.lit(0).cast("long").alias("n"), F.lit(False).alias("full"))), "matches")
+        else:
+            per = materialize(self.source.select("path", n.alias("n")), "matches")
+        cut = _cut(per.where("n > 0").select("path", "n"), self.max_total_count)
         shown = (F.col("n") > 0) if cut is None else (F.col("n") > 0) & ((F.col("path") < cut[0]) | (F.col("path") == cut[0]) & F.lit(cut[1] > 0))
         total = F.coalesce(F.sum("n"), F.lit(0))
         agg = per.agg(F.count("*").alias("files_searched"), F.count_if(shown).alias("files_with_matches"), F.least(total, F.lit(self.max_total_count)).cast("long").alias("total_matches"), (total >= self.max_total_count).alias("limit_reached"))
         last = [F.lit(self.root).alias("root"), F.lit(self.root_is_dir).alias("root_is_dir")]
+        full = F.lit(capped and per.where("full").limit(1).count() > 0)
         if "is_binary" not in self.corpus.columns:
-            return agg.select("*", F.lit(False).alias("incomplete"), *last)
+            return agg.select("*", full.alias("incomplete"), *last)
         from ..corpus import SEARCH_BYTES
 
-        skipped = self.corpus.agg(F.coalesce(F.bool_or(F.col("is_binary") | (F.col("size") > SEARCH_BYTES)), F.lit(False)).alias("incomplete"))
+        skipped = self.corpus.agg((F.coalesce(F.bool_or(F.col("is_binary") | (F.col("size") > SEARCH_BYTES)), F.lit(False)) | full).alias("incomplete"))
         return agg.join(skipped).select("*", *last)
 
 

@@ -105,6 +105,35 @@ def grep_glob(spark, sf_dir):
 PER_FILE = "n AS (SELECT path, count(*) AS n FROM l WHERE regexp_matches(text, '{0}') GROUP BY path), t AS (SELECT path, n, coalesce(sum(n) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n)"
 
 
+LIMITED = f"WITH {LINES}, {PER_FILE}"
+
+
+@query("grep_files_default", LIMITED.format("th[a-z]*the") + " SELECT path FROM t ORDER BY path LIMIT 100000")
+def grep_files_default(spark, sf_dir):
+    return Search(corpus(spark, sf_dir), "th[a-z]*the").files()
+
+
+@query("grep_count_default", LIMITED.format("the") + " SELECT path, CAST(least(n, 100000 - before) AS BIGINT) AS match_count FROM t WHERE before < 100000")
+def grep_count_default(spark, sf_dir):
+    return Search(corpus(spark, sf_dir), "the").counts()
+
+
+@query("grep_content_default", f"WITH {LINES}, r AS (SELECT *, row_number() OVER (ORDER BY path, line_number) AS r FROM l WHERE regexp_matches(text, '[a-z]+tion')) SELECT path, line_number, text, true AS is_match FROM r WHERE r <= 100000")
+def grep_content_default(spark, sf_dir):
+    return Search(corpus(spark, sf_dir), "[a-z]+tion").content()
+
+
+@query("grep_file_cap", f"WITH {LINES}, m AS (SELECT *, sum(strlen(text) + 24) OVER (PARTITION BY path ORDER BY line_number) AS bytes FROM l WHERE regexp_matches(text, 'the')), k AS (SELECT *, row_number() OVER (ORDER BY path, line_number) AS r FROM m WHERE bytes <= 1500) SELECT path, line_number, text, true AS is_match FROM k WHERE r <= 3000")
+def grep_file_cap(spark, sf_dir):
+    """Each file's lines end at 1,500 bytes, and all matches at 3,000."""
+    return Search(corpus(spark, sf_dir), "the", max_file_bytes=1500, max_total_count=3000).content()
+
+
+@query("grep_file_cap_rollup", f"WITH {LINES}, m AS (SELECT *, sum(strlen(text) + 24) OVER (PARTITION BY path ORDER BY line_number) AS bytes FROM l WHERE regexp_matches(text, 'the')), n AS (SELECT path, count(*) AS n FROM m WHERE bytes <= 1500 GROUP BY path) SELECT (SELECT count(*) FROM documents) AS files_searched, count(*) AS files_with_matches, CAST(sum(n) AS BIGINT) AS total_matches, sum(n) >= 1000000 AS limit_reached, (SELECT max(bytes) > 1500 FROM m) AS incomplete, '' AS root, true AS root_is_dir FROM n")
+def grep_file_cap_rollup(spark, sf_dir):
+    return Search(corpus(spark, sf_dir), "the", max_file_bytes=1500, max_total_count=1_000_000).rollup("content")
+
+
 @query("grep_rollup", f"WITH {LINES}, {PER_FILE.format('the')} SELECT (SELECT count(*) FROM documents) AS files_searched, count(*) FILTER (WHERE before < 500) AS files_with_matches, CAST(least(sum(n), 500) AS BIGINT) AS total_matches, sum(n) >= 500 AS limit_reached, false AS incomplete, '' AS root, true AS root_is_dir FROM t")
 def grep_rollup(spark, sf_dir):
     return Search(corpus(spark, sf_dir), "the", max_total_count=500).rollup()
