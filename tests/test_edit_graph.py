@@ -1,4 +1,5 @@
 import random
+import os
 import stat
 
 import pytest
@@ -76,8 +77,36 @@ def test_writes(tmp_path):
 
 
 def test_commit_of_edits(spark, tmp_path):
-    done = sink.commit(spark.createDataFrame([("x/a", "A"), ("b", None)], "path string, content string"), str(tmp_path))
-    assert len(done) == 1 and (tmp_path / "x" / "a").read_text() == "A"
+    rows = lambda *r: spark.createDataFrame(list(r), "path string, content string").repartition(3)
+    done = sink.commit(rows(("x/a", "A"), ("b", None), ("y", "é")), str(tmp_path))
+    assert sorted(tuple(r) for r in done.collect()) == [("x/a", 1, False, False), ("y", 2, False, False)] and (tmp_path / "x" / "a").read_text() == "A"
+    (tmp_path / "y").chmod(0o600)
+    os.symlink("y", tmp_path / "link")
+    inode = (tmp_path / "x" / "a").stat().st_ino
+    done = sink.commit(rows(("x/a", "B"), ("link", "via")), str(tmp_path))
+    assert sorted(tuple(r) for r in done.collect()) == [("link", 3, True, True), ("x/a", 1, True, False)]
+    assert (tmp_path / "y").read_text() == "via" and stat.S_IMODE((tmp_path / "y").stat().st_mode) == 0o600 and (tmp_path / "x" / "a").stat().st_ino != inode
+    inode = (tmp_path / "y").stat().st_ino
+    sink.commit(rows(("y", "in")), str(tmp_path), writeMode="inPlace")
+    assert (tmp_path / "y").read_text() == "in" and (tmp_path / "y").stat().st_ino == inode
+    # All or nothing: a folder in the way, a path that comes twice or leads out moves no file.
+    for bad in ([("new", "1"), ("x", "2")], [("new", "1"), ("new", "2")], [("new", "1"), ("../out", "2")]):
+        with pytest.raises(Exception, match="in the way|twice|out of the folder"):
+            sink.commit(rows(*bad), str(tmp_path))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["link", "x", "y"]
+
+
+def test_a_retried_task_leaves_one_file(tmp_path):
+    """Two attempts of a partition stage; one is committed."""
+    w = sink.TreeWriter({"path": str(tmp_path)})
+    row = {"path": "f", "content": b"data"}
+    w.write(iter([row]))
+    w.commit([w.write(iter([row])), None])
+    assert [p.name for p in tmp_path.iterdir()] == ["f"] and (tmp_path / "f").read_bytes() == b"data"
+    w = sink.TreeWriter({"path": str(tmp_path)})
+    w.write(iter([row | {"path": "g"}]))
+    w.abort([])
+    assert [p.name for p in tmp_path.iterdir()] == ["f"]
 
 
 def names(path, text):

@@ -3,6 +3,7 @@ each row, with its key in the place of every `%`. The expected rows are stated b
 
 from __future__ import annotations
 
+import os
 import re
 from functools import reduce
 
@@ -17,6 +18,7 @@ from ..operators import sink
 from ..operators import symbols as sy
 from ..operators.grep import Search
 from ..sources.tree import files, tree
+from ..sources.walk import walk
 from ..storage import fresh_path, materialize
 from .catalogue import query, table
 
@@ -351,6 +353,34 @@ def tree_grep(spark, sf_dir):
     return Search(files(spark, written_tree(spark, sf_dir)), "ICA").content().select("path", "text")
 
 
+@query("tree_pruned", TREE + " SELECT p AS rel_path, t AS text FROM f WHERE p LIKE 'r1/%' AND NOT regexp_matches(p, '(^|/)[.]') AND strlen(t) > 5")
+def tree_pruned(spark, sf_dir):
+    """One folder's visible files of some size; the listing is given the filters."""
+    wanted = F.startswith("rel_path", F.lit("r1/")) & ~F.col("is_hidden") & (F.col("size") > 5)
+    return files(spark, written_tree(spark, sf_dir), wanted, respectIgnore=False).select(F.col("path").alias("rel_path"), "text")
+
+
+@query("tree_walk", TREE + """, d AS (SELECT 'r' || r_regionkey AS p FROM region), x AS (SELECT p AS rel_path, 'file' AS kind, CAST(strlen(t) AS BIGINT) AS size FROM k UNION ALL SELECT p || t, 'dir', 0 FROM d, (VALUES (''), ('/skip'), ('/up'), ('/peer')) v(t))
+SELECT *, CAST(1 + len(rel_path) - len(replace(rel_path, '/', '')) AS INTEGER) AS level FROM x""")
+def tree_walk(spark, sf_dir):
+    """Links followed: each folder has one to the root and one to its neighbour, which are listed and lead nowhere new."""
+    root = written_tree(spark, sf_dir)
+    keys = [r[0] for r in table(spark, sf_dir, "region").select("r_regionkey").collect()]
+    for k in keys:
+        os.symlink("..", f"{root}/r{k}/up")
+        os.symlink(f"../r{keys[(keys.index(k) + 1) % len(keys)]}", f"{root}/r{k}/peer")
+    return walk(spark, root, follow_symlinks=True).select("rel_path", "kind", "size", "level")
+
+
+@query("tree_written", TREE + " SELECT p AS path, CAST(strlen(t) AS BIGINT) AS bytes_written, true AS existed, t AS text FROM f WHERE p LIKE '%.txt'")
+def tree_written(spark, sf_dir):
+    """Files written anew over a written folder, with what the sink tells of them and what is read back."""
+    root = written_tree(spark, sf_dir)
+    again = files(spark, root, respectIgnore=False).where(F.endswith("path", F.lit(".txt"))).select("path", "content")
+    told = sink.commit(again, root)
+    return told.join(files(spark, root, respectIgnore=False).select("path", "text"), "path").select("path", "bytes_written", "existed", "text")
+
+
 #: Edits of one file each: text, edits (old, new), then the new text or the kind and place of the error.
 CASES = [
     ("batch", "alpha % beta\ngamma\n", [("alpha", "beta"), ("gamma", "delta %")], "beta % beta\ndelta %\n", None, None, False, 1),
