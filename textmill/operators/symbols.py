@@ -1,10 +1,13 @@
-"""The symbol index as a table: definitions, outline, fuzzy search. All native."""
+"""The symbol index as a table, plain or stored for look-up: definitions, outline, fuzzy search. All native."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+from .lookup import Lookup
+
 #: Order in which kinds are jumped to.
 JUMP = ["function", "method", "class", "struct", "interface", "enum", "trait", "type", "module", "constant", "field"]
 DEFAULT_LIMIT = 200
@@ -80,3 +83,58 @@ def merge_adjacent(symbols: DataFrame) -> DataFrame:
     w = Window.partitionBy("path").orderBy("idx")
     same = (F.lag("name").over(w) == F.col("name")) & (F.lag("kind").over(w) == F.col("kind")) & (F.lag("depth").over(w) == F.col("depth"))
     return symbols.withColumn("_same", F.coalesce(same, F.lit(False))).where("not _same").drop("_same")
+
+
+#: Letters of a gram, and the bits of a name's letter signature.
+GRAM, BITS = 3, 63
+#: No subsequence scores more.
+BEST_SUBSEQUENCE = 2000
+
+
+def _signature(name: Column) -> Column:
+    """Bits of the letters of a name; a name holds a subsequence only if its signature holds that of the needle."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(BITS)).cast("int"))
+    return F.aggregate(F.filter(F.split(name, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda a, c: a.bitwiseOR(bit(c)))
+
+
+def _mask(needle: str) -> int:
+    return sum({1 << ord(c) % BITS for c in needle if ord(c) < 128})
+
+
+class SymbolIndex:
+    """Symbols stored for look-up: by lower-case name, with an inverted list of the names' grams and a table of the distinct names.
+
+    `definitions` reads the rows of one name. `search` intersects the lists of the needle's grams, scores the rows of those names,
+    and is done if they fill the limit with scores that no subsequence reaches; else it goes through the distinct names, narrowed by their
+    letters, not through the symbols. Results are those of the functions of this module."""
+
+    def __init__(self, by_name: Lookup, grams: Lookup, names: DataFrame, columns: list[str]):
+        self.by_name, self.grams, self.names, self.columns = by_name, grams, names, columns
+
+    @classmethod
+    def build(cls, symbols: DataFrame) -> SymbolIndex:
+        rows = materialize(symbols.where("name is not null").withColumn("name_lc", F.lower("name")), "symbols")
+        names = materialize(rows.select("name_lc").distinct().withColumn("letters", _signature(F.col("name_lc"))), "names")
+        starts = F.sequence(F.lit(1), F.char_length("name_lc") - (GRAM - 1))
+        grams = names.where(F.char_length("name_lc") >= GRAM).select(F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("name_lc", i, F.lit(GRAM))))).alias("gram"), "name_lc")
+        return cls(Lookup.write(rows, "name_lc", "symbols-by-name"), Lookup.write(materialize(grams, "grams"), "gram", "names-by-gram"), names, symbols.columns)
+
+    def definitions(self, name: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
+        return definitions(self.by_name.of([name.lower()]), name, limit).select(*self.columns)
+
+    def _best(self, names: DataFrame, needle: str, limit: int, view: DataFrame | None) -> DataFrame:
+        return search(self.by_name.of_frame(names), needle, limit, view).select(*self.columns, "score")
+
+    def search(self, needle: str, limit: int = DEFAULT_LIMIT, view: DataFrame | None = None) -> DataFrame:
+        n = needle.strip().lower()
+        if not n:
+            return search(self.by_name.all(), needle, limit, view).select(*self.columns, "score")
+        if len(n) >= GRAM:
+            grams = sorted({n[k : k + GRAM] for k in range(len(n) - GRAM + 1)})
+            held = self.grams.of(grams).groupBy("name_lc").agg(F.count("*").alias("k")).where(F.col("k") == len(grams)).select("name_lc")
+            best = materialize(self._best(held, needle, limit, view), "best")
+            rows, least = best.agg(F.count("*"), F.min("score")).head()
+            if rows == limit and limit and least >= BEST_SUBSEQUENCE:
+                return best.orderBy(F.desc("score"), F.octet_length("name"), "path", "line", "idx")
+        mask = F.lit(_mask(n)).cast("long")
+        return self._best(self.names.where(F.col("letters").bitwiseAND(mask) == mask).select("name_lc"), needle, limit, view)

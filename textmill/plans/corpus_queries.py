@@ -231,3 +231,33 @@ def find_limit(spark, sf_dir):
 @query("find_budget", f"WITH {ENTRIES}, k AS (SELECT *, row_number() OVER (ORDER BY o, kind) AS position, coalesce(sum(strlen(shown) + 1) OVER (ORDER BY o, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM x) SELECT position, shown, kind FROM k WHERE position <= 1000 AND used <= 600")
 def find_budget(spark, sf_dir):
     return fd.find(entries(spark, sf_dir), budget=600)
+
+
+PIECES = f"""{LINES}, o AS (SELECT path, line_number, len(text) AS n, coalesce(sum(len(text) + 1) OVER (PARTITION BY path ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM l),
+sp AS (SELECT path, 'text' AS kind, 0::BIGINT AS line, 0::BIGINT AS start, len(text)::BIGINT AS stop FROM c UNION ALL SELECT path, 'line', line_number, s, s + n FROM o UNION ALL SELECT path, 'half', line_number, s, s + n // 2 FROM o),
+pt AS (SELECT path, start AS k, (start + (start * 7919) % 997) AS place FROM sp WHERE kind = 'line')"""
+
+
+def spans_of_lines(spark, sf_dir):
+    """Each text, its lines and their first halves as spans of characters."""
+    from pyspark.sql import Window
+
+    from ..corpus import search_lines
+
+    c = corpus(spark, sf_dir)
+    lines = c.select("path", F.posexplode(search_lines()).alias("i", "t"))
+    before = F.sum(F.char_length("t") + 1).over(Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    lines = lines.select("path", (F.col("i") + 1).cast("long").alias("line"), F.coalesce(before, F.lit(0)).cast("long").alias("start"), F.char_length("t").cast("long").alias("n"))
+    row = lambda df, kind, line, start, stop: df.select("path", F.lit(kind).alias("kind"), line.cast("long").alias("line"), start.cast("long").alias("start"), stop.cast("long").alias("stop"))
+    s, n = F.col("start"), F.col("n")
+    return row(c, "text", F.lit(0), F.lit(0), F.char_length("text")).unionByName(row(lines, "line", F.col("line"), s, s + n)).unionByName(row(lines, "half", F.col("line"), s, s + F.floor(n / 2)))
+
+
+@query("span_innermost", f"WITH {PIECES}, m AS (SELECT pt.path, k, arg_min((kind, line), (-start, stop, kind, line)) AS x FROM pt JOIN sp ON sp.path = pt.path AND start <= place AND place < stop GROUP BY pt.path, k) SELECT pt.path, pt.k, place, x[1] AS kind, x[2] AS line FROM pt LEFT JOIN m ON m.path = pt.path AND m.k = pt.k")
+def span_innermost(spark, sf_dir):
+    """The innermost of text, line and half line around one place for each line."""
+    from ..operators.spans import innermost
+
+    spans = materialize(spans_of_lines(spark, sf_dir), "spans")
+    places = spans.where("kind = 'line'").select("path", F.col("start").alias("k"), (F.col("start") + (F.col("start") * 7919) % 997).alias("place"))
+    return innermost(places, spans, ["path", "k"], at="place", end="stop").select("path", "k", "place", "span.kind", "span.line")

@@ -55,6 +55,34 @@ def search_filtered(spark, sf_dir):
     return sy.search(s, "red", view=s.where(F.startswith("path", F.lit("part/Brand#1"))).select("path")).select("path", "name", "line", "score")
 
 
+_indexes: dict[tuple, sy.SymbolIndex] = {}
+
+
+def part_index(spark, sf_dir) -> sy.SymbolIndex:
+    """The parts' symbols stored for look-up, once for a session and a state of the table."""
+    key = (spark.sparkContext.applicationId, *table(spark, sf_dir, "part").inputFiles())
+    if key not in _indexes:
+        _indexes[key] = sy.SymbolIndex.build(part_symbols(spark, sf_dir))
+    return _indexes[key]
+
+
+@query("index_definitions", f"WITH {PARTS} SELECT path, name, kind, line, depth FROM s WHERE lower(name) = 'hot ring' ORDER BY pri, depth, path, line LIMIT 25")
+def index_definitions(spark, sf_dir):
+    return part_index(spark, sf_dir).definitions("HOT ring", 25).select("path", "name", "kind", "line", "depth")
+
+
+@query("index_search_substring", SEARCH.format(score_sql("ring"), "", 40))
+def index_search_substring(spark, sf_dir):
+    """More matches of the needle itself than asked for: the grams answer."""
+    return part_index(spark, sf_dir).search("Ring", 40).select("path", "name", "line", "score")
+
+
+@query("index_search_letters", SEARCH.format(score_sql("hrng"), "", 300))
+def index_search_letters(spark, sf_dir):
+    """No name holds the needle: the distinct names that hold its letters are scored."""
+    return part_index(spark, sf_dir).search("hrng", 300).select("path", "name", "line", "score")
+
+
 def fk_edges(spark, sf_dir, which=("order", "line", "customer", "supplier", "nation")):
     """Foreign keys as edges (src, dst), written once."""
     t = lambda n: table(spark, sf_dir, n)
@@ -134,6 +162,13 @@ def components(spark, sf_dir):
     return gr.components(e.select(F.col("src").alias("node")), e).select("node", "label")
 
 
+@query("components_stars", COMPONENTS)
+def components_stars(spark, sf_dir):
+    """The distributed way of components, whatever their size."""
+    e = fk_edges(spark, sf_dir, ("customer", "nation"))
+    return gr.connected(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), one_task=0).select("node", "label")
+
+
 @query("graph_status", """WITH f AS (SELECT CASE WHEN c_acctbal < 0 THEN 'failed' WHEN c_mktsegment = 'BUILDING' THEN 'unsupported' ELSE 'indexed' END AS state, c_nationkey AS n FROM customer)
 SELECT count(*) AS universe, count(*) FILTER (WHERE state = 'indexed') AS indexed, count(*) FILTER (WHERE state = 'unsupported') AS unsupported, CAST(0 AS BIGINT) AS oversize, CAST(0 AS BIGINT) AS pending, CAST(0 AS BIGINT) AS stale,
 count(*) FILTER (WHERE state = 'failed') AS failed, (SELECT count(*) FROM part) AS symbols, (SELECT count(*) FROM f WHERE state = 'indexed') AS edges, (SELECT count(DISTINCT n) FROM f WHERE state = 'indexed') AS components FROM f""")
