@@ -262,3 +262,34 @@ def test_a_limited_view_scans_the_corpus_once(spark, tmp_path):
             before = seen.value
             rows = getattr(Search(c, "x", max_total_count=limit), view)().collect()
             assert len(rows) == min(n, limit) and seen.value - before == 50
+
+
+def test_what_every_match_holds():
+    from textmill.dialect import backtracks, linear_regex, required_literal
+
+    want = {"th[a-z]*there": "there", "a|b": None, "(?i)needle": None, "x(needle)+y?": "needle", "^foo\\b": "foo", "(?:ab)?cd": "cd", "foo|far": "f", "[x]yz": "xyz", "\\w+tion": "tion", "a{0,3}": None, "\\p{L}ing": "ing", "(?i:ab)c": "c", "((a))bc": "abc"}
+    assert {p: required_literal(p) for p in want} == want
+    assert [backtracks(p) for p in ("(a+)+$", "(a|a)*", "(a|b)+", "[a-z]+tion", "(\\w+\\s?)*x", "(ab)+", "a{2,5}b*")] == [True, True, False, False, True, False, False]
+    assert linear_regex("\\bx") is None and linear_regex("[\\W]") is None and linear_regex("[a&&b]") is None and linear_regex("(?<n>[^]a]\\d)+") is not None
+
+
+def test_nested_quantifiers_take_linear_time(spark):
+    import time
+
+    texts = [("a", "a" * 5000 + "!\nno\naaa"), ("b", "Ünï cödé ünï\n\nx"), ("c", ""), ("d", "é é!\naa")]
+    c = spark.createDataFrame(texts, "path string, text string")
+    began = time.time()
+    assert [tuple(r) for r in Search(c, "^(a+)+$").content().orderBy("path").collect()] == [("a", 3, "aaa", True), ("d", 2, "aa", True)]
+    assert time.time() - began < 60
+    s = Search(c, "^(\\w+ ?)+$", before=1, max_total_count=2)
+    assert s.linear and [tuple(r) for r in s.content().orderBy("path", "line_number").collect()] == [("a", 1, "a" * 5000 + "!", False), ("a", 2, "no", True), ("a", 3, "aaa", True)]
+    assert {r.path: r.match_count for r in Search(c, "^(\\w+ ?)+$").counts().collect()} == {"a": 2, "b": 2, "d": 1}
+    assert {r.path for r in Search(c, "^(É ?)+!$", case_insensitive=True).files().collect()} == {"d"}
+    assert Search(c, "^(\\w+ ?)+$").rollup().head().total_matches == 5
+
+
+def test_the_literal_filter_changes_nothing(spark):
+    c = spark.createDataFrame([("a", "one two\nthree"), ("b", "tw\no"), ("c", "TWO"), ("d", "")], "path string, text string")
+    for p, n in (("t[w]o", 1), ("two|three", 2), ("o$", 2), ("x*two", 1), ("(two)?", 5)):
+        s = Search(c, p)
+        assert sum(r.match_count for r in s.counts().collect()) == n == s.rollup().head().total_matches and s.rollup().head().files_searched == 4, p

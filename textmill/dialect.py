@@ -1,7 +1,8 @@
 """Pattern dialects, compiled on the driver to Java regular expressions for `rlike`.
 
 Regexes: look-around, back-references and possessive quantifiers are invalid input; classes are Unicode-aware, only
-a line feed ends a line. They run on Java's backtracking engine, so a nested quantifier can take long on one line. Globs: two dialects, path search (``*`` stops at a slash) and line search (``*`` crosses slashes).
+a line feed ends a line. They run on Java's engine, but for patterns whose quantifiers are nested so that backtracking may take
+exponential time: those run on a linear one (`linear_regex`). Globs: two dialects, path search (``*`` stops at a slash) and line search (``*`` crosses slashes).
 """
 
 from __future__ import annotations
@@ -42,6 +43,116 @@ def java_regex(pattern: str, case_insensitive: bool = False, smart_case: bool =
     return f"(?d{'U' if not fixed else ''}{'iu' if fold else ''}{'sm' if multiline else ''}){body}"
 
 
+def _parsed(pattern: str):
+    """Python's parse of a pattern, its property classes taken as word characters; None if Python cannot parse it."""
+    plain = re.sub(r"\\[pP](\{\^?\w+\}|\w)", r"\\w", pattern).replace("(?<", "(?P<").replace("\\z", "\\Z")
+    try:
+        return re._parser.parse(re.sub(r"\\x\{[0-9A-Fa-f]+\}", ".", plain))
+    except (re.error, OverflowError, RecursionError):
+        return None
+
+
+def required_literal(pattern: str) -> str | None:
+    """The longest string that a text must hold for the pattern to match anywhere in it; None if there is no such string, or if case
+    may differ."""
+    tree = _parsed(pattern)
+    if tree is None or tree.state.flags & re.IGNORECASE:
+        return None
+    found, run = [], []
+
+    def flush() -> None:
+        found.append("".join(run))
+        run.clear()
+
+    def collect(items) -> None:
+        for op, args in items:
+            name = str(op)
+            if name == "LITERAL":
+                run.append(chr(args))
+            elif name == "SUBPATTERN" and not args[1] and not args[2]:
+                collect(args[3])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT") and args[0] >= 1:
+                flush()
+                collect(args[2])
+                flush()
+            elif name != "AT":
+                flush()
+
+    collect(tree)
+    flush()
+    best = max((x for x in found if "\n" not in x), key=len, default="")
+    return best or None
+
+
+def backtracks(pattern: str) -> bool:
+    """Whether a backtracking engine may take exponential time: something is repeated without bound that itself repeats, or whose
+    alternatives may start alike."""
+
+    def risky(items, inside: bool) -> bool:
+        for op, args in items:
+            name = str(op)
+            if name in ("MAX_REPEAT", "MIN_REPEAT"):
+                low, high, body = args
+                if inside and high > max(1, low) or risky(body, inside or high > 64):
+                    return True
+            elif name == "BRANCH":
+                heads = [str(b[0]) if len(b) else "" for b in args[1]]
+                if inside and (len(set(heads)) < len(heads) or not all(h.startswith("(LITERAL") for h in heads)) or any(risky(b, inside) for b in args[1]):
+                    return True
+            elif name == "SUBPATTERN" and risky(args[3], inside):
+                return True
+        return False
+
+    tree = _parsed(pattern)
+    return tree is not None and risky(tree, False)
+
+
+#: What the classes of the line-search dialect hold, in the syntax of RE2.
+_CLASSES = {"d": r"\p{Nd}", "w": r"\p{L}\p{M}\p{Nd}\p{Pc}", "s": r"\s\x{b}\x{85}\p{Z}"}
+
+
+def linear_regex(pattern: str, fold: bool = False) -> str | None:
+    """The pattern for Arrow's RE2, which matches in linear time; None where RE2 has no such pattern (word boundaries of all
+    alphabets, set operations, negated classes within a class)."""
+    out, k, depth = [], 0, 0
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\" and k + 1 < len(pattern):
+            e = pattern[k + 1]
+            if e in "bB" or depth and e in "WSD":
+                return None
+            if e.lower() in _CLASSES:
+                body = _CLASSES[e.lower()]
+                out.append(body if depth else f"[{'^' if e.isupper() else ''}{body}]")
+            else:
+                out.append(c + e)
+            k += 2
+            continue
+        if c == "[":
+            if depth:
+                return None
+            depth = 1
+            if m := re.match(r"\[\^?\]?", pattern[k:]):
+                out.append(m[0])
+                k += len(m[0])
+                continue
+        elif c == "]" and depth:
+            depth = 0
+        elif depth and pattern[k : k + 2] in ("&&", "--", "~~"):
+            return None
+        out.append("(?P<" if pattern.startswith("(?<", k) else c)
+        k += 3 if pattern.startswith("(?<", k) else 1
+    regex = ("(?i)" if fold else "") + "".join(out)
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    try:
+        pc.match_substring_regex(pa.array([""]), regex)
+    except pa.ArrowInvalid:
+        return None
+    return regex
+
+
 def java_quote(text: str) -> str:
     return "".join("\\" + c if not (c.isalnum() or c.isspace() or c == "_") and ord(c) < 128 else c for c in text)
 

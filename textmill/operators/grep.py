@@ -6,11 +6,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..corpus import search_lines
-from ..dialect import glob_regex, java_regex, lexical
+from ..dialect import backtracks, glob_regex, has_upper, java_regex, lexical, linear_regex, required_literal
 from ..errors import CorpusError, invalid
 from ..storage import materialize
 
@@ -50,6 +51,24 @@ def under_root(corpus: DataFrame, root: str) -> tuple[DataFrame, bool]:
     return corpus.where(F.col("path") == root if is_file else below), not is_file
 
 
+def _linear_flags(regex: str):
+    """Whether each line of a file matches, by Arrow's RE2: linear in the line, whatever the pattern."""
+
+    @F.pandas_udf("array<boolean>")
+    def flags(lines: pd.Series) -> pd.Series:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        sizes = [0 if x is None else len(x) for x in lines]
+        flat = [t for x in lines if x is not None for t in x]
+        hit = np.asarray(pc.match_substring_regex(pa.array(flat, pa.string()), regex).fill_null(False)) if flat else np.zeros(0, bool)
+        ends = np.cumsum(sizes)
+        return pd.Series([hit[e - n : e] for e, n in zip(ends, sizes, strict=True)])
+
+    return flags
+
+
 @dataclass
 class Search:
     """A compiled search. `files`, `counts`, `content`, `blocks` and `rollup` are its result tables. ``root``: a file or a folder of
@@ -85,38 +104,64 @@ class Search:
         self.root = lexical(self.root)
         self.corpus, self.root_is_dir = under_root(self.corpus, self.root)
         self.source = glob_filter(searchable(self.corpus), self.globs)
+        fold = self.case_insensitive or self.smart_case and not has_upper(self.pattern)
+        self.literal = None if fold else self.pattern if self.fixed_strings else required_literal(self.pattern)
+        linear = None if self.fixed_strings or self.multiline or not backtracks(self.pattern) else linear_regex(self.pattern, fold)
+        self.linear = linear is not None
+        if self.linear:
+            self.source = self.source.withColumn("_flags", _linear_flags(linear)(search_lines()))
+        #: Files that hold what every match holds; only they are taken apart.
+        self.narrow = self.source if self._may() is None else self.source.where(self._may())
+
+    def _may(self) -> Column | None:
+        """Whether a text can match at all, by the literal that every match holds."""
+        return F.contains("text", F.lit(self.literal)) if self.literal and "\n" not in self.literal else None
 
     def _hit(self, line: Column) -> Column:
         if self.fixed_strings and not self.case_insensitive and not self.smart_case:
             return F.contains(line, F.lit(self.pattern))
         return line.rlike(self.regex)
 
+    def _flags(self) -> Column:
+        """For each line of a file whether it matches."""
+        return F.col("_flags") if self.linear else F.transform(search_lines(), self._hit)
+
+    def _all_numbers(self) -> Column:
+        if self.linear:
+            return F.filter(F.transform("_flags", lambda f, i: F.when(f, i + 1)), lambda i: i.isNotNull())
+        return F.filter(F.transform(search_lines(), lambda x, i: F.when(self._hit(x), i + 1)), lambda i: i.isNotNull())
+
+    def _any(self) -> Column:
+        return F.exists("_flags", lambda f: f) if self.linear else F.exists(search_lines(), self._hit)
+
     def _numbers(self) -> Column:
         """Ascending numbers of the matching lines of a file, the per-file limit applied (0 acts as 1)."""
-        all_ = F.filter(F.transform(search_lines(), lambda x, i: F.when(self._hit(x), i + 1)), lambda i: i.isNotNull())
+        all_ = self._all_numbers()
         return all_ if self.max_count is None else F.slice(all_, 1, max(1, self.max_count))
 
     def _counted(self, n: Column) -> DataFrame:
         """(path, n) of files with n > 0, written by the one scan of a limited view: whether the limit binds, where it cuts and the
         answer itself are read from that table."""
-        return materialize(self.source.select("path", n.cast("long").alias("n")).where("n > 0"), "matches")
+        return materialize(self.narrow.select("path", n.cast("long").alias("n")).where("n > 0"), "matches")
 
     def files(self, limited: bool = True) -> DataFrame:
         """(path) of files with a matching line; a file's scan stops at its first match. The limit counts files here."""
-        hit = F.exists(search_lines(), self._hit)
+        hit = self._any()
         if not limited:
-            return self.source.where(hit).select("path")
+            return self.narrow.where(hit).select("path")
         found = self._counted(hit.cast("long"))
         cut = _cut(found, self.max_total_count)
         return (found if cut is None else found.where(F.col("path") <= cut[0]) if cut[1] else found.where(F.lit(False))).select("path")
 
     def _matches(self) -> Column:
-        return F.size(F.filter(search_lines(), self._hit)) if self.max_count is None else F.size(self._numbers())
+        if self.max_count is None and not self.linear:
+            return F.size(F.filter(search_lines(), self._hit))
+        return F.size(self._numbers())
 
     def counts(self, limited: bool = True) -> DataFrame:
         """(path, match_count) of files with at least one matching line, up to the global limit in path order."""
         if not limited:
-            return self.source.select("path", self._matches().cast("long").alias("match_count")).where("match_count > 0")
+            return self.narrow.select("path", self._matches().cast("long").alias("match_count")).where("match_count > 0")
         found = self._counted(self._matches())
         cut = _cut(found, self.max_total_count)
         found = found.withColumnRenamed("n", "match_count")
@@ -140,7 +185,7 @@ class Search:
         """
         if self.max_total_count == 0 and limited:
             return self.source.where(F.lit(False)).select("path", F.lit(0).cast("long").alias("line_number"), "text", F.lit(True).alias("is_match"))
-        source, share = self.source, None
+        source, share = self.narrow, None
         if limited:
             if self.max_file_bytes is None:
                 counted = self._counted(self._matches())
@@ -149,7 +194,7 @@ class Search:
             if cut := _cut(counted, self.max_total_count):
                 source = source.where(F.col("path") <= cut[0])
                 share = F.when(F.col("path") == cut[0], cut[1])
-        if share is None and self.max_count is None and self.max_file_bytes is None and not self.before and not self.after:
+        if share is None and self.max_count is None and self.max_file_bytes is None and not self.before and not self.after and not self.linear:
             rows = source.select("path", F.posexplode(search_lines()).alias("i", "t")).where(self._hit(F.col("t")))
             return rows.select("path", (F.col("i") + 1).cast("long").alias("line_number"), F.regexp_replace("t", "\r$", "").alias("text"), F.lit(True).alias("is_match"))
         rows = self._lines(source, share)
@@ -158,12 +203,11 @@ class Search:
     def _lines(self, source: DataFrame, share: Column | None) -> DataFrame:
         """(path, out, full): the lines (n, t, m) of each file with a match, of at most ``share`` matches, as one array; full where the file
         has more lines than ``max_file_bytes`` let through."""
-        all_ = F.filter(F.transform(search_lines(), lambda x, i: F.when(self._hit(x), i + 1)), lambda i: i.isNotNull())
-        rows = source.select("path", search_lines().alias("ls"), all_.alias("ms")).where(F.size("ms") > 0)
+        rows = source.select("path", search_lines().alias("ls"), self._all_numbers().alias("ms"), *(["_flags"] if self.linear else [])).where(F.size("ms") > 0)
         kept = F.size("ms") if self.max_count is None else F.least(F.size("ms"), F.lit(max(1, self.max_count)))
         rows = rows.withColumn("r", kept if share is None else F.least(kept, F.coalesce(share, kept))).where("r > 0")
         rows = rows.withColumn("last", F.try_element_at("ms", F.greatest(F.col("r"), F.lit(1)))).withColumn("next", F.coalesce(F.try_element_at("ms", F.col("r") + 1), F.size("ls") + 1))
-        rows = rows.withColumn("flags", F.transform("ls", self._hit))
+        rows = rows.withColumn("flags", F.col("_flags") if self.linear else F.transform("ls", self._hit))
         near = lambda i: F.exists(F.slice("flags", F.greatest(i - F.lit(self.after), F.lit(1)), F.least(i, F.lit(self.after + 1)) + F.lit(self.before)), lambda f: f)
         out = F.transform("ls", lambda x, i: F.struct((i + 1).alias("n"), x.alias("t"), (F.get("flags", i) & (i + 1 <= F.col("last"))).alias("m")))
         out = F.filter(out, lambda s: (s["n"] < F.col("next")) & (s["n"] <= F.col("last") + self.after) & near(s["n"]))
@@ -179,7 +223,7 @@ class Search:
         """Multiline matches: (path, line_number of the first line, n_lines, text of the match)."""
         pieces, found = F.split("text", self.regex, -1), F.regexp_extract_all("text", F.lit(self.regex), F.lit(0))
         feeds = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
-        rows = self.source.where(F.col("text").rlike(self.regex)).select("path", F.transform(pieces, feeds).alias("gap"), found.alias("found"))
+        rows = self.narrow.where(F.col("text").rlike(self.regex)).select("path", F.transform(pieces, feeds).alias("gap"), found.alias("found"))
         rows = rows.withColumn("inside", F.transform("found", feeds))
         line = lambda i: F.aggregate(F.slice("gap", F.lit(1), i + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice("inside", F.lit(1), i), F.lit(0), lambda a, x: a + x)
         out = F.transform("found", lambda m, i: F.struct((line(i) + 1).cast("long").alias("line_number"), (F.get("inside", i) + 1).cast("long").alias("n_lines"), m.alias("text")))
@@ -188,11 +232,12 @@ class Search:
     def rollup(self, mode: str = "count") -> DataFrame:
         """One row: files_searched, files_with_matches, total_matches (both after limits), limit_reached, incomplete, root, root_is_dir.
         In ``mode`` files a file counts as one match, in mode content those count that ``max_file_bytes`` lets through."""
-        n = F.exists(search_lines(), self._hit).cast("long") if mode == "files" else self._matches().cast("long")
+        n = self._any().cast("long") if mode == "files" else self._matches().cast("long")
+        n = n if self._may() is None else F.when(self._may(), n).otherwise(0)
         capped = mode == "content" and self.max_file_bytes is not None
         if capped:
             per = self._lines(self.source, None).select("path", F.size(F.filter("out", lambda s: s["m"])).cast("long").alias("n"), "full")
-            rest = self.source.select("path", (~F.exists(search_lines(), self._hit)).alias("none")).where("none")
+            rest = self.source.select("path", (~self._any()).alias("none")).where("none")
             per = materialize(per.unionByName(rest.select("path", F.lit(0).cast("long").alias("n"), F.lit(False).alias("full"))), "matches")
         else:
             per = materialize(self.source.select("path", n.alias("n")), "matches")

@@ -261,3 +261,9 @@ def span_innermost(spark, sf_dir):
     spans = materialize(spans_of_lines(spark, sf_dir), "spans")
     places = spans.where("kind = 'line'").select("path", F.col("start").alias("k"), (F.col("start") + (F.col("start") * 7919) % 997).alias("place"))
     return innermost(places, spans, ["path", "k"], at="place", end="stop").select("path", "k", "place", "span.kind", "span.line")
+
+
+@query("grep_nested_quantifier", f"WITH {LINES} SELECT path, count(*) AS match_count FROM l WHERE regexp_matches(text, '([a-z]+ ?)+tion[.]$') GROUP BY path")
+def grep_nested_quantifier(spark, sf_dir):
+    """A pattern that backtracking engines may take exponential time for, matched in linear time."""
+    return Search(corpus(spark, sf_dir), "([a-z]+ ?)+tion[.]$").counts()
