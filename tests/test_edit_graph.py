@@ -331,3 +331,15 @@ def test_all_reasons_of_prefetch(spark):
     files = spark.createDataFrame([(n, 1, n == "ig", n == "ln", n != "bin", n != "utf", n == "io") for n in names[:-1]], "path string, size long, ignored boolean, symlink boolean, supported boolean, valid_utf8 boolean, io_error boolean")
     got = sorted((r.target or "", r.outcome) for r in sweep.prefetch(seeds, imports, files).collect())
     assert got == sorted([("", "duplicate seed")] * 2 + [("ok", "fetched"), ("ext", "external"), ("un", "unresolved"), ("../up", "outside the root"), ("ig", "ignored"), ("ln", "symlink"), ("bin", "unsupported"), ("utf", "not text"), ("io", "unreadable"), ("gone", "missing")])
+
+
+def test_importers_are_exact_or_approximate(spark):
+    text = {"t/x.ts": "export const a = 1", "a.ts": 'import "./t/x"', "b.ts": "// x", "c.ts": 'import("./" + "x")', "d.ts": 'import "./t/x"', "e.txt": "x", "f.ts": 'import "./t/x"'}
+    files = spark.createDataFrame(list(text.items()), "path string, text string")
+    known = spark.createDataFrame([("f.ts", "t/x.ts", "./t/x", 1)], "src string, dst string, specifier string, line long")
+    told = lambda *bounds: sorted((r.path, r.specifier, r.line, r.guarantee) for r in rs.importers(files, "t/x.ts", known, (), *bounds)[0].collect())
+    own = ("f.ts", "./t/x", 1, "Exact")
+    maybe = lambda p: (p, None, None, "Approximate")
+    assert told() == [("a.ts", "./t/x", 1, "Exact"), maybe("c.ts"), ("d.ts", "./t/x", 1, "Exact"), maybe("e.txt"), own]
+    assert told(4, 1) == [("a.ts", "./t/x", 1, "Exact"), maybe("b.ts"), maybe("c.ts"), maybe("d.ts"), own]
+    assert rs.importers(files, "t/x.ts", known, (), 4, 1)[1] and not rs.importers(files, "t/x.ts", known)[1]

@@ -31,3 +31,13 @@ def test_a_stored_index_gives_what_the_table_gives(spark):
         assert rows_of(index.definitions(name, 9)) == rows_of(sy.definitions(t, name, 9))
     view = t.where("path in ('f1', 'f2')").select("path").distinct()
     assert rows_of(index.search("ring", 5, view)) == rows_of(sy.search(t, "ring", 5, view))
+
+
+def test_numbers_over_ranges(spark):
+    from textmill.storage import numbered
+
+    r = random.Random(1)
+    rows = [(r.randint(0, 50), k) for k in range(500)]
+    got = numbered(spark.createDataFrame(rows, "a int, b int").repartition(7), "a", "b")
+    assert sorted((x.position, x.a, x.b) for x in got.collect()) == [(k, *x) for k, x in enumerate(sorted(rows), 1)]
+    assert numbered(spark.createDataFrame([], "a int"), "a").count() == 0

@@ -168,7 +168,7 @@ def javascript(text: str, patterns=None):
                 taken.add(m.start("s"))
                 imps.append((m["s"], kind, m.start("s"), m.end("s")))
     for m in re.finditer(r"(?:(?<![\w$.])require|\bimport)\s*\(\s*([^\s)])", loose):
-        if real(m.start()) and m[1] not in "\"'":
+        if real(m.start()) and not (m[1] in "\"'" and m.end() in taken):  # anything but one plain string
             opaque = True
     return syms, imps, opaque
 

@@ -15,6 +15,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 #: Endings tried for a module path, in order.
 ENDINGS = [".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".vue"]
 
@@ -286,3 +288,31 @@ def verified_importers(files: DataFrame, target: str, known: DataFrame, aliases:
     todo = importers_to_verify(files, target, own)
     edges = resolve(extract.imports(extract.analyses(todo)), files.select("path"), aliases)
     return own.unionByName(edges.where((F.col("dst") == target) & (F.col("to_kind") == "path")).select("src")).distinct()
+
+
+#: Files that an answer about importers looks at, and of these those that it parses anew.
+MOST_CANDIDATES, MOST_PARSED = 1024, 256
+
+
+def importers(files: DataFrame, target: str, known: DataFrame, aliases: list[tuple[str, list[str]]] = (), most_candidates: int = MOST_CANDIDATES, most_parsed: int = MOST_PARSED) -> tuple[DataFrame, bool]:
+    """((path, specifier, line, guarantee) of a target's importers, whether there were more candidates than ``most_candidates``).
+
+    Edges of ``known`` (src, dst, specifier, line) are Exact. Of the other files that name the target, in path order, the first ``most_parsed``
+    are parsed and resolved anew: what they import is Exact, those that do not are left out, unless they import by expressions. Those, and
+    the other candidates, may import it and are Approximate, without specifier and line."""
+    from ..functions import extract
+
+    own = known.where(F.col("dst") == target)
+    todo = importers_to_verify(files, target, own)
+    first = materialize(todo.select("path").distinct().orderBy("path").limit(most_candidates + 1), "candidates")
+    ranked = materialize(first.withColumn("r", F.row_number().over(Window.orderBy("path"))), "ranked")  # most_candidates + 1 rows
+    read = extract.analyses(files.join(F.broadcast(ranked.where(F.col("r") <= most_parsed)), "path"))  # most_parsed rows
+    read = materialize(read.select("path", "language", "has_opaque", "imports"), "parsed")
+    edges = resolve(extract.imports(read), files.select("path"), aliases).where((F.col("dst") == target) & (F.col("to_kind") == "path"))
+    found = materialize(edges.select(F.col("src").alias("path"), "specifier", "line"), "found")
+    exact = own.select(F.col("src").alias("path"), "specifier", F.col("line").cast("long").alias("line")).unionByName(found)
+    open_ = read.where("language is null or has_opaque").select("path").join(found, "path", "left_anti")
+    rest = ranked.where((F.col("r") > most_parsed) & (F.col("r") <= most_candidates)).select("path").union(open_)
+    none = [F.lit(None).cast("string").alias("specifier"), F.lit(None).cast("long").alias("line")]
+    rows = exact.withColumn("guarantee", F.lit("Exact")).unionByName(rest.select("path", *none, F.lit("Approximate").alias("guarantee")))
+    return rows, ranked.count() > most_candidates

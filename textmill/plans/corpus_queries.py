@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..corpus import from_documents
 from ..operators import find as fd
 from ..operators import read as rd
-from ..operators.grep import Search, grep
-from ..storage import materialize
+from ..operators.grep import Search
+from ..storage import materialize, numbered
 from .catalogue import query, table
 
 #: Lines of the search model with their numbers, in SQL.
@@ -163,9 +163,9 @@ def grep_root_file(spark, sf_dir):
 
 @query("grep_ordered", f"WITH {LINES} SELECT row_number() OVER (ORDER BY path, line_number) AS position, path, line_number FROM l WHERE regexp_matches(text, 'th[a-z]*the')")
 def grep_ordered(spark, sf_dir):
-    """Rows come by path and line: numbered as they stand in a single file that keeps their order."""
-    found = materialize(grep(corpus(spark, sf_dir), "th[a-z]*the", "content").coalesce(1).select("path", "line_number"), "ordered")
-    return found.coalesce(1).select((F.monotonically_increasing_id() + 1).alias("position"), "path", "line_number")
+    """Matches numbered by path and line, range by range."""
+    found = Search(corpus(spark, sf_dir), "th[a-z]*the").content()
+    return numbered(found.select("path", "line_number"), "path", "line_number")
 
 
 READ = """WITH c AS (SELECT source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) AS path, text, string_split(text, chr(10)) AS s FROM documents),

@@ -258,6 +258,17 @@ def source_importers(spark, sf_dir):
     return rs.verified_importers(files, "crate/src/shared.rs", known, ALIASES)
 
 
+_NAMED = " UNION ALL ".join([f"SELECT replace('{path}', '%', CAST({key} AS VARCHAR)) AS path FROM {t}" for t, key, path, text in FILES.values() if "shared" in text] + [f"SELECT '{p}'" for p, text in SINGLE if "shared" in text and p not in ("crate/src/lib.rs", "crate/src/shared.rs")])
+
+
+@query("source_importers_bounded", f"WITH e AS ({EDGES}), c AS (SELECT path, row_number() OVER (ORDER BY path) AS r FROM ({_NAMED}) n) SELECT src AS path, specifier, line, 'Exact' AS guarantee, (SELECT count(*) > 60 FROM c) AS truncated FROM e WHERE dst = 'crate/src/shared.rs' AND (src = 'crate/src/lib.rs' OR src IN (SELECT path FROM c WHERE r <= 25)) UNION ALL SELECT path, NULL, NULL, 'Approximate', (SELECT count(*) > 60 FROM c) FROM c WHERE r > 25 AND r <= 60")
+def source_importers_bounded(spark, sf_dir):
+    """Sixty candidates at most, 25 of them parsed: the rest may import the target."""
+    known = spark.createDataFrame([("crate/src/lib.rs", "crate/src/shared.rs", "shared", 1)], "src string, dst string, specifier string, line long")
+    rows, more = rs.importers(sources(spark, sf_dir), "crate/src/shared.rs", known, ALIASES, 60, 25)
+    return rows.withColumn("truncated", F.lit(more))
+
+
 @query("source_upsert", f"WITH e AS ({EDGES}) SELECT src, dst, to_kind FROM e WHERE src NOT LIKE 'src/app/v%' AND src <> 'pkg/up.py' UNION ALL SELECT 'src/app/v' || n_nationkey || '.vue', 'src/app/shared.ts', 'path' FROM nation")
 def source_upsert(spark, sf_dir):
     """The index after all Vue files changed and one file went."""

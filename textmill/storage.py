@@ -10,7 +10,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
@@ -66,3 +66,14 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADC
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only if a measurement shows at most ``rows`` rows and ``size`` bytes; else the join shuffles."""
     return F.broadcast(df) if fits_broadcast(df, rows, size) else df.hint("merge")
+
+
+def numbered(df: DataFrame, *order: str, name: str = "position") -> DataFrame:
+    """``df`` with its rows' numbers from 1 in the order of some columns (rows that tie are numbered at will): sorted by range, numbered
+    within each range, and moved on by what the ranges before hold, one row a range."""
+    ranges = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    base = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_base"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranges.withColumn("_k", own).join(broadcast_if_small(base), "_part").withColumn(name, (F.col("_k") + F.col("_base")).cast("long")).drop("_part", "_k", "_base")
