@@ -60,3 +60,38 @@ def test_commands():
     r = shell.run("sleep 30", timeout_ms=200, allow=True)
     assert r.timed_out and r.signal == 9 and r.exit_code is None
     assert shell.run("echo $X", env=[("X", "y")], env_clear=True, allow=True).stdout == "y\n"
+
+
+def test_a_stateful_sweep_gives_the_batch_result(spark, tmp_path):
+    """Shuffled and repeated events, batch by batch, with a restart in the middle."""
+    import json
+    import random
+
+
+    r = random.Random(4)
+    events = [(rev, f"p{r.randrange(6)}", r.choice(["add", "modify", "modify", "remove"]), f"h{r.randrange(3)}") for rev in range(60)]
+    newest = {}
+    for e in events:
+        newest[e[1]] = e
+    sent = events + r.sample(events, 20)
+    r.shuffle(sent)
+    folder, out, check = tmp_path / "in", tmp_path / "out", tmp_path / "check"
+    folder.mkdir()
+
+    def run(part, n):
+        for k in range(0, len(part), 16):
+            (folder / f"{n}-{k:03}.json").write_text("\n".join(json.dumps(dict(zip(("revision", "path", "event", "hash"), e, strict=True))) for e in part[k : k + 16]))
+        stream = spark.readStream.schema("revision long, path string, event string, hash string").option("maxFilesPerTrigger", 1).json(str(folder))
+        feed.swept(stream).writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(check)).outputMode("append").trigger(availableNow=True).start().awaitTermination(300)
+
+    run(sent[:40], 0)
+    run(sent[40:], 1)
+    got = {}
+    for row in spark.read.parquet(str(out)).orderBy("revision").collect():
+        got[row.path] = row
+    for path, (rev, _, event, h) in newest.items():
+        if event == "remove":
+            assert path not in got or got[path].change == "removed" and got[path].revision == rev or got[path].revision < rev
+            assert path not in got or got[path].change == "removed"
+        else:
+            assert (got[path].revision, got[path].hash) == (rev, h) and got[path].change in ("added", "modified", "touched")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import invalid
-from ..storage import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small, materialize, measured
+from ..storage import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small, materialize, measured, numbered
 from .lookup import KEYS, Lookup, few
 
 MAX_DEPTH, MAX_RESULT = 64, 100_000
@@ -168,6 +168,11 @@ def neighborhood(edges: DataFrame | Adjacency, starts: list[str], depth: int = 1
     return nodes, inside.join(broadcast_if_small(near.withColumnRenamed("node", "dst")), "dst", "left_semi")
 
 
+def in_order(edges: DataFrame) -> DataFrame:
+    """Edges with their ``position`` in the canonical order: source, line, span, specifier."""
+    return numbered(edges, "src", "line", "span_start", "span_end", "specifier")
+
+
 def _in_one_task(batches):
     """Union-find over the edges of one partition: (node, label), label the least node of the component."""
     import pyarrow as pa

@@ -25,6 +25,13 @@ def outline(symbols: DataFrame, path: str | None = None) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(order)).where(F.col("position") <= PER_FILE)
 
 
+def capped(symbols: DataFrame, most: int = PER_FILE) -> DataFrame:
+    """The first ``most`` symbols of each file by ``idx``, with ``truncated``: whether the file has that many or more."""
+    file = Window.partitionBy("path")
+    rows = symbols.withColumn("_k", F.row_number().over(file.orderBy("idx"))).withColumn("truncated", F.count("*").over(file) >= most)
+    return rows.where(F.col("_k") <= most).drop("_k")
+
+
 def definitions(symbols: DataFrame, name: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """Symbols of that name, whatever the case: by kind, depth, path, line. One more row than ``limit`` tells that there are more."""
     return symbols.where(F.lower("name") == name.lower()).orderBy(jump_priority(), "depth", "path", "line").limit(limit)

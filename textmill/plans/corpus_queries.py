@@ -267,3 +267,13 @@ def span_innermost(spark, sf_dir):
 def grep_nested_quantifier(spark, sf_dir):
     """A pattern that backtracking engines may take exponential time for, matched in linear time."""
     return Search(corpus(spark, sf_dir), "([a-z]+ ?)+tion[.]$").counts()
+
+
+@query("symbol_cap", f"WITH {LINES}, n AS (SELECT path, text AS name, line_number AS idx, count(*) OVER (PARTITION BY path) >= 12 AS truncated FROM l) SELECT * FROM n WHERE idx <= 12")
+def symbol_cap(spark, sf_dir):
+    """At most twelve symbols of a file, which says whether it may have more; lines stand for symbols."""
+    from ..corpus import lines, search_lines
+    from ..operators.symbols import capped
+
+    rows = lines(corpus(spark, sf_dir), search_lines()).select("path", F.col("text").alias("name"), F.col("line_number").alias("idx"))
+    return capped(rows, 12)

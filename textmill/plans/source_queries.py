@@ -239,6 +239,11 @@ def source_edges(spark, sf_dir):
     return resolved(spark, sf_dir).select("src", "dst", "to_kind", "reason", "specifier", "line")
 
 
+@query("source_edges_ordered", f"SELECT row_number() OVER (ORDER BY src, line, specifier) AS position, src, line, specifier, dst FROM ({EDGES}) e")
+def source_edges_ordered(spark, sf_dir):
+    return gr.in_order(resolved(spark, sf_dir)).select("position", "src", "line", "specifier", "dst")
+
+
 @query("source_externals", f"SELECT dst AS package, count(*) AS imports, count(DISTINCT src) AS files FROM ({EDGES}) e WHERE to_kind = 'external' GROUP BY dst")
 def source_externals(spark, sf_dir):
     return resolved(spark, sf_dir).where("to_kind = 'external'").groupBy(F.col("dst").alias("package")).agg(F.count("*").alias("imports"), F.count_distinct("src").alias("files"))

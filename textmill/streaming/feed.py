@@ -69,3 +69,35 @@ def current(spark: SparkSession, base: str, upto: int | None = None) -> DataFram
 def windowed_counts(stream: DataFrame, ts: str, key: str, width: str, late: str) -> DataFrame:
     """Counts by tumbling window and key, with a watermark for late rows."""
     return stream.withWatermark(ts, late).groupBy(F.window(ts, width), key).agg(F.count("*").alias("n"))
+
+
+STATE = "revision long, hash string, alive boolean"
+SWEPT = "path string, change string, revision long, hash string"
+
+
+def swept(stream: DataFrame) -> DataFrame:
+    """Stream of SWEPT rows from change rows (revision, path, event, hash): what a batch makes of each path that it names, decided by a state
+    for each path, the newest revision and its hash.
+
+    Events come in any order and any number of times: those that are not newer than the state are late and change nothing. Of a
+    batch only the newest counts: added, modified, touched (same hash) or removed; a removal of what is not there tells nothing. The newest
+    row of each path is what a sweep over all events gives. A path's state is one row, however many events it has."""
+    import pandas as pd
+
+    def step(key: tuple, parts, state):
+        had = state.get if state.exists else (-1, None, False)
+        best = None
+        for p in parts:
+            for revision, event, hash_ in p[["revision", "event", "hash"]].itertuples(index=False):
+                if revision > had[0] and (best is None or revision > best[0]):
+                    best = (int(revision), event, hash_)
+        if best is None:
+            return
+        revision, event, hash_ = best
+        alive = event != "remove"
+        state.update((revision, hash_ if alive else None, alive))
+        change = ("added" if not had[2] else "touched" if had[1] == hash_ else "modified") if alive else "removed" if had[2] else None
+        if change:
+            yield pd.DataFrame({"path": [key[0]], "change": [change], "revision": [revision], "hash": [hash_ if alive else None]})
+
+    return stream.where("path is not null and revision is not null").groupBy("path").applyInPandasWithState(step, SWEPT, STATE, "append", "NoTimeout")
