@@ -16,32 +16,33 @@ def corpus(spark, files):
     return spark.createDataFrame(list(files.items()), "path string, text string")
 
 
-TEN = {f"f{k:02}.txt": "".join(f"needle {k}-{j}\nfiller\n" for j in range(5)) for k in range(10)}
+#: Pump k has raised k + 1 alarms, each after a quiet hour.
+PUMPS = {f"pump/{k}.log": "".join(f"hour {j} quiet\nALARM level {j} of pump {k}\n" for j in range(k + 1)) for k in range(7)}
 
 
 def rows(df):
     return [tuple(r) for r in df.orderBy("path", "line_number").collect()]
 
 
-def test_global_limit_is_deterministic(spark):
-    got = rows(Search(corpus(spark, TEN), "needle", max_total_count=12).content())
-    assert [r[0] for r in got] == ["f00.txt"] * 5 + ["f01.txt"] * 5 + ["f02.txt"] * 2
-    r = grep(corpus(spark, TEN), "needle", "rollup", max_total_count=1000).head()
-    assert (r.files_searched, r.total_matches, r.limit_reached) == (10, 50, False)
-    assert grep(corpus(spark, TEN), "needle", "rollup", max_total_count=50).head().limit_reached
-    assert grep(corpus(spark, TEN), "needle", "content", max_total_count=0).count() == 0
+def test_a_limit_takes_the_first_alarms_in_path_order(spark):
+    got = rows(Search(corpus(spark, PUMPS), "ALARM", max_total_count=8).content())
+    assert [r[0][5] for r in got] == list("01122233") and got[-1][1:] == (4, "ALARM level 1 of pump 3", True)
+    r = grep(corpus(spark, PUMPS), "ALARM", "rollup", max_total_count=29).head()
+    assert (r.files_searched, r.total_matches, r.limit_reached) == (7, 28, False)
+    assert grep(corpus(spark, PUMPS), "ALARM", "rollup", max_total_count=28).head().limit_reached
+    assert grep(corpus(spark, PUMPS), "ALARM", "content", max_total_count=0).count() == 0
 
 
-def test_per_file_and_global_limits(spark):
-    got = rows(Search(corpus(spark, TEN), "needle", max_count=2, max_total_count=6).content())
-    assert [r[0] for r in got] == [x for x in ("f00.txt", "f01.txt", "f02.txt") for _ in range(2)]
-    assert len(rows(Search(corpus(spark, TEN), "needle", max_count=0).content())) == 10
+def test_limits_of_a_file_and_of_all(spark):
+    got = rows(Search(corpus(spark, PUMPS), "ALARM", max_count=3, max_total_count=10).content())
+    assert [r[0][5] for r in got] == list("0112223334")
+    assert len(rows(Search(corpus(spark, PUMPS), "ALARM", max_count=0).content())) == 7
 
 
-def test_context_at_the_cut(spark):
-    c = corpus(spark, {"a": "before\nneedle one\nafter\nbefore\nneedle two\nafter"})
-    got = rows(Search(c, "needle", before=1, after=1, max_total_count=1).content())
-    assert [(r[2], r[3]) for r in got] == [("before", False), ("needle one", True), ("after", False)]
+def test_lines_around_the_last_kept_match(spark):
+    c = corpus(spark, {"tide": "ebb\nstorm at six\ncalm\ncalm\nstorm at nine\nflood"})
+    got = rows(Search(c, "storm", before=1, after=2, max_total_count=1).content())
+    assert [(r[2], r[3]) for r in got] == [("ebb", False), ("storm at six", True), ("calm", False), ("calm", False)]
 
 
 def naive(files, hit, before, after, k, total):
@@ -70,11 +71,11 @@ def test_content_equals_naive(spark, before, after, k, total):
 
 
 def test_dialect(spark):
-    c = corpus(spark, {"a.rs": "let Value = 1;\nlet other = 2;", "b.txt": "let Value = 3;"})
+    c = corpus(spark, {"a.rs": "var Rate = 7;\nvar speed = 8;", "b.txt": "var Rate = 9;"})
     n = lambda p, **o: sum(r.match_count for r in grep(c, p, "count", **o).collect())
-    assert n(r"let \w+ =") == 3 and n(r"let \w+ =", fixed_strings=True) == 0
-    assert n("value") == 0 and n("value", case_insensitive=True) == 2 and n("value", smart_case=True) == 2 and n("Value", smart_case=True) == 2
-    assert n("Value", globs=("*.rs",)) == 1
+    assert n(r"var \w+ =") == 3 and n(r"var \w+ =", fixed_strings=True) == 0
+    assert n("rate") == 0 and n("rate", case_insensitive=True) == 2 and n("rate", smart_case=True) == 2 and n("Rate", smart_case=True) == 2
+    assert n("Rate", globs=("*.rs",)) == 1
     assert n("É|é") == 0
     for bad in ("(?=x)", r"(a)\1", "(", "a*+"):
         with pytest.raises(CorpusError) as e:
@@ -159,23 +160,23 @@ def test_globs_and_ignore_rules():
 def test_tree_source(spark, tmp_path):
     from textmill.sources.tree import files, tree
 
-    for name, data in {"visible.txt": b"needle", ".hidden.txt": b"needle", "_under.txt": b"x", "skipped.txt": b"needle", ".ignore": b"skipped.txt\n", "d/bin": b"a\x00b", "d/bad": b"\xff\xfea", "d/e/deep.txt": b"q"}.items():
+    for name, data in {"shown.md": b"oyster", ".secret.md": b"oyster", "_under.txt": b"x", "dropped.md": b"oyster", ".ignore": b"dropped.md\n", "d/bin": b"a\x00b", "d/bad": b"\xff\xfea", "d/e/deep.txt": b"q"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(data)
-    os.symlink("visible.txt", tmp_path / "link")
+    os.symlink("shown.md", tmp_path / "link")
     os.symlink("nowhere", tmp_path / "dangling")
     got = {r.rel_path: r for r in tree(spark, str(tmp_path)).collect()}
-    assert set(got) == {"visible.txt", ".hidden.txt", "_under.txt", ".ignore", "d", "d/bin", "d/bad", "d/e", "d/e/deep.txt", "link", "dangling"}
-    assert got["link"].kind == "symlink" and got["d"].kind == "dir" and got["visible.txt"].size == 6
-    assert "skipped.txt" in {r.rel_path for r in tree(spark, str(tmp_path), respectIgnore=False).collect()}
-    assert ".hidden.txt" not in {r.rel_path for r in tree(spark, str(tmp_path), hidden=False).collect()}
+    assert set(got) == {"shown.md", ".secret.md", "_under.txt", ".ignore", "d", "d/bin", "d/bad", "d/e", "d/e/deep.txt", "link", "dangling"}
+    assert got["link"].kind == "symlink" and got["d"].kind == "dir" and got["shown.md"].size == 6
+    assert "dropped.md" in {r.rel_path for r in tree(spark, str(tmp_path), respectIgnore=False).collect()}
+    assert ".secret.md" not in {r.rel_path for r in tree(spark, str(tmp_path), hidden=False).collect()}
     assert {r.rel_path: r.kind for r in tree(spark, str(tmp_path), followSymlinks=True).collect()}["link"] == "file"
     f = {r.path: r for r in files(spark, str(tmp_path)).collect()}
     import xxhash
 
-    assert f["d/bin"].is_binary and not f["d/bad"].valid_utf8 and f["visible.txt"].hash_hex == xxhash.xxh3_64_hexdigest(b"needle")
-    s = Search(files(spark, str(tmp_path)), "needle")
-    assert {r.path for r in s.files().collect()} == {"visible.txt", ".hidden.txt"} and s.rollup().head().incomplete
+    assert f["d/bin"].is_binary and not f["d/bad"].valid_utf8 and f["shown.md"].hash_hex == xxhash.xxh3_64_hexdigest(b"oyster")
+    s = Search(files(spark, str(tmp_path)), "oyster")
+    assert {r.path for r in s.files().collect()} == {"shown.md", ".secret.md"} and s.rollup().head().incomplete
 
 
 def test_node_ids(spark):
