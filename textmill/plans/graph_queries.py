@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as gr
 from ..operators import symbols as sy
-from ..storage import materialize
+from ..storage import exists, materialize
 from .catalogue import query, table
 
 #: Kinds dealt to parts by size.
@@ -61,7 +61,7 @@ _indexes: dict[tuple, sy.SymbolIndex] = {}
 def part_index(spark, sf_dir) -> sy.SymbolIndex:
     """The parts' symbols stored for look-up, once for a session and a state of the table."""
     key = (spark.sparkContext.applicationId, *table(spark, sf_dir, "part").inputFiles())
-    if key not in _indexes:
+    if key not in _indexes or not all(exists(spark, p) for p in (_indexes[key].by_name.path, _indexes[key].grams.path, *_indexes[key].names.inputFiles()[:1])):
         _indexes[key] = sy.SymbolIndex.build(part_symbols(spark, sf_dir))
     return _indexes[key]
 
@@ -104,7 +104,7 @@ def adjacency(spark, sf_dir) -> gr.Adjacency:
     """The foreign keys as adjacency tables: stored once for a session and a state of the tables, then only read."""
     names = ("orders", "lineitem", "customer", "supplier", "nation")
     key = (spark.sparkContext.applicationId, *sorted(f for n in names for f in table(spark, sf_dir, n).inputFiles()))
-    if key not in _stored:
+    if key not in _stored or not all(exists(spark, t.path) for t in (_stored[key].out, _stored[key].back)):
         _stored[key] = gr.Adjacency.build(fk_edges(spark, sf_dir))
     return _stored[key]
 

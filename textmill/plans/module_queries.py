@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.provenance import ModuleGraph
 from ..operators.resolve import ENDINGS
+from ..storage import exists
 from .catalogue import query, table
 
 #: Endings dealt to files by the language of their document.
@@ -35,10 +36,16 @@ def imports(rows):
     return rows.select(F.col("a").alias("path"), one).select("path", "specifier", F.lit("static").alias("kind"), (F.col("k") + 1).cast("long").alias("line"), (F.col("k") * 10).cast("long").alias("span_start"), (F.col("k") * 10 + 5).cast("long").alias("span_end"))
 
 
+def _kept(graph: ModuleGraph, done: list[dict]) -> list[str]:
+    """Where the graph's tables are."""
+    tables = (graph.imports, graph.tried, graph.edges, graph.refs, graph.files, graph.nodes)
+    return [p.path for t in tables for p in t.parts] + done[-1]["transitions"].inputFiles()[:1]
+
+
 def followed(spark, sf_dir) -> tuple[ModuleGraph, list[dict]]:
     """The graph after all batches, and what each did; once for a session and a state of the table."""
     key = (spark.sparkContext.applicationId, *table(spark, sf_dir, "documents").inputFiles())
-    if key not in _graphs:
+    if key not in _graphs or not all(exists(spark, p) for p in _kept(*_graphs[key])):
         rows, graph, done = modules(spark, sf_dir), ModuleGraph(spark), []
         for b in BATCHES:
             paths = lambda *cs: reduce(lambda x, y: x.union(y), [rows.where(b[c]).select(F.col(c[0]).alias("path")) for c in cs if c in b]) if any(c in b for c in cs) else None  # noqa: B023, E731

@@ -40,6 +40,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is still there, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def _width(df: DataFrame):
     """Bytes of a row: fixed types by their size, text and nested columns by their content."""
     wide = [f.name for f in df.schema if isinstance(f.dataType, StringType | BinaryType)]
