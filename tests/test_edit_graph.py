@@ -343,3 +343,12 @@ def test_importers_are_exact_or_approximate(spark):
     assert told() == [("a.ts", "./t/x", 1, "Exact"), maybe("c.ts"), ("d.ts", "./t/x", 1, "Exact"), maybe("e.txt"), own]
     assert told(4, 1) == [("a.ts", "./t/x", 1, "Exact"), maybe("b.ts"), maybe("c.ts"), maybe("d.ts"), own]
     assert rs.importers(files, "t/x.ts", known, (), 4, 1)[1] and not rs.importers(files, "t/x.ts", known)[1]
+
+
+def test_a_list_is_counted_by_occurrence(spark):
+    files = spark.createDataFrame([("a.ts", "x"), ("b.ts", "y" * 50), ("c.bin", "z"), ("d.py", "")], "path string, text string")
+    listed = spark.createDataFrame([("a.ts",), ("a.ts",), ("b.ts",), ("c.bin",), ("no.ts",), ("d.py",), (None,)], "path string")
+    chosen, counts = sweep.from_list(listed, files, ["ts", "py"], 10)
+    assert sorted(r.path for r in chosen.collect()) == ["a.ts", "d.py"]
+    r = counts.head()
+    assert (r.listed, r.scanned, r.indexed, r.unsupported, r.missing, r.oversize) == (7, 3, 2, 2, 1, 1)

@@ -30,6 +30,19 @@ def last_wins(files: DataFrame, order: str = "seq", most_bytes: int = 2 << 20) -
     return newest.select("path", "r.*").where(F.octet_length("text") <= most_bytes)
 
 
+def from_list(listed: DataFrame, files: DataFrame, extensions: list[str], most_bytes: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
+    """(files to index, one row of counts) of a caller's list (path) against ``files`` (path, text): every occurrence is unsupported (no
+    such ending), missing, oversize or scanned, in this order; a path that is scanned several times is indexed once."""
+    names = listed.select("path", F.col("path").rlike(r"\.(" + "|".join(extensions) + ")$").alias("supported"))
+    there = files.select("path", F.octet_length("text").alias("size"))
+    state = F.when(~F.coalesce("supported", F.lit(False)), "unsupported").when(F.col("size").isNull(), "missing").when(F.col("size") > most_bytes, "oversize").otherwise("scanned")
+    told = names.join(there, "path", "left").select("path", state.alias("state"))
+    chosen = told.where("state = 'scanned'").select("path").distinct()
+    of = lambda k: F.count_if(F.col("state") == k).alias(k)
+    counts = told.agg(F.count("*").alias("listed"), *[of(k) for k in ("scanned", "unsupported", "missing", "oversize")], F.count_distinct(F.when(F.col("state") == "scanned", F.col("path"))).alias("indexed"))
+    return files.join(chosen, "path", "left_semi"), counts
+
+
 #: Bounds of the warming of imports.
 SEEDS, PER_SEED, TARGETS, FILE_BYTES, TOTAL_BYTES = 32, 64, 256, 2 << 20, 16 << 20
 

@@ -226,6 +226,22 @@ def source_languages(spark, sf_dir):
     return analysed(spark, sf_dir).select("path", "language")
 
 
+_LISTED = " UNION ALL ".join([f"SELECT replace('{path}', '%', CAST({key} AS VARCHAR)) AS path, {'NULL' if n == 'none' else _literal(text)} AS text FROM {t}" for n, (t, key, path, text) in FILES.items()] + [f"SELECT '{p}', {_literal(text)}" for p, text in SINGLE])
+#: Fixed value: between the sizes of the templates.
+LIST_BYTES = 300
+
+
+@query("source_from_list", f"WITH f AS ({_LISTED}), l AS (SELECT path, text FROM f UNION ALL SELECT path, text FROM f WHERE path LIKE 'crate/%' UNION ALL SELECT 'gone/' || n_nationkey || '.ts', '' FROM nation), t AS (SELECT path, CASE WHEN text IS NULL THEN 'unsupported' WHEN path LIKE 'gone/%' THEN 'missing' WHEN strlen(replace(text, '%', regexp_extract(path, '([0-9]+)[.][a-z]+$', 1))) > {LIST_BYTES} THEN 'oversize' ELSE 'scanned' END AS state FROM l) SELECT count(*) AS listed, count(*) FILTER (WHERE state = 'scanned') AS scanned, count(*) FILTER (WHERE state = 'unsupported') AS unsupported, count(*) FILTER (WHERE state = 'missing') AS missing, count(*) FILTER (WHERE state = 'oversize') AS oversize, count(DISTINCT path) FILTER (WHERE state = 'scanned') AS indexed FROM t")
+def source_from_list(spark, sf_dir):
+    """A list that names some files twice and some that are not there."""
+    from ..operators.sweep import from_list
+
+    f = sources(spark, sf_dir)
+    gone = table(spark, sf_dir, "nation").select(F.concat(F.lit("gone/"), F.col("n_nationkey").cast("string"), F.lit(".ts")).alias("path"))
+    listed = f.select("path").unionByName(f.where(F.startswith("path", F.lit("crate/"))).select("path")).unionByName(gone)
+    return from_list(listed, f, sorted(ex.LANGUAGES), LIST_BYTES)[1]
+
+
 @query("source_imports", f"SELECT path, specifier, kind, CAST(line AS BIGINT) AS line FROM ({IMPORT_ROWS}) q")
 def source_imports(spark, sf_dir):
     return ex.imports(analysed(spark, sf_dir)).select("path", "specifier", "kind", "line")
