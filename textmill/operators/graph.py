@@ -228,6 +228,19 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return found.unionByName(alone.select("node", F.col("node").alias("label")))
 
 
+#: Languages whose imports are read and resolved; of PARTIAL ones the resolver never knows all.
+IMPORTING, PARTIAL = ("javascript", "jsx", "typescript", "tsx", "vue", "python", "rust"), ("rust",)
+
+
+def node_flags(analysed: DataFrame, max_imports: int | None = None) -> DataFrame:
+    """(path, indexed, has_opaque, imports_supported, imports_complete, resolver_live, resolution_complete) of analysed files (path, language,
+    has_opaque, imports): what `forward_exact` asks, as the analysis has it. ``max_imports``: how many imports of a file were resolved."""
+    known = F.coalesce(F.col("language").isin(*IMPORTING), F.lit(False))
+    whole = F.lit(True) if max_imports is None else F.coalesce(F.size("imports") <= max_imports, F.lit(False))
+    flags = {"indexed": F.col("language").isNotNull(), "has_opaque": F.coalesce("has_opaque", F.lit(False)), "imports_supported": known, "imports_complete": whole, "resolver_live": known, "resolution_complete": known & ~F.coalesce(F.col("language").isin(*PARTIAL), F.lit(False))}
+    return analysed.select("path", *[v.alias(k) for k, v in flags.items()])
+
+
 def forward_exact() -> Column:
     """Whether a node's out-edges are complete and right."""
     return F.col("indexed") & ~F.col("has_opaque") & F.col("imports_supported") & F.col("imports_complete") & F.col("resolver_live") & F.col("resolution_complete")
