@@ -18,6 +18,7 @@ forgotten in a batch is analysed; null paths are left out; an analysed path need
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,16 +81,18 @@ class ModuleGraph:
         self.edges = signed("src", "edges", ", ".join(f"{c} {'long' if c in IMPORT[3:] else 'string'}" for c in EDGE))
         self.refs, self.files, self.nodes = (signed("path", name, "path string") for name in ("refs", "files", "nodes"))
 
-    def _paths(self, df: DataFrame | None, label: str) -> DataFrame:
-        if df is None:
-            return self.spark.createDataFrame([], "path string")
-        return materialize(df.where("path is not null").select("path").distinct(), label)
+    def _paths(self, given: dict[str, DataFrame | None]) -> list[DataFrame]:
+        """The distinct paths of each list, written once."""
+        rows = [df.where("path is not null").select("path", F.lit(k).alias("k")) for k, df in given.items() if df is not None]
+        none = self.spark.createDataFrame([], "path string, k string")
+        every = materialize(reduce(DataFrame.union, rows, none).distinct(), "paths")
+        return [every.where(F.col("k") == k).select("path") for k in given]
 
     def advance(self, appeared: DataFrame | None = None, vanished: DataFrame | None = None, imports: DataFrame | None = None, analysed: DataFrame | None = None, forgotten: DataFrame | None = None) -> dict:
         """One batch. appeared, vanished: (path) of files; analysed: (path) of files whose ``imports`` (path, specifier, kind, line,
         span_start, span_end) are known now, in place of older ones; forgotten: (path) of files that are no longer part of the index,
         but exist. Returns what was done as a dictionary: counts, and ``transitions`` (path, was, now) of nodes."""
-        appeared, vanished, analysed, forgotten = (self._paths(df, n) for df, n in ((appeared, "appeared"), (vanished, "vanished"), (analysed, "analysed"), (forgotten, "forgotten")))
+        appeared, vanished, analysed, forgotten = self._paths({"appeared": appeared, "vanished": vanished, "analysed": analysed, "forgotten": forgotten})
         gone = self.files.of(vanished).select("path").join(appeared, "path", "left_anti")
         come = appeared.join(self.files.of(appeared), "path", "left_anti")
         moved = materialize(come.select("path", F.lit(1).alias("sign")).unionByName(gone.select("path", F.lit(-1).alias("sign"))), "moved")
@@ -120,13 +123,14 @@ class ModuleGraph:
         told = materialize(self._transitions(ref_delta, node_delta), "transitions")
 
         inverted = lambda rows, sign: rows.select(F.explode("candidates").alias("candidate"), *IMPORT).distinct().withColumn("sign", F.lit(sign))
-        self.imports.add(materialize(Signed.sum([fresh.withColumn("sign", F.lit(1)), old.withColumn("sign", F.lit(-1))]), "import-delta"))
-        self.tried.add(materialize(Signed.sum([inverted(fresh, 1), inverted(old, -1)]), "tried-delta"))
-        self.edges.add(edge_delta)
-        self.refs.add(ref_delta)
-        self.nodes.add(node_delta)
-        self.files.add(moved)
-        return {"touched": keys.count(), "fresh": fresh.count(), "moved": moved.count(), "edges_added": edge_delta.where("sign > 0").count(), "edges_removed": edge_delta.where("sign < 0").count(), "transitions": told}
+        imports_delta = Signed.sum([fresh.withColumn("sign", F.lit(1)), old.withColumn("sign", F.lit(-1))])
+        tried_delta = Signed.sum([inverted(fresh, 1), inverted(old, -1)])
+        tables = [(self.imports, imports_delta, "import-delta"), (self.tried, tried_delta, "tried-delta"), (self.edges, edge_delta, None), (self.refs, ref_delta, None), (self.nodes, node_delta, None), (self.files, moved, None)]
+        with ThreadPoolExecutor(len(tables)) as pool:  # the tables do not depend on one another
+            list(pool.map(lambda x: x[0].add(materialize(x[1], x[2]) if x[2] else x[1]), tables))
+        kinds = {"touched": keys, "fresh": fresh, "moved": moved, "edges_added": edge_delta.where("sign > 0"), "edges_removed": edge_delta.where("sign < 0")}
+        counts = reduce(DataFrame.union, [df.agg(F.lit(k).alias("k"), F.count("*").alias("n")) for k, df in kinds.items()])
+        return {r.k: r.n for r in counts.collect()} | {"transitions": told}
 
     def _transitions(self, ref_delta: DataFrame, node_delta: DataFrame) -> DataFrame:
         """(path, was, now) of the nodes that this batch turns into another kind, from the paths that it changes alone."""
