@@ -79,3 +79,14 @@ def test_few(spark):
     with pytest.raises(ValueError, match="join"):
         t.of([str(k) for k in range(lookup.KEYS + 1)])
     assert Lookup.write(t.all().where("false"), "k", "none").all().count() == 0
+
+
+def test_traversal_queries_have_no_bound(spark, sf, monkeypatch):
+    """Their SQL has none: a result beyond the default bound is no error."""
+    from textmill.plans import graph_queries  # noqa: F401
+    from textmill.plans.catalogue import QUERIES
+
+    bounded = gr._bounded
+    monkeypatch.setattr(gr, "_bounded", lambda df, most: bounded(df, None if most is None else 5))
+    for name in ("rdeps_depth2", "deps_depth2", "neighborhood"):
+        assert QUERIES[name](spark, sf).count() > 5

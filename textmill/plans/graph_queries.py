@@ -133,14 +133,14 @@ for _d in (1, 2, 3):
 
     @query(f"deps_depth{_d}", deps_sql(_d, STARTS))
     def deps(spark, sf_dir, depth=_d):
-        return gr.deps(adjacency(spark, sf_dir), STARTS, depth).select("src", "dst", "distance")
+        return gr.deps(adjacency(spark, sf_dir), STARTS, depth, max_result=None).select("src", "dst", "distance")
 
 
 for _d in (1, 2):
 
     @query(f"rdeps_depth{_d}", deps_sql(_d, ["nation/3"], back=True))
     def rdeps(spark, sf_dir, depth=_d):
-        return gr.rdeps(adjacency(spark, sf_dir), ["nation/3"], depth).select("src", "dst", "distance")
+        return gr.rdeps(adjacency(spark, sf_dir), ["nation/3"], depth, max_result=None).select("src", "dst", "distance")
 
 
 NEIGHBORHOOD = f"""WITH RECURSIVE {FK}, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), r(node, distance) AS (SELECT 'supplier/1', 0 UNION SELECT u.b, distance + 1 FROM r JOIN u ON u.a = r.node WHERE distance < 1),
@@ -149,7 +149,7 @@ m AS (SELECT DISTINCT node FROM r) SELECT src, dst FROM e WHERE src IN (SELECT n
 
 @query("neighborhood", NEIGHBORHOOD)
 def neighborhood(spark, sf_dir):
-    return gr.neighborhood(adjacency(spark, sf_dir), ["supplier/1"], 1)[1].select("src", "dst")
+    return gr.neighborhood(adjacency(spark, sf_dir), ["supplier/1"], 1, max_result=None)[1].select("src", "dst")
 
 
 COMPONENTS = """WITH c AS (SELECT 'customer/' || c_custkey AS node, 'nation/' || c_nationkey AS n FROM customer UNION ALL SELECT 'nation/' || n_nationkey, 'nation/' || n_nationkey FROM nation UNION ALL SELECT 'region/' || n_regionkey, 'nation/' || n_nationkey FROM nation),
