@@ -294,3 +294,23 @@ def test_the_literal_filter_changes_nothing(spark):
     for p, n in (("t[w]o", 1), ("two|three", 2), ("o$", 2), ("x*two", 1), ("(two)?", 5)):
         s = Search(c, p)
         assert sum(r.match_count for r in s.counts().collect()) == n == s.rollup().head().total_matches and s.rollup().head().files_searched == 4, p
+
+
+@pytest.mark.parametrize("name", ["grep_file_cap_rollup", "grep_nested_quantifier", "grep_ordered", "grep_root_folder"])
+def test_queries_without_a_limit_keep_all_matches(spark, tmp_path, monkeypatch, name):
+    """More matches than the least bounds of a search, which these queries' SQL does not have."""
+    from textmill.operators import grep as gp
+    from textmill.plans import corpus_queries as cq
+
+    text = "the action thanthe\nnotion.\n" * 3
+    spark.createDataFrame([(k, text, "en", f"src{k % 2}") for k in range(4)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    limited = lambda c, p, **k: gp.Search(c, p, **k | {"max_total_count": 2})
+    monkeypatch.setattr(cq, "Search", limited)
+    rows = getattr(cq, name)(spark, str(tmp_path)).collect()
+    if name == "grep_ordered":
+        assert [r.position for r in sorted(rows)] == list(range(1, 13))
+    elif name == "grep_nested_quantifier":
+        assert sorted(r.match_count for r in rows) == [3] * 4
+    else:
+        r = rows[0]
+        assert (r.files_with_matches, r.total_matches, r.limit_reached) == ((4, 12, True) if name == "grep_file_cap_rollup" else (2, 6, False))

@@ -229,9 +229,10 @@ class Search:
         out = F.transform("found", lambda m, i: F.struct((line(i) + 1).cast("long").alias("line_number"), (F.get("inside", i) + 1).cast("long").alias("n_lines"), m.alias("text")))
         return rows.select("path", F.inline(out))
 
-    def rollup(self, mode: str = "count") -> DataFrame:
+    def rollup(self, mode: str = "count", limited: bool = True) -> DataFrame:
         """One row: files_searched, files_with_matches, total_matches (both after limits), limit_reached, incomplete, root, root_is_dir.
-        In ``mode`` files a file counts as one match, in mode content those count that ``max_file_bytes`` lets through."""
+        In ``mode`` files a file counts as one match, in mode content those count that ``max_file_bytes`` lets through. Without
+        ``limited`` all matches count, and limit_reached only tells whether they are as many as the limit."""
         n = self._any().cast("long") if mode == "files" else self._matches().cast("long")
         n = n if self._may() is None else F.when(self._may(), n).otherwise(0)
         capped = mode == "content" and self.max_file_bytes is not None
@@ -241,10 +242,10 @@ class Search:
             per = materialize(per.unionByName(rest.select("path", F.lit(0).cast("long").alias("n"), F.lit(False).alias("full"))), "matches")
         else:
             per = materialize(self.source.select("path", n.alias("n")), "matches")
-        cut = _cut(per.where("n > 0").select("path", "n"), self.max_total_count)
+        cut = _cut(per.where("n > 0").select("path", "n"), self.max_total_count) if limited else None
         shown = (F.col("n") > 0) if cut is None else (F.col("n") > 0) & ((F.col("path") < cut[0]) | (F.col("path") == cut[0]) & F.lit(cut[1] > 0))
         total = F.coalesce(F.sum("n"), F.lit(0))
-        agg = per.agg(F.count("*").alias("files_searched"), F.count_if(shown).alias("files_with_matches"), F.least(total, F.lit(self.max_total_count)).cast("long").alias("total_matches"), (total >= self.max_total_count).alias("limit_reached"))
+        agg = per.agg(F.count("*").alias("files_searched"), F.count_if(shown).alias("files_with_matches"), (F.least(total, F.lit(self.max_total_count)) if limited else total).cast("long").alias("total_matches"), (total >= self.max_total_count).alias("limit_reached"))
         last = [F.lit(self.root).alias("root"), F.lit(self.root_is_dir).alias("root_is_dir")]
         full = F.lit(capped and per.where("full").limit(1).count() > 0)
         if "is_binary" not in self.corpus.columns:
