@@ -90,3 +90,13 @@ def test_traversal_queries_have_no_bound(spark, sf, monkeypatch):
     monkeypatch.setattr(gr, "_bounded", lambda df, most: bounded(df, None if most is None else 5))
     for name in ("rdeps_depth2", "deps_depth2", "neighborhood"):
         assert QUERIES[name](spark, sf).count() > 5
+
+
+def test_a_side_that_no_traversal_reads_is_not_stored(spark):
+    edges = made(spark)
+    a = gr.Adjacency.of(edges, edges.count())
+    cols = ["src", "dst", "distance"]
+    assert pairs(gr.deps(edges, ["n40"], 2).select(cols)) == pairs(gr.deps(a, ["n40"], 2).select(cols))
+    assert [side.key for side in a.stored()] == ["src"]
+    assert pairs(gr.rdeps(edges, ["n7"], 2).select(cols)) == pairs(gr.rdeps(a, ["n7"], 2).select(cols))
+    assert [side.key for side in a.stored()] == ["src", "dst"] and pairs(a.back.all()) == pairs(edges)

@@ -58,9 +58,11 @@ class Adjacency:
     ``out`` and ``back`` are `lookup.Lookup` tables. A frontier of at most `lookup.KEYS` nodes is a pushed filter and stays with the
     driver; a larger one is a table in the shared folder and is joined."""
 
-    def __init__(self, out: Lookup, back: Lookup):
-        self.out, self.back = out, back
-        self.sparkSession, self.columns = out.spark, out.columns
+    def __init__(self, out: Lookup | None, back: Lookup | None, edges: DataFrame | None = None, most: int | None = None):
+        """Sides that are not given are stored from ``edges``, of at most ``most`` rows, when they are first read."""
+        self._sides, self._edges, self._most = {"src": out, "dst": back}, edges, most
+        given = out or back
+        self.sparkSession, self.columns = (given.spark, given.columns) if given else (edges.sparkSession, edges.columns)
 
     @classmethod
     def build(cls, edges: DataFrame) -> Adjacency:
@@ -68,8 +70,30 @@ class Adjacency:
         n = rows.count()
         return cls(Lookup.write(rows, "src", "edges-by-src", n), Lookup.write(rows, "dst", "edges-by-dst", n))
 
+    @classmethod
+    def of(cls, edges: DataFrame, most: int) -> Adjacency:
+        """Of edges that are cheap to find again: a side that no traversal reads is not stored."""
+        return cls(None, None, edges, most)
+
+    def _side(self, key: str) -> Lookup:
+        if self._sides[key] is None:
+            other = self._sides["dst" if key == "src" else "src"]
+            self._sides[key] = Lookup.write(self._edges if other is None else other.all(), key, f"edges-by-{key}", self._most)
+        return self._sides[key]
+
+    @property
+    def out(self) -> Lookup:
+        return self._side("src")
+
+    @property
+    def back(self) -> Lookup:
+        return self._side("dst")
+
+    def stored(self) -> list[Lookup]:
+        return [side for side in self._sides.values() if side is not None]
+
     def all(self) -> DataFrame:
-        return self.out.all()
+        return (self.stored() or [self.out])[0].all()
 
     def walk(self, sides: list[Lookup], starts: list[str], depth: int, view: DataFrame | None, along=lambda rows: rows) -> tuple[dict[str, int] | None, DataFrame | None]:
         """Distances of the nodes within ``depth`` steps: a dictionary while they are few, else a table (node, distance). ``along``

@@ -83,29 +83,41 @@ def index_search_letters(spark, sf_dir):
     return part_index(spark, sf_dir).search("hrng", 300).select("path", "name", "line", "score")
 
 
-def fk_edges(spark, sf_dir, which=("order", "line", "customer", "supplier", "nation")):
-    """Foreign keys as edges (src, dst), written once."""
+def fk_rows(spark, sf_dir, which=("order", "line", "customer", "supplier", "nation")):
+    """Foreign keys as edges (src, dst)."""
     t = lambda n: table(spark, sf_dir, n)
     e = lambda df, a, x, b, y: df.select(F.concat(F.lit(a + "/"), F.col(x).cast("string")).alias("src"), F.concat(F.lit(b + "/"), F.col(y).cast("string")).alias("dst"))
+
+    def lines():
+        """The distinct parts and suppliers of each order, as numbers: an order's lines meet in one shuffle, which both read."""
+        rows = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey").repartition("l_orderkey")
+        return [e(rows.select("l_orderkey", key).distinct(), "order", "l_orderkey", name, key) for name, key in (("part", "l_partkey"), ("supplier", "l_suppkey"))]
+
     made = {
         "order": lambda: [e(t("orders"), "order", "o_orderkey", "customer", "o_custkey")],
-        "line": lambda: [e(t("lineitem"), "order", "l_orderkey", "part", "l_partkey").distinct(), e(t("lineitem"), "order", "l_orderkey", "supplier", "l_suppkey").distinct()],
+        "line": lines,
         "customer": lambda: [e(t("customer"), "customer", "c_custkey", "nation", "c_nationkey")],
         "supplier": lambda: [e(t("supplier"), "supplier", "s_suppkey", "nation", "s_nationkey")],
         "nation": lambda: [e(t("nation"), "nation", "n_nationkey", "region", "n_regionkey")],
     }
-    return materialize(reduce(lambda a, b: a.unionByName(b), [x for w in which for x in made[w]()]), "foreign-keys")
+    return reduce(lambda a, b: a.unionByName(b), [x for w in which for x in made[w]()])
+
+
+def fk_edges(spark, sf_dir, which=("order", "line", "customer", "supplier", "nation")):
+    """`fk_rows`, written once."""
+    return materialize(fk_rows(spark, sf_dir, which), "foreign-keys")
 
 
 _stored: dict[tuple, gr.Adjacency] = {}
 
 
 def adjacency(spark, sf_dir) -> gr.Adjacency:
-    """The foreign keys as adjacency tables: stored once for a session and a state of the tables, then only read."""
+    """The foreign keys as adjacency tables: each stored when it is first read, once for a session and a state of the tables."""
     names = ("orders", "lineitem", "customer", "supplier", "nation")
     key = (spark.sparkContext.applicationId, *sorted(f for n in names for f in table(spark, sf_dir, n).inputFiles()))
-    if key not in _stored or not all(exists(spark, t.path) for t in (_stored[key].out, _stored[key].back)):
-        _stored[key] = gr.Adjacency.build(fk_edges(spark, sf_dir))
+    if key not in _stored or not all(exists(spark, side.path) for side in _stored[key].stored()):
+        most = sum(table(spark, sf_dir, n).count() * (2 if n == "lineitem" else 1) for n in names)
+        _stored[key] = gr.Adjacency.of(fk_rows(spark, sf_dir), most)
     return _stored[key]
 
 
