@@ -41,3 +41,12 @@ def test_numbers_over_ranges(spark):
     got = numbered(spark.createDataFrame(rows, "a int, b int").repartition(7), "a", "b")
     assert sorted((x.position, x.a, x.b) for x in got.collect()) == [(k, *x) for k, x in enumerate(sorted(rows), 1)]
     assert numbered(spark.createDataFrame([], "a int"), "a").count() == 0
+
+
+def test_containment_sends_nothing_through_the_driver(spark):
+    """Spans and places grow with the texts: neither is broadcast, however small the planner takes them for."""
+    s = spark.createDataFrame([("a", k, k, k + 5) for k in range(50)], "path string, id int, start long, end long")
+    got = sp.innermost(s.select("path", "id", s.start.alias("at")), s, ["path", "id"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan, plan
+    assert sorted(r.span.id for r in got.collect()) == list(range(50))

@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import broadcast_if_small, materialize
-
 #: Widths that spans of up to 2 ** 62 units have.
 MOST_WIDTHS = 63
 
@@ -34,6 +32,7 @@ def containing(places: DataFrame, spans: DataFrame, by: str = "path", at: str =
     levels = [r[0] for r in rows.select("_level").distinct().collect()]  # MOST_WIDTHS at most
     asked = places.where(F.col(at).isNotNull()).withColumn("_level", F.explode(F.array(*map(F.lit, sorted(levels))).cast("array<int>")))
     asked = asked.withColumn("_bin", _bin(F.col(at), F.col("_level")))
+    rows = rows.hint("merge")  # all spans: what the planner takes for small may be large once it is spread out
     met = asked.join(rows, (asked[by] == rows["_by"]) & (asked["_level"] == rows["_level"]) & (asked["_bin"] == rows["_bin"]))
     met = met.where((F.col(f"span.{start}") <= F.col(at)) & (F.col(at) < F.col(f"span.{end}")))
     return met.select(*[asked[c] for c in places.columns], "span")
@@ -45,5 +44,4 @@ def innermost(places: DataFrame, spans: DataFrame, key: list[str], by: str = "pa
     met = containing(places, spans, by, at, start, end)
     order = F.struct((-F.col(f"span.{start}")).alias("s"), F.col(f"span.{end}").alias("e"), "span")
     best = met.groupBy(*key).agg(F.min(order).alias("_best")).select(*key, F.col("_best.span").alias("span"))
-    best = materialize(best, "innermost")
-    return places.join(broadcast_if_small(best), key, "left")
+    return places.join(best.hint("merge"), key, "left")  # as many rows as places: never sent through the driver
