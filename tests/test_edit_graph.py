@@ -352,3 +352,13 @@ def test_a_list_is_counted_by_occurrence(spark):
     assert sorted(r.path for r in chosen.collect()) == ["a.ts", "d.py"]
     r = counts.head()
     assert (r.listed, r.scanned, r.indexed, r.unsupported, r.missing, r.oversize) == (7, 3, 2, 2, 1, 1)
+
+
+def test_resolution_sends_no_table_through_the_driver_and_its_lists_once(spark):
+    """Files and lists grow with the input, so neither is broadcast; what is joined back is a digest, one row for a list of one import."""
+    rows = spark.createDataFrame([(f"f{k}.ts", "./t" if k % 2 else f"./f{k + 2}", "static", 1, 0, 5) for k in range(40)], "path string, specifier string, kind string, line long, span_start long, span_end long")
+    files = spark.createDataFrame([(f"f{k}.ts",) for k in range(40)] + [("t.ts",)], "path string")
+    edges = rs.resolve(rows, files)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "array(0, 1, 2" not in plan, plan
+    assert {(r.src, r.dst, r.to_kind) for r in edges.collect()} == {(f"f{k}.ts", "t.ts" if k % 2 else f"f{k + 2}.ts" if k < 38 else "./f40", "path" if k != 38 else "unresolved") for k in range(40)}
