@@ -153,6 +153,10 @@ SINGLE_IMPORTS = [("src/app/shared.ts", "../../lib/util", "require", 1, "lib/uti
 SINGLE_SYMBOLS = [("lib/types.ts", 0, "T", "type", 1, 12, 0), ("crate/src/lib.rs", 0, "shared", "module", 1, 8, 0), ("crate/src/shared.rs", 0, "helper", "function", 1, 7, 0)]
 
 
+#: Fixed value: files that a task parses, so that its memory stays the same whatever the tables hold.
+FILES_PER_TASK = 20_000
+
+
 def _filled(text: str, key: str):
     return F.replace(F.lit(text), F.lit("%"), F.col(key).cast("string"))
 
@@ -161,7 +165,9 @@ def sources(spark, sf_dir):
     """(path, text) of the written corpus."""
     made = [table(spark, sf_dir, t).select(_filled(path, key).alias("path"), _filled(text, key).alias("text")) for t, key, path, text in FILES.values()]
     rows = reduce(lambda a, b: a.unionByName(b), [*made, spark.createDataFrame(SINGLE, "path string, text string")])
-    return rows.repartition(spark.sparkContext.defaultParallelism, "path")  # small tables come in one split, their parsing does not
+    n = sum(table(spark, sf_dir, t).count() for t, *_ in FILES.values())
+    parts = max(spark.sparkContext.defaultParallelism, -(-n // FILES_PER_TASK))
+    return rows.repartition(parts, "path")  # small tables come in one split, their parsing does not
 
 
 def analysed(spark, sf_dir):
