@@ -314,3 +314,14 @@ def test_queries_without_a_limit_keep_all_matches(spark, tmp_path, monkeypatch,
     else:
         r = rows[0]
         assert (r.files_with_matches, r.total_matches, r.limit_reached) == ((4, 12, True) if name == "grep_file_cap_rollup" else (2, 6, False))
+
+
+@pytest.mark.parametrize("options", [{}, {"before": 1, "after": 2}, {"max_file_bytes": 100}, {"max_count": 2, "max_file_bytes": 100}])
+def test_each_line_is_matched_once(spark, options):
+    """The optimizer put the matches of all lines in place of their name, inside a lambda over the lines: each line was matched as often
+    as the file has lines."""
+    s = Search(spark.createDataFrame([("a", "x\nthe\ny\nthe\nTHE\nz")], "path string, text string"), "t[h]e", **options)
+    rows = s._lines(s.source, None)
+    assert rows.where(F.size("out") > 0)._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 1
+    ran = [(x.n, x.m) for x in rows.head().out]
+    assert ran == ([(k, k in (2, 4)) for k in range(1, 7)] if "before" in options else [(2, True), (4, True)])

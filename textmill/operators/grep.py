@@ -69,6 +69,12 @@ def _linear_flags(regex: str):
     return flags
 
 
+def _once(value: Column) -> Column:
+    """A value of a row as the optimizer leaves it: found once a row, not again wherever it is named. Inside a lambda over the lines of a
+    file that would be once a line."""
+    return F.explode_outer(F.array(value))
+
+
 @dataclass
 class Search:
     """A compiled search. `files`, `counts`, `content`, `blocks` and `rollup` are its result tables. ``root``: a file or a folder of
@@ -203,21 +209,23 @@ class Search:
     def _lines(self, source: DataFrame, share: Column | None) -> DataFrame:
         """(path, out, full): the lines (n, t, m) of each file with a match, of at most ``share`` matches, as one array; full where the file
         has more lines than ``max_file_bytes`` let through."""
-        rows = source.select("path", search_lines().alias("ls"), self._all_numbers().alias("ms"), *(["_flags"] if self.linear else [])).where(F.size("ms") > 0)
+        hit = lambda x, i: F.get("_flags", i) if self.linear else self._hit(x)
+        rows = source.select("path", _once(F.transform(search_lines(), lambda x, i: F.struct((i + 1).alias("n"), x.alias("t"), hit(x, i).alias("m")))).alias("ls"))
+        rows = rows.select("path", "ls", _once(F.transform(F.filter("ls", lambda s: s["m"]), lambda s: s["n"])).alias("ms")).where(F.size("ms") > 0)
         kept = F.size("ms") if self.max_count is None else F.least(F.size("ms"), F.lit(max(1, self.max_count)))
         rows = rows.withColumn("r", kept if share is None else F.least(kept, F.coalesce(share, kept))).where("r > 0")
         rows = rows.withColumn("last", F.try_element_at("ms", F.greatest(F.col("r"), F.lit(1)))).withColumn("next", F.coalesce(F.try_element_at("ms", F.col("r") + 1), F.size("ls") + 1))
-        rows = rows.withColumn("flags", F.col("_flags") if self.linear else F.transform("ls", self._hit))
-        near = lambda i: F.exists(F.slice("flags", F.greatest(i - F.lit(self.after), F.lit(1)), F.least(i, F.lit(self.after + 1)) + F.lit(self.before)), lambda f: f)
-        out = F.transform("ls", lambda x, i: F.struct((i + 1).alias("n"), x.alias("t"), (F.get("flags", i) & (i + 1 <= F.col("last"))).alias("m")))
-        out = F.filter(out, lambda s: (s["n"] < F.col("next")) & (s["n"] <= F.col("last") + self.after) & near(s["n"]))
-        rows = rows.select("path", out.alias("out"))
+        near = lambda i: F.exists(F.slice("ls", F.greatest(i - F.lit(self.after), F.lit(1)), F.least(i, F.lit(self.after + 1)) + F.lit(self.before)), lambda s: s["m"])
+        out = F.filter("ls", lambda s: (s["n"] < F.col("next")) & (s["n"] <= F.col("last") + self.after) & near(s["n"]))
+        out = F.transform(out, lambda s: F.struct(s["n"], s["t"], (s["m"] & (s["n"] <= F.col("last"))).alias("m")))
+        rows = rows.select("path", _once(out).alias("out"))
         if self.max_file_bytes is None:
             return rows.withColumn("full", F.lit(False))
         size = lambda s: F.octet_length(F.regexp_replace(s["t"], "\r$", "")) + LINE_BYTES
         step = lambda a, s: F.struct((a["b"] + size(s)).alias("b"), (a["k"] + (a["b"] + size(s) <= self.max_file_bytes).cast("int")).alias("k"))
         fits = F.aggregate("out", F.struct(F.lit(0).cast("long").alias("b"), F.lit(0).alias("k")), step, lambda a: a["k"])
-        return rows.withColumn("k", fits).select("path", F.slice("out", F.lit(1), F.col("k")).alias("out"), (F.col("k") < F.size("out")).alias("full"))
+        rows = rows.select("path", "out", _once(fits).alias("k"))
+        return rows.select("path", F.slice("out", F.lit(1), F.col("k")).alias("out"), (F.col("k") < F.size("out")).alias("full"))
 
     def blocks(self) -> DataFrame:
         """Multiline matches: (path, line_number of the first line, n_lines, text of the match)."""
