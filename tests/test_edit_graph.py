@@ -362,3 +362,16 @@ def test_resolution_sends_no_table_through_the_driver_and_its_lists_once(spark):
     plan = edges._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "array(0, 1, 2" not in plan, plan
     assert {(r.src, r.dst, r.to_kind) for r in edges.collect()} == {(f"f{k}.ts", "t.ts" if k % 2 else f"f{k + 2}.ts" if k < 38 else "./f40", "path" if k != 38 else "unresolved") for k in range(40)}
+
+
+def test_nesting_parses_texts_once(spark):
+    from textmill.functions import extract
+    from textmill.operators import symbols as sy
+
+    files = spark.createDataFrame([("a.py", "class A:\n    def f(self):\n        def g(): pass\ndef h(): pass\n"), ("b.md", "# x\n")], "path string, text string")
+    found = extract.symbols(extract.analyses(files))
+    rows = sy.nesting(found)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert rows.columns == ["path", "idx", *[c for c in found.columns if c not in ("path", "idx", "depth")], "depth"]
+    assert sorted((r.path, r.name, r.kind, r.line, r.depth) for r in rows.collect()) == [("a.py", "A", "class", 1, 0), ("a.py", "f", "method", 2, 1), ("a.py", "g", "function", 3, 2), ("a.py", "h", "function", 4, 0), ("b.md", "x", "module", 1, 0)]
+    assert [tuple(r) for r in sy.nesting(found).orderBy("path", "idx").select("path", "idx", "depth").collect()] == [tuple(r) for r in found.orderBy("path", "idx").select("path", "idx", "depth").collect()]

@@ -76,13 +76,16 @@ def search(symbols: DataFrame, needle: str, limit: int = DEFAULT_LIMIT, view: Da
 def nesting(symbols: DataFrame) -> DataFrame:
     """Depth from spans: how many symbols of the file enclose one. Ends of open spans are kept on a stack within the row of a
     file."""
-    order = F.array_sort(F.collect_list(F.struct("def_start", (-F.col("def_end")).alias("e"), "line", "name", "idx", "def_end")))
+    rest = [c for c in symbols.columns if c not in ("path", "idx", "depth", "def_start", "def_end", "line", "name")]
+    order = F.array_sort(F.collect_list(F.struct("def_start", (-F.col("def_end")).alias("e"), "line", "name", "idx", "def_end", *([F.struct(*rest).alias("rest")] if rest else []))))
     live = lambda a, s: F.filter(a["open"], lambda e: e >= s["def_end"])
     fits = lambda a, s: F.filter(live(a, s), lambda e: e > s["def_start"])
-    zero = F.struct(F.array().cast("array<long>").alias("open"), F.array().cast("array<struct<idx:int,depth:int>>").alias("out"))
-    step = lambda a, s: F.struct(F.array_append(fits(a, s), s["def_end"]).alias("open"), F.array_append(a["out"], F.struct(s["idx"].alias("idx"), F.size(fits(a, s)).alias("depth"))).alias("out"))
-    depths = symbols.groupBy("path").agg(order.alias("s")).select("path", F.explode(F.aggregate("s", zero, step, lambda a: a["out"])).alias("d"))
-    return symbols.drop("depth").join(depths.select("path", "d.idx", "d.depth"), ["path", "idx"])
+    zero = F.struct(F.array().cast("array<long>").alias("open"), F.array().cast("array<int>").alias("out"))
+    step = lambda a, s: F.struct(F.array_append(fits(a, s), s["def_end"]).alias("open"), F.array_append(a["out"], F.size(fits(a, s))).alias("out"))
+    files = symbols.groupBy("path").agg(order.alias("s"))  # all columns: no join, for which texts would be parsed again
+    rows = files.select("path", F.explode(F.arrays_zip("s", F.aggregate("s", zero, step, lambda a: a["out"]).alias("depth"))).alias("d"))
+    of = lambda c: F.col("d.depth" if c == "depth" else f"d.s.rest.`{c}`" if c in rest else f"d.s.`{c}`").alias(c)
+    return rows.select("path", "d.s.idx", *[of(c) for c in symbols.columns if c not in ("path", "idx", "depth")], of("depth"))
 
 
 def merge_adjacent(symbols: DataFrame) -> DataFrame:
