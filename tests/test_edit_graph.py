@@ -375,3 +375,18 @@ def test_nesting_parses_texts_once(spark):
     assert rows.columns == ["path", "idx", *[c for c in found.columns if c not in ("path", "idx", "depth")], "depth"]
     assert sorted((r.path, r.name, r.kind, r.line, r.depth) for r in rows.collect()) == [("a.py", "A", "class", 1, 0), ("a.py", "f", "method", 2, 1), ("a.py", "g", "function", 3, 2), ("a.py", "h", "function", 4, 0), ("b.md", "x", "module", 1, 0)]
     assert [tuple(r) for r in sy.nesting(found).orderBy("path", "idx").select("path", "idx", "depth").collect()] == [tuple(r) for r in found.orderBy("path", "idx").select("path", "idx", "depth").collect()]
+
+
+def test_lists_meet_the_files_by_one_row_a_module(spark):
+    """Each candidate was a row: 19 for an import of a module, of which the same file may come first whatever its ending."""
+    from pyspark.sql import functions as F
+
+    from textmill.operators import resolve as rs
+
+    names = ["a/x.tsx", "a/x/index.js", "a/y.ts", "a/y.ts", "a/z.js", "a/z.vue", "x", "a/w.js.ts"]
+    specs = ["./x", "./y.js", "./z", "./z.vue", "./w.js", "/x", "./none", "./x/index", "pkg"]
+    imports = spark.createDataFrame([("a/m.ts", s, "static", k, 0, 1) for k, s in enumerate(specs)], "path string, specifier string, kind string, line long, span_start long, span_end long")
+    listed = rs.candidates(imports)
+    assert listed.select(F.max(F.size(rs.stems("candidates")))).head()[0] == 2 and listed.select(F.max(F.size("candidates"))).head()[0] > 18
+    edges = rs.resolve(imports, spark.createDataFrame([(n,) for n in names], "path string"))
+    assert [r.dst for r in edges.orderBy("line").collect()] == ["a/x.tsx", "a/y.ts", "a/z.js", "a/z.vue", "a/w.js.ts", "x", "./none", "a/x/index.js", "pkg"]
