@@ -364,6 +364,36 @@ def test_resolution_sends_no_table_through_the_driver_and_its_lists_once(spark):
     assert {(r.src, r.dst, r.to_kind) for r in edges.collect()} == {(f"f{k}.ts", "t.ts" if k % 2 else f"f{k + 2}.ts" if k < 38 else "./f40", "path" if k != 38 else "unresolved") for k in range(40)}
 
 
+def test_workers_take_batches_by_pieces(spark):
+    """A whole batch of files was turned into Python objects at once: symbols, candidates or new texts of 10,000 rows."""
+    import pyarrow as pa
+
+    from textmill.batches import PIECE_ROWS, pieces
+    from textmill.functions import extract
+    from textmill.operators import edit, resolve
+
+    class Rows:
+        """Stands for a frame; gives the function that runs in a worker."""
+
+        columns, dtypes = ["path", "specifier", "kind"], [(c, "string") for c in ("path", "specifier", "kind")]
+        select = join = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    n = 2 * PIECE_ROWS + 1
+    text = lambda *values: [pa.array([v] * n) for v in values]
+    files = pa.record_batch(text("a.ts", "import './b';\nfunction f() {}\n"), names=["path", "text"])
+    found = list(extract.analyses(Rows())(iter([files])))
+    assert [b.num_rows for b in found] == [PIECE_ROWS, PIECE_ROWS, 1] and found[0].column("symbols")[0].as_py()[0]["name"] == "f" and found[2].column("imports")[0].as_py()[0]["specifier"] == "./b"
+    imports = pa.record_batch(text("a.ts", "./b", "static"), names=Rows.columns)
+    assert [b.num_rows for b in resolve.candidates(Rows())(iter([imports]))] == [PIECE_ROWS, PIECE_ROWS, 1]
+    edits = spark.createDataFrame([("a", 0, "x", "y")], "path string, edit_index int, old_text string, new_text string")
+    todo = pa.record_batch([*text("a", "x"), pa.array([[{"edit_index": 0, "old_text": "x", "new_text": "y"}]] * n)], names=["path", "text", "edits"])
+    out = list(edit.edit_batch(Rows(), edits, skip_diff=True)(iter([todo])))
+    assert [b.num_rows for b in out] == [PIECE_ROWS, PIECE_ROWS, 1] and out[2].column("content").to_pylist() == ["y"]
+    big = pa.record_batch([pa.array(["x" * 1000] * 9)], names=["t"])
+    assert [b.num_rows for b in pieces([big, big.slice(0, 0)], size=3000)] == [2, 2, 2, 1, 2, 0] and sum(b.num_rows for b in pieces([big], size=1)) == 9
+
+
 def test_nesting_parses_texts_once(spark):
     from textmill.functions import extract
     from textmill.operators import symbols as sy
