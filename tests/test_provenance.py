@@ -68,3 +68,14 @@ def test_signed_rows_add_up(spark):
         t.add(spark.createDataFrame(rows, "k string, v long, sign long"))
     assert sorted(tuple(r) for r in t.all().collect()) == [("a", 1, 1), ("c", 3, 1)] and len(t.parts) == 1
     assert [tuple(r) for r in t.of(spark.createDataFrame([("a",), ("b",)], "x string")).collect()] == [("a", 1, 1)]
+
+
+def test_what_was_tried_is_one_row_a_module(spark):
+    """Each import was stored under all 19 candidates; a file of the same stem that it did not try makes nothing resolve again."""
+    graph = ModuleGraph(spark)
+    frame = lambda *paths: spark.createDataFrame([(p,) for p in paths], "path string")
+    graph.advance(frame("a/m.ts"), None, spark.createDataFrame([("a/m.ts", "./x.js", "static", 1, 0, 1)], IMPORTS), frame("a/m.ts"))
+    assert graph.tried.all().count() == 2
+    assert graph.advance(appeared=frame("a/x/index.ts", "a/x.mjs"))["touched"] == 0
+    assert graph.advance(appeared=frame("a/x.ts", "a/x.js.ts"))["touched"] == 1
+    assert [r.dst for r in graph.all_edges().collect()] == ["a/x.ts"]
